@@ -9,6 +9,7 @@ engines produce the same exact values before the final cast to DOUBLE.
 from __future__ import annotations
 
 from . import params as P
+from .model import PROMISE_DAYS
 
 
 def half_up(total: str, n: str, scale: int = 2) -> str:
@@ -68,3 +69,139 @@ WHERE o.o_custkey IN (SELECT customer_id FROM ({LOYAL_TOP}) t)
 GROUP BY p.p_brand
 ORDER BY total_items DESC, category ASC
 LIMIT 1"""
+
+# --- calendar ---------------------------------------------------------------
+
+NEXT_DAY = f"(DATE '{P.CUTOFF_DAY}' + INTERVAL 1 DAY)"   # exclusive timestamp bound
+WEEKDAY_NAME = ("CASE weekday_number WHEN 0 THEN 'Segunda-feira' WHEN 1 THEN 'Terça-feira' "
+                "WHEN 2 THEN 'Quarta-feira' WHEN 3 THEN 'Quinta-feira' WHEN 4 THEN 'Sexta-feira' "
+                "WHEN 5 THEN 'Sábado' WHEN 6 THEN 'Domingo' END")
+
+POS_DAILY = f"""
+  SELECT CAST(o_orderdate AS DATE) AS date, sum(CAST(o_totalprice AS {MONEY})) AS sales
+  FROM orders
+  WHERE o_orderpriority = '{P.POS_CHANNEL}' AND CAST(o_orderdate AS DATE) <= DATE '{P.CUTOFF_DAY}'
+  GROUP BY 1"""
+
+POS_CALENDAR = f"""
+  SELECT s.date, coalesce(d.sales, 0) AS sales, isodow(s.date) - 1 AS weekday_number
+  FROM (SELECT CAST(unnest(generate_series(CAST(min(o_orderdate) AS DATE), DATE '{P.CUTOFF_DAY}',
+                                           INTERVAL 1 DAY)) AS DATE) AS date FROM orders) s
+  LEFT JOIN ({POS_DAILY}) d ON d.date = s.date"""
+
+WEEKDAY_PROFILE = f"""
+  SELECT CAST(weekday_number AS BIGINT) AS weekday_number, {WEEKDAY_NAME} AS weekday_name,
+         {half_up('sum(sales)', 'count(*)')} AS avg_sale, count(*) AS days
+  FROM ({POS_CALENDAR}) c GROUP BY weekday_number"""
+
+ORACLE["weekday_sales_calendar"] = WEEKDAY_PROFILE
+
+ORACLE["weekday_sales_biased"] = f"""
+SELECT w.weekday_number, w.avg_sale, w.days, s.avg_sale_sale_days,
+       CAST(coalesce(s.sale_days, 0) AS BIGINT) AS sale_days
+FROM ({WEEKDAY_PROFILE}) w
+LEFT JOIN (SELECT CAST(isodow(date) - 1 AS BIGINT) AS weekday_number,
+                  {half_up('sum(sales)', 'count(*)')} AS avg_sale_sale_days, count(*) AS sale_days
+           FROM ({POS_DAILY}) d GROUP BY 1) s USING (weekday_number)"""
+
+ORACLE["calendar_zero_days"] = f"""
+SELECT count(*) AS calendar_days, count(*) FILTER (WHERE sales = 0) AS zero_sales_days,
+       min(date) AS first_day, max(date) AS last_day
+FROM ({POS_CALENDAR}) c"""
+
+# --- channels -----------------------------------------------------------------
+
+BUSINESS = f"""
+  SELECT o_orderkey, o_orderpriority AS channel, CAST(o_totalprice AS {MONEY}) AS total, o_orderdate
+  FROM orders
+  WHERE o_orderstatus IN ({lit(P.BUSINESS_STATUSES)}) AND o_orderdate < {NEXT_DAY}"""
+
+CHANNEL_MONTHLY = f"""
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, channel,
+         sum(total) AS revenue, count(*) AS orders
+  FROM ({BUSINESS}) b GROUP BY 1, 2"""
+
+ORACLE["channel_monthly"] = f"""
+SELECT month, channel, CAST(revenue AS DOUBLE) AS revenue, orders FROM ({CHANNEL_MONTHLY}) m"""
+
+ORACLE["channel_summary"] = f"""
+SELECT channel, CAST(revenue AS DOUBLE) AS revenue, orders,
+       {half_up('revenue', 'orders')} AS avg_ticket,
+       CAST(revenue AS DOUBLE) / (SELECT CAST(sum(total) AS DOUBLE) FROM ({BUSINESS}) b2) AS share
+FROM (SELECT channel, sum(total) AS revenue, count(*) AS orders FROM ({BUSINESS}) b GROUP BY channel) s"""
+
+
+def _channel_col(ch: str) -> str:
+    return "ch_" + "".join(c if c.isalnum() else "_" for c in ch.lower())
+
+
+ORACLE["channel_yearly_pivot"] = f"""
+SELECT CAST(year(month) AS BIGINT) AS year,
+       {", ".join(f"CAST(coalesce(sum(revenue) FILTER (WHERE channel = '{ch}'), 0) AS DOUBLE) AS {_channel_col(ch)}"
+                  for ch in P.CHANNELS)}
+FROM ({CHANNEL_MONTHLY}) m GROUP BY 1"""
+
+# --- returns ------------------------------------------------------------------
+
+def _raw_reasons_sql() -> str:
+    from .model import RAW_REASON_SAMPLES
+    items = ", ".join("NULL" if s is None else "'" + s.replace("'", "''") + "'" for s in RAW_REASON_SAMPLES)
+    return f"[{items}][((l_orderkey + l_linenumber) % {len(RAW_REASON_SAMPLES)}) + 1]"
+
+
+def _reason_map_sql() -> str:
+    from ..functions.text import REASON_LABELS
+    return ", ".join(f"('{k}', '{v}')" for k, v in REASON_LABELS.items())
+
+
+ORACLE["return_reasons"] = f"""
+WITH r AS (
+  SELECT {_raw_reasons_sql()} AS reason, CAST(l_extendedprice AS {MONEY}) AS refund
+  FROM lineitem
+  WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_shipdate < {NEXT_DAY}),
+k AS (
+  SELECT reason, refund,
+         strip_accents(trim(regexp_replace(lower(reason), '\\s+', ' ', 'g'))) AS reason_key FROM r),
+m(reason_key, label) AS (VALUES {_reason_map_sql()})
+SELECT CASE WHEN k.reason IS NULL OR NOT regexp_matches(k.reason_key, '[\\p{{L}}\\p{{N}}]') THEN 'Não informado'
+            ELSE m.label END AS reason,
+       count(*) AS returns, CAST(sum(refund) AS DOUBLE) AS refund
+FROM k LEFT JOIN m USING (reason_key)
+GROUP BY 1"""
+
+# --- suppliers ------------------------------------------------------------------
+
+COMPLETED_POS = f"""
+  WITH po AS (
+    SELECT l_orderkey AS order_key, l_suppkey AS supplier_id,
+           CASE WHEN bool_and(l_linestatus = 'F') THEN 'received' ELSE 'open' END AS status
+    FROM lineitem GROUP BY 1, 2),
+  elig AS (
+    SELECT po.order_key, po.supplier_id, CAST(o.o_orderdate AS DATE) + INTERVAL {PROMISE_DAYS} DAY AS expected
+    FROM po JOIN orders o ON o.o_orderkey = po.order_key
+    WHERE po.status = 'received' AND o.o_orderdate < {NEXT_DAY}),
+  rec AS (
+    SELECT l_orderkey AS order_key, l_suppkey AS supplier_id, max(l_shipdate) AS completed_at
+    FROM lineitem WHERE l_shipdate < {NEXT_DAY} GROUP BY 1, 2)
+  SELECT e.order_key, e.supplier_id,
+         date_diff('day', CAST(e.expected AS DATE), CAST(r.completed_at AS DATE)) AS delay_days
+  FROM elig e JOIN rec r USING (order_key, supplier_id)
+  WHERE e.expected IS NOT NULL"""
+
+SUPPLIER_SCORES = f"""
+  SELECT c.supplier_id, printf('F%02d · %s', c.supplier_id, coalesce(trim(s.s_name), '')) AS label,
+         count(*) AS orders,
+         avg(CASE WHEN delay_days <= 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS on_time_rate,
+         coalesce(avg(delay_days) FILTER (WHERE delay_days > 0), 0.0)::DOUBLE AS avg_late_days
+  FROM ({COMPLETED_POS}) c LEFT JOIN supplier s ON s.s_suppkey = c.supplier_id
+  GROUP BY c.supplier_id, s.s_name"""
+
+ORACLE["supplier_punctuality"] = f"""
+SELECT * FROM ({SUPPLIER_SCORES}) x
+ORDER BY on_time_rate ASC, orders DESC, supplier_id ASC LIMIT {P.WORST_SUPPLIERS}"""
+
+ORACLE["supplier_overall"] = f"""
+SELECT count(*) AS completed_orders, count(*) FILTER (WHERE delay_days > 0) AS late_orders,
+       avg(CASE WHEN delay_days <= 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS on_time_rate,
+       coalesce(avg(delay_days) FILTER (WHERE delay_days > 0), 0.0)::DOUBLE AS avg_late_days
+FROM ({COMPLETED_POS}) c"""

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import loyalty
+from ..operators import calendar, channels, loyalty, returns, suppliers
 from . import params as P
 from .model import sales_lines, star_model
 from .output import as_output
@@ -59,3 +59,87 @@ def q_loyal_top_category(spark, sf_dir):
     model = star_model(spark, sf_dir)
     top = _loyal_top(spark, sf_dir)
     return loyalty.leading_category(sales_lines(model), top)
+
+
+# --- M3: weekday calendar ----------------------------------------------------
+
+def _pos_calendar(spark, sf_dir):
+    orders = star_model(spark, sf_dir).orders
+    return calendar.sales_calendar(orders, P.CUTOFF_DAY, where=F.col("channel") == P.POS_CHANNEL)
+
+
+@register("weekday_sales_calendar")
+def q_weekday_sales_calendar(spark, sf_dir):
+    prof = calendar.weekday_profile(_pos_calendar(spark, sf_dir))
+    return as_output(prof.withColumn("weekday_number", F.col("weekday_number").cast("bigint")))
+
+
+@register("weekday_sales_biased")
+def q_weekday_sales_biased(spark, sf_dir):
+    cal = _pos_calendar(spark, sf_dir)
+    dense = calendar.weekday_profile(cal)
+    orders = star_model(spark, sf_dir).orders
+    cond = (F.col("channel") == P.POS_CHANNEL) & (F.to_date("created_at") <= F.lit(P.CUTOFF_DAY).cast("date"))
+    sparse = calendar.weekday_profile_sale_days(calendar.daily_totals(orders, where=cond))
+    out = dense.join(sparse, "weekday_number", "left").select(
+        F.col("weekday_number").cast("bigint").alias("weekday_number"), "avg_sale", "days",
+        "avg_sale_sale_days", F.coalesce("sale_days", F.lit(0)).cast("bigint").alias("sale_days"))
+    return as_output(out)
+
+
+@register("calendar_zero_days")
+def q_calendar_zero_days(spark, sf_dir):
+    return calendar.calendar_stats(_pos_calendar(spark, sf_dir))
+
+
+# --- M6: channels --------------------------------------------------------------
+
+CHANNEL_COLUMNS = {ch: "ch_" + "".join(c if c.isalnum() else "_" for c in ch.lower()) for ch in P.CHANNELS}
+
+
+def _business(spark, sf_dir):
+    return channels.business_orders(star_model(spark, sf_dir).orders, P.BUSINESS_STATUSES, P.CUTOFF_DAY)
+
+
+@register("channel_monthly")
+def q_channel_monthly(spark, sf_dir):
+    return as_output(channels.channel_monthly(_business(spark, sf_dir)))
+
+
+@register("channel_summary")
+def q_channel_summary(spark, sf_dir):
+    return as_output(channels.channel_summary(_business(spark, sf_dir)))
+
+
+@register("channel_yearly_pivot")
+def q_channel_yearly_pivot(spark, sf_dir):
+    monthly = channels.channel_monthly(_business(spark, sf_dir))
+    piv = channels.channel_yearly_pivot(monthly, P.CHANNELS, names=CHANNEL_COLUMNS)
+    return as_output(piv.withColumn("year", F.col("year").cast("bigint")))
+
+
+# --- M7: returns -----------------------------------------------------------------
+
+@register("return_reasons")
+def q_return_reasons(spark, sf_dir):
+    return as_output(returns.returns_by_reason(star_model(spark, sf_dir).returns, P.CUTOFF_DAY))
+
+
+# --- M8: suppliers ---------------------------------------------------------------
+
+def _completed_pos(spark, sf_dir):
+    model = star_model(spark, sf_dir)
+    return model, suppliers.completed_orders(model.purchase_orders, model.receipts, P.CUTOFF_DAY,
+                                             keys=model.po_keys)
+
+
+@register("supplier_punctuality")
+def q_supplier_punctuality(spark, sf_dir):
+    model, done = _completed_pos(spark, sf_dir)
+    return suppliers.worst_suppliers(suppliers.supplier_scores(done, model.suppliers), P.WORST_SUPPLIERS)
+
+
+@register("supplier_overall")
+def q_supplier_overall(spark, sf_dir):
+    _, done = _completed_pos(spark, sf_dir)
+    return suppliers.supplier_overall(done)
