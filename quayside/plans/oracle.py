@@ -205,3 +205,116 @@ SELECT count(*) AS completed_orders, count(*) FILTER (WHERE delay_days > 0) AS l
        avg(CASE WHEN delay_days <= 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS on_time_rate,
        coalesce(avg(delay_days) FILTER (WHERE delay_days > 0), 0.0)::DOUBLE AS avg_late_days
 FROM ({COMPLETED_POS}) c"""
+
+# --- forecast -------------------------------------------------------------------
+
+def _months_after(month: str, n: int) -> str:
+    y, m = int(month[:4]), int(month[5:7])
+    k = y * 12 + m - 1 + n
+    return f"{k // 12:04d}-{k % 12 + 1:02d}-01"
+
+
+TEST_FIRST = _months_after(P.FORECAST_TRAIN_END, 1)
+TEST_LAST = _months_after(P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS)
+TEST_BEFORE = _months_after(P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS + 1)
+TRAIN_TAIL_FROM = _months_after(P.FORECAST_TRAIN_END, 1 - P.FORECAST_WINDOW)
+
+SALES_LINES = """
+  SELECT o.o_custkey AS customer_id, o.o_orderdate AS created_at, l.l_partkey AS product_id,
+         p.p_name AS product_name, CAST(l.l_quantity AS BIGINT) AS quantity
+  FROM lineitem l
+  JOIN orders o ON o.o_orderkey = l.l_orderkey
+  JOIN part p ON p.p_partkey = l.l_partkey"""
+
+DENSE = f"""
+  WITH monthly AS (
+    SELECT product_name, CAST(date_trunc('month', created_at) AS DATE) AS month,
+           CAST(sum(quantity) AS BIGINT) AS quantity
+    FROM ({SALES_LINES}) s WHERE created_at < TIMESTAMP '{TEST_BEFORE}' GROUP BY 1, 2),
+  spine AS (
+    SELECT product_name,
+           CAST(unnest(generate_series(min(month), DATE '{TEST_LAST}', INTERVAL 1 MONTH)) AS DATE) AS month
+    FROM monthly GROUP BY product_name HAVING min(month) <= DATE '{TEST_LAST}')
+  SELECT sp.product_name, sp.month, CAST(coalesce(m.quantity, 0) AS BIGINT) AS quantity
+  FROM spine sp LEFT JOIN monthly m USING (product_name, month)"""
+
+
+def _trailing(min_periods: int) -> str:
+    w = (f"(PARTITION BY product_name ORDER BY month "
+         f"ROWS BETWEEN {P.FORECAST_WINDOW} PRECEDING AND 1 PRECEDING)")
+    return (f"SELECT product_name, month, quantity AS actual, "
+            f"CASE WHEN count(quantity) OVER {w} >= {min_periods} THEN avg(quantity) OVER {w} END AS forecast "
+            f"FROM ({DENSE}) d")
+
+
+WALK = f"""
+  SELECT product_name, month, actual, forecast,
+         CAST(round_even(forecast, 0) AS BIGINT) AS forecast_rounded, abs(actual - forecast) AS abs_error
+  FROM ({_trailing(1)}) t
+  WHERE month BETWEEN DATE '{TEST_FIRST}' AND DATE '{TEST_LAST}'"""
+
+FIXED = f"""
+  SELECT d.product_name, d.month, d.quantity AS actual, o.forecast, abs(d.quantity - o.forecast) AS abs_error
+  FROM ({DENSE}) d
+  LEFT JOIN (SELECT product_name, avg(quantity) AS forecast FROM ({DENSE}) d2
+             WHERE month BETWEEN DATE '{TRAIN_TAIL_FROM}' AND DATE '{P.FORECAST_TRAIN_END}'
+             GROUP BY 1) o USING (product_name)
+  WHERE d.month BETWEEN DATE '{TEST_FIRST}' AND DATE '{TEST_LAST}'"""
+
+ORACLE["monthly_demand_dense"] = DENSE
+ORACLE["walk_forward_forecast"] = WALK
+ORACLE["demand_forecast_product"] = f"SELECT * FROM ({WALK}) w WHERE product_name = '{P.FORECAST_PRODUCT}'"
+ORACLE["rolling_strict_forecast"] = _trailing(P.FORECAST_WINDOW)
+ORACLE["fixed_origin_forecast"] = FIXED
+ORACLE["forecast_metrics"] = f"""
+SELECT w.product_name, w.mae_walk_forward, w.total_actual, w.total_forecast, f.mae_fixed_origin,
+       w.total_forecast - w.total_actual AS gap
+FROM (SELECT product_name, round(avg(abs_error), 6) AS mae_walk_forward,
+             CAST(sum(actual) AS BIGINT) AS total_actual, CAST(sum(forecast_rounded) AS BIGINT) AS total_forecast
+      FROM ({WALK}) x GROUP BY 1) w
+LEFT JOIN (SELECT product_name, round(avg(abs_error), 6) AS mae_fixed_origin FROM ({FIXED}) y GROUP BY 1) f
+USING (product_name)"""
+
+ORACLE["product_sale_span"] = f"""
+SELECT product_name, min(CAST(created_at AS DATE)) AS first_sale, max(CAST(created_at AS DATE)) AS last_sale,
+       count(*) AS sale_lines
+FROM ({SALES_LINES}) s GROUP BY 1"""
+
+# --- similarity -------------------------------------------------------------------
+
+INTER = f"SELECT DISTINCT customer_id, product_id FROM ({SALES_LINES}) s"
+
+ORACLE["item_similarity_topk"] = f"""
+WITH inter AS ({INTER}),
+ref AS (SELECT min(p_partkey) AS rid FROM part WHERE p_name = '{P.REFERENCE_PRODUCT}'),
+sizes AS (SELECT product_id, count(*) AS buyers FROM inter GROUP BY 1),
+ov AS (SELECT product_id, count(*) AS overlap FROM inter
+       WHERE customer_id IN (SELECT customer_id FROM inter WHERE product_id = (SELECT rid FROM ref))
+       GROUP BY 1),
+top AS (
+  SELECT s.product_id, coalesce(ov.overlap, 0) AS overlap, s.buyers,
+         coalesce(ov.overlap, 0) / sqrt((SELECT buyers FROM sizes WHERE product_id = (SELECT rid FROM ref)) * s.buyers)
+           AS similarity
+  FROM sizes s LEFT JOIN ov USING (product_id)
+  WHERE s.product_id <> (SELECT rid FROM ref)
+  ORDER BY similarity DESC, product_id ASC LIMIT {P.SIMILAR_TOP_N})
+SELECT t.product_id, p.p_name AS name, t.overlap, t.buyers, t.similarity
+FROM top t LEFT JOIN part p ON p.p_partkey = t.product_id"""
+
+ORACLE["item_similarity_references"] = f"""
+WITH inter AS ({INTER}),
+refs AS (SELECT min(p_partkey) AS reference_id FROM part WHERE p_name IN ({lit(P.REFERENCE_SET)}) GROUP BY p_name),
+sizes AS (SELECT product_id, count(*) AS buyers FROM inter GROUP BY 1),
+pairs AS (
+  SELECT r.product_id AS reference_id, i.product_id, count(*) AS overlap
+  FROM inter r JOIN refs ON refs.reference_id = r.product_id
+  JOIN inter i ON i.customer_id = r.customer_id AND i.product_id <> r.product_id
+  GROUP BY 1, 2)
+SELECT pairs.reference_id, pairs.product_id, pairs.overlap,
+       pairs.overlap / sqrt(rs.buyers * s.buyers) AS similarity
+FROM pairs JOIN sizes s ON s.product_id = pairs.product_id
+JOIN sizes rs ON rs.product_id = pairs.reference_id"""
+
+ORACLE["interaction_shape"] = f"""
+SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT product_id) AS products, count(*) AS ones
+FROM ({INTER}) i"""

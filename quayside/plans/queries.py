@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, channels, loyalty, returns, suppliers
+from ..operators import calendar, channels, forecast, loyalty, returns, similarity, suppliers
 from . import params as P
 from .model import sales_lines, star_model
 from .output import as_output
@@ -143,3 +143,99 @@ def q_supplier_punctuality(spark, sf_dir):
 def q_supplier_overall(spark, sf_dir):
     _, done = _completed_pos(spark, sf_dir)
     return suppliers.supplier_overall(done)
+
+
+# --- M4: demand forecast (all products at once) ------------------------------------
+
+def _test_window():
+    from ..operators.forecast import _add_months, _month
+    end = _month(P.FORECAST_TRAIN_END)
+    return _add_months(end, P.FORECAST_TEST_MONTHS), _add_months(end, P.FORECAST_TEST_MONTHS + 1)
+
+
+def _dense_demand(spark, sf_dir):
+    last_month, before = _test_window()
+    lines = sales_lines(star_model(spark, sf_dir)).withColumnRenamed("name", "product_name")
+    monthly = forecast.monthly_demand(lines, key="product_name", before=before)
+    return forecast.dense_months(monthly, last_month, key="product_name")
+
+
+def _walk(spark, sf_dir):
+    return forecast.walk_forward(_dense_demand(spark, sf_dir), P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS,
+                                 key="product_name", window=P.FORECAST_WINDOW, min_periods=1)
+
+
+def _fixed(spark, sf_dir):
+    return forecast.fixed_origin(_dense_demand(spark, sf_dir), P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS,
+                                 key="product_name", window=P.FORECAST_WINDOW)
+
+
+@register("monthly_demand_dense")
+def q_monthly_demand_dense(spark, sf_dir):
+    return _dense_demand(spark, sf_dir)
+
+
+@register("walk_forward_forecast")
+def q_walk_forward_forecast(spark, sf_dir):
+    return _walk(spark, sf_dir)
+
+
+@register("demand_forecast_product")
+def q_demand_forecast_product(spark, sf_dir):
+    """The single-name view: every part id carrying the name is summed."""
+    return _walk(spark, sf_dir).where(F.col("product_name") == P.FORECAST_PRODUCT)
+
+
+@register("rolling_strict_forecast")
+def q_rolling_strict_forecast(spark, sf_dir):
+    fc = forecast.trailing_mean(_dense_demand(spark, sf_dir), "product_name", P.FORECAST_WINDOW,
+                                min_periods=P.FORECAST_WINDOW)
+    return fc.select("product_name", "month", F.col("quantity").alias("actual"), "forecast")
+
+
+@register("fixed_origin_forecast")
+def q_fixed_origin_forecast(spark, sf_dir):
+    return _fixed(spark, sf_dir)
+
+
+@register("forecast_metrics")
+def q_forecast_metrics(spark, sf_dir):
+    return forecast.forecast_metrics(_walk(spark, sf_dir), _fixed(spark, sf_dir), key="product_name")
+
+
+@register("product_sale_span")
+def q_product_sale_span(spark, sf_dir):
+    lines = sales_lines(star_model(spark, sf_dir)).withColumnRenamed("name", "product_name")
+    return forecast.sale_span(lines, key="product_name")
+
+
+# --- M5: co-purchase similarity -----------------------------------------------------
+
+def _interactions(spark, sf_dir):
+    model = star_model(spark, sf_dir)
+    return model, similarity.interactions(sales_lines(model))
+
+
+@register("item_similarity_topk")
+def q_item_similarity_topk(spark, sf_dir):
+    model, inter = _interactions(spark, sf_dir)
+    ref = similarity.first_id_by_name(model.products, P.REFERENCE_PRODUCT)
+    top = similarity.similar_items(inter, ref, P.SIMILAR_TOP_N)
+    names = model.products.select("product_id", "name")
+    # top holds at most SIMILAR_TOP_N rows: broadcasting it is size-safe
+    return (F.broadcast(top).join(names, "product_id", "left")
+            .select("product_id", "name", "overlap", "buyers", "similarity"))
+
+
+@register("item_similarity_references")
+def q_item_similarity_references(spark, sf_dir):
+    model, inter = _interactions(spark, sf_dir)
+    refs = (model.products.where(F.col("name").isin(list(P.REFERENCE_SET)))
+            .groupBy("name").agg(F.min("product_id").alias("product_id")))
+    return similarity.similarity_to_references(inter, refs)
+
+
+@register("interaction_shape")
+def q_interaction_shape(spark, sf_dir):
+    _, inter = _interactions(spark, sf_dir)
+    return similarity.matrix_shape(inter)
