@@ -318,3 +318,127 @@ JOIN sizes rs ON rs.product_id = pairs.reference_id"""
 ORACLE["interaction_shape"] = f"""
 SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT product_id) AS products, count(*) AS ones
 FROM ({INTER}) i"""
+
+# --- profiling and quality ---------------------------------------------------------
+
+ORDERS_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+LINEITEM_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+ORACLE["eda_orders_profile"] = f"""
+SELECT count(*) AS total_rows, min(CAST(o_orderdate AS DATE)) AS date_min,
+       max(CAST(o_orderdate AS DATE)) AS date_max,
+       CAST(min(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS amount_min,
+       CAST(max(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS amount_max,
+       {half_up(f'sum(CAST(o_totalprice AS {MONEY}))', 'count(o_totalprice)')} AS amount_mean
+FROM orders"""
+
+ORACLE["eda_null_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM {t}"
+    for t, cols in (("orders", ORDERS_COLS), ("lineitem", LINEITEM_COLS)) for c in cols)
+
+ORACLE["eda_value_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in ("o_orderstatus", "o_orderpriority"))
+
+ORACLE["eda_crosstab"] = """
+SELECT o_orderpriority,
+       count(*) FILTER (WHERE o_orderstatus = 'F') AS st_f,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS st_o,
+       count(*) FILTER (WHERE o_orderstatus = 'P') AS st_p
+FROM orders GROUP BY o_orderpriority"""
+
+ORACLE["eda_null_crosstab"] = """
+SELECT d.lang, count(*) FILTER (WHERE l.quality IS NOT NULL) AS not_null,
+       count(*) FILTER (WHERE l.quality IS NULL) AS is_null
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+GROUP BY d.lang"""
+
+ORACLE["eda_describe"] = f"""
+SELECT count(o_totalprice) AS count,
+       {half_up(f'sum(CAST(o_totalprice AS {MONEY}))', 'count(o_totalprice)', 4)} AS mean,
+       round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min,
+       round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50,
+       round(quantile_cont(o_totalprice, 0.75), 4) AS q75, max(o_totalprice) AS max
+FROM orders"""
+
+ORACLE["eda_iqr_outliers"] = "\nUNION ALL\n".join(f"""
+SELECT {k} AS factor, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
+       round(q3 + {k} * (q3 - q1), 4) AS upper_fence,
+       (SELECT count(*) FROM orders WHERE o_totalprice > q3 + {k} * (q3 - q1)) AS n_above
+FROM (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders) q"""
+    for k in (float(f) for f in P.IQR_FACTORS))
+
+_UNIQUE = (("orders", ("o_orderkey",)), ("lineitem", ("l_orderkey", "l_linenumber")),
+           ("customer", ("c_custkey",)), ("part", ("p_partkey",)), ("supplier", ("s_suppkey",)),
+           ("documents", ("doc_id",)), ("conversations", ("conv_id", "turn")))
+
+ORACLE["duplicate_keys"] = "\nUNION ALL\n".join(f"""
+SELECT '{t}' AS table_name, '{",".join(k)}' AS key_columns, count(*) AS n_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT {", ".join(k)} FROM {t})) AS n_distinct_keys,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(k)} FROM {t})) AS n_duplicates
+FROM {t}""" for t, k in _UNIQUE)
+
+_FKS = (("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+        ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+        ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+        ("nation", "n_regionkey", "region", "r_regionkey"), ("labels", "doc_id", "documents", "doc_id"))
+
+ORACLE["orphans"] = "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS child_table, '{ck}' AS child_column, '{p}' AS parent_table, count(*) AS n_orphans
+FROM {c} x WHERE x.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})"""
+    for c, ck, p, pk in _FKS)
+
+ORACLE["identity_check"] = f"""
+WITH lo AS (
+  SELECT l_orderkey,
+         sum(CAST(l_extendedprice AS {MONEY})) AS subtotal,
+         sum(CAST(l_extendedprice AS {MONEY}) * CAST(l_discount AS DECIMAL(4,2))) AS discount,
+         sum(CAST(l_extendedprice AS {MONEY}) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+             * CAST(l_tax AS DECIMAL(4,2))) AS tax
+  FROM lineitem GROUP BY l_orderkey),
+d AS (
+  SELECT abs(CAST(lo.subtotal AS DECIMAL(38,6)) - CAST(lo.discount AS DECIMAL(38,6)) + CAST(lo.tax AS DECIMAL(38,6))
+             - CAST(o.o_totalprice AS DECIMAL(38,6))) AS diff
+  FROM orders o JOIN lo ON lo.l_orderkey = o.o_orderkey)
+SELECT 'order_total' AS check_name, count(*) AS n_rows, count(*) FILTER (WHERE diff > 0.01) AS n_mismatches,
+       CAST(max(diff) AS DOUBLE) AS max_abs_diff
+FROM d"""
+
+_COUNTS = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
+    f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns" for t in ALL_TABLES)
+ORACLE["multi_table_counts"] = f"""
+WITH c AS ({_COUNTS})
+SELECT table_name, n_rows, n_columns FROM c
+UNION ALL
+SELECT '*', CAST(sum(n_rows) AS BIGINT), CAST(sum(n_columns) AS BIGINT) FROM c"""
+
+ORACLE["reconcile_paths"] = f"""
+WITH a AS (SELECT customer_id, {half_up('revenue', 'frequency')} AS v FROM ({CUSTOMER_METRICS}) m),
+b AS (SELECT o_custkey AS customer_id,
+             {half_up(f'sum(CAST(o_totalprice AS {MONEY}))', 'count(o_orderkey)')} AS v
+      FROM orders GROUP BY o_custkey)
+SELECT 'avg_ticket_api_vs_sql' AS check_name, count(*) AS n_keys,
+       count(*) FILTER (WHERE a.v IS NULL) AS missing_left, count(*) FILTER (WHERE b.v IS NULL) AS missing_right,
+       coalesce(max(abs(a.v - b.v)), 0)::DOUBLE AS max_abs_diff
+FROM a FULL OUTER JOIN b USING (customer_id)"""
+
+ORACLE["distinct_status_values"] = """
+SELECT DISTINCT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders
+UNION
+SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders"""
+
+ORACLE["status_conditional_sums"] = f"""
+SELECT o.o_orderpriority AS channel,
+       CAST(coalesce(sum(CAST(l.l_quantity AS BIGINT)) FILTER (WHERE o.o_orderstatus IN ({lit(P.BUSINESS_STATUSES)})), 0)
+            AS BIGINT) AS business_qty,
+       CAST(coalesce(sum(CAST(l.l_quantity AS BIGINT)) FILTER (WHERE o.o_orderstatus = 'P'), 0) AS BIGINT) AS pending_qty,
+       CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS total
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+GROUP BY 1"""
+
+ORACLE["future_rows"] = f"""
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY}) AS future_rows FROM orders"""

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, channels, forecast, loyalty, returns, similarity, suppliers
+from ..functions.money import to_money
+from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
+from ..sources.tables import TABLES, read_table
 from . import params as P
 from .model import sales_lines, star_model
 from .output import as_output
@@ -239,3 +241,139 @@ def q_item_similarity_references(spark, sf_dir):
 def q_interaction_shape(spark, sf_dir):
     _, inter = _interactions(spark, sf_dir)
     return similarity.matrix_shape(inter)
+
+
+# --- M11 / L: profiling and data quality ---------------------------------------------
+
+def _t(spark, sf_dir, name):
+    return read_table(spark, sf_dir, name)
+
+
+STATUS_COLUMNS = {"F": "st_f", "O": "st_o", "P": "st_p"}
+
+# (child table, child key, parent table, parent key) pairs of the star schema
+FOREIGN_KEYS = (("lineitem", "l_orderkey", "orders", "o_orderkey"),
+                ("lineitem", "l_partkey", "part", "p_partkey"),
+                ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+                ("orders", "o_custkey", "customer", "c_custkey"),
+                ("customer", "c_nationkey", "nation", "n_nationkey"),
+                ("supplier", "s_nationkey", "nation", "n_nationkey"),
+                ("nation", "n_regionkey", "region", "r_regionkey"),
+                ("labels", "doc_id", "documents", "doc_id"))
+
+UNIQUE_KEYS = (("orders", ("o_orderkey",)), ("lineitem", ("l_orderkey", "l_linenumber")),
+               ("customer", ("c_custkey",)), ("part", ("p_partkey",)), ("supplier", ("s_suppkey",)),
+               ("documents", ("doc_id",)), ("conversations", ("conv_id", "turn")))
+
+
+def _union_all(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("eda_orders_profile")
+def q_eda_orders_profile(spark, sf_dir):
+    return as_output(profile.summary_row(_t(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"))
+
+
+@register("eda_null_counts")
+def q_eda_null_counts(spark, sf_dir):
+    return _union_all([profile.null_counts(_t(spark, sf_dir, n), n) for n in ("orders", "lineitem")])
+
+
+@register("eda_value_counts")
+def q_eda_value_counts(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    return _union_all([profile.value_counts(orders, c).select(F.lit(c).alias("column_name"), "value", "n")
+                       for c in ("o_orderstatus", "o_orderpriority")])
+
+
+@register("eda_crosstab")
+def q_eda_crosstab(spark, sf_dir):
+    return profile.crosstab(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus",
+                            list(STATUS_COLUMNS), STATUS_COLUMNS)
+
+
+@register("eda_null_crosstab")
+def q_eda_null_crosstab(spark, sf_dir):
+    """Documents per language x whether a quality label exists (left join leaves nulls)."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = _t(spark, sf_dir, "labels").select("doc_id", "quality")
+    return profile.null_crosstab(docs.join(labels, "doc_id", "left"), "lang", "quality")
+
+
+@register("eda_describe")
+def q_eda_describe(spark, sf_dir):
+    return profile.describe(_t(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@register("eda_iqr_outliers")
+def q_eda_iqr_outliers(spark, sf_dir):
+    return profile.iqr_outliers(_t(spark, sf_dir, "orders"), "o_totalprice", P.IQR_FACTORS)
+
+
+@register("duplicate_keys")
+def q_duplicate_keys(spark, sf_dir):
+    return _union_all([quality.duplicate_keys(_t(spark, sf_dir, t), keys, t) for t, keys in UNIQUE_KEYS])
+
+
+@register("orphans")
+def q_orphans(spark, sf_dir):
+    return _union_all([quality.orphans(_t(spark, sf_dir, c), ck, _t(spark, sf_dir, p), pk, c, p)
+                       for c, ck, p, pk in FOREIGN_KEYS])
+
+
+@register("identity_check")
+def q_identity_check(spark, sf_dir):
+    """Order total = sum over its lines of price - discount + tax, within 0.01."""
+    li = _t(spark, sf_dir, "lineitem")
+    ext = to_money("l_extendedprice")
+    disc = F.col("l_discount").cast("decimal(4,2)")
+    tax = F.col("l_tax").cast("decimal(4,2)")
+    per_order = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(ext).alias("subtotal"), F.sum(ext * disc).alias("discount"),
+        F.sum(ext * (1 - disc) * tax).alias("tax"))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    joined = orders.join(per_order, "o_orderkey")
+    return as_output(quality.identity_mismatches(
+        joined, [("subtotal", 1), ("discount", -1), ("tax", 1)], "o_totalprice", label="order_total"))
+
+
+@register("multi_table_counts")
+def q_multi_table_counts(spark, sf_dir):
+    counts = profile.table_counts({n: _t(spark, sf_dir, n) for n in TABLES})
+    total = counts.agg(F.lit("*").alias("table_name"), F.sum("n_rows").alias("n_rows"),
+                       F.sum("n_columns").alias("n_columns"))
+    return counts.unionByName(total)
+
+
+@register("reconcile_paths")
+def q_reconcile_paths(spark, sf_dir):
+    """Average ticket by the DataFrame operator vs the same metric in SQL text."""
+    orders = _t(spark, sf_dir, "orders")
+    api = loyalty.customer_metrics(star_model(spark, sf_dir).orders)
+    sql = spark.sql(
+        "SELECT o_custkey AS customer_id,"
+        " ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,2))) / COUNT(o_orderkey), 2) AS avg_ticket"
+        " FROM {orders} GROUP BY o_custkey", orders=orders)
+    return as_output(quality.reconcile(api, sql, "customer_id", "avg_ticket", "avg_ticket_api_vs_sql"))
+
+
+@register("distinct_status_values")
+def q_distinct_status_values(spark, sf_dir):
+    return profile.distinct_values(_t(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@register("status_conditional_sums")
+def q_status_conditional_sums(spark, sf_dir):
+    lines = sales_lines(star_model(spark, sf_dir))
+    groups = {"business_qty": F.col("status").isin(list(P.BUSINESS_STATUSES)),
+              "pending_qty": F.col("status") == "P"}
+    return profile.conditional_sums(lines, "channel", "quantity", groups)
+
+
+@register("future_rows")
+def q_future_rows(spark, sf_dir):
+    return profile.rows_after_cutoff(star_model(spark, sf_dir).orders, "created_at", P.CUTOFF_DAY)
