@@ -25,7 +25,7 @@ the physical scans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,68 +65,109 @@ RAW_REASON_SAMPLES = (
 # ---------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
 class RetailModel:
-    orders: DataFrame            # id, customer_id, channel, status, total, created_at
-    order_items: DataFrame       # order_id, variant_id, quantity, line_total
-    products: DataFrame          # product_id, name, category
-    variants: DataFrame | None   # variant_id, product_id (None: variant = product)
-    returns: DataFrame           # status, reason, refund, created_at
-    purchase_orders: DataFrame   # po keys..., supplier_id, status, placed_at, expected_delivery_at
-    receipts: DataFrame          # po keys..., received_at
-    suppliers: DataFrame         # supplier_id, legal_name, trade_name
+    """Logical frames of the retail model (any object with these attributes works).
+
+    orders          id, customer_id, channel, status, total, created_at
+    order_items     order_id, variant_id, quantity, line_total
+    products        product_id, name, category
+    variants        variant_id, product_id (None: variant = product)
+    returns         status, reason, refund, created_at
+    purchase_orders po keys..., supplier_id, status, placed_at, expected_delivery_at
+    receipts        po keys..., received_at
+    suppliers       supplier_id, legal_name, trade_name
+    """
+
     po_keys: tuple[str, ...] = ("po_id",)
+    variants: DataFrame | None = None
+
+    def __init__(self, **frames):
+        for key, value in frames.items():
+            setattr(self, key, value)
+
+
+class StarModel(RetailModel):
+    """The test star schema seen as the retail model; frames are built on first use."""
+
+    po_keys = ("order_key", "supplier_id")
+    variants = None
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def _t(self, name: str) -> DataFrame:
+        return read_table(self._spark, self._dir, name)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._t("orders").select(
+            F.col("o_orderkey").alias("id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderpriority").alias("channel"),
+            F.col("o_orderstatus").alias("status"),
+            to_money("o_totalprice").alias("total"),
+            F.col("o_orderdate").alias("created_at"),
+        )
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self._t("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("variant_id"),
+            F.col("l_quantity").cast("bigint").alias("quantity"),
+            to_money("l_extendedprice").alias("line_total"),
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._t("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.col("p_name").alias("name"),
+            F.col("p_brand").alias("category"),
+        )
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        samples = F.array(*[F.lit(s).cast("string") for s in RAW_REASON_SAMPLES])
+        idx = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(RAW_REASON_SAMPLES)))
+        return self._t("lineitem").where(F.col("l_returnflag") == "R").select(
+            F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"),
+            F.element_at(samples, (idx + 1).cast("int")).alias("reason"),
+            to_money("l_extendedprice").alias("refund"),
+            F.col("l_shipdate").alias("created_at"),
+        )
+
+    @cached_property
+    def _po_lines(self) -> DataFrame:
+        return self._t("lineitem").select(F.col("l_orderkey").alias("order_key"),
+                                          F.col("l_suppkey").alias("supplier_id"),
+                                          "l_linestatus", F.col("l_shipdate").alias("received_at"))
+
+    @cached_property
+    def purchase_orders(self) -> DataFrame:
+        heads = self._po_lines.groupBy("order_key", "supplier_id").agg(
+            F.when(F.bool_and(F.col("l_linestatus") == "F"), "received").otherwise("open").alias("status"))
+        placed = self._t("orders").select(F.col("o_orderkey").alias("order_key"),
+                                          F.col("o_orderdate").alias("placed_at"))
+        return heads.join(placed, "order_key").select(
+            "order_key", "supplier_id", "status", "placed_at",
+            F.date_add(F.to_date("placed_at"), PROMISE_DAYS).alias("expected_delivery_at"))
+
+    @cached_property
+    def receipts(self) -> DataFrame:
+        return self._po_lines.select("order_key", "supplier_id", "received_at")
+
+    @cached_property
+    def suppliers(self) -> DataFrame:
+        return self._t("supplier").select(
+            F.col("s_suppkey").alias("supplier_id"),
+            F.col("s_name").alias("legal_name"),
+            F.lit(None).cast("string").alias("trade_name"),
+        )
 
 
-def star_model(spark: SparkSession, sf_dir: str) -> RetailModel:
-    t = lambda name: read_table(spark, sf_dir, name)
-    orders = t("orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderpriority").alias("channel"),
-        F.col("o_orderstatus").alias("status"),
-        to_money("o_totalprice").alias("total"),
-        F.col("o_orderdate").alias("created_at"),
-    )
-    items = t("lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("variant_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        to_money("l_extendedprice").alias("line_total"),
-    )
-    products = t("part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("category"),
-    )
-    li = t("lineitem")
-    samples = F.array(*[F.lit(s).cast("string") for s in RAW_REASON_SAMPLES])
-    reason_idx = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(RAW_REASON_SAMPLES)))
-    returns = li.where(F.col("l_returnflag") == "R").select(
-        F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"),
-        F.element_at(samples, (reason_idx + 1).cast("int")).alias("reason"),
-        to_money("l_extendedprice").alias("refund"),
-        F.col("l_shipdate").alias("created_at"),
-    )
-    po_lines = li.select(F.col("l_orderkey").alias("order_key"),
-                         F.col("l_suppkey").alias("supplier_id"),
-                         "l_linestatus", F.col("l_shipdate").alias("received_at"))
-    po_heads = po_lines.groupBy("order_key", "supplier_id").agg(
-        F.when(F.bool_and(F.col("l_linestatus") == "F"), "received").otherwise("open").alias("status"))
-    order_dates = t("orders").select(F.col("o_orderkey").alias("order_key"),
-                                     F.col("o_orderdate").alias("placed_at"))
-    purchase_orders = po_heads.join(order_dates, "order_key").select(
-        "order_key", "supplier_id", "status", "placed_at",
-        F.date_add(F.to_date("placed_at"), PROMISE_DAYS).alias("expected_delivery_at"))
-    receipts = po_lines.select("order_key", "supplier_id", "received_at")
-    suppliers = t("supplier").select(
-        F.col("s_suppkey").alias("supplier_id"),
-        F.col("s_name").alias("legal_name"),
-        F.lit(None).cast("string").alias("trade_name"),
-    )
-    return RetailModel(orders=orders, order_items=items, products=products, variants=None,
-                       returns=returns, purchase_orders=purchase_orders, receipts=receipts,
-                       suppliers=suppliers, po_keys=("order_key", "supplier_id"))
+def star_model(spark: SparkSession, sf_dir: str) -> StarModel:
+    return StarModel(spark, sf_dir)
 
 
 def sales_lines(model: RetailModel) -> DataFrame:

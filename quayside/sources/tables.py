@@ -20,8 +20,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Lazy Parquet relation, resolved once per session and path.
+
+    Resolving a relation lists files and reads footers on the driver; the
+    report builds many plans over the same few tables, so the (immutable,
+    lazy) DataFrame is reused instead of re-resolved.
+    """
+    key = (id(spark._jsparkSession), table_path(sf_dir, name))
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = spark.read.parquet(key[1])
+        _RELATIONS[key] = df
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
