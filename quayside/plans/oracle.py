@@ -442,3 +442,51 @@ GROUP BY 1"""
 
 ORACLE["future_rows"] = f"""
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY}) AS future_rows FROM orders"""
+
+# --- schema inference -------------------------------------------------------------
+
+def _infer_sql() -> str:
+    from ..sources import infer as I
+    values = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, column_name, value FROM "
+        f"(UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE value)"
+        for t in ALL_TABLES)
+    tr = r"regexp_replace(value, '^\s+|\s+$', '', 'g')"
+    return f"""
+WITH v AS ({values}),
+c AS (SELECT table_name, column_name, value, {tr} AS t FROM v),
+s AS (
+  SELECT table_name, column_name,
+         count(*) FILTER (WHERE t <> '') AS n,
+         bool_and(upper(t) IN ('TRUE', 'FALSE')) FILTER (WHERE t <> '') AS all_bool,
+         bool_and(regexp_full_match(value, '{I.TS_PATTERN}') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL)
+           FILTER (WHERE t <> '') AS all_ts,
+         bool_and(regexp_full_match(value, '{I.DATE_PATTERN}') AND TRY_CAST(value AS DATE) IS NOT NULL)
+           FILTER (WHERE t <> '') AS all_date,
+         bool_and(regexp_full_match(t, '{I.INT_PATTERN}')) FILTER (WHERE t <> '') AS all_int,
+         bool_or(regexp_matches(t, '{I.LEADING_ZERO_PATTERN}'))
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS any_lead0,
+         bool_or(TRY_CAST(t AS DECIMAL(38,0)) IS NULL)
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS any_huge,
+         max(abs(TRY_CAST(t AS DECIMAL(38,0))))
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS max_abs,
+         bool_and(regexp_full_match(lower(t), '{I.FLOAT_PATTERN}')) FILTER (WHERE t <> '') AS all_float
+  FROM c GROUP BY 1, 2),
+pos AS (SELECT table_name, column_name, CAST(column_index AS BIGINT) AS position FROM duckdb_columns()
+        WHERE table_name IN ({lit(ALL_TABLES)}))
+SELECT pos.table_name, pos.position, pos.column_name,
+       CASE WHEN coalesce(s.n, 0) = 0 THEN 'text'
+            WHEN s.all_bool THEN 'boolean'
+            WHEN s.all_ts THEN 'timestamp'
+            WHEN s.all_date THEN 'date'
+            WHEN s.all_int AND s.any_lead0 THEN 'text'
+            WHEN s.all_int AND (s.any_huge OR s.max_abs > {I.BIGINT_MAX}) THEN 'text'
+            WHEN s.all_int AND s.max_abs <= {I.INTEGER_MAX} THEN 'integer'
+            WHEN s.all_int THEN 'bigint'
+            WHEN s.all_float THEN 'numeric'
+            ELSE 'text' END AS inferred_type,
+       pos.column_name = '{I.KEY_COLUMN}' AS is_key
+FROM pos LEFT JOIN s USING (table_name, column_name)"""
+
+
+ORACLE["infer_schema"] = _infer_sql()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
+from ..sources import infer
 from ..sources.tables import TABLES, read_table
 from . import params as P
 from .model import sales_lines, star_model
@@ -377,3 +378,12 @@ def q_status_conditional_sums(spark, sf_dir):
 @register("future_rows")
 def q_future_rows(spark, sf_dir):
     return profile.rows_after_cutoff(star_model(spark, sf_dir).orders, "created_at", P.CUTOFF_DAY)
+
+
+# --- B / A11: schema inference catalogue ------------------------------------------------
+
+@register("infer_schema")
+def q_infer_schema(spark, sf_dir):
+    """Type ladder over every column of every table, read as text."""
+    cat = infer.infer_catalogue_many({n: _t(spark, sf_dir, n) for n in TABLES})
+    return cat.drop("spark_type").withColumn("position", F.col("position").cast("bigint"))
