@@ -490,3 +490,8 @@ FROM pos LEFT JOIN s USING (table_name, column_name)"""
 
 
 ORACLE["infer_schema"] = _infer_sql()
+
+_LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+ORACLE["csv_roundtrip_load"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS raw_rows, (SELECT count(*) FROM {t}) AS loaded_rows, "
+    f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, true AS ok" for t in _LOAD_TABLES)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
-from ..sources import infer
+from ..sources import csv_ingest, infer
 from ..sources.tables import TABLES, read_table
 from . import params as P
 from .model import sales_lines, star_model
@@ -387,3 +387,14 @@ def q_infer_schema(spark, sf_dir):
     """Type ladder over every column of every table, read as text."""
     cat = infer.infer_catalogue_many({n: _t(spark, sf_dir, n) for n in TABLES})
     return cat.drop("spark_type").withColumn("position", F.col("position").cast("bigint"))
+
+
+# --- A: CSV ingest round trip (export -> discover -> count -> infer -> typed load) ----------
+
+LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+@register("csv_roundtrip_load")
+def q_csv_roundtrip_load(spark, sf_dir):
+    """Load validation: raw CSV record counts vs rows in the typed Parquet load."""
+    return csv_ingest.roundtrip_validation(spark, {n: _t(spark, sf_dir, n) for n in LOAD_TABLES})
