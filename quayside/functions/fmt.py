@@ -48,7 +48,9 @@ def format_int_pt(col: Column) -> Column:
 
 def format_percent_pt(col: Column, decimals: int = 1) -> Column:
     pattern = "0." + "0" * decimals if decimals else "0"
-    return F.concat(F.replace(F.format_number(col.cast("double") * 100, pattern), F.lit("."), F.lit(",")), F.lit("%"))
+    # the SQL form takes a DecimalFormat pattern (no digit grouping here)
+    text = F.call_function("format_number", col.cast("double") * 100, F.lit(pattern))
+    return F.concat(F.replace(text, F.lit("."), F.lit(",")), F.lit("%"))
 
 
 def format_date_pt(col: Column) -> Column:

@@ -495,3 +495,116 @@ _LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "l
 ORACLE["csv_roundtrip_load"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS raw_rows, (SELECT count(*) FROM {t}) AS loaded_rows, "
     f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, true AS ok" for t in _LOAD_TABLES)
+
+# --- KPI row, expectations, display tables ---------------------------------------------
+
+def half_up_units(total: str, n: str, scale: int = 2) -> str:
+    """Integer units of 10**-scale of round(total / n, scale) half away from zero (HUGEINT)."""
+    units = f"CAST(({total}) * {10 ** scale} AS HUGEINT)"
+    q = f"((2 * abs({units}) + ({n})) // (2 * ({n})))"
+    return f"(CASE WHEN {units} < 0 THEN -{q} ELSE {q} END)"
+
+
+CHANNEL_TOTALS = f"SELECT channel, sum(total) AS revenue, count(*) AS orders FROM ({BUSINESS}) b GROUP BY channel"
+RETURNS_DONE = f"""
+  SELECT CAST(l_extendedprice AS {MONEY}) AS refund FROM lineitem
+  WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_shipdate < {NEXT_DAY}"""
+
+ORACLE["kpi_row"] = f"""
+SELECT
+  (SELECT count(*) FROM orders) AS raw_order_count,
+  (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '{P.CUTOFF_DAY}') AS future_orders,
+  (SELECT category FROM ({ORACLE['loyal_top_category']}) t) AS top_category,
+  (SELECT total_items FROM ({ORACLE['loyal_top_category']}) t) AS top_category_items,
+  (SELECT weekday_name FROM ({WEEKDAY_PROFILE}) w ORDER BY avg_sale, weekday_number LIMIT 1) AS worst_weekday,
+  (SELECT avg_sale FROM ({WEEKDAY_PROFILE}) w ORDER BY avg_sale, weekday_number LIMIT 1) AS worst_weekday_avg,
+  (SELECT calendar_days FROM ({ORACLE['calendar_zero_days']}) c) AS calendar_days,
+  (SELECT zero_sales_days FROM ({ORACLE['calendar_zero_days']}) c) AS zero_sales_days,
+  (SELECT count(*) FROM ({BUSINESS}) b) AS business_orders,
+  (SELECT CAST(sum(total) AS DOUBLE) FROM ({BUSINESS}) b) AS total_revenue,
+  (SELECT CAST(abs(max(CASE WHEN channel = '{P.CHANNELS[0]}' THEN {half_up_units('revenue', 'orders')} END)
+                 - max(CASE WHEN channel = '{P.CHANNELS[-1]}' THEN {half_up_units('revenue', 'orders')} END))
+               AS DOUBLE) / 100 FROM ({CHANNEL_TOTALS}) ct) AS ticket_gap,
+  (SELECT count(*) FROM ({RETURNS_DONE}) r) AS completed_returns,
+  (SELECT CAST(sum(refund) AS DOUBLE) FROM ({RETURNS_DONE}) r) AS refund_total,
+  (SELECT completed_orders FROM ({ORACLE['supplier_overall']}) s) AS completed_purchase_orders,
+  (SELECT late_orders FROM ({ORACLE['supplier_overall']}) s) AS late_purchase_orders,
+  (SELECT on_time_rate FROM ({ORACLE['supplier_overall']}) s) AS on_time_rate,
+  (SELECT avg_late_days FROM ({ORACLE['supplier_overall']}) s) AS avg_late_days,
+  (SELECT CAST(sum(forecast_rounded) AS BIGINT) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_total,
+  (SELECT CAST(sum(actual) AS BIGINT) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_actual_total,
+  (SELECT round(avg(abs_error), 6) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_mae,
+  (SELECT product_id FROM ({ORACLE['item_similarity_topk']}) s ORDER BY similarity DESC, product_id LIMIT 1)
+    AS top_similar_product"""
+
+_EXPECT = [
+    ("channel_months_sum", "monthly channel revenue adds up to the channel summary",
+     f"(SELECT CAST(sum(total) AS DOUBLE) FROM ({BUSINESS}) b)",
+     f"(SELECT CAST(sum(revenue) AS DOUBLE) FROM ({CHANNEL_MONTHLY}) m)"),
+    ("channel_orders", "business orders counted directly",
+     f"(SELECT CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderstatus IN ({lit(P.BUSINESS_STATUSES)}) "
+     f"AND CAST(o_orderdate AS DATE) <= DATE '{P.CUTOFF_DAY}')",
+     f"(SELECT CAST(sum(orders) AS DOUBLE) FROM ({CHANNEL_TOTALS}) c)"),
+    ("calendar_length", "calendar covers every day from the first order to the cutoff",
+     f"(SELECT CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), DATE '{P.CUTOFF_DAY}') + 1 AS DOUBLE) FROM orders)",
+     f"(SELECT CAST(calendar_days AS DOUBLE) FROM ({ORACLE['calendar_zero_days']}) c)"),
+    ("weekday_days", "weekday day counts add up to the calendar",
+     f"(SELECT CAST(calendar_days AS DOUBLE) FROM ({ORACLE['calendar_zero_days']}) c)",
+     f"(SELECT CAST(sum(days) AS DOUBLE) FROM ({WEEKDAY_PROFILE}) w)"),
+    ("returns_count", "every completed return up to the cutoff has a reason",
+     f"(SELECT CAST(count(*) AS DOUBLE) FROM ({RETURNS_DONE}) r)",
+     f"(SELECT CAST(sum(returns) AS DOUBLE) FROM ({ORACLE['return_reasons']}) r)"),
+    ("supplier_orders", "per-supplier completed orders add up to the total",
+     f"(SELECT CAST(completed_orders AS DOUBLE) FROM ({ORACLE['supplier_overall']}) s)",
+     f"(SELECT CAST(sum(orders) AS DOUBLE) FROM ({SUPPLIER_SCORES}) s)"),
+    ("customer_orders", "customer frequencies add up to all orders",
+     "(SELECT CAST(count(*) AS DOUBLE) FROM orders)",
+     f"(SELECT CAST(sum(frequency) AS DOUBLE) FROM ({CUSTOMER_METRICS}) m)"),
+]
+ORACLE["expectations_report"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS check_name, '{lbl}' AS label, {e} AS expected, {v} AS value, "
+    f"coalesce(abs({v} - {e}) <= 0, false) AS ok" for c, lbl, e, v in _EXPECT)
+
+
+def _num(x: str, d: int) -> str:
+    return f"translate(format('{{:,.{d}f}}', CAST({x} AS DOUBLE)), ',.', '.,')"
+
+
+def _brl(x: str) -> str:
+    return f"'R$ ' || {_num(x, 2)}"
+
+
+def _int(x: str) -> str:
+    return f"translate(format('{{:,.0f}}', round_even(CAST({x} AS DOUBLE), 0)), ',', '.')"
+
+
+def _pct(x: str) -> str:
+    return f"replace(format('{{:.1f}}', CAST({x} AS DOUBLE) * 100), '.', ',') || '%'"
+
+
+def _compact(x: str) -> str:
+    v = f"CAST({x} AS DOUBLE)"
+    return (f"CASE WHEN abs({v}) >= 1000000000 THEN 'R$ ' || {_num(f'{v} / 1000000000', 2)} || ' bi' "
+            f"WHEN abs({v}) >= 1000000 THEN 'R$ ' || {_num(f'{v} / 1000000', 2)} || ' mi' "
+            f"WHEN abs({v}) >= 1000 THEN 'R$ ' || {_num(f'{v} / 1000', 1)} || ' mil' "
+            f"ELSE {_brl(v)} END")
+
+
+ORACLE["display_channels_ptbr"] = f"""
+SELECT channel, {_brl('revenue')} AS revenue, {_compact('revenue')} AS revenue_compact, {_int('orders')} AS orders,
+       {_brl('avg_ticket')} AS avg_ticket, {_pct('share')} AS share
+FROM ({ORACLE['channel_summary']}) s"""
+
+ORACLE["display_suppliers_ptbr"] = f"""
+SELECT row_number() OVER (ORDER BY on_time_rate ASC, orders DESC, supplier_id ASC) AS rank, label,
+       {_int('orders')} AS orders, {_pct('on_time_rate')} AS on_time, {_num('avg_late_days', 1)} AS avg_late_days
+FROM ({ORACLE['supplier_punctuality']}) s"""
+
+ORACLE["display_forecast_ptbr"] = f"""
+SELECT product_name, strftime(month, '%m/%Y') AS month, {_int('actual')} AS actual,
+       {_num('forecast', 1)} AS forecast, {_int('forecast_rounded')} AS forecast_rounded,
+       {_num('abs_error', 1)} AS abs_error
+FROM ({ORACLE['demand_forecast_product']}) f"""
+
+ORACLE["display_returns_ptbr"] = f"""
+SELECT reason, {_int('returns')} AS returns, {_brl('refund')} AS refund FROM ({ORACLE['return_reasons']}) r"""

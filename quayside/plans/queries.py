@@ -17,6 +17,7 @@ from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
 from ..sources.tables import TABLES, read_table
+from . import display, marts
 from . import params as P
 from .model import sales_lines, star_model
 from .output import as_output
@@ -398,3 +399,43 @@ LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 def q_csv_roundtrip_load(spark, sf_dir):
     """Load validation: raw CSV record counts vs rows in the typed Parquet load."""
     return csv_ingest.roundtrip_validation(spark, {n: _t(spark, sf_dir, n) for n in LOAD_TABLES})
+
+
+# --- M9 / M10 / L6 / L8: KPI row, display tables, expectations, fingerprints --------------
+
+@register("kpi_row")
+def q_kpi_row(spark, sf_dir):
+    return marts.kpi_row(spark, star_model(spark, sf_dir))
+
+
+@register("expectations_report")
+def q_expectations_report(spark, sf_dir):
+    return marts.expectations_report(spark, star_model(spark, sf_dir))
+
+
+@register("display_channels_ptbr")
+def q_display_channels_ptbr(spark, sf_dir):
+    return display.channels_table(channels.channel_summary(_business(spark, sf_dir)))
+
+
+@register("display_suppliers_ptbr")
+def q_display_suppliers_ptbr(spark, sf_dir):
+    model, done = _completed_pos(spark, sf_dir)
+    worst = suppliers.worst_suppliers(suppliers.supplier_scores(done, model.suppliers), P.WORST_SUPPLIERS)
+    return display.suppliers_table(worst).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("display_forecast_ptbr")
+def q_display_forecast_ptbr(spark, sf_dir):
+    return display.forecast_table(_walk(spark, sf_dir).where(F.col("product_name") == P.FORECAST_PRODUCT))
+
+
+@register("display_returns_ptbr")
+def q_display_returns_ptbr(spark, sf_dir):
+    return display.returns_table(returns.returns_by_reason(star_model(spark, sf_dir).returns, P.CUTOFF_DAY))
+
+
+@register("mart_fingerprints")
+def q_mart_fingerprints(spark, sf_dir):
+    """Order-insensitive content hash per mart (determinism check; no SQL twin for xxhash64)."""
+    return marts.mart_fingerprints(marts.build_marts(star_model(spark, sf_dir)))
