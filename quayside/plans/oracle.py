@@ -608,3 +608,8 @@ FROM ({ORACLE['demand_forecast_product']}) f"""
 
 ORACLE["display_returns_ptbr"] = f"""
 SELECT reason, {_int('returns')} AS returns, {_brl('refund')} AS refund FROM ({ORACLE['return_reasons']}) r"""
+
+ORACLE["streaming_daily_channel_sales"] = f"""
+SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS channel,
+       CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS revenue, count(*) AS orders
+FROM orders GROUP BY 1, 2"""

@@ -17,6 +17,7 @@ from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
 from ..sources.tables import TABLES, read_table
+from ..streaming import incremental
 from . import display, marts
 from . import params as P
 from .model import sales_lines, star_model
@@ -439,3 +440,17 @@ def q_display_returns_ptbr(spark, sf_dir):
 def q_mart_fingerprints(spark, sf_dir):
     """Order-insensitive content hash per mart (determinism check; no SQL twin for xxhash64)."""
     return marts.mart_fingerprints(marts.build_marts(star_model(spark, sf_dir)))
+
+
+# --- streaming: incremental daily sales per channel ------------------------------------------
+
+@register("streaming_daily_channel_sales")
+def q_streaming_daily_channel_sales(spark, sf_dir):
+    """Orders file consumed as a stream (availableNow), partials re-aggregated per day and channel."""
+    base = csv_ingest.scratch_dir(spark, "stream-daily")
+    schema = _t(spark, sf_dir, "orders").schema
+    stream = incremental.order_stream(spark, sf_dir, schema, glob="orders.parquet").select(
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("channel"),
+        F.col("o_totalprice").alias("total"))
+    incremental.daily_partials_stream(stream, f"{base}/partials", f"{base}/checkpoint").awaitTermination()
+    return as_output(incremental.daily_totals(spark, f"{base}/partials"))
