@@ -66,8 +66,13 @@ def monthly_from_daily(daily: DataFrame) -> DataFrame:
 
 def windowed_daily_sales(stream: DataFrame, ts: str = "created_at", channel: str = "channel",
                          total: str = "total", lateness: str = "2 days") -> DataFrame:
-    """Stateful event-time version: one row per closed (day, channel) window."""
-    return (stream.withWatermark(ts, lateness)
-            .groupBy(F.window(ts, "1 day").alias("w"), F.col(channel).alias("channel"))
+    """Stateful event-time version: one row per closed (day, channel) window.
+
+    Watermarks need a zoned timestamp; with the UTC session clock the cast
+    from ``timestamp_ntz`` keeps the wall-clock value.
+    """
+    return (stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
+            .withWatermark("_event_time", lateness)
+            .groupBy(F.window("_event_time", "1 day").alias("w"), F.col(channel).alias("channel"))
             .agg(F.sum(to_money(total)).alias("revenue"), F.count("*").alias("orders"))
             .select(F.to_date(F.col("w.start")).alias("date"), "channel", "revenue", "orders"))
