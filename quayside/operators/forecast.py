@@ -1,11 +1,11 @@
 """Monthly demand series and moving-average forecasts, for every key at once.
 
 Each series is made gap-free from its first month to a given end month
-(``sequence`` per key, then a left join on (key, month)). Because the
-series is dense, a row frame ``rowsBetween(-w, -1)`` is exactly "the w
-previous months". Windows are always partitioned by the series key, so
-one task holds one product's months (tens to hundreds of rows after the
-monthly aggregation), never the whole table.
+in one pass (each sale month emits the empty months up to the next sale).
+Because the series is dense, a row frame ``rowsBetween(-w, -1)`` is
+exactly "the w previous months". Windows are always partitioned by the
+series key, so one task holds one product's months (tens to hundreds of
+rows after the monthly aggregation), never the whole table.
 """
 
 from __future__ import annotations
@@ -40,13 +40,22 @@ def monthly_demand(lines: DataFrame, key: str = "name", ts: str = "created_at",
 
 
 def dense_months(monthly: DataFrame, end_month, key: str = "name") -> DataFrame:
-    """Fill every month from each key's first month to ``end_month`` (0 if absent)."""
+    """Fill every month from each key's first month to ``end_month`` (0 if absent).
+
+    One pass, no self-join: each sale month emits itself plus the empty
+    months up to the key's next sale month (``lead``), the last one up to
+    ``end_month``. The window is partitioned by key over already
+    aggregated months.
+    """
     end = _month(end_month)
-    spans = (monthly.groupBy(key).agg(F.min("month").alias("_first"))
-             .where(F.col("_first") <= F.lit(end)))
-    spine = spans.select(key, F.explode(F.sequence("_first", F.lit(end), F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return (spine.join(monthly, [key, "month"], "left")
-            .select(key, "month", F.coalesce("quantity", F.lit(0)).cast("bigint").alias("quantity")))
+    w = Window.partitionBy(key).orderBy("month")
+    rows = monthly.where(F.col("month") <= F.lit(end))
+    stop = F.coalesce(F.add_months(F.lead("month").over(w), -1), F.lit(end))
+    spans = rows.select(key, "month", "quantity", stop.alias("_stop"))
+    filled = spans.select(key, F.col("month").alias("_sale"), "quantity",
+                          F.explode(F.sequence("month", "_stop", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return filled.select(key, "month", F.when(F.col("month") == F.col("_sale"), F.col("quantity"))
+                         .otherwise(F.lit(0)).cast("bigint").alias("quantity"))
 
 
 def trailing_mean(dense: DataFrame, key: str = "name", window: int = 3, min_periods: int = 1) -> DataFrame:
@@ -60,44 +69,54 @@ def trailing_mean(dense: DataFrame, key: str = "name", window: int = 3, min_peri
     return dense.withColumn("forecast", F.when(n >= min_periods, F.avg("quantity").over(w)))
 
 
-def walk_forward(dense: DataFrame, train_end, test_months: int, key: str = "name", window: int = 3,
-                 min_periods: int = 1) -> DataFrame:
-    """key, month, actual, forecast, forecast_rounded (half even), abs_error.
+def forecast_frame(dense: DataFrame, train_end, test_months: int, key: str = "name", window: int = 3,
+                   min_periods: int = 1) -> DataFrame:
+    """Test months with both protocols side by side, from one pass over the series.
 
-    Test months are the ``test_months`` months after ``train_end``; each
-    forecast only sees months before it (actuals of earlier test months
-    included, as in a walk-forward protocol).
+    ``forecast``: walk-forward mean of the ``window`` previous months (each
+    test month sees the actuals of earlier test months). ``forecast_fixed``:
+    one mean of the last ``window`` training months, repeated (a
+    partition-wide conditional mean, so no join back to the series).
     """
-    first = _add_months(_month(train_end), 1)
-    last = _add_months(_month(train_end), test_months)
-    fc = trailing_mean(dense, key, window, min_periods)
+    end = _month(train_end)
+    first, last = _add_months(end, 1), _add_months(end, test_months)
+    tail = (F.col("month") > F.lit(_add_months(end, -window))) & (F.col("month") <= F.lit(end))
+    fixed = F.avg(F.when(tail, F.col("quantity"))).over(Window.partitionBy(key))
+    fc = trailing_mean(dense, key, window, min_periods).withColumn("forecast_fixed", fixed)
     return (fc.where(F.col("month").between(F.lit(first), F.lit(last)))
-            .select(key, "month", F.col("quantity").alias("actual"), "forecast",
-                    F.bround("forecast", 0).cast("bigint").alias("forecast_rounded"),
-                    F.abs(F.col("quantity") - F.col("forecast")).alias("abs_error")))
+            .select(key, "month", F.col("quantity").alias("actual"), "forecast", "forecast_fixed"))
+
+
+def walk_forward(dense: DataFrame, train_end, test_months: int, key: str = "name", window: int = 3,
+                 min_periods: int = 1) -> DataFrame:
+    """key, month, actual, forecast, forecast_rounded (half even), abs_error."""
+    return _walk_columns(forecast_frame(dense, train_end, test_months, key, window, min_periods), key)
+
+
+def _walk_columns(frame: DataFrame, key: str) -> DataFrame:
+    return frame.select(key, "month", "actual", "forecast",
+                        F.bround("forecast", 0).cast("bigint").alias("forecast_rounded"),
+                        F.abs(F.col("actual") - F.col("forecast")).alias("abs_error"))
 
 
 def fixed_origin(dense: DataFrame, train_end, test_months: int, key: str = "name",
                  window: int = 3) -> DataFrame:
     """One mean of the last ``window`` training months, repeated over the test months."""
-    end = _month(train_end)
-    origin = (dense.where((F.col("month") <= F.lit(end)) & (F.col("month") > F.lit(_add_months(end, -window))))
-              .groupBy(key).agg(F.avg("quantity").alias("forecast")))
-    test = dense.where(F.col("month").between(F.lit(_add_months(end, 1)), F.lit(_add_months(end, test_months))))
-    return (test.join(origin, key, "left")
-            .select(key, "month", F.col("quantity").alias("actual"), "forecast",
-                    F.abs(F.col("quantity") - F.col("forecast")).alias("abs_error")))
-
-
-def forecast_metrics(walk: DataFrame, fixed: DataFrame, key: str = "name", digits: int = 6) -> DataFrame:
-    """Per key: MAE of both protocols, totals of actual and rounded forecast, gap."""
-    wf = walk.groupBy(key).agg(
-        F.round(F.avg("abs_error"), digits).alias("mae_walk_forward"),
+    frame = forecast_frame(dense, train_end, test_months, key, window)
+    return frame.select(key, "month", "actual", F.col("forecast_fixed").alias("forecast"),
+                        F.abs(F.col("actual") - F.col("forecast_fixed")).alias("abs_error"))
+
+
+def forecast_metrics(frame: DataFrame, key: str = "name", digits: int = 6) -> DataFrame:
+    """Per key, from ``forecast_frame``: MAE of both protocols, totals, gap."""
+    walk_err = F.abs(F.col("actual") - F.col("forecast"))
+    fixed_err = F.abs(F.col("actual") - F.col("forecast_fixed"))
+    return (frame.groupBy(key).agg(
+        F.round(F.avg(walk_err), digits).alias("mae_walk_forward"),
         F.sum("actual").alias("total_actual"),
-        F.sum("forecast_rounded").alias("total_forecast"))
-    fo = fixed.groupBy(key).agg(F.round(F.avg("abs_error"), digits).alias("mae_fixed_origin"))
-    return (wf.join(fo, key, "left")
-            .withColumn("gap", F.col("total_forecast") - F.col("total_actual")))
+        F.sum(F.bround("forecast", 0).cast("bigint")).alias("total_forecast"),
+        F.round(F.avg(fixed_err), digits).alias("mae_fixed_origin"))
+        .withColumn("gap", F.col("total_forecast") - F.col("total_actual")))
 
 
 def sale_span(lines: DataFrame, key: str = "name", ts: str = "created_at") -> DataFrame:

@@ -89,8 +89,8 @@ def iqr_outliers(df: DataFrame, col: str, factors=(1.5,), digits: int = 4) -> Da
     """
     x = F.col(col).cast("double")
     qs = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1 = qs.select(F.col("q")[0]).scalar()
-    q3 = qs.select(F.col("q")[1]).scalar()
+    q = qs.select(F.struct(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))).scalar()  # one subquery
+    q1, q3 = q.getField("q1"), q.getField("q3")
     counts = df.agg(*[F.count_if(x > q3 + F.lit(k) * (q3 - q1)).alias(f"n{i}") for i, k in enumerate(factors)])
     rows = [F.struct(F.lit(float(k)).alias("factor"), F.col(f"n{i}").alias("n_above")) for i, k in enumerate(factors)]
     long = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

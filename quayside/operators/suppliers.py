@@ -5,9 +5,9 @@ delay is whole days between that receipt's date and the promised date;
 on time means delay <= 0. Orders with no such receipt, or with no
 promised date, drop out. Mean delay is over late orders only (0.0 if none).
 
-Plan: receipts are reduced with a semi-join to eligible orders, then
-``max`` per order (partial aggregation), then joined back on the same
-keys — both sides are already partitioned by the order keys.
+Plan: receipts are reduced to ``max`` per order (partial aggregation
+map-side), then inner-joined to the eligible orders on the same keys —
+both sides come out of the aggregation hash-partitioned by those keys.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ def completed_orders(purchase_orders: DataFrame, receipts: DataFrame, cutoff_day
     pos = purchase_orders.where((F.col("status") == received_status)
                                 & not_after(F.col("placed_at"), cutoff_day)
                                 & F.col("expected_delivery_at").isNotNull())
+    # max per order first (map-side partial: many receipts -> one row per
+    # order before the shuffle); the inner join below keeps eligible orders
     rec = (receipts.where(not_after(F.col("received_at"), cutoff_day))
-           .join(pos.select(*keys), keys, "left_semi")
            .groupBy(*keys).agg(F.max("received_at").alias("completed_at")))
     delay = F.date_diff(F.to_date("completed_at"), F.to_date("expected_delivery_at"))
     return (pos.join(rec, keys)

@@ -14,11 +14,40 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_date
 from ..operators import calendar, channels, forecast, loyalty, quality, returns, similarity, suppliers
 from . import params as P
+from ..sources.csv_ingest import scratch_dir
 from .model import RetailModel, sales_lines
 
 
-def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> dict[str, DataFrame]:
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage for an intermediate that several marts reuse: later jobs
+    read the files instead of re-running the joins, and a lost executor
+    only costs re-reading its file splits.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"mart-{name}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scalars(df: DataFrame, **exprs) -> dict:
+    """Several one-row aggregates of ``df`` from ONE scalar subquery (a struct)."""
+    sub = df.select(F.struct(*[e.alias(k) for k, e in exprs.items()])).scalar()
+    return {k: sub.getField(k) for k in exprs}
+
+
+def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY,
+                reuse_lines: bool = True) -> dict[str, DataFrame]:
+    """All report marts for one cutoff (lazy).
+
+    ``reuse_lines`` writes the order-lines join once (shared checkpoint
+    folder) because five marts read it; the write is the only eager step.
+    """
     lines = sales_lines(model)
+    if reuse_lines:
+        lines = materialize(lines.select("customer_id", "created_at", "product_id", "name", "category",
+                                         "quantity"), "lines")
     metrics = loyalty.customer_metrics(model.orders)
     diversity = loyalty.category_diversity(lines)
     top = loyalty.loyal_customers(metrics, diversity, P.MIN_CATEGORIES, P.TOP_CUSTOMERS)
@@ -52,67 +81,64 @@ def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> dict[str,
 
 
 def kpi_row(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
-    """One row of headline figures for a cutoff."""
+    """One row of headline figures for a cutoff (one scalar subquery per mart)."""
     m = build_marts(model, cutoff_day)
-    orders = model.orders
-    worst = calendar.worst_weekday(m["weekday_calendar"])
-    fc = m["forecast"]
-    sup = m["supplier_overall"]
-    summary = m["channel_summary"]
-    ret = m["returns_by_reason"]
-    s = lambda df, expr: df.select(expr).scalar()
     bound = F.lit(as_date(cutoff_day)).cast("date")
-    return spark.range(1).select(
-        s(orders, F.count("*")).alias("raw_order_count"),
-        s(orders, F.count_if(F.to_date("created_at") > bound)).alias("future_orders"),
-        s(m["loyal_top_category"], F.first("category")).alias("top_category"),
-        s(m["loyal_top_category"], F.first("total_items")).alias("top_category_items"),
-        s(worst, F.first("weekday_name")).alias("worst_weekday"),
-        s(worst, F.first(F.col("avg_sale").cast("double"))).alias("worst_weekday_avg"),
-        s(m["calendar_stats"], F.first("calendar_days")).alias("calendar_days"),
-        s(m["calendar_stats"], F.first("zero_sales_days")).alias("zero_sales_days"),
-        s(summary, F.sum("orders")).alias("business_orders"),
-        s(summary, F.sum("revenue").cast("double")).alias("total_revenue"),
-        s(channels.ticket_gap(summary, P.CHANNELS[0], P.CHANNELS[-1]),
-          F.first(F.col("ticket_gap").cast("double"))).alias("ticket_gap"),
-        s(ret, F.sum("returns")).alias("completed_returns"),
-        s(ret, F.sum("refund").cast("double")).alias("refund_total"),
-        s(sup, F.first("completed_orders")).alias("completed_purchase_orders"),
-        s(sup, F.first("late_orders")).alias("late_purchase_orders"),
-        s(sup, F.first("on_time_rate")).alias("on_time_rate"),
-        s(sup, F.first("avg_late_days")).alias("avg_late_days"),
-        s(fc, F.sum("forecast_rounded")).alias("forecast_total"),
-        s(fc, F.sum("actual")).alias("forecast_actual_total"),
-        s(fc, F.round(F.avg("abs_error"), 6)).alias("forecast_mae"),
-        s(m["similar_items"].orderBy(F.col("similarity").desc(), "product_id").limit(1),
-          F.first("product_id")).alias("top_similar_product"),
-    )
+    o = scalars(model.orders, raw_order_count=F.count("*"),
+                future_orders=F.count_if(F.to_date("created_at") > bound))
+    cat = scalars(m["loyal_top_category"], top_category=F.first("category"),
+                  top_category_items=F.first("total_items"))
+    wk = scalars(calendar.worst_weekday(m["weekday_calendar"]), worst_weekday=F.first("weekday_name"),
+                 worst_weekday_avg=F.first(F.col("avg_sale").cast("double")))
+    cs = scalars(m["calendar_stats"], calendar_days=F.first("calendar_days"),
+                 zero_sales_days=F.first("zero_sales_days"))
+    ch = scalars(m["channel_summary"], business_orders=F.sum("orders"),
+                 total_revenue=F.sum("revenue").cast("double"),
+                 ticket_gap=F.abs(F.max(F.when(F.col("channel") == P.CHANNELS[0], F.col("avg_ticket")))
+                                  - F.max(F.when(F.col("channel") == P.CHANNELS[-1], F.col("avg_ticket"))))
+                 .cast("double"))
+    rt = scalars(m["returns_by_reason"], completed_returns=F.sum("returns"),
+                 refund_total=F.sum("refund").cast("double"))
+    sp = scalars(m["supplier_overall"], completed_purchase_orders=F.first("completed_orders"),
+                 late_purchase_orders=F.first("late_orders"), on_time_rate=F.first("on_time_rate"),
+                 avg_late_days=F.first("avg_late_days"))
+    fc = scalars(m["forecast"], forecast_total=F.sum("forecast_rounded"),
+                 forecast_actual_total=F.sum("actual"), forecast_mae=F.round(F.avg("abs_error"), 6))
+    sim = scalars(m["similar_items"], top_similar_product=F.min_by("product_id", F.struct(
+        (-F.col("similarity")).alias("s"), F.col("product_id").alias("p"))))
+    cols = {**o, **cat, **wk, **cs, **ch, **rt, **sp, **fc, **sim}
+    return spark.range(1).select(*[c.alias(k) for k, c in cols.items()])
 
 
 def expectation_facts(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
     """(check_name, label, expected, value): invariants between marts and direct counts."""
     m = build_marts(model, cutoff_day)
     bound = F.lit(as_date(cutoff_day)).cast("date")
-    s = lambda df, expr: df.select(expr.cast("double")).scalar()
     orders = model.orders
     not_after = F.to_date("created_at") <= bound
+    d = lambda e: e.cast("double")
+    direct = scalars(orders, n_orders=d(F.count("*")),
+                     n_business=d(F.count_if(not_after & F.col("status").isin(list(P.BUSINESS_STATUSES)))),
+                     span_days=d(F.date_diff(bound, F.min(F.to_date("created_at"))) + 1))
+    summary = scalars(m["channel_summary"], revenue=d(F.sum("revenue")), orders=d(F.sum("orders")))
+    monthly = scalars(m["channel_monthly"], revenue=d(F.sum("revenue")))
+    cal = scalars(m["calendar_stats"], days=d(F.first("calendar_days")))
+    week = scalars(m["weekday_calendar"], days=d(F.sum("days")))
+    ret_direct = scalars(model.returns.where((F.col("status") == "completed") & not_after), n=d(F.count("*")))
+    ret = scalars(m["returns_by_reason"], n=d(F.sum("returns")))
+    sup = scalars(m["supplier_overall"], n=d(F.first("completed_orders")))
+    per_sup = scalars(m["supplier_scores"], n=d(F.sum("orders")))
+    freq = scalars(loyalty.customer_metrics(orders), n=d(F.sum("frequency")))
     checks = [
         ("channel_months_sum", "monthly channel revenue adds up to the channel summary",
-         s(m["channel_summary"], F.sum("revenue")), s(m["channel_monthly"], F.sum("revenue"))),
-        ("channel_orders", "business orders counted directly",
-         s(orders.where(not_after & F.col("status").isin(list(P.BUSINESS_STATUSES))), F.count("*")),
-         s(m["channel_summary"], F.sum("orders"))),
+         summary["revenue"], monthly["revenue"]),
+        ("channel_orders", "business orders counted directly", direct["n_business"], summary["orders"]),
         ("calendar_length", "calendar covers every day from the first order to the cutoff",
-         s(orders, F.date_diff(bound, F.min(F.to_date("created_at"))) + 1), s(m["calendar_stats"], F.first("calendar_days"))),
-        ("weekday_days", "weekday day counts add up to the calendar",
-         s(m["calendar_stats"], F.first("calendar_days")), s(m["weekday_calendar"], F.sum("days"))),
-        ("returns_count", "every completed return up to the cutoff has a reason",
-         s(model.returns.where((F.col("status") == "completed") & not_after), F.count("*")),
-         s(m["returns_by_reason"], F.sum("returns"))),
-        ("supplier_orders", "per-supplier completed orders add up to the total",
-         s(m["supplier_overall"], F.first("completed_orders")), s(m["supplier_scores"], F.sum("orders"))),
-        ("customer_orders", "customer frequencies add up to all orders",
-         s(orders, F.count("*")), s(loyalty.customer_metrics(orders), F.sum("frequency"))),
+         direct["span_days"], cal["days"]),
+        ("weekday_days", "weekday day counts add up to the calendar", cal["days"], week["days"]),
+        ("returns_count", "every completed return up to the cutoff has a reason", ret_direct["n"], ret["n"]),
+        ("supplier_orders", "per-supplier completed orders add up to the total", sup["n"], per_sup["n"]),
+        ("customer_orders", "customer frequencies add up to all orders", direct["n_orders"], freq["n"]),
     ]
     rows = [F.struct(F.lit(c).alias("check_name"), F.lit(lbl).alias("label"), e.alias("expected"), v.alias("value"))
             for c, lbl, e, v in checks]

@@ -205,7 +205,9 @@ def q_fixed_origin_forecast(spark, sf_dir):
 
 @register("forecast_metrics")
 def q_forecast_metrics(spark, sf_dir):
-    return forecast.forecast_metrics(_walk(spark, sf_dir), _fixed(spark, sf_dir), key="product_name")
+    frame = forecast.forecast_frame(_dense_demand(spark, sf_dir), P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS,
+                                    key="product_name", window=P.FORECAST_WINDOW)
+    return forecast.forecast_metrics(frame, key="product_name")
 
 
 @register("product_sale_span")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .infer import infer_catalogue_many
+from .tables import spread_if_narrow
 
 # Fixed reader options (COPY-like): a sentinel null token means only the
 # unquoted empty cell becomes NULL, while a quoted "" reads as ''.
@@ -149,7 +150,7 @@ def schemas_from_catalogue(catalogue: DataFrame) -> dict:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """Write a table as one CSV folder with the loader's conventions."""
-    w = df.write.mode("errorifexists")
+    w = spread_if_narrow(df).write.mode("errorifexists")
     for k, v in CSV_WRITE_OPTIONS.items():
         w = w.option(k, v)
     w.csv(path)

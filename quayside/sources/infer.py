@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import spread_if_narrow
+
 # ---------------------------------------------------------------------------
 # Fixed values of the inference rules.
 INTEGER_MAX = 2_147_483_647
@@ -108,6 +110,7 @@ def _spark_type(s: str, inferred: Column) -> Column:
 
 def _cells(raw: DataFrame, table_name: str) -> DataFrame:
     cols = raw.columns
+    raw = spread_if_narrow(raw)
     cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
                                 for i, c in enumerate(cols)])).alias("cell")
     return raw.select(F.lit(table_name).alias("table_name"), cells).select("table_name", "cell.position", "cell.value")

@@ -38,6 +38,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin the rows only when the input has fewer partitions than cores.
+
+    For CPU-heavy per-row work (regex tests on every cell, CSV encoding)
+    fused into the scan stage. A large input already has many splits, so
+    this is a no-op there and adds no shuffle; a single-split input (one
+    file, one row group) would otherwise run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose every table as a temp view (for ``spark.sql`` paths)."""
     for name in names:
