@@ -35,7 +35,7 @@ def channel_summary(orders: DataFrame, channel: str = "channel", total: str = "t
     """channel, revenue, orders, avg_ticket (half up, 2), share of revenue."""
     agg = (orders.groupBy(F.col(channel).alias("channel"))
            .agg(F.sum(to_money(total)).alias("revenue"), F.count("*").alias("orders")))
-    grand = orders.select(F.sum(to_money(total)).cast("double")).scalar()
+    grand = agg.select(F.sum("revenue").cast("double")).scalar()   # from the per-channel rows
     return agg.select("channel", "revenue", "orders",
                       mean_half_up(F.col("revenue"), F.col("orders")).alias("avg_ticket"),
                       (F.col("revenue").cast("double") / grand).alias("share"))

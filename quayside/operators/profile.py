@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import after
 from ..functions.money import mean_half_up, to_money
+from ..session import ensure_checkpoint_dir
 
 
 def summary_row(df: DataFrame, ts: str, amount: str) -> DataFrame:
@@ -56,41 +57,83 @@ def null_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
                                F.count_if(F.col(col).isNull()).alias("is_null"))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs, partitions: int | None = None) -> DataFrame:
+    """One row ``q0..qk``: exact quantiles with linear interpolation, fully distributed.
+
+    Same rule as ``percentile`` (position h = (n-1)p between the sorted
+    values at floor(h) and ceil(h)), but no task ever holds the whole
+    column:
+
+    1. distinct values with their counts (map-side partial aggregation);
+    2. range-partition them and checkpoint (partition ids become stable);
+    3. per-partition totals -> offsets (one row per partition);
+    4. running count inside each partition -> each value's rank interval;
+    5. one global aggregate picks the values holding ranks floor(h), ceil(h).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    values = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+              .groupBy("x").agg(F.count("*").alias("c")))
+    parts = partitions or max(spark.sparkContext.defaultParallelism, 2)
+    ranged = values.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("part").agg(F.sum("c").alias("pc"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = totals.select("part", F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
+    n = totals.select(F.sum("pc")).scalar()
+    run = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (ranged.join(F.broadcast(offsets), "part")          # offsets: one row per partition
+              .withColumn("end", F.col("off") + F.sum("c").over(run))
+              .withColumn("start", F.col("end") - F.col("c")))
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        h = (n - 1).cast("double") * float(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        at = lambda r: (F.col("start") <= r) & (r < F.col("end"))
+        picks += [F.max(F.when(at(lo), F.col("x"))).alias(f"lo{i}"), F.max(F.when(at(hi), F.col("x"))).alias(f"hi{i}")]
+        lo_v, hi_v = F.col(f"lo{i}"), F.col(f"hi{i}")
+        out.append(F.when(hi == lo, lo_v).otherwise((hi - h) * lo_v + (h - lo) * hi_v).alias(f"q{i}"))
+    return ranked.agg(*picks).select(*out)
+
+
+def _quantile_scalars(df: DataFrame, col: str, probs, approx: bool) -> list[Column]:
+    if approx:
+        q = df.select(F.percentile_approx(F.col(col).cast("double"), list(probs), 10000).alias("q")).scalar()
+        return [q[i] for i in range(len(probs))]
+    row = exact_quantiles(df, col, probs)
+    q = row.select(F.struct(*row.columns)).scalar()          # one subquery for all quantiles
+    return [q.getField(f"q{i}") for i in range(len(probs))]
+
+
 def describe(df: DataFrame, col: str, digits: int = 4, approx: bool = False) -> DataFrame:
-    """count, mean, std (sample), min, 25%, 50%, 75%, max — exact quantiles.
+    """count, mean, std (sample), min, 25%, 50%, 75%, max.
 
-    ``percentile`` is exact with linear interpolation (pandas' rule);
-    it holds the column's distinct values per group in memory, so for a
-    very large column ``percentile_approx`` is the scalable option
-    (``approx=True``).
+    Quantiles are exact and distributed (``exact_quantiles``); ``approx``
+    switches to the mergeable sketch (``percentile_approx``).
     """
     x = F.col(col).cast("double")
     money = to_money(col)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile_approx(x, probs, 10000) if approx else F.percentile(x, probs)
+    q25, q50, q75 = _quantile_scalars(df, col, (0.25, 0.5, 0.75), approx)
     agg = df.agg(F.count(x).alias("count"), F.sum(money).alias("_sum"),
-                 F.stddev_samp(x).alias("_std"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
+                 F.stddev_samp(x).alias("_std"), F.min(x).alias("min"), F.max(x).alias("max"))
     return agg.select("count", mean_half_up(F.col("_sum"), F.col("count"), digits).cast("double").alias("mean"),
                       F.round("_std", digits).alias("std"), "min",
-                      F.round(F.col("_q")[0], digits).alias("q25"), F.round(F.col("_q")[1], digits).alias("q50"),
-                      F.round(F.col("_q")[2], digits).alias("q75"), "max")
+                      F.round(q25, digits).alias("q25"), F.round(q50, digits).alias("q50"),
+                      F.round(q75, digits).alias("q75"), "max")
 
 
 def quantiles_approx(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), accuracy: int = 10000) -> DataFrame:
-    """Scalable quantiles (Greenwald-Khanna sketch, mergeable across tasks)."""
+    """Scalable approximate quantiles (Greenwald-Khanna sketch, mergeable across tasks)."""
     return df.agg(F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("quantiles"))
 
 
-def iqr_outliers(df: DataFrame, col: str, factors=(1.5,), digits: int = 4) -> DataFrame:
+def iqr_outliers(df: DataFrame, col: str, factors=(1.5,), digits: int = 4, approx: bool = False) -> DataFrame:
     """factor, q1, q3, iqr, upper_fence, n_above — one row per factor.
 
-    The quartiles are a one-row aggregate used as a scalar subquery; the
-    count above each fence is a second pass over the column.
+    Quartiles come from one scalar subquery (exact, distributed); the
+    count above each fence is one more pass over the column.
     """
     x = F.col(col).cast("double")
-    qs = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q = qs.select(F.struct(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))).scalar()  # one subquery
-    q1, q3 = q.getField("q1"), q.getField("q3")
+    q1, q3 = _quantile_scalars(df, col, (0.25, 0.75), approx)
     counts = df.agg(*[F.count_if(x > q3 + F.lit(k) * (q3 - q1)).alias(f"n{i}") for i, k in enumerate(factors)])
     rows = [F.struct(F.lit(float(k)).alias("factor"), F.col(f"n{i}").alias("n_above")) for i, k in enumerate(factors)]
     long = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -26,11 +26,16 @@ def duplicate_keys(df: DataFrame, keys, table_name: str) -> DataFrame:
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
             child_name: str, parent_name: str) -> DataFrame:
-    """Referential integrity: child rows whose non-null key has no parent (anti-join)."""
-    keyed = child.select(F.col(child_key).alias("_k")).where(F.col("_k").isNotNull())
+    """Referential integrity: child rows whose non-null key has no parent.
+
+    Child keys are pre-aggregated (key, rows) before the anti-join, so a
+    hot key is one row on the join's shuffle, not a third of the table.
+    """
+    keyed = (child.select(F.col(child_key).alias("_k")).where(F.col("_k").isNotNull())
+             .groupBy("_k").agg(F.count("*").alias("_n")))
     parents = parent.select(F.col(parent_key).alias("_k"))
     missing = keyed.join(parents, "_k", "left_anti")
-    return (missing.agg(F.count("*").alias("n_orphans"))
+    return (missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_orphans"))
             .select(F.lit(child_name).alias("child_table"), F.lit(child_key).alias("child_column"),
                     F.lit(parent_name).alias("parent_table"), "n_orphans"))
 

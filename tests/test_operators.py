@@ -198,3 +198,14 @@ def test_profile_ops(spark):
     assert profile.rows_after_cutoff(
         spark.createDataFrame([(T(2024, 1, 1, 23, 59),), (T(2024, 1, 2),)], "ts timestamp_ntz"),
         "ts", "2024-01-01").first()["future_rows"] == 1
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+    rnd = random.Random(7)
+    vals = [round(rnd.choice([rnd.uniform(0, 100), 5.0, 7.25]), 2) for _ in range(2000)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+    got = profile.exact_quantiles(df, "x", probs, partitions=7).first()
+    want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert [round(got[f"q{i}"], 9) for i in range(len(probs))] == [round(w, 9) for w in want]
