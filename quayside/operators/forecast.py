@@ -119,6 +119,12 @@ def forecast_metrics(frame: DataFrame, key: str = "name", digits: int = 6) -> Da
         .withColumn("gap", F.col("total_forecast") - F.col("total_actual")))
 
 
+def last_periods(dense: DataFrame, n: int, key: str = "name", order: str = "month") -> DataFrame:
+    """The last ``n`` periods of every series (``tail(n)`` per key), one window per key."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    return dense.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def sale_span(lines: DataFrame, key: str = "name", ts: str = "created_at") -> DataFrame:
     """key, first_sale, last_sale, sale_lines — one job for all keys."""
     return lines.groupBy(key).agg(F.min(F.to_date(ts)).alias("first_sale"),

@@ -160,6 +160,46 @@ def rows_after_cutoff(df: DataFrame, ts: str, cutoff_day: str | dt.date) -> Data
     return df.agg(F.count("*").alias("total_rows"), F.count_if(after(F.col(ts), cutoff_day)).alias("future_rows"))
 
 
+def profile_report(df: DataFrame, ts: str, amount: str, key, category_cols, cutoff_day) -> DataFrame:
+    """Long-form table profile: (metric, value_num, value_text), one aggregate pass.
+
+    Rows, columns, date range, amount min/max/mean, non-positive amounts,
+    null cells, rows after the cutoff, duplicate keys, and the sorted value
+    list of each low-cardinality column in ``category_cols`` (these are
+    collected per task as sets, so only pass columns with few values).
+    """
+    money = to_money(amount)
+    key = [key] if isinstance(key, str) else list(key)
+    aggs = [F.count("*").alias("rows"), F.min(F.to_date(ts)).cast("string").alias("date_min"),
+            F.max(F.to_date(ts)).cast("string").alias("date_max"),
+            F.min(money).alias("amount_min"), F.max(money).alias("amount_max"),
+            F.sum(money).alias("_sum"), F.count(money).alias("_n"),
+            F.count_if(money <= 0).alias("nonpositive_amounts"),
+            sum(F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns).alias("null_cells"),
+            F.count_if(after(F.col(ts), cutoff_day)).alias("future_rows")]
+    aggs += [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"values_{c}") for c in category_cols]
+    dup = duplicate_keys_count(df, key)
+    one = df.agg(*aggs).withColumn("amount_mean", mean_half_up(F.col("_sum"), F.col("_n")))
+    num = lambda name, c: F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value_num"),
+                                   F.lit(None).cast("string").alias("value_text"))
+    txt = lambda name, c: F.struct(F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value_num"),
+                                   c.alias("value_text"))
+    rows = [num("rows", F.col("rows")), num("columns", F.lit(len(df.columns))),
+            txt("date_min", F.col("date_min")), txt("date_max", F.col("date_max")),
+            num("amount_min", F.col("amount_min")), num("amount_max", F.col("amount_max")),
+            num("amount_mean", F.col("amount_mean")), num("nonpositive_amounts", F.col("nonpositive_amounts")),
+            num("null_cells", F.col("null_cells")), num("future_rows", F.col("future_rows")),
+            num("duplicate_keys", dup)]
+    rows += [txt(f"values_{c}", F.col(f"values_{c}")) for c in category_cols]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def duplicate_keys_count(df: DataFrame, key) -> Column:
+    """Scalar: rows minus distinct keys (extra occurrences), via a group-by on the key."""
+    per_key = df.groupBy(*key).agg(F.count("*").alias("_c"))
+    return per_key.select(F.coalesce(F.sum("_c") - F.count("*"), F.lit(0))).scalar()
+
+
 def table_counts(frames: dict) -> DataFrame:
     """(table_name, n_rows, n_columns) for several tables via unionByName."""
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows",

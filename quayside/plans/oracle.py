@@ -613,3 +613,36 @@ ORACLE["streaming_daily_channel_sales"] = f"""
 SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS channel,
        CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS revenue, count(*) AS orders
 FROM orders GROUP BY 1, 2"""
+
+ORACLE["demand_last_12_months"] = f"""
+SELECT product_name, month, quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY month DESC) AS rn FROM ({DENSE}) d) x
+WHERE rn <= 12"""
+
+_M = f"CAST(o_totalprice AS {MONEY})"
+ORACLE["eda_profile_report"] = f"""
+WITH a AS (
+  SELECT count(*) AS rows, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS date_min,
+         CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS date_max,
+         CAST(min({_M}) AS DOUBLE) AS amount_min, CAST(max({_M}) AS DOUBLE) AS amount_max,
+         {half_up(f'sum({_M})', f'count({_M})')} AS amount_mean,
+         count(*) FILTER (WHERE {_M} <= 0) AS nonpositive_amounts,
+         {" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ORDERS_COLS)} AS null_cells,
+         count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY}) AS future_rows,
+         array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS values_o_orderstatus,
+         array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS values_o_orderpriority
+  FROM orders),
+d AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders)) AS dup FROM orders)
+SELECT 'rows' AS metric, CAST(rows AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_text FROM a
+UNION ALL SELECT 'columns', {len(('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'))}, NULL FROM a
+UNION ALL SELECT 'date_min', NULL, date_min FROM a
+UNION ALL SELECT 'date_max', NULL, date_max FROM a
+UNION ALL SELECT 'amount_min', amount_min, NULL FROM a
+UNION ALL SELECT 'amount_max', amount_max, NULL FROM a
+UNION ALL SELECT 'amount_mean', amount_mean, NULL FROM a
+UNION ALL SELECT 'nonpositive_amounts', nonpositive_amounts, NULL FROM a
+UNION ALL SELECT 'null_cells', null_cells, NULL FROM a
+UNION ALL SELECT 'future_rows', future_rows, NULL FROM a
+UNION ALL SELECT 'duplicate_keys', dup, NULL FROM d
+UNION ALL SELECT 'values_o_orderstatus', NULL, values_o_orderstatus FROM a
+UNION ALL SELECT 'values_o_orderpriority', NULL, values_o_orderpriority FROM a"""

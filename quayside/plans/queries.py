@@ -456,3 +456,16 @@ def q_streaming_daily_channel_sales(spark, sf_dir):
         F.col("o_totalprice").alias("total"))
     incremental.daily_partials_stream(stream, f"{base}/partials", f"{base}/checkpoint").awaitTermination()
     return as_output(incremental.daily_totals(spark, f"{base}/partials"))
+
+
+# --- G6 / L1: last periods of each series, long-form table profile -------------------------
+
+@register("demand_last_12_months")
+def q_demand_last_12_months(spark, sf_dir):
+    return forecast.last_periods(_dense_demand(spark, sf_dir), 12, key="product_name")
+
+
+@register("eda_profile_report")
+def q_eda_profile_report(spark, sf_dir):
+    return profile.profile_report(_t(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "o_orderkey",
+                                  ["o_orderstatus", "o_orderpriority"], P.CUTOFF_DAY)
