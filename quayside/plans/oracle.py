@@ -61,7 +61,7 @@ ORACLE["category_diversity"] = CATEGORY_DIVERSITY
 ORACLE["loyal_customers_top10"] = LOYAL_TOP
 
 ORACLE["loyal_top_category"] = f"""
-SELECT p.p_brand AS category, sum(CAST(l.l_quantity AS BIGINT)) AS total_items
+SELECT p.p_brand AS category, CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS total_items
 FROM lineitem l
 JOIN orders o ON o.o_orderkey = l.l_orderkey
 JOIN part p ON p.p_partkey = l.l_partkey
@@ -365,7 +365,7 @@ SELECT count(o_totalprice) AS count,
 FROM orders"""
 
 ORACLE["eda_iqr_outliers"] = "\nUNION ALL\n".join(f"""
-SELECT {k} AS factor, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
+SELECT CAST({k} AS DOUBLE) AS factor, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
        round(q3 + {k} * (q3 - q1), 4) AS upper_fence,
        (SELECT count(*) FROM orders WHERE o_totalprice > q3 + {k} * (q3 - q1)) AS n_above
 FROM (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders) q"""

@@ -69,7 +69,8 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return read_csv_text(spark, path).columns
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None,
+                   null_tokens=None) -> DataFrame:
     """Typed read with columns matched by name.
 
     ``schema`` maps column -> Spark SQL type. A user schema is applied by
@@ -77,11 +78,21 @@ def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None) -
     reader then checks the header against it (``enforceSchema=false``) and
     a malformed row fails the job (``FAILFAST``). ``columns`` projects
     (Catalyst prunes the parse).
+
+    ``null_tokens`` (e.g. ``("NA", "N/A", "null")``) are read as NULL in
+    addition to the unquoted empty cell: the file is read as text, the
+    tokens are nulled, then each column is cast strictly (ANSI: a bad value
+    fails the job, as FAILFAST does).
     """
     header = header_columns(spark, path)
     unknown = [c for c in header if c not in schema]
     if unknown:
         raise ValueError(f"{path}: header columns without a type: {unknown}")
+    if null_tokens:
+        text = read_csv_text(spark, path).select(*[F.col(f"`{c}`") for c in header])
+        typed = text.select(*[F.when(F.col(f"`{c}`").isin(list(null_tokens)), F.lit(None))
+                              .otherwise(F.col(f"`{c}`")).cast(schema[c]).alias(c) for c in header])
+        return typed.select(*(columns or list(schema)))
     ddl = ", ".join(f"`{c}` {schema[c]}" for c in header)
     df = (_reader(spark).option("enforceSchema", "false").option("mode", "FAILFAST")
           .schema(ddl).csv(path))

@@ -103,3 +103,12 @@ def test_roundtrip_counts(spark):
     tables = {"r": spark.createDataFrame([(1, "x\ny", 2.5), (2, None, None)], "k int, s string, v double")}
     out = csv_ingest.roundtrip_validation(spark, tables).first()
     assert (out["raw_rows"], out["loaded_rows"], out["ok"]) == (2, 2, True)
+
+
+def test_null_tokens_are_a_read_option(spark, scratch):
+    path = write(os.path.join(scratch, "tokens.csv"), "a,b\n1,x\nNA,N/A\n,\n")
+    schema = {"a": "int", "b": "string"}
+    with pytest.raises(Exception):                     # default: only the empty cell is NULL
+        csv_ingest.read_csv_typed(spark, path, schema).collect()
+    rows = csv_ingest.read_csv_typed(spark, path, schema, null_tokens=("NA", "N/A")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(1, "x"), (None, None), (None, None)]
