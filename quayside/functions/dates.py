@@ -29,12 +29,18 @@ def cutoff_bound(cutoff_day: str | dt.date) -> dt.datetime:
     return dt.datetime(d.year, d.month, d.day)
 
 
+def ntz_literal(value: dt.datetime) -> Column:
+    """A ``timestamp_ntz`` literal built from text, so neither the driver's
+    local zone nor the session zone can shift it."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
 def not_after(col: Column, cutoff_day: str | dt.date) -> Column:
-    return col < F.lit(cutoff_bound(cutoff_day)).cast("timestamp_ntz")
+    return col < ntz_literal(cutoff_bound(cutoff_day))
 
 
 def after(col: Column, cutoff_day: str | dt.date) -> Column:
-    return col >= F.lit(cutoff_bound(cutoff_day)).cast("timestamp_ntz")
+    return col >= ntz_literal(cutoff_bound(cutoff_day))
 
 
 def month_start(col: Column) -> Column:

@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, month_start
+from ..functions.dates import as_date, month_start, ntz_literal
 
 
 def _month(value) -> dt.date:
@@ -34,7 +34,7 @@ def monthly_demand(lines: DataFrame, key: str = "name", ts: str = "created_at",
     src = lines
     if before is not None:
         bound = as_date(before)
-        src = src.where(F.col(ts) < F.lit(dt.datetime(bound.year, bound.month, bound.day)).cast("timestamp_ntz"))
+        src = src.where(F.col(ts) < ntz_literal(dt.datetime(bound.year, bound.month, bound.day)))
     return (src.groupBy(F.col(key), month_start(F.col(ts)).alias("month"))
             .agg(F.sum(quantity).cast("bigint").alias("quantity")))
 
