@@ -188,6 +188,7 @@ def q_walk_forward_forecast(spark, sf_dir):
 @register("demand_forecast_product")
 def q_demand_forecast_product(spark, sf_dir):
     """The single-name view: every part id carrying the name is summed."""
+    similarity.require_product(star_model(spark, sf_dir).products, P.FORECAST_PRODUCT)   # missing target raises
     return _walk(spark, sf_dir).where(F.col("product_name") == P.FORECAST_PRODUCT)
 
 
@@ -226,6 +227,7 @@ def _interactions(spark, sf_dir):
 @register("item_similarity_topk")
 def q_item_similarity_topk(spark, sf_dir):
     model, inter = _interactions(spark, sf_dir)
+    similarity.require_product(model.products, P.REFERENCE_PRODUCT)                     # missing target raises
     ref = similarity.first_id_by_name(model.products, P.REFERENCE_PRODUCT)
     top = similarity.similar_items(inter, ref, P.SIMILAR_TOP_N)
     names = model.products.select("product_id", "name")
