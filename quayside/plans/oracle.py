@@ -424,7 +424,20 @@ b AS (SELECT o_custkey AS customer_id,
 SELECT 'avg_ticket_api_vs_sql' AS check_name, count(*) AS n_keys,
        count(*) FILTER (WHERE a.v IS NULL) AS missing_left, count(*) FILTER (WHERE b.v IS NULL) AS missing_right,
        coalesce(max(abs(a.v - b.v)), 0)::DOUBLE AS max_abs_diff
-FROM a FULL OUTER JOIN b USING (customer_id)"""
+FROM a FULL OUTER JOIN b USING (customer_id)
+UNION ALL
+SELECT 'weekday_mean_api_vs_sql', count(*), count(*) FILTER (WHERE a.v IS NULL), count(*) FILTER (WHERE b.v IS NULL),
+       coalesce(max(abs(a.v - b.v)), 0)::DOUBLE
+FROM (SELECT weekday_number, avg_sale AS v FROM ({WEEKDAY_PROFILE}) w) a
+FULL OUTER JOIN (
+  SELECT CAST(dayofweek(d) + 6 AS BIGINT) % 7 AS weekday_number,
+         {half_up('sum(coalesce(s, 0))', 'count(*)')} AS v
+  FROM (SELECT CAST(range AS DATE) AS d
+        FROM range((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), DATE '{P.CUTOFF_DAY}' + INTERVAL 1 DAY,
+                   INTERVAL 1 DAY)) cal
+  LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, sum(CAST(o_totalprice AS {MONEY})) AS s FROM orders
+             WHERE o_orderpriority = '{P.POS_CHANNEL}' GROUP BY 1) p ON p.day = cal.d
+  GROUP BY 1) b USING (weekday_number)"""
 
 ORACLE["distinct_status_values"] = """
 SELECT DISTINCT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders

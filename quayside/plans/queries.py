@@ -358,14 +358,25 @@ def q_multi_table_counts(spark, sf_dir):
 
 @register("reconcile_paths")
 def q_reconcile_paths(spark, sf_dir):
-    """Average ticket by the DataFrame operator vs the same metric in SQL text."""
+    """Two-path checks: DataFrame operators vs the same metrics written as SQL text."""
     orders = _t(spark, sf_dir, "orders")
     api = loyalty.customer_metrics(star_model(spark, sf_dir).orders)
     sql = spark.sql(
         "SELECT o_custkey AS customer_id,"
         " ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,2))) / COUNT(o_orderkey), 2) AS avg_ticket"
         " FROM {orders} GROUP BY o_custkey", orders=orders)
-    return as_output(quality.reconcile(api, sql, "customer_id", "avg_ticket", "avg_ticket_api_vs_sql"))
+    tickets = quality.reconcile(api, sql, "customer_id", "avg_ticket", "avg_ticket_api_vs_sql")
+    weekday_api = calendar.weekday_profile(_pos_calendar(spark, sf_dir))
+    weekday_sql = spark.sql(
+        "WITH cal AS (SELECT explode(sequence((SELECT min(to_date(o_orderdate)) FROM {orders}),"
+        "                                     DATE '" + P.CUTOFF_DAY + "', INTERVAL 1 DAY)) AS d),"
+        " pos AS (SELECT to_date(o_orderdate) AS d, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM {orders}"
+        "         WHERE o_orderpriority = '" + P.POS_CHANNEL + "' AND to_date(o_orderdate) <= DATE '" + P.CUTOFF_DAY + "'"
+        "         GROUP BY to_date(o_orderdate))"
+        " SELECT weekday(cal.d) AS weekday_number, ROUND(SUM(coalesce(pos.s, 0)) / COUNT(*), 2) AS avg_sale"
+        " FROM cal LEFT JOIN pos ON pos.d = cal.d GROUP BY weekday(cal.d)", orders=orders)
+    weekdays = quality.reconcile(weekday_api, weekday_sql, "weekday_number", "avg_sale", "weekday_mean_api_vs_sql")
+    return as_output(tickets.unionByName(weekdays))
 
 
 @register("distinct_status_values")
