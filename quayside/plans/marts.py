@@ -180,3 +180,27 @@ def mart_fingerprints(marts: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def build_report(spark: SparkSession, model: RetailModel, out_dir: str,
+                 cutoff_day: str = P.CUTOFF_DAY) -> dict[str, str]:
+    """Build every mart for one cutoff, check the expectations, publish.
+
+    Expectations are evaluated first and every failure is reported at once;
+    nothing is written when one fails. Then marts, the KPI row and the
+    pt-BR display tables are written (aggregate-only, overwrite).
+    """
+    from . import display
+
+    failed = [r["check_name"] for r in expectations_report(spark, model, cutoff_day).where(~F.col("ok")).collect()]
+    if failed:   # at most one row per expectation
+        raise AssertionError(f"report expectations failed: {failed}")
+    m = build_marts(model, cutoff_day)
+    worst = suppliers.worst_suppliers(m["supplier_scores"], P.WORST_SUPPLIERS)
+    tables = dict(m)
+    tables["kpi"] = kpi_row(spark, model, cutoff_day)
+    tables["display_channels"] = display.channels_table(m["channel_summary"])
+    tables["display_suppliers"] = display.suppliers_table(worst)
+    tables["display_forecast"] = display.forecast_table(m["forecast"])
+    tables["display_returns"] = display.returns_table(m["returns_by_reason"])
+    return publish(tables, out_dir)

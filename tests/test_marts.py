@@ -42,3 +42,11 @@ def test_publish_writes_sorted_marts(spark, scratch):
 def test_expectations_all_hold(spark):
     rep = marts.expectations_report(spark, star_model(spark, SF)).collect()
     assert rep and all(r["ok"] for r in rep)
+
+
+def test_build_report_publishes_everything(spark, scratch):
+    paths = marts.build_report(spark, star_model(spark, SF), scratch)
+    assert {"kpi", "display_channels", "display_suppliers", "display_forecast", "display_returns",
+            "loyal_customers", "channel_summary"} <= set(paths)
+    kpi = spark.read.parquet(paths["kpi"]).first()
+    assert kpi["calendar_days"] > 0 and kpi["raw_order_count"] > 0
