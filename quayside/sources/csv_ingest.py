@@ -14,6 +14,7 @@ later job reads the Parquet copy.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,9 +127,13 @@ def nonempty_targets(spark: SparkSession, targets: dict) -> list[str]:
     return busy
 
 
-def load_tables(spark: SparkSession, sources: dict, target_dir: str, schemas: dict) -> DataFrame:
+def load_tables(spark: SparkSession, sources: dict, target_dir: str, schemas: dict,
+                parallel: int = 4) -> DataFrame:
     """Bulk load: guard all targets first, then typed read -> Parquet per table.
 
+    Loads of different tables are submitted as concurrent Spark jobs
+    (``parallel`` at a time); each one writes its own target.
+
     ``sources`` maps table -> CSV path, ``schemas`` table -> {column: type}.
     Returns (table_name, loaded_rows) counted from the written Parquet.
     """
@@ -136,11 +141,15 @@ def load_tables(spark: SparkSession, sources: dict, target_dir: str, schemas: di
     busy = nonempty_targets(spark, targets)
     if busy:
         raise RuntimeError(f"targets already hold data, nothing loaded: {sorted(busy)}")
-    counts = []
-    for name, path in sources.items():
-        read_csv_typed(spark, path, schemas[name]).write.mode("errorifexists").parquet(targets[name])
-        counts.append(spark.read.parquet(targets[name]).agg(F.count("*").alias("loaded_rows"))
-                      .select(F.lit(name).alias("table_name"), "loaded_rows"))
+    def load(name: str) -> None:
+        read_csv_typed(spark, sources[name], schemas[name]).write.mode("errorifexists").parquet(targets[name])
+
+    # each table commits on its own; independent tables run as concurrent jobs
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(sources)))) as pool:
+        for future in [pool.submit(load, name) for name in sources]:
+            future.result()
+    counts = [spark.read.parquet(targets[name]).agg(F.count("*").alias("loaded_rows"))
+              .select(F.lit(name).alias("table_name"), "loaded_rows") for name in sources]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -179,8 +188,9 @@ def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
     ingest path: discovery, record counts, inference, typed FAILFAST load.
     """
     base = scratch_dir(spark, "csv-roundtrip")
-    for name, df in tables.items():
-        export_csv(df, f"{base}/raw/{name}.csv")
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for future in [pool.submit(export_csv, df, f"{base}/raw/{name}.csv") for name, df in tables.items()]:
+            future.result()
     files = discover_csv(spark, f"{base}/raw/*")
     files = files.withColumn("table_name", F.regexp_extract("path", r"/raw/([^/]+)\.csv/", 1))
     text = {name: read_csv_text(spark, f"{base}/raw/{name}.csv") for name in tables}

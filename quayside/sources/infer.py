@@ -29,6 +29,7 @@ TS_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 INT_PATTERN = r"^[+-]?[0-9]+$"
 LEADING_ZERO_PATTERN = r"^[+-]?0[0-9]"
+PLAIN_PATTERN = r"^[+-]?[0-9]*\.?[0-9]*$"
 # float(): decimal digits with optional '_' separators, optional point and
 # exponent, or inf / infinity / nan (any case)
 FLOAT_PATTERN = (r"^[+-]?((([0-9](_?[0-9])*)?\.[0-9](_?[0-9])*|[0-9](_?[0-9])*\.?)([eE][+-]?[0-9](_?[0-9])*)?"
@@ -45,24 +46,41 @@ def strip(col: Column) -> Column:
 
 
 def _cell_flags(value: Column) -> list[Column]:
-    """Per-cell rung tests, each regex evaluated once per cell."""
+    """Per-cell rung tests with as few regex evaluations as possible.
+
+    One regex decides "plain number" (sign, digits, at most one point);
+    integer-ness, leading zeros and digit counts then come from string
+    arithmetic. The timestamp / date patterns only run on cells of a
+    possible length (``And`` short-circuits), and the full float grammar
+    only on cells that are not plain numbers.
+    """
     t = F.col("t")
-    is_int = t.rlike(INT_PATTERN)
-    plain = t.rlike(r"^[+-]?[0-9]*\.?[0-9]*$")
-    return [
-        F.upper(t).isin("TRUE", "FALSE").alias("is_bool"),
-        (value.rlike(TS_PATTERN) & value.try_cast("timestamp_ntz").isNotNull()).alias("is_ts"),
-        (value.rlike(DATE_PATTERN) & value.try_cast("date").isNotNull()).alias("is_date"),
-        is_int.alias("is_int"),
-        (is_int & t.rlike(LEADING_ZERO_PATTERN)).alias("lead0"),
-        F.when(is_int, F.abs(t.try_cast("decimal(38,0)"))).alias("abs_int"),
-        # plain decimals are floats when they hold a digit; only the rest
-        # (exponents, '_', inf / nan, text) needs the full float grammar
-        F.when(plain, t.rlike("[0-9]")).otherwise(F.lower(t).rlike(FLOAT_PATTERN)).alias("is_float"),
-        plain.alias("plain"),
-        F.when(plain, F.length(F.regexp_extract(t, r"^[+-]?0*([0-9]*)", 1))).alias("int_digits"),
-        F.when(plain, F.length(F.regexp_extract(t, r"\.([0-9]*)$", 1))).alias("frac_digits"),
+    n = F.length(t)
+    plain = t.rlike(PLAIN_PATTERN)
+    signed = t.startswith("+") | t.startswith("-")
+    sign_len = F.when(signed, 1).otherwise(0)
+    dot = F.instr(t, ".")
+    digits_total = n - sign_len - F.when(dot > 0, 1).otherwise(0)
+    is_int = plain & (dot == 0) & (digits_total > 0)
+    body_first = F.substring(t, 1, 1)
+    body_first = F.when(signed, F.substring(t, 2, 1)).otherwise(body_first)
+    flags = [
+        ((n == 4) | (n == 5)) & F.upper(t).isin("TRUE", "FALSE"),
+        ((F.length(value) >= 13) & (F.length(value) <= 19) & value.rlike(TS_PATTERN)
+         & value.try_cast("timestamp_ntz").isNotNull()),
+        ((F.length(value) >= 8) & (F.length(value) <= 10) & value.rlike(DATE_PATTERN)
+         & value.try_cast("date").isNotNull()),
+        is_int,
+        is_int & (digits_total > 1) & (body_first == "0"),
+        F.when(is_int, F.abs(t.try_cast("decimal(38,0)"))),
+        F.when(plain, digits_total > 0).otherwise(F.lower(t).rlike(FLOAT_PATTERN)),
+        plain,
+        F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign_len),
+        F.when(plain, F.when(dot > 0, n - dot).otherwise(0)),
     ]
+    names = ("is_bool", "is_ts", "is_date", "is_int", "lead0", "abs_int", "is_float", "plain",
+             "int_digits", "frac_digits")
+    return [f.alias(a) for f, a in zip(flags, names)]
 
 
 def _column_stats() -> list[Column]:
