@@ -659,3 +659,8 @@ UNION ALL SELECT 'future_rows', future_rows, NULL FROM a
 UNION ALL SELECT 'duplicate_keys', dup, NULL FROM d
 UNION ALL SELECT 'values_o_orderstatus', NULL, values_o_orderstatus FROM a
 UNION ALL SELECT 'values_o_orderpriority', NULL, values_o_orderpriority FROM a"""
+
+ORACLE["streaming_monthly_channel_sales"] = f"""
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS channel,
+       CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS revenue, count(*) AS orders
+FROM orders GROUP BY 1, 2"""

@@ -459,16 +459,28 @@ def q_mart_fingerprints(spark, sf_dir):
 
 # --- streaming: incremental daily sales per channel ------------------------------------------
 
-@register("streaming_daily_channel_sales")
-def q_streaming_daily_channel_sales(spark, sf_dir):
-    """Orders file consumed as a stream (availableNow), partials re-aggregated per day and channel."""
+def _streamed_partials(spark, sf_dir) -> str:
+    """Run the incremental job over the orders file (availableNow); returns the partials folder."""
     base = csv_ingest.scratch_dir(spark, "stream-daily")
     schema = _t(spark, sf_dir, "orders").schema
     stream = incremental.order_stream(spark, sf_dir, schema, glob="orders.parquet").select(
         F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("channel"),
         F.col("o_totalprice").alias("total"))
     incremental.daily_partials_stream(stream, f"{base}/partials", f"{base}/checkpoint").awaitTermination()
-    return as_output(incremental.daily_totals(spark, f"{base}/partials"))
+    return f"{base}/partials"
+
+
+@register("streaming_daily_channel_sales")
+def q_streaming_daily_channel_sales(spark, sf_dir):
+    """Orders file consumed as a stream (availableNow), partials re-aggregated per day and channel."""
+    return as_output(incremental.daily_totals(spark, _streamed_partials(spark, sf_dir)))
+
+
+@register("streaming_monthly_channel_sales")
+def q_streaming_monthly_channel_sales(spark, sf_dir):
+    """Month x channel roll-up of the incremental daily partials."""
+    daily = incremental.daily_totals(spark, _streamed_partials(spark, sf_dir))
+    return as_output(incremental.monthly_from_daily(daily))
 
 
 # --- G6 / L1: last periods of each series, long-form table profile -------------------------
