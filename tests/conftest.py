@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", 8, app_name="quayside-tests")
+    warehouse = tempfile.mkdtemp(prefix="quayside-warehouse-")     # catalog tables of the tests
+    s = build_session("local[*]", 8, app_name="quayside-tests", extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 
