@@ -112,3 +112,10 @@ def test_null_tokens_are_a_read_option(spark, scratch):
         csv_ingest.read_csv_typed(spark, path, schema).collect()
     rows = csv_ingest.read_csv_typed(spark, path, schema, null_tokens=("NA", "N/A")).collect()
     assert [(r["a"], r["b"]) for r in rows] == [(1, "x"), (None, None), (None, None)]
+
+
+def test_require_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    csv_ingest.require_columns(df, {"a", "b"}, "t")
+    with pytest.raises(ValueError, match="missing columns"):
+        csv_ingest.require_columns(df, {"a", "c"}, "t")

@@ -209,3 +209,13 @@ def test_exact_quantiles_match_percentile(spark):
     got = profile.exact_quantiles(df, "x", probs, partitions=7).first()
     want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert [round(got[f"q{i}"], 9) for i in range(len(probs))] == [round(w, 9) for w in want]
+
+
+def test_sold_before_registration(spark):
+    lines = spark.createDataFrame([("a", T(2024, 1, 5)), ("a", T(2024, 3, 1)), ("b", T(2024, 6, 1))],
+                                  "name string, created_at timestamp_ntz")
+    registry = spark.createDataFrame([("a", T(2024, 2, 1)), ("b", T(2024, 1, 1))],
+                                     "name string, created_at timestamp_ntz")
+    span = forecast.sale_span(lines)
+    early = forecast.sold_before_registration(span, registry).collect()
+    assert [(r["name"], r["first_sale"]) for r in early] == [("a", dt.date(2024, 1, 5))]
