@@ -219,3 +219,11 @@ def test_sold_before_registration(spark):
     span = forecast.sale_span(lines)
     early = forecast.sold_before_registration(span, registry).collect()
     assert [(r["name"], r["first_sale"]) for r in early] == [("a", dt.date(2024, 1, 5))]
+
+
+def test_evaluate_expectations_reports_all_failures(spark):
+    actual = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "check_name string, value double")
+    expected = spark.createDataFrame([("a", "first", 1.0), ("b", "second", 3.0), ("c", "missing", 0.0)],
+                                     "check_name string, label string, expected double")
+    out = {r["check_name"]: r["ok"] for r in quality.evaluate_expectations(actual, expected).collect()}
+    assert out == {"a": True, "b": False, "c": False}
