@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITESPACE
 from .tables import spread_if_narrow
 
 # ---------------------------------------------------------------------------
@@ -36,8 +37,6 @@ FLOAT_PATTERN = (r"^[+-]?((([0-9](_?[0-9])*)?\.[0-9](_?[0-9])*|[0-9](_?[0-9])*\.
                  r"|inf|infinity|nan)$")
 # ---------------------------------------------------------------------------
 
-# every code point ``str.strip()`` removes (rule: str.isspace), for btrim
-WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
 
 
 def strip(col: Column) -> Column:

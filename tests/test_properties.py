@@ -44,7 +44,7 @@ def test_jvm_normalizer_matches_exact_on_latin_text(spark):
     from quayside.functions import text
     rnd = random.Random(5)
     alphabet = ([chr(c) for c in range(0x20, 0x7F)] + [chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7)]
-                + ["\t", "\n", " ", "  "])
+                + ["\t", "\n", " ", "  ", "\x1c", "\x1f", "\xa0", "\u2003", "\u3000"])
     rows = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))),) for _ in range(2000)]
     df = spark.createDataFrame(rows, "s string")
     out = df.select(text.normalize_text("s").alias("a"), text.normalize_text_exact("s").alias("b")).collect()
