@@ -50,3 +50,65 @@ def test_jvm_normalizer_matches_exact_on_latin_text(spark):
     out = df.select(text.normalize_text("s").alias("a"), text.normalize_text_exact("s").alias("b")).collect()
     bad = [(r["a"], r["b"]) for r in out if r["a"] != r["b"]]
     assert not bad, bad[:5]
+
+
+def _spec_type(values):
+    """The inference ladder written directly from its specification (test oracle)."""
+    import datetime as dt
+    vals = [v for v in values if v is not None and v.strip() != ""]
+    if not vals:
+        return "text"
+
+    def parses(v, fmt):
+        try:
+            dt.datetime.strptime(v, fmt)
+            return True
+        except ValueError:
+            return False
+
+    def whole(v):
+        x = v.strip()
+        x = x[1:] if x[:1] in ("+", "-") else x
+        return x.isascii() and x.isdigit()
+
+    def real(v):
+        try:
+            float(v)
+            return True
+        except ValueError:
+            return False
+
+    if all(v.strip().upper() in ("TRUE", "FALSE") for v in vals):
+        return "boolean"
+    if all(parses(v, "%Y-%m-%d %H:%M:%S") for v in vals):
+        return "timestamp"
+    if all(parses(v, "%Y-%m-%d") for v in vals):
+        return "date"
+    if all(whole(v) for v in vals):
+        if any(len(v.strip().lstrip("+-")) > 1 and v.strip().lstrip("+-")[0] == "0" for v in vals):
+            return "text"
+        top = max(abs(int(v)) for v in vals)
+        return "integer" if top <= 2_147_483_647 else "bigint" if top <= 9_223_372_036_854_775_807 else "text"
+    if all(real(v) for v in vals):
+        return "numeric"
+    return "text"
+
+
+def test_inference_matches_specification_on_generated_columns(spark):
+    tokens = ["TRUE", "false", " True ", "2024-01-05 10:00:00", "2024-1-5 1:2:3", "2024-02-30 10:00:00",
+              "2024-01-05 24:00:00", "2024-01-05 10:00:60", "2024-01-05", "2024-1-5", "2024-02-30", "2024-13-01",
+              "12", "-12", "+7", " 42 ", "007", "0", "-0", "00", "2147483647", "2147483648", "-2147483648",
+              "9223372036854775807", "9223372036854775808", "12345678901234567890123456789012345678901234",
+              "1.5", "-0.25", ".5", "5.", "1e3", "1E-3", "1_000", "nan", "inf", "-Infinity", "abc", "", "   ",
+              "1 2", "+", "-", ".", "1,5", None]
+    rnd = random.Random(9)
+    cols = [[rnd.choice(tokens) for _ in range(4)] for _ in range(200)]
+    for i, t in enumerate(tokens):            # every token alone, plus with a plain integer
+        cols.append([t, None, None, None])
+        cols.append([t, "12", None, None])
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = [tuple(col[r] for col in cols) for r in range(4)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r["column_name"]: r["inferred_type"] for r in infer.infer_catalogue(df, "t").collect()}
+    bad = [(cols[i], got[n], _spec_type(cols[i])) for i, n in enumerate(names) if got[n] != _spec_type(cols[i])]
+    assert not bad, bad[:8]
