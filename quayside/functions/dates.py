@@ -18,6 +18,18 @@ def as_date(value: str | dt.date) -> dt.date:
     return value if isinstance(value, dt.date) else dt.date.fromisoformat(str(value)[:10])
 
 
+def month_floor(value) -> dt.date:
+    """First day of the month of a date (or ISO date string)."""
+    d = as_date(value)
+    return dt.date(d.year, d.month, 1)
+
+
+def add_months(d: dt.date, n: int) -> dt.date:
+    """First day of the month ``n`` months after ``d``'s month."""
+    m = d.year * 12 + d.month - 1 + n
+    return dt.date(m // 12, m % 12 + 1, 1)
+
+
 def cutoff_bound(cutoff_day: str | dt.date) -> dt.datetime:
     """Exclusive upper bound for "up to the end of ``cutoff_day``".
 

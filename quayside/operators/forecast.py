@@ -15,17 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, month_start, ntz_literal
-
-
-def _month(value) -> dt.date:
-    d = as_date(value)
-    return dt.date(d.year, d.month, 1)
-
-
-def _add_months(d: dt.date, n: int) -> dt.date:
-    m = d.year * 12 + d.month - 1 + n
-    return dt.date(m // 12, m % 12 + 1, 1)
+from ..functions.dates import add_months, as_date, month_floor, month_start, ntz_literal
 
 
 def monthly_demand(lines: DataFrame, key: str = "name", ts: str = "created_at",
@@ -47,7 +37,7 @@ def dense_months(monthly: DataFrame, end_month, key: str = "name") -> DataFrame:
     ``end_month``. The window is partitioned by key over already
     aggregated months.
     """
-    end = _month(end_month)
+    end = month_floor(end_month)
     w = Window.partitionBy(key).orderBy("month")
     rows = monthly.where(F.col("month") <= F.lit(end))
     stop = F.coalesce(F.add_months(F.lead("month").over(w), -1), F.lit(end))
@@ -78,9 +68,9 @@ def forecast_frame(dense: DataFrame, train_end, test_months: int, key: str = "na
     one mean of the last ``window`` training months, repeated (a
     partition-wide conditional mean, so no join back to the series).
     """
-    end = _month(train_end)
-    first, last = _add_months(end, 1), _add_months(end, test_months)
-    tail = (F.col("month") > F.lit(_add_months(end, -window))) & (F.col("month") <= F.lit(end))
+    end = month_floor(train_end)
+    first, last = add_months(end, 1), add_months(end, test_months)
+    tail = (F.col("month") > F.lit(add_months(end, -window))) & (F.col("month") <= F.lit(end))
     fixed = F.avg(F.when(tail, F.col("quantity"))).over(Window.partitionBy(key))
     fc = trailing_mean(dense, key, window, min_periods).withColumn("forecast_fixed", fixed)
     return (fc.where(F.col("month").between(F.lit(first), F.lit(last)))

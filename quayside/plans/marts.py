@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date
+from ..functions.dates import add_months, as_date, month_floor
 from ..operators import calendar, channels, forecast, loyalty, quality, returns, similarity, suppliers
 from . import params as P
 from ..sources.csv_ingest import scratch_dir
@@ -56,9 +56,8 @@ def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY,
     monthly = channels.channel_monthly(business)
     done = suppliers.completed_orders(model.purchase_orders, model.receipts, cutoff_day, keys=model.po_keys)
     named = lines.withColumnRenamed("name", "product_name")
-    from ..operators.forecast import _add_months, _month
-    last = _add_months(_month(P.FORECAST_TRAIN_END), P.FORECAST_TEST_MONTHS)
-    dense = forecast.dense_months(forecast.monthly_demand(named, "product_name", before=_add_months(last, 1)),
+    last = add_months(month_floor(P.FORECAST_TRAIN_END), P.FORECAST_TEST_MONTHS)
+    dense = forecast.dense_months(forecast.monthly_demand(named, "product_name", before=add_months(last, 1)),
                                   last, key="product_name")
     walk = forecast.walk_forward(dense, P.FORECAST_TRAIN_END, P.FORECAST_TEST_MONTHS, key="product_name",
                                  window=P.FORECAST_WINDOW)

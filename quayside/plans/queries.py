@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import add_months, month_floor
 from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
@@ -153,9 +154,8 @@ def q_supplier_overall(spark, sf_dir):
 # --- M4: demand forecast (all products at once) ------------------------------------
 
 def _test_window():
-    from ..operators.forecast import _add_months, _month
-    end = _month(P.FORECAST_TRAIN_END)
-    return _add_months(end, P.FORECAST_TEST_MONTHS), _add_months(end, P.FORECAST_TEST_MONTHS + 1)
+    end = month_floor(P.FORECAST_TRAIN_END)
+    return add_months(end, P.FORECAST_TEST_MONTHS), add_months(end, P.FORECAST_TEST_MONTHS + 1)
 
 
 def _dense_demand(spark, sf_dir):
