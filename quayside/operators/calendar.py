@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, weekday_name, weekday_number
+from ..functions.dates import as_date, not_after, weekday_name, weekday_number
 from ..functions.money import mean_half_up, to_money
 
 
@@ -45,7 +45,7 @@ def sales_calendar(facts: DataFrame, end: str | dt.date, ts: str = "created_at",
     bounds_src = facts.where(spine_where) if spine_where is not None else facts
     bounds = bounds_src.agg(F.min(F.to_date(ts)).alias("start"))
     spine = date_spine(bounds, "start", end_d)
-    in_range = F.to_date(F.col(ts)) <= F.lit(end_d)
+    in_range = not_after(F.col(ts), end_d)          # ts < next midnight: pushed into the scan
     cond = in_range if where is None else (where & in_range)
     daily = daily_totals(facts, ts, value, cond)
     return (spine.join(daily, "date", "left")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import add_months, as_date, month_floor
+from ..functions.dates import add_months, after, as_date, month_floor
+from ..functions.dates import not_after as before_end
 from ..operators import calendar, channels, forecast, loyalty, quality, returns, similarity, suppliers
 from . import params as P
 from ..sources.csv_ingest import scratch_dir
@@ -88,7 +89,7 @@ def kpi_from_marts(spark: SparkSession, m: dict, orders: DataFrame, cutoff_day:
     """The KPI row from already built (or already published) marts."""
     bound = F.lit(as_date(cutoff_day)).cast("date")
     o = scalars(orders, raw_order_count=F.count("*"),
-                future_orders=F.count_if(F.to_date("created_at") > bound))
+                future_orders=F.count_if(after(F.col("created_at"), cutoff_day)))
     cat = scalars(m["loyal_top_category"], top_category=F.first("category"),
                   top_category_items=F.first("total_items"))
     wk = scalars(calendar.worst_weekday(m["weekday_calendar"]), worst_weekday=F.first("weekday_name"),
@@ -118,7 +119,7 @@ def expectation_facts(spark: SparkSession, model: RetailModel, cutoff_day: str =
     m = build_marts(model, cutoff_day, reuse_lines=False)   # no check reads the order-lines marts
     bound = F.lit(as_date(cutoff_day)).cast("date")
     orders = model.orders
-    not_after = F.to_date("created_at") <= bound
+    not_after = before_end(F.col("created_at"), cutoff_day)
     d = lambda e: e.cast("double")
     direct = scalars(orders, n_orders=d(F.count("*")),
                      n_business=d(F.count_if(not_after & F.col("status").isin(list(P.BUSINESS_STATUSES)))),

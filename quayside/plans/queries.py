@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import add_months, month_floor
+from ..functions.dates import add_months, month_floor, not_after
 from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
@@ -85,7 +85,7 @@ def q_weekday_sales_biased(spark, sf_dir):
     cal = _pos_calendar(spark, sf_dir)
     dense = calendar.weekday_profile(cal)
     orders = star_model(spark, sf_dir).orders
-    cond = (F.col("channel") == P.POS_CHANNEL) & (F.to_date("created_at") <= F.lit(P.CUTOFF_DAY).cast("date"))
+    cond = (F.col("channel") == P.POS_CHANNEL) & not_after(F.col("created_at"), P.CUTOFF_DAY)
     sparse = calendar.weekday_profile_sale_days(calendar.daily_totals(orders, where=cond))
     out = dense.join(sparse, "weekday_number", "left").select(
         F.col("weekday_number").cast("bigint").alias("weekday_number"), "avg_sale", "days",
