@@ -112,3 +112,22 @@ def test_inference_matches_specification_on_generated_columns(spark):
     got = {r["column_name"]: r["inferred_type"] for r in infer.infer_catalogue(df, "t").collect()}
     bad = [(cols[i], got[n], _spec_type(cols[i])) for i, n in enumerate(names) if got[n] != _spec_type(cols[i])]
     assert not bad, bad[:8]
+
+
+def test_ptbr_formats_match_python_formatting(spark):
+    from quayside.functions import fmt
+    rnd = random.Random(21)
+    vals = [round(rnd.uniform(-2e6, 2e6), rnd.choice([0, 1, 2, 3])) for _ in range(3000)]
+    vals += [k + 0.005 for k in range(0, 2000, 7)] + [k + 0.5 for k in range(-50, 50)] + [0.0, -0.0, 1e9 + 0.125]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    out = df.select("x", fmt.format_decimal_pt(F.col("x"), 2).alias("d2"), fmt.format_decimal_pt(F.col("x"), 1).alias("d1"),
+                    fmt.format_int_pt(F.col("x")).alias("i"), fmt.format_percent_pt(F.col("x") / 1e6).alias("p")).collect()
+    swap = lambda t: t.replace(",", "X").replace(".", ",").replace("X", ".")
+    bad = []
+    for r in out:
+        x = r["x"]
+        want = (swap(f"{x:,.2f}"), swap(f"{x:,.1f}"), f"{int(round(x)):,}".replace(",", "."),
+                f"{(x / 1e6) * 100:.1f}%".replace(".", ","))
+        if (r["d2"], r["d1"], r["i"], r["p"]) != want:
+            bad.append((x, (r["d2"], r["d1"], r["i"], r["p"]), want))
+    assert not bad, bad[:5]
