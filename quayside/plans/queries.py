@@ -231,8 +231,10 @@ def q_item_similarity_topk(spark, sf_dir):
     ref = similarity.first_id_by_name(model.products, P.REFERENCE_PRODUCT)
     top = similarity.similar_items(inter, ref, P.SIMILAR_TOP_N)
     names = model.products.select("product_id", "name")
-    # top holds at most SIMILAR_TOP_N rows: broadcasting it is size-safe
-    return (F.broadcast(top).join(names, "product_id", "left")
+    # top holds at most SIMILAR_TOP_N rows, so it is the broadcast (build) side and the
+    # products table streams past it; inner is exact here because every candidate came
+    # from interactions already joined to products
+    return (names.join(F.broadcast(top), "product_id")
             .select("product_id", "name", "overlap", "buyers", "similarity"))
 
 
