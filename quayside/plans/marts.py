@@ -72,7 +72,7 @@ def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY,
         "channel_monthly": monthly,
         "channel_summary": channels.channel_summary(business),
         "channel_yearly": channels.channel_yearly_pivot(monthly, P.CHANNELS),
-        "returns_by_reason": returns.returns_by_reason(model.returns, cutoff_day),
+        "returns_by_reason": returns.returns_by_reason(model.returns, cutoff_day, model.return_completed),
         "supplier_scores": suppliers.supplier_scores(done, model.suppliers),
         "supplier_overall": suppliers.supplier_overall(done),
         "forecast": walk.where(F.col("product_name") == P.FORECAST_PRODUCT),
@@ -128,7 +128,8 @@ def expectation_facts(spark: SparkSession, model: RetailModel, cutoff_day: str =
     monthly = scalars(m["channel_monthly"], revenue=d(F.sum("revenue")))
     cal = scalars(m["calendar_stats"], days=d(F.first("calendar_days")))
     week = scalars(m["weekday_calendar"], days=d(F.sum("days")))
-    ret_direct = scalars(model.returns.where((F.col("status") == "completed") & not_after), n=d(F.count("*")))
+    ret_direct = scalars(model.returns.where((F.col("status") == model.return_completed) & not_after),
+                         n=d(F.count("*")))
     ret = scalars(m["returns_by_reason"], n=d(F.sum("returns")))
     sup = scalars(m["supplier_overall"], n=d(F.first("completed_orders")))
     per_sup = scalars(m["supplier_scores"], n=d(F.sum("orders")))

@@ -14,8 +14,8 @@ the physical scans.
   l_extendedprice)
 * product = part row; name = p_name (64 names: several ids per name);
   category = p_brand
-* returns: line items with l_returnflag = 'R'; completed when l_linestatus
-  = 'F'; refund = l_extendedprice; created_at = l_shipdate; the free-text
+* returns: line items with l_returnflag = 'R'; status = l_linestatus and
+  'F' means completed (``return_completed``); refund = l_extendedprice; created_at = l_shipdate; the free-text
   reason is drawn from ``RAW_REASON_SAMPLES`` by line position
 * purchase orders: one per (l_orderkey, l_suppkey), placed at the order
   date, promised ``PROMISE_DAYS`` later, received when all its lines have
@@ -80,6 +80,7 @@ class RetailModel:
 
     po_keys: tuple[str, ...] = ("po_id",)
     variants: DataFrame | None = None
+    return_completed: str = "completed"     # returns.status value of a completed return
 
     def __init__(self, **frames):
         for key, value in frames.items():
@@ -91,6 +92,7 @@ class StarModel(RetailModel):
 
     po_keys = ("order_key", "supplier_id")
     variants = None
+    return_completed = "F"      # the raw line status, so the filter reaches the Parquet scan
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
@@ -131,7 +133,7 @@ class StarModel(RetailModel):
         samples = F.array(*[F.lit(s).cast("string") for s in RAW_REASON_SAMPLES])
         idx = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(RAW_REASON_SAMPLES)))
         return self._t("lineitem").where(F.col("l_returnflag") == "R").select(
-            F.when(F.col("l_linestatus") == "F", "completed").otherwise("pending").alias("status"),
+            F.col("l_linestatus").alias("status"),
             F.element_at(samples, (idx + 1).cast("int")).alias("reason"),
             to_money("l_extendedprice").alias("refund"),
             F.col("l_shipdate").alias("created_at"),

@@ -128,7 +128,8 @@ def q_channel_yearly_pivot(spark, sf_dir):
 
 @register("return_reasons")
 def q_return_reasons(spark, sf_dir):
-    return as_output(returns.returns_by_reason(star_model(spark, sf_dir).returns, P.CUTOFF_DAY))
+    model = star_model(spark, sf_dir)
+    return as_output(returns.returns_by_reason(model.returns, P.CUTOFF_DAY, model.return_completed))
 
 
 # --- M8: suppliers ---------------------------------------------------------------
@@ -450,7 +451,8 @@ def q_display_forecast_ptbr(spark, sf_dir):
 
 @register("display_returns_ptbr")
 def q_display_returns_ptbr(spark, sf_dir):
-    return display.returns_table(returns.returns_by_reason(star_model(spark, sf_dir).returns, P.CUTOFF_DAY))
+    model = star_model(spark, sf_dir)
+    return display.returns_table(returns.returns_by_reason(model.returns, P.CUTOFF_DAY, model.return_completed))
 
 
 @register("mart_fingerprints")
