@@ -31,7 +31,8 @@ def date_spine(bounds: DataFrame, start: str, end: str | dt.date) -> DataFrame:
     literal date — the report never reads the clock implicitly.
     """
     end_lit = F.lit(as_date(end))
-    return bounds.select(F.explode(F.sequence(F.col(start), end_lit, F.expr("INTERVAL 1 DAY"))).alias("date"))
+    days = F.when(F.col(start) <= end_lit, F.sequence(F.col(start), end_lit, F.expr("INTERVAL 1 DAY")))
+    return bounds.select(F.explode(days).alias("date"))     # start after end (or no facts): no days
 
 
 def sales_calendar(facts: DataFrame, end: str | dt.date, ts: str = "created_at", value: str = "total",

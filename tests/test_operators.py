@@ -227,3 +227,9 @@ def test_evaluate_expectations_reports_all_failures(spark):
                                      "check_name string, label string, expected double")
     out = {r["check_name"]: r["ok"] for r in quality.evaluate_expectations(actual, expected).collect()}
     assert out == {"a": True, "b": False, "c": False}
+
+
+def test_calendar_before_first_order_is_empty(spark, orders):
+    cal = calendar.sales_calendar(orders, "2020-01-01", where=F.col("channel") == "pos")
+    assert cal.count() == 0
+    assert calendar.calendar_stats(cal).first()["calendar_days"] == 0
