@@ -233,3 +233,17 @@ def test_calendar_before_first_order_is_empty(spark, orders):
     cal = calendar.sales_calendar(orders, "2020-01-01", where=F.col("channel") == "pos")
     assert cal.count() == 0
     assert calendar.calendar_stats(cal).first()["calendar_days"] == 0
+
+
+def test_exact_quantiles_of_empty_or_null_column(spark):
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    r = profile.exact_quantiles(df, "x", (0.25, 0.75), partitions=2).first()
+    assert (r["q0"], r["q1"]) == (None, None)
+    d = profile.describe(df, "x").first()
+    assert d["count"] == 0 and d["q50"] is None
+
+
+def test_similarity_reference_without_buyers_scores_null(spark):
+    inter = spark.createDataFrame([(1, 100), (2, 200)], "customer_id long, product_id long")
+    out = similarity.similar_items(inter, F.lit(999), k=None).collect()
+    assert {r["product_id"] for r in out} == {100, 200} and all(r["similarity"] is None for r in out)
