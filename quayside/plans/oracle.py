@@ -664,3 +664,8 @@ ORACLE["streaming_monthly_channel_sales"] = f"""
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS channel,
        CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS revenue, count(*) AS orders
 FROM orders GROUP BY 1, 2"""
+
+ORACLE["events_after_cutoff"] = f"""
+SELECT count(*) AS total_rows,
+       count(*) FILTER (WHERE ts > TIMESTAMP '{P.EVENTS_CUTOFF_DAY} 23:59:59.999999') AS future_rows
+FROM events"""

@@ -22,4 +22,5 @@ REFERENCE_SET = ("red plate", "blue anvil")
 SIMILAR_TOP_N = 5
 WORST_SUPPLIERS = 8
 IQR_FACTORS = (1.5, 3.0)
+EVENTS_CUTOFF_DAY = "2024-01-15"   # microsecond timestamps: the end-of-day rule on real data
 # ---------------------------------------------------------------------------

@@ -498,3 +498,9 @@ def q_demand_last_12_months(spark, sf_dir):
 def q_eda_profile_report(spark, sf_dir):
     return profile.profile_report(_t(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "o_orderkey",
                                   ["o_orderstatus", "o_orderpriority"], P.CUTOFF_DAY)
+
+
+@register("events_after_cutoff")
+def q_events_after_cutoff(spark, sf_dir):
+    """The cutoff rule on microsecond timestamps: rows after the end of the cutoff day."""
+    return profile.rows_after_cutoff(_t(spark, sf_dir, "events"), "ts", P.EVENTS_CUTOFF_DAY)
