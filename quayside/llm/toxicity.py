@@ -38,6 +38,8 @@ THRESHOLD = 0.3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: bias, kernel (row by row), slope and intercept of the calibration: every token is outside
 NO_MODEL = np.array([-30.0, 1.0, 1e-9, 1.0, 1e-9, 1.0, 0.0])
+#: strength of the pull of the calibration to slope 1 and intercept 0
+PRIOR = np.array([1.0, 0.02])
 MODEL = "weights binary, extra binary"
 
 
@@ -212,13 +214,13 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def calibrate(largest: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(slope, intercept) of a logistic curve from the largest marginal's log-odds to the label (Newton, small L2 term)."""
+    """(slope, intercept) of a logistic curve from the largest marginal's log-odds to the label (damped Newton)."""
     x = np.stack([log_odds(largest), np.ones(len(y))], 1)
     theta = np.array([1.0, 0.0])
-    for _ in range(25):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 1e-3])
-        theta = theta + np.linalg.solve(hessian, x.T @ (y - p) - np.array([1.0, 1e-3]) * (theta - [1.0, 0.0]))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(PRIOR)
+        theta = theta + np.clip(np.linalg.solve(hessian, x.T @ (y - p) - PRIOR * (theta - [1.0, 0.0])), -0.5, 0.5)
     return theta if theta[0] > 0 else np.array([1.0, 0.0])
 
 
