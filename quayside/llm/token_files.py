@@ -53,17 +53,19 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK_IDS)
     stop = np.minimum(np.arange(1, blocks + 1) * BLOCK_IDS, n)
     padded = np.concatenate([ids, np.zeros(64, np.uint64)])
+    place = np.arange(n, dtype=np.int32)
+    block_end = np.minimum((place // BLOCK_IDS + 1) * BLOCK_IDS, n)
+    need = np.searchsorted(2.0 ** np.arange(61), ids, side="right").astype(np.uint8)  # bits of each id; 61: too many
     choice = np.zeros(n, np.uint8)  # the selector with most ids that fits at each place
-    block_end = stop[np.arange(n) // BLOCK_IDS]
-    open_ = np.ones(n, bool)
-    for selector, (count, bits) in enumerate(SLOTS):
-        if not selector:
-            continue
-        wide = np.flatnonzero(padded[:n] >= np.uint64(1) << np.uint64(bits))
-        reach = np.append(wide, n)[np.searchsorted(wide, np.arange(n))]  # first id that needs more bits
-        fits = open_ & (np.minimum(reach, block_end) >= np.minimum(np.arange(n) + count, block_end))
+    for selector in range(len(SLOTS) - 1, 0, -1):  # later ones, with more ids, replace earlier ones
+        count, bits = SLOTS[selector]
+        reach = np.where(need > bits, place, n)  # first id, from here on, that needs more bits
+        if (reach < n).any():
+            reach = np.minimum.accumulate(reach[::-1])[::-1]
+        fits = np.minimum(reach, block_end) >= np.minimum(place + count, block_end)
+        if not fits.any():
+            break  # what does not fit anywhere does not fit with fewer bits either
         choice[fits] = selector
-        open_ &= ~fits
     at = np.arange(blocks) * BLOCK_IDS
     alive = np.arange(blocks)
     places, owners = [], []

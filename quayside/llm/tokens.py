@@ -11,6 +11,7 @@ library's ids of the whole text (tests compare them).
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .arrays import ragged
 
 END_ID = 0
 #: Distinct segments that a Python worker remembers between batches: bounds memory, never changes ids.
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -44,7 +45,10 @@ def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     three = data[np.maximum(space - 3, 0)]
     wide = (previous >= 0x80) & (((two == 0xC2) & ((previous == 0x85) | (previous == 0xA0)))
                                  | (three == 0xE1) | (three == 0xE2) | (three == 0xE3))
-    return np.union1d(space[safe & ~wide], offsets[:-1][offsets[:-1] < offsets[1:]])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[space[safe & ~wide]] = True
+    cut[offsets] = True  # also where empty documents lie
+    return np.flatnonzero(cut[:-1])
 
 
 class SegmentEncoder:
@@ -77,7 +81,7 @@ class SegmentEncoder:
                 part = [e.ids for e in tokenizer.encode_batch([s.decode("utf-8") for s in new[k:k + 4096]],
                                                               add_special_tokens=False)]
                 sizes = np.fromiter(map(len, part), np.int64, len(part))
-                ids.append(np.fromiter((i for x in part for i in x), np.uint32, int(sizes.sum())))
+                ids.append(np.fromiter(chain.from_iterable(part), np.uint32, int(sizes.sum())))
                 at.append(base + np.cumsum(sizes) - sizes)
                 length.append(sizes)
                 base += int(sizes.sum())
