@@ -50,3 +50,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
             .select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens"))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
