@@ -57,3 +57,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify_held_out
 
     return identify_held_out(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+@register("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
