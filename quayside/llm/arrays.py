@@ -124,5 +124,20 @@ def max_by(values: np.ndarray, bounds: np.ndarray, empty: float = 0.0) -> np.nda
     return out
 
 
-def column_or_null(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
-    return batch.column(name).cast(kind)
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of complete buckets from rows sorted by ``keys``, whatever the batches' borders."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy() for k in keys]
+        last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+        begin = int(last[-1]) + 1 if len(last) else 0  # where the batch's last bucket begins
+        if held and not begin and [held[-1].column(k)[-1].as_py() for k in keys] == [k[0] for k in key]:
+            held.append(batch)
+            continue
+        if done := [*held, batch.slice(0, begin)] if begin else held:
+            yield pa.Table.from_batches(done)
+        held = [batch.slice(begin)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, NOT_SPACE, Words, text_slices
+from .arrays import LOWER, NOT_SPACE, Words, text_slices, whole_buckets
 from .graph import EDGES, Forest, components, edge_batch
 from .scratch import stored
 
@@ -180,8 +180,6 @@ class PairFinder:
 
     def rows(self, t: pa.Table) -> None:
         """All rows of some buckets."""
-        if not len(t):
-            return
         self.c = c = {k: t.column(k).to_numpy() for k in ("token", "x", "y", "pos", "n", "rep", "gid", "side", "label")}
         self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
         new = np.ones(len(t), bool)
@@ -238,24 +236,9 @@ class PairFinder:
         return out
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = [batch.column(k).to_numpy() for k in ("token", "x", "y")]
-            last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
-            begin = int(last[-1]) + 1 if len(last) else 0  # where the batch's last bucket begins
-            if held and not begin:
-                before = [held[-1].column(k)[-1].as_py() for k in ("token", "x", "y")]
-                if before == [k[0] for k in key]:
-                    held.append(batch)
-                    continue
-            self.rows(pa.Table.from_batches([*held, batch.slice(0, begin)] if begin else held, schema=batch.schema))
-            held = [batch.slice(begin)]
+        for table in whole_buckets(batches, ("token", "x", "y")):
+            self.rows(table)
             yield from self.take()
-        if held:
-            self.rows(pa.Table.from_batches(held))
-        yield from self.take()
 
 
 def _dealt(tokens: DataFrame, shared: DataFrame, members: DataFrame) -> DataFrame:
