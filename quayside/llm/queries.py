@@ -87,3 +87,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def _op8_oracle() -> str:
+    from .license_scan import oracle_sql
+
+    return oracle_sql()
+
+
+LLM_ORACLE["op8_license_scan"] = _op8_oracle()
