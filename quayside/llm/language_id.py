@@ -37,13 +37,9 @@ BASE = np.uint64(0x100000001B3)
 
 
 class Pieces:
-    """Vocabulary pieces that can stand in a marked word, looked up by a hash of their bytes."""
+    """Pieces looked up by a hash of their bytes; a piece's number is its place in the list."""
 
-    def __init__(self, vocabulary: list[bytes]):
-        keep = [p for p in vocabulary if p and (LETTER[np.frombuffer(p[1:], np.uint8)].all())
-                and (p[0] == 0x20 or LETTER[p[0]])]
-        singles = set(keep)
-        keep += [bytes([b]) for b in range(256) if (b == 0x20 or LETTER[b]) and bytes([b]) not in singles]  # every text can be cut
+    def __init__(self, keep: list[bytes]):
         self.count = len(keep)
         self.longest = max(map(len, keep))
         by_length: dict[int, list[tuple[int, int]]] = {}
@@ -78,8 +74,11 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces_of(rows: tuple[bytes, ...]) -> Pieces:
-    return Pieces(list(rows))
+def pieces_of(vocabulary: tuple[bytes, ...]) -> Pieces:
+    """Those pieces that can stand in a marked word; every byte is one, so that every text can be cut."""
+    keep = [p for p in vocabulary if p and LETTER[np.frombuffer(p[1:], np.uint8)].all() and (p[0] == 0x20 or LETTER[p[0]])]
+    singles = set(keep)
+    return Pieces(keep + [bytes([b]) for b in range(256) if (b == 0x20 or LETTER[b]) and bytes([b]) not in singles])
 
 
 def read_vocabulary(path: str) -> tuple[bytes, ...]:

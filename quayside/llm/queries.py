@@ -103,3 +103,15 @@ def _op8_oracle() -> str:
 
 
 LLM_ORACLE["op8_license_scan"] = _op8_oracle()
+
+
+@register("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_lattice import decode, encode
+
+    from pyspark.sql import functions as F
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    decoded = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.octet_length("text").cast("bigint").alias("decoded_bytes"),
+                          F.xxhash64("text").alias("decoded_hash"))
