@@ -115,3 +115,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode(encode(table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.octet_length("text").cast("bigint").alias("decoded_bytes"),
                           F.xxhash64("text").alias("decoded_hash"))
+
+
+@register("op5_bm25_search")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .bm25 import search
+
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id")
+    return search(table(spark, sf_dir, "documents"), asked)
+
+
+def _op5_oracle() -> str:
+    from .bm25 import oracle_sql
+
+    return oracle_sql()
+
+
+LLM_ORACLE["op5_bm25_search"] = _op5_oracle()
