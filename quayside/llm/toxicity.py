@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                 new = np.ones(len(on), bool)
                 new[1:] = (np.diff(on) > 1) | (np.diff(doc_of) > 0)
                 begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(on)) - 1
+                end = np.append(begin[1:], len(on))[:len(begin)] - 1
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 span_doc = doc_of[begin]
                 base = chars[offsets[span_doc]]
