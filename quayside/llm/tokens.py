@@ -1,11 +1,13 @@
 """Token ids of whole texts with the ``tokenizers`` library, inside Spark tasks.
 
 A byte-level BPE never merges across a space that follows a byte which is not
-white space: its pre-tokenizer always cuts there, and nothing it does to the
+white space, nor between an ASCII letter and an ASCII mark other than the
+apostrophe: its pre-tokenizer always cuts there, and nothing it does to the
 right of the cut depends on what stands to the left. Texts are therefore cut
-at exactly those places, each distinct segment is encoded once by the library,
+at such places, each distinct segment is encoded once by the library,
 and a document's ids are its segments' ids in order. The result equals the
-library's ids of the whole text (tests compare them).
+library's ids of the whole text (tests compare them). A space and ASCII letters
+are one pre-token, which goes straight to the library's model.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .arrays import ragged
+from .arrays import byte_table, ragged
 
 END_ID = 0
 #: Distinct segments that a Python worker remembers between batches: bounds memory, never changes ids.
@@ -35,8 +37,14 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+ASCII_LETTER = byte_table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
+MARK = byte_table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum() and b != 0x27)
+#: How the byte-level alphabet writes a space.
+MARKED_SPACE = "\u0120"
+
+
 def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte places where segments begin: each document's start and every safe space."""
+    """Byte places where segments begin: each document's start, every safe space, and between letters and marks."""
     space = np.flatnonzero(data[1:] == 0x20) + 1 if len(data) else np.zeros(0, np.int64)
     previous = data[space - 1]
     safe = previous > 0x20
@@ -47,6 +55,8 @@ def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                                  | (three == 0xE1) | (three == 0xE2) | (three == 0xE3))
     cut = np.zeros(len(data) + 1, bool)
     cut[space[safe & ~wide]] = True
+    letter, mark = ASCII_LETTER[data], MARK[data]
+    cut[1:-1] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     cut[offsets] = True  # also where empty documents lie
     return np.flatnonzero(cut[:-1])
 
@@ -75,16 +85,19 @@ class SegmentEncoder:
             self.forget()
         new = [s for s in distinct if s not in self.place]
         if new:
-            ids, at, length, base = [self.ids], [self.at], [self.length], len(self.ids)
             tokenizer = _tokenizer(self.path)
-            for k in range(0, len(new), 4096):
-                part = [e.ids for e in tokenizer.encode_batch([s.decode("utf-8") for s in new[k:k + 4096]],
-                                                              add_special_tokens=False)]
-                sizes = np.fromiter(map(len, part), np.int64, len(part))
-                ids.append(np.fromiter(chain.from_iterable(part), np.uint32, int(sizes.sum())))
-                at.append(base + np.cumsum(sizes) - sizes)
-                length.append(sizes)
-                base += int(sizes.sum())
+            model = tokenizer.model
+            words = [s for s in new if s[:1] == b" " and s[1:].isalpha()]  # bytes: ASCII letters only
+            plain = set(words)
+            rest = [s for s in new if s not in plain]
+            new = words + rest
+            part = [[t.id for t in model.tokenize(MARKED_SPACE + s[1:].decode())] for s in words]
+            for k in range(0, len(rest), 4096):
+                part += [e.ids for e in tokenizer.encode_batch([s.decode("utf-8") for s in rest[k:k + 4096]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            ids = [self.ids, np.fromiter(chain.from_iterable(part), np.uint32, int(sizes.sum()))]
+            at = [self.at, len(self.ids) + np.cumsum(sizes) - sizes]
+            length = [self.length, sizes]
             self.place.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.ids, self.at, self.length = np.concatenate(ids), np.concatenate(at), np.concatenate(length)
         where = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
