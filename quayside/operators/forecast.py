@@ -26,7 +26,7 @@ def monthly_demand(lines: DataFrame, key: str = "name", ts: str = "created_at",
         bound = as_date(before)
         src = src.where(F.col(ts) < ntz_literal(dt.datetime(bound.year, bound.month, bound.day)))
     return (src.groupBy(F.col(key), month_start(F.col(ts)).alias("month"))
-            .agg(F.sum(quantity).cast("bigint").alias("quantity")))
+            .agg(F.sum(quantity).alias("quantity")))
 
 
 def dense_months(monthly: DataFrame, end_month, key: str = "name") -> DataFrame:
@@ -45,7 +45,7 @@ def dense_months(monthly: DataFrame, end_month, key: str = "name") -> DataFrame:
     filled = spans.select(key, F.col("month").alias("_sale"), "quantity",
                           F.explode(F.sequence("month", "_stop", F.expr("INTERVAL 1 MONTH"))).alias("month"))
     return filled.select(key, "month", F.when(F.col("month") == F.col("_sale"), F.col("quantity"))
-                         .otherwise(F.lit(0)).cast("bigint").alias("quantity"))
+                         .otherwise(F.lit(0)).alias("quantity"))
 
 
 def trailing_mean(dense: DataFrame, key: str = "name", window: int = 3, min_periods: int = 1) -> DataFrame:

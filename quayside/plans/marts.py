@@ -214,6 +214,11 @@ def build_report(spark: SparkSession, model: RetailModel, out_dir: str,
     tables = {
         "kpi": kpi_from_marts(spark, m, model.orders, cutoff_day),
         "display_channels": display.channels_table(m["channel_summary"]),
+        "display_channels_yearly": display.channels_yearly_table(m["channel_yearly"]),
+        "display_customers": display.customers_table(m["loyal_customers"]),
+        "display_weekday": display.weekday_table(m["weekday_calendar"]),
+        "display_recommendations": display.recommendations_table(
+            m["similar_items"].join(model.products.select("product_id", "name"), "product_id", "left")),
         "display_suppliers": display.suppliers_table(worst),
         "display_forecast": display.forecast_table(m["forecast"]),
         "display_returns": display.returns_table(m["returns_by_reason"]),

@@ -116,7 +116,7 @@ class StarModel(RetailModel):
         return self._t("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("variant_id"),
-            F.col("l_quantity").cast("bigint").alias("quantity"),
+            F.col("l_quantity").alias("quantity"),
             to_money("l_extendedprice").alias("line_total"),
         )
 
@@ -195,6 +195,18 @@ def bucketed_star_model(spark: SparkSession, sf_dir: str, buckets: int, base_pat
     return BucketedStarModel(spark, sf_dir, colocate_facts(spark, facts, buckets, base_path, prefix))
 
 
+def order_lines(model: RetailModel) -> DataFrame:
+    """Order lines with their order's attributes and the product id, without the product table."""
+    items = model.order_items
+    if model.variants is not None:
+        items = items.join(model.variants, "variant_id")
+    else:
+        items = items.withColumn("product_id", F.col("variant_id"))
+    orders = model.orders.select(F.col("id").alias("order_id"), "customer_id", "created_at",
+                                 "status", "channel")
+    return items.join(orders, "order_id")
+
+
 def sales_lines(model: RetailModel) -> DataFrame:
     """Order lines with their order and product attributes.
 
@@ -204,12 +216,4 @@ def sales_lines(model: RetailModel) -> DataFrame:
     product dimension join is left to AQE (broadcast when its measured size
     is under the threshold, shuffle otherwise).
     """
-    items = model.order_items
-    if model.variants is not None:
-        items = items.join(model.variants, "variant_id")
-    else:
-        items = items.withColumn("product_id", F.col("variant_id"))
-    orders = model.orders.select(F.col("id").alias("order_id"), "customer_id", "created_at",
-                                 "status", "channel")
-    return (items.join(orders, "order_id")
-            .join(model.products, "product_id"))
+    return order_lines(model).join(model.products, "product_id")

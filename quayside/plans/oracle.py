@@ -61,7 +61,7 @@ ORACLE["category_diversity"] = CATEGORY_DIVERSITY
 ORACLE["loyal_customers_top10"] = LOYAL_TOP
 
 ORACLE["loyal_top_category"] = f"""
-SELECT p.p_brand AS category, CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS total_items
+SELECT p.p_brand AS category, sum(l.l_quantity) AS total_items
 FROM lineitem l
 JOIN orders o ON o.o_orderkey = l.l_orderkey
 JOIN part p ON p.p_partkey = l.l_partkey
@@ -221,7 +221,7 @@ TRAIN_TAIL_FROM = _months_after(P.FORECAST_TRAIN_END, 1 - P.FORECAST_WINDOW)
 
 SALES_LINES = """
   SELECT o.o_custkey AS customer_id, o.o_orderdate AS created_at, l.l_partkey AS product_id,
-         p.p_name AS product_name, CAST(l.l_quantity AS BIGINT) AS quantity
+         p.p_name AS product_name, l.l_quantity AS quantity
   FROM lineitem l
   JOIN orders o ON o.o_orderkey = l.l_orderkey
   JOIN part p ON p.p_partkey = l.l_partkey"""
@@ -229,13 +229,13 @@ SALES_LINES = """
 DENSE = f"""
   WITH monthly AS (
     SELECT product_name, CAST(date_trunc('month', created_at) AS DATE) AS month,
-           CAST(sum(quantity) AS BIGINT) AS quantity
+           sum(quantity) AS quantity
     FROM ({SALES_LINES}) s WHERE created_at < TIMESTAMP '{TEST_BEFORE}' GROUP BY 1, 2),
   spine AS (
     SELECT product_name,
            CAST(unnest(generate_series(min(month), DATE '{TEST_LAST}', INTERVAL 1 MONTH)) AS DATE) AS month
     FROM monthly GROUP BY product_name HAVING min(month) <= DATE '{TEST_LAST}')
-  SELECT sp.product_name, sp.month, CAST(coalesce(m.quantity, 0) AS BIGINT) AS quantity
+  SELECT sp.product_name, sp.month, CAST(coalesce(m.quantity, 0) AS DOUBLE) AS quantity
   FROM spine sp LEFT JOIN monthly m USING (product_name, month)"""
 
 
@@ -270,7 +270,7 @@ ORACLE["forecast_metrics"] = f"""
 SELECT w.product_name, w.mae_walk_forward, w.total_actual, w.total_forecast, f.mae_fixed_origin,
        w.total_forecast - w.total_actual AS gap
 FROM (SELECT product_name, round(avg(abs_error), 6) AS mae_walk_forward,
-             CAST(sum(actual) AS BIGINT) AS total_actual, CAST(sum(forecast_rounded) AS BIGINT) AS total_forecast
+             sum(actual) AS total_actual, CAST(sum(forecast_rounded) AS BIGINT) AS total_forecast
       FROM ({WALK}) x GROUP BY 1) w
 LEFT JOIN (SELECT product_name, round(avg(abs_error), 6) AS mae_fixed_origin FROM ({FIXED}) y GROUP BY 1) f
 USING (product_name)"""
@@ -446,11 +446,10 @@ SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders"""
 
 ORACLE["status_conditional_sums"] = f"""
 SELECT o.o_orderpriority AS channel,
-       CAST(coalesce(sum(CAST(l.l_quantity AS BIGINT)) FILTER (WHERE o.o_orderstatus IN ({lit(P.BUSINESS_STATUSES)})), 0)
-            AS BIGINT) AS business_qty,
-       CAST(coalesce(sum(CAST(l.l_quantity AS BIGINT)) FILTER (WHERE o.o_orderstatus = 'P'), 0) AS BIGINT) AS pending_qty,
-       CAST(sum(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS total
-FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+       coalesce(sum(l.l_quantity) FILTER (WHERE o.o_orderstatus IN ({lit(P.BUSINESS_STATUSES)})), 0.0)::DOUBLE AS business_qty,
+       coalesce(sum(l.l_quantity) FILTER (WHERE o.o_orderstatus = 'P'), 0.0)::DOUBLE AS pending_qty,
+       sum(l.l_quantity) AS total
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 GROUP BY 1"""
 
 ORACLE["future_rows"] = f"""
@@ -504,7 +503,7 @@ FROM pos LEFT JOIN s USING (table_name, column_name)"""
 
 ORACLE["infer_schema"] = _infer_sql()
 
-_LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ORACLE["csv_roundtrip_load"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS raw_rows, (SELECT count(*) FROM {t}) AS loaded_rows, "
     f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, true AS ok" for t in _LOAD_TABLES)
@@ -608,17 +607,34 @@ SELECT channel, {_brl('revenue')} AS revenue, {_compact('revenue')} AS revenue_c
        {_brl('avg_ticket')} AS avg_ticket, {_pct('share')} AS share
 FROM ({ORACLE['channel_summary']}) s"""
 
+# what the report prints: label, share, orders, delay with its unit
 ORACLE["display_suppliers_ptbr"] = f"""
-SELECT row_number() OVER (ORDER BY on_time_rate ASC, orders DESC, supplier_id ASC) AS rank, label,
-       {_int('orders')} AS orders, {_pct('on_time_rate')} AS on_time, {_num('avg_late_days', 1)} AS avg_late_days
+SELECT label, {_pct('on_time_rate')} AS on_time, {_int('orders')} AS orders, {_num('avg_late_days', 1)} || ' dias' AS avg_late_days
 FROM ({ORACLE['supplier_punctuality']}) s"""
 
 ORACLE["display_forecast_ptbr"] = f"""
-SELECT product_name, strftime(month, '%m/%Y') AS month, {_int('actual')} AS actual,
-       {_num('forecast', 1)} AS forecast, {_int('forecast_rounded')} AS forecast_rounded,
-       {_num('abs_error', 1)} AS abs_error
+SELECT product_name, strftime(month, '%Y-%m') AS month, {_int('actual')} AS actual,
+       {_num('forecast', 2)} AS forecast, {_int('forecast_rounded')} AS forecast_rounded,
+       {_num('abs_error', 2)} AS abs_error
 FROM ({ORACLE['demand_forecast_product']}) f"""
 
+ORACLE["display_channels_yearly_ptbr"] = f"""
+SELECT CAST(year AS VARCHAR) AS year, {", ".join(f"{_brl(_channel_col(ch))} AS {_channel_col(ch)}" for ch in P.CHANNELS)}
+FROM ({ORACLE['channel_yearly_pivot']}) y"""
+
+ORACLE["display_customers_ptbr"] = f"""
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, {_brl('avg_ticket')} AS avg_ticket, {_int('frequency')} AS orders,
+       {_int('category_diversity')} AS categories
+FROM ({ORACLE['loyal_customers_top10']}) t"""
+
+ORACLE["display_weekday_ptbr"] = f"""
+SELECT weekday_name, {_brl('avg_sale')} AS avg_sale, {_int('days')} AS days FROM ({ORACLE['weekday_sales_calendar']}) w"""
+
+ORACLE["display_recommendations_ptbr"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY similarity DESC, product_id ASC) AS VARCHAR) AS position, name,
+       replace(format('{{:.6f}}', similarity), '.', ',') AS similarity
+FROM ({ORACLE['item_similarity_topk']}) s"""
+
 ORACLE["display_returns_ptbr"] = f"""
 SELECT reason, {_int('returns')} AS returns, {_brl('refund')} AS refund FROM ({ORACLE['return_reasons']}) r"""
 

@@ -17,11 +17,11 @@ from ..functions.dates import add_months, month_floor, not_after
 from ..functions.money import to_money
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
-from ..sources.tables import TABLES, read_table
+from ..sources.tables import TABLES, read_table, table_path
 from ..streaming import incremental
 from . import display, marts
 from . import params as P
-from .model import sales_lines, star_model
+from .model import order_lines, sales_lines, star_model
 from .output import as_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,7 +222,7 @@ def q_product_sale_span(spark, sf_dir):
 
 def _interactions(spark, sf_dir):
     model = star_model(spark, sf_dir)
-    return model, similarity.interactions(sales_lines(model))
+    return model, marts.materialize(similarity.interactions(order_lines(model)), "interactions")
 
 
 @register("item_similarity_topk")
@@ -389,7 +389,7 @@ def q_distinct_status_values(spark, sf_dir):
 
 @register("status_conditional_sums")
 def q_status_conditional_sums(spark, sf_dir):
-    lines = sales_lines(star_model(spark, sf_dir))
+    lines = order_lines(star_model(spark, sf_dir))
     groups = {"business_qty": F.col("status").isin(list(P.BUSINESS_STATUSES)),
               "pending_qty": F.col("status") == "P"}
     return profile.conditional_sums(lines, "channel", "quantity", groups)
@@ -411,7 +411,7 @@ def q_infer_schema(spark, sf_dir):
 
 # --- A: CSV ingest round trip (export -> discover -> count -> infer -> typed load) ----------
 
-LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 @register("csv_roundtrip_load")
@@ -441,7 +441,27 @@ def q_display_channels_ptbr(spark, sf_dir):
 def q_display_suppliers_ptbr(spark, sf_dir):
     model, done = _completed_pos(spark, sf_dir)
     worst = suppliers.worst_suppliers(suppliers.supplier_scores(done, model.suppliers), P.WORST_SUPPLIERS)
-    return display.suppliers_table(worst).withColumn("rank", F.col("rank").cast("bigint"))
+    return display.suppliers_table(worst)
+
+
+@register("display_channels_yearly_ptbr")
+def q_display_channels_yearly_ptbr(spark, sf_dir):
+    return display.channels_yearly_table(QUERIES["channel_yearly_pivot"](spark, sf_dir))
+
+
+@register("display_customers_ptbr")
+def q_display_customers_ptbr(spark, sf_dir):
+    return display.customers_table(QUERIES["loyal_customers_top10"](spark, sf_dir))
+
+
+@register("display_weekday_ptbr")
+def q_display_weekday_ptbr(spark, sf_dir):
+    return display.weekday_table(QUERIES["weekday_sales_calendar"](spark, sf_dir))
+
+
+@register("display_recommendations_ptbr")
+def q_display_recommendations_ptbr(spark, sf_dir):
+    return display.recommendations_table(QUERIES["item_similarity_topk"](spark, sf_dir))
 
 
 @register("display_forecast_ptbr")
@@ -457,8 +477,8 @@ def q_display_returns_ptbr(spark, sf_dir):
 
 @register("mart_fingerprints")
 def q_mart_fingerprints(spark, sf_dir):
-    """Order-insensitive content hash per mart (determinism check; no SQL twin for xxhash64)."""
-    return marts.mart_fingerprints(marts.build_marts(star_model(spark, sf_dir)))
+    """Order-insensitive content hash per mart (determinism check)."""
+    return as_output(marts.mart_fingerprints(marts.build_marts(star_model(spark, sf_dir))))
 
 
 # --- streaming: incremental daily sales per channel ------------------------------------------
@@ -467,7 +487,7 @@ def _streamed_partials(spark, sf_dir) -> str:
     """Run the incremental job over the orders file (availableNow); returns the partials folder."""
     base = csv_ingest.scratch_dir(spark, "stream-daily")
     schema = _t(spark, sf_dir, "orders").schema
-    stream = incremental.order_stream(spark, sf_dir, schema, glob="orders.parquet").select(
+    stream = incremental.order_stream(spark, table_path(sf_dir, "orders"), schema).select(
         F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("channel"),
         F.col("o_totalprice").alias("total"))
     incremental.daily_partials_stream(stream, f"{base}/partials", f"{base}/checkpoint").awaitTermination()

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .infer import infer_catalogue_many
-from .tables import spread_if_narrow
 
 # Fixed reader options (COPY-like): a sentinel null token means only the
 # unquoted empty cell becomes NULL, while a quoted "" reads as ''.
@@ -31,7 +30,7 @@ CSV_READ_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote
                     "timestampNTZFormat": "yyyy-M-d H:m:s", "dateFormat": "yyyy-M-d"}
 # Writing: null -> unquoted empty, '' -> quoted "", zero-padded dates.
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "sep": ",",
-                     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "dateFormat": "yyyy-MM-dd"}
+                     "dateFormat": "yyyy-MM-dd"}
 
 
 def _reader(spark: SparkSession):
@@ -42,15 +41,16 @@ def _reader(spark: SparkSession):
 
 
 def discover_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """(table_name, path, bytes) of every ``*.csv`` in ``directory``, sorted by name.
+    """(table_name, path, bytes, file_path) of every ``*.csv`` in ``directory``, sorted by name.
 
     Uses the ``binaryFile`` source with only path/length selected, so file
-    contents are not read.
+    contents are not read. ``file_path`` is the path as every reader's
+    metadata spells it (percent-encoded), for joins with other reads.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory)
-             .select("path", F.col("length").alias("bytes")))
+             .select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("file_path")))
     name = F.regexp_extract(F.col("path"), r"([^/]+)\.csv$", 1)
-    return files.select(name.alias("table_name"), "path", "bytes").orderBy("table_name")
+    return files.select(name.alias("table_name"), "path", "bytes", "file_path").orderBy("table_name")
 
 
 def require_columns(df: DataFrame, expected, source: str) -> None:
@@ -103,14 +103,14 @@ def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None,
 def count_raw_records(spark: SparkSession, files: DataFrame, pattern: str) -> DataFrame:
     """(table_name, raw_rows): CSV records per file, quoted newlines not counted.
 
-    ``pattern`` globs the same files as ``files``. One multiLine parse per
+    ``pattern`` globs the same files as ``files`` (of :func:`discover_csv`). One multiLine parse per
     file, grouped by the source file; header-only files count 0 through the
     left join from the file list.
     """
     rows = (_reader(spark).option("inferSchema", "false").option("pathGlobFilter", "*.csv").csv(pattern)
-            .select(F.col("_metadata.file_path").alias("path"))
-            .groupBy("path").agg(F.count("*").alias("n")))
-    return (files.join(rows, "path", "left")
+            .select(F.col("_metadata.file_path").alias("file_path"))
+            .groupBy("file_path").agg(F.count("*").alias("n")))
+    return (files.join(rows, "file_path", "left")
             .select("table_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("raw_rows")))
 
 
@@ -169,8 +169,13 @@ def schemas_from_catalogue(catalogue: DataFrame) -> dict:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Write a table as one CSV folder with the loader's conventions."""
-    w = spread_if_narrow(df).write.mode("errorifexists")
+    """Write a table as one CSV folder with the loader's conventions.
+
+    Timestamps are written as Spark casts them to text: seconds, and the
+    fraction only where there is one, so no microsecond is lost.
+    """
+    df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t.startswith("timestamp") else F.col(f"`{c}`") for c, t in df.dtypes])
+    w = df.write.mode("errorifexists")
     for k, v in CSV_WRITE_OPTIONS.items():
         w = w.option(k, v)
     w.csv(path)

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE
-from .tables import spread_if_narrow
 
 # ---------------------------------------------------------------------------
 # Fixed values of the inference rules.
@@ -117,9 +116,11 @@ def _ladder(s: str) -> Column:
 
 def _spark_type(s: str, inferred: Column) -> Column:
     st = lambda f: F.col(f"{s}.{f}")
-    scale = F.least(st("frac_digits"), F.lit(18))
-    precision = F.least(F.greatest(st("int_digits") + scale, scale + 1, F.lit(1)), F.lit(38))
-    numeric = F.when(st("needs_double"), "double").otherwise(F.format_string("decimal(%d,%d)", precision, scale))
+    scale = st("frac_digits")
+    precision = F.greatest(st("int_digits") + scale, scale + 1, F.lit(1))
+    # no decimal holds more than 38 digits: such a column stays text, so that no digit is lost
+    numeric = (F.when(st("needs_double"), "double").when(precision > 38, "string")
+               .otherwise(F.format_string("decimal(%d,%d)", precision, scale)))
     return (F.when(inferred == "boolean", "boolean").when(inferred == "timestamp", "timestamp_ntz")
             .when(inferred == "date", "date").when(inferred == "integer", "int")
             .when(inferred == "bigint", "bigint").when(inferred == "numeric", numeric).otherwise("string"))
@@ -127,7 +128,6 @@ def _spark_type(s: str, inferred: Column) -> Column:
 
 def _cells(raw: DataFrame, table_name: str) -> DataFrame:
     cols = raw.columns
-    raw = spread_if_narrow(raw)
     cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
                                 for i, c in enumerate(cols)])).alias("cell")
     return raw.select(F.lit(table_name).alias("table_name"), cells).select("table_name", "cell.position", "cell.value")

@@ -38,21 +38,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin the rows only when the input has fewer partitions than cores.
-
-    Only used before CPU-heavy per-row work (regex tests on every cell, CSV
-    encoding) that would otherwise be fused into the scan stage. It is a
-    no-op whenever the input has at least as many splits as the cluster
-    has cores (any multi-TB table), so it adds no shuffle there. A medium
-    table with few splits pays one round-robin shuffle, which per-cell
-    regex work repays; a single-split input (one file, one row group)
-    would otherwise run on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose every table as a temp view (for ``spark.sql`` paths)."""
     for name in names:

@@ -27,7 +27,15 @@ from ..functions.money import to_money
 
 def order_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files arriving in ``directory`` as a stream (explicit schema)."""
+    """Parquet files arriving at ``directory`` as a stream (explicit schema).
+
+    ``directory`` is a folder of part files or a single file. It is passed as
+    a pattern that matches only itself, because the file source takes plain
+    paths of folders only.
+    """
+    directory = directory.rstrip("/")
+    if not set("*?[{") & set(directory):
+        directory = f"{directory[:-1]}[{directory[-1]}]"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

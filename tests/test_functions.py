@@ -43,13 +43,6 @@ def test_normalize_text(spark):
     assert got == ["produto com defeito de fabrica", "item nao corresponde a descricao", None]
 
 
-def test_normalize_matches_exact_udf_on_latin(spark):
-    rows = [("ÀÉÎÕÜ çñ ÿ",), ("Ação  Órgão x",)]
-    df = spark.createDataFrame(rows, "s string")
-    got = df.select(text.normalize_text("s").alias("a"), text.normalize_text_exact("s").alias("b")).collect()
-    assert all(r["a"] == r["b"] for r in got)
-
-
 def test_every_spelling_maps(spark):
     df = spark.createDataFrame([(k.upper(),) for k in text.REASON_LABELS], "reason string")
     out = text.clean_reason(df, "reason").select("reason", "reason_clean").collect()
