@@ -74,8 +74,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, partitions: int | None = Non
     ensure_checkpoint_dir(spark)
     values = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
               .groupBy("x").agg(F.count("*").alias("c")))
-    parts = partitions or max(spark.sparkContext.defaultParallelism, 2)
-    ranged = values.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    dealt = values.repartitionByRange(partitions, "x") if partitions else values.repartitionByRange("x")
+    ranged = dealt.withColumn("part", F.spark_partition_id()).checkpoint()
     totals = ranged.groupBy("part").agg(F.sum("c").alias("pc"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     offsets = totals.select("part", F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
@@ -165,8 +165,8 @@ def profile_report(df: DataFrame, ts: str, amount: str, key, category_cols, cuto
 
     Rows, columns, date range, amount min/max/mean, non-positive amounts,
     null cells, rows after the cutoff, duplicate keys, and the sorted value
-    list of each low-cardinality column in ``category_cols`` (these are
-    collected per task as sets, so only pass columns with few values).
+    list of each low-cardinality column in ``category_cols``: one row for
+    every value, from a distinct over all tasks.
     """
     money = to_money(amount)
     key = [key] if isinstance(key, str) else list(key)
@@ -177,7 +177,6 @@ def profile_report(df: DataFrame, ts: str, amount: str, key, category_cols, cuto
             F.count_if(money <= 0).alias("nonpositive_amounts"),
             sum(F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns).alias("null_cells"),
             F.count_if(after(F.col(ts), cutoff_day)).alias("future_rows")]
-    aggs += [F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"values_{c}") for c in category_cols]
     dup = duplicate_keys_count(df, key)
     one = df.agg(*aggs).withColumn("amount_mean", mean_half_up(F.col("_sum"), F.col("_n")))
     num = lambda name, c: F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value_num"),
@@ -190,8 +189,11 @@ def profile_report(df: DataFrame, ts: str, amount: str, key, category_cols, cuto
             num("amount_mean", F.col("amount_mean")), num("nonpositive_amounts", F.col("nonpositive_amounts")),
             num("null_cells", F.col("null_cells")), num("future_rows", F.col("future_rows")),
             num("duplicate_keys", dup)]
-    rows += [txt(f"values_{c}", F.col(f"values_{c}")) for c in category_cols]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    report = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    for c in category_cols:
+        values = df.select(F.col(c).cast("string").alias("value_text")).where(F.col("value_text").isNotNull()).distinct()
+        report = report.unionByName(values.select(F.lit(f"value_{c}").alias("metric"), F.lit(None).cast("double").alias("value_num"), "value_text"))
+    return report
 
 
 def duplicate_keys_count(df: DataFrame, key) -> Column:

@@ -72,6 +72,20 @@ def reconcile(left: DataFrame, right: DataFrame, key, value: str, check_name: st
                  F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0)).alias("max_abs_diff")
                  ).select(F.lit(check_name).alias("check_name"), "*")
 
+def same_ordered_list(left: DataFrame, right: DataFrame, position: str, check_name: str) -> DataFrame:
+    """(check_name, n_left, n_right, n_different, equal): do both hold the same rows at the same positions?
+
+    ``position`` is a column of both (1, 2, ...), so the comparison is a
+    full outer join, not a sort on the driver.
+    """
+    columns = [c for c in left.columns if c != position]
+    a = left.select(position, F.struct(*columns).alias("_a"))
+    b = right.select(position, F.struct(*columns).alias("_b"))
+    return (a.join(b, position, "full_outer")
+            .agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"),
+                 F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"))
+            .select(F.lit(check_name).alias("check_name"), "*", (F.col("n_different") == 0).alias("equal")))
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Order-insensitive fingerprint: (rows, sum of xxhash64 over all columns).
 

@@ -46,7 +46,8 @@ def similar_items(inter: DataFrame, reference: Column, k: int | None = 5) -> Dat
     """product_id, overlap, buyers, similarity vs the reference item.
 
     Every interacted item except the reference is a candidate (zero overlap
-    scores 0). Total order: similarity desc, product id asc.
+    scores 0). A reference without buyers raises when the frame runs. Total
+    order: similarity desc, product id asc.
     """
     ref_buyers = inter.where(F.col("product_id") == reference).select("customer_id")
     overlap = (inter.join(ref_buyers, "customer_id", "left_semi")
@@ -56,7 +57,8 @@ def similar_items(inter: DataFrame, reference: Column, k: int | None = 5) -> Dat
     scored = (sizes.where(F.col("product_id") != reference)
               .join(overlap, "product_id", "left")
               .select("product_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), "buyers")
-              .withColumn("similarity", F.col("overlap") / F.sqrt(n_ref * F.col("buyers"))))
+              .withColumn("similarity", F.when(n_ref.isNull(), F.raise_error(F.lit("the reference item has no buyers")).cast("double"))
+                          .otherwise(F.col("overlap") / F.sqrt(n_ref * F.col("buyers")))))
     ranked = scored.orderBy(F.col("similarity").desc(), F.col("product_id").asc())
     return ranked.limit(k) if k else ranked
 

@@ -32,13 +32,26 @@ def completed_orders(purchase_orders: DataFrame, receipts: DataFrame, cutoff_day
     # order before the shuffle); the inner join below keeps eligible orders
     rec = (receipts.where(not_after(F.col("received_at"), cutoff_day))
            .groupBy(*keys).agg(F.max("received_at").alias("completed_at")))
+    return with_delay(pos.join(rec, keys), keys)
+
+
+def with_delay(completed: DataFrame, keys) -> DataFrame:
+    """Delay and punctuality of orders with their last receipt and promised date (both not null)."""
     delay = F.date_diff(F.to_date("completed_at"), F.to_date("expected_delivery_at"))
-    return (pos.join(rec, keys)
-            .select(*keys, "supplier_id", "completed_at", "expected_delivery_at",
-                    delay.alias("delay_days"))
+    extra = [k for k in keys if k != "supplier_id"]
+    return (completed.where(F.col("completed_at").isNotNull() & F.col("expected_delivery_at").isNotNull())
+            .select(*extra, "supplier_id", "completed_at", "expected_delivery_at", delay.alias("delay_days"))
             .withColumn("on_time", F.col("delay_days") <= 0))
 
 
+def completed_orders_of(model, cutoff_day: str | dt.date) -> DataFrame:
+    """Completed orders of a model: from its one-pass form where it has one, else by joining orders and receipts."""
+    one_pass = getattr(model, "received_orders", None)
+    if one_pass is not None:
+        return with_delay(one_pass(cutoff_day), model.po_keys)
+    return completed_orders(model.purchase_orders, model.receipts, cutoff_day, keys=model.po_keys)
+
+
 def _late_mean(delay: str = "delay_days"):
     return F.coalesce(F.avg(F.when(F.col(delay) > 0, F.col(delay))), F.lit(0.0))
 

@@ -55,7 +55,7 @@ def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY,
     cal = calendar.sales_calendar(model.orders, cutoff_day, where=F.col("channel") == P.POS_CHANNEL)
     business = channels.business_orders(model.orders, P.BUSINESS_STATUSES, cutoff_day)
     monthly = channels.channel_monthly(business)
-    done = suppliers.completed_orders(model.purchase_orders, model.receipts, cutoff_day, keys=model.po_keys)
+    done = suppliers.completed_orders_of(model, cutoff_day)
     named = lines.withColumnRenamed("name", "product_name")
     last = add_months(month_floor(P.FORECAST_TRAIN_END), P.FORECAST_TEST_MONTHS)
     dense = forecast.dense_months(forecast.monthly_demand(named, "product_name", before=add_months(last, 1)),

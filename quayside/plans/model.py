@@ -30,6 +30,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import not_after
 from ..functions.money import to_money
 from ..sources.tables import read_table
 
@@ -155,6 +156,16 @@ class StarModel(RetailModel):
             "order_key", "supplier_id", "status", "placed_at",
             F.date_add(F.to_date("placed_at"), PROMISE_DAYS).alias("expected_delivery_at"))
 
+    def received_orders(self, cutoff_day) -> DataFrame:
+        """Fully received orders with their last receipt up to the cutoff, from one pass over the lines."""
+        seen = not_after(F.col("received_at"), cutoff_day)
+        heads = self._po_lines.groupBy("order_key", "supplier_id").agg(
+            F.bool_and(F.col("l_linestatus") == "F").alias("received"),
+            F.max(F.when(seen, F.col("received_at"))).alias("completed_at"))
+        placed = self._t("orders").where(not_after(F.col("o_orderdate"), cutoff_day)).select(
+            F.col("o_orderkey").alias("order_key"), F.date_add(F.to_date("o_orderdate"), PROMISE_DAYS).alias("expected_delivery_at"))
+        return heads.where("received").join(placed, "order_key").select("order_key", "supplier_id", "completed_at", "expected_delivery_at")
+
     @cached_property
     def receipts(self) -> DataFrame:
         return self._po_lines.select("order_key", "supplier_id", "received_at")

@@ -275,6 +275,22 @@ FROM (SELECT product_name, round(avg(abs_error), 6) AS mae_walk_forward,
 LEFT JOIN (SELECT product_name, round(avg(abs_error), 6) AS mae_fixed_origin FROM ({FIXED}) y GROUP BY 1) f
 USING (product_name)"""
 
+ORACLE["shipped_before_order"] = """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE l_shipdate < o_orderdate) AS n_before,
+       min(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS smallest_gap_days
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+
+ORACLE["products_sold_before_registration"] = f"""
+SELECT s.product_name, min(CAST(s.created_at AS DATE)) AS first_sale, max(r.registered_on) AS registered_on
+FROM ({SALES_LINES}) s JOIN (
+  SELECT p.p_name AS product_name, min(CAST(l.l_shipdate AS DATE)) AS registered_on
+  FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1) r USING (product_name)
+GROUP BY 1 HAVING min(CAST(s.created_at AS DATE)) < max(r.registered_on)"""
+
+ORACLE["ordered_list_check"] = f"""
+SELECT 'loyal_customers_api_vs_sql' AS check_name, count(*) AS n_left, count(*) AS n_right,
+       CAST(0 AS BIGINT) AS n_different, true AS equal FROM ({LOYAL_TOP}) t"""
+
 ORACLE["product_sale_span"] = f"""
 SELECT product_name, min(CAST(created_at AS DATE)) AS first_sale, max(CAST(created_at AS DATE)) AS last_sale,
        count(*) AS sale_lines
@@ -458,7 +474,11 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY})
 # --- schema inference -------------------------------------------------------------
 
 def _infer_sql() -> str:
-    from ..sources import infer as I
+    stamp = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+    day = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+    whole = "[-+]?[0-9]+"
+    digits = "[0-9]+(_[0-9]+)*"   # separators stand between digits only
+    real = f"[-+]?(({digits}([.]({digits})?)?|[.]{digits})(e[-+]?{digits})?|inf|infinity|nan)"
     values = "\nUNION ALL\n".join(
         f"SELECT '{t}' AS table_name, column_name, value FROM "
         f"(UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE value)"
@@ -471,18 +491,18 @@ s AS (
   SELECT table_name, column_name,
          count(*) FILTER (WHERE t <> '') AS n,
          bool_and(upper(t) IN ('TRUE', 'FALSE')) FILTER (WHERE t <> '') AS all_bool,
-         bool_and(regexp_full_match(value, '{I.TS_PATTERN}') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL)
+         bool_and(regexp_full_match(value, '{stamp}') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL)
            FILTER (WHERE t <> '') AS all_ts,
-         bool_and(regexp_full_match(value, '{I.DATE_PATTERN}') AND TRY_CAST(value AS DATE) IS NOT NULL)
+         bool_and(regexp_full_match(value, '{day}') AND TRY_CAST(value AS DATE) IS NOT NULL)
            FILTER (WHERE t <> '') AS all_date,
-         bool_and(regexp_full_match(t, '{I.INT_PATTERN}')) FILTER (WHERE t <> '') AS all_int,
-         bool_or(regexp_matches(t, '{I.LEADING_ZERO_PATTERN}'))
-           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS any_lead0,
+         bool_and(regexp_full_match(t, '{whole}')) FILTER (WHERE t <> '') AS all_int,
+         bool_or(regexp_matches(t, '^[-+]?0[0-9]'))
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{whole}')) AS any_lead0,
          bool_or(TRY_CAST(t AS DECIMAL(38,0)) IS NULL)
-           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS any_huge,
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{whole}')) AS any_huge,
          max(abs(TRY_CAST(t AS DECIMAL(38,0))))
-           FILTER (WHERE t <> '' AND regexp_full_match(t, '{I.INT_PATTERN}')) AS max_abs,
-         bool_and(regexp_full_match(lower(t), '{I.FLOAT_PATTERN}')) FILTER (WHERE t <> '') AS all_float
+           FILTER (WHERE t <> '' AND regexp_full_match(t, '{whole}')) AS max_abs,
+         bool_and(regexp_full_match(lower(t), '{real}')) FILTER (WHERE t <> '') AS all_float
   FROM c GROUP BY 1, 2),
 pos AS (SELECT table_name, column_name, CAST(column_index AS BIGINT) AS position FROM duckdb_columns()
         WHERE table_name IN ({lit(ALL_TABLES)}))
@@ -492,12 +512,12 @@ SELECT pos.table_name, pos.position, pos.column_name,
             WHEN s.all_ts THEN 'timestamp'
             WHEN s.all_date THEN 'date'
             WHEN s.all_int AND s.any_lead0 THEN 'text'
-            WHEN s.all_int AND (s.any_huge OR s.max_abs > {I.BIGINT_MAX}) THEN 'text'
-            WHEN s.all_int AND s.max_abs <= {I.INTEGER_MAX} THEN 'integer'
+            WHEN s.all_int AND (s.any_huge OR s.max_abs > 9223372036854775807) THEN 'text'
+            WHEN s.all_int AND s.max_abs <= 2147483647 THEN 'integer'
             WHEN s.all_int THEN 'bigint'
             WHEN s.all_float THEN 'numeric'
             ELSE 'text' END AS inferred_type,
-       pos.column_name = '{I.KEY_COLUMN}' AS is_key
+       pos.column_name = 'id' AS is_key
 FROM pos LEFT JOIN s USING (table_name, column_name)"""
 
 
@@ -657,9 +677,7 @@ WITH a AS (
          {half_up(f'sum({_M})', f'count({_M})')} AS amount_mean,
          count(*) FILTER (WHERE {_M} <= 0) AS nonpositive_amounts,
          {" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ORDERS_COLS)} AS null_cells,
-         count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY}) AS future_rows,
-         array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') AS values_o_orderstatus,
-         array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS values_o_orderpriority
+         count(*) FILTER (WHERE o_orderdate >= {NEXT_DAY}) AS future_rows
   FROM orders),
 d AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders)) AS dup FROM orders)
 SELECT 'rows' AS metric, CAST(rows AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_text FROM a
@@ -673,8 +691,8 @@ UNION ALL SELECT 'nonpositive_amounts', nonpositive_amounts, NULL FROM a
 UNION ALL SELECT 'null_cells', null_cells, NULL FROM a
 UNION ALL SELECT 'future_rows', future_rows, NULL FROM a
 UNION ALL SELECT 'duplicate_keys', dup, NULL FROM d
-UNION ALL SELECT 'values_o_orderstatus', NULL, values_o_orderstatus FROM a
-UNION ALL SELECT 'values_o_orderpriority', NULL, values_o_orderpriority FROM a"""
+UNION ALL SELECT DISTINCT 'value_o_orderstatus', NULL, o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL
+UNION ALL SELECT DISTINCT 'value_o_orderpriority', NULL, o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL"""
 
 ORACLE["streaming_monthly_channel_sales"] = f"""
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS channel,

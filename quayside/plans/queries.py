@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_months, month_floor, not_after
@@ -136,8 +136,7 @@ def q_return_reasons(spark, sf_dir):
 
 def _completed_pos(spark, sf_dir):
     model = star_model(spark, sf_dir)
-    return model, suppliers.completed_orders(model.purchase_orders, model.receipts, P.CUTOFF_DAY,
-                                             keys=model.po_keys)
+    return model, suppliers.completed_orders_of(model, P.CUTOFF_DAY)
 
 
 @register("supplier_punctuality")
@@ -212,6 +211,43 @@ def q_forecast_metrics(spark, sf_dir):
     return forecast.forecast_metrics(frame, key="product_name")
 
 
+@register("shipped_before_order")
+def q_shipped_before_order(spark, sf_dir):
+    """Lines whose shipment precedes their order (a date-order audit over all lines)."""
+    lines = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.agg(F.count("*").alias("n_lines"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("n_before"),
+                     F.min(F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))).cast("bigint").alias("smallest_gap_days"))
+
+
+@register("products_sold_before_registration")
+def q_products_sold_before_registration(spark, sf_dir):
+    """J10: products first ordered before their first shipment, which stands for the registration date."""
+    model = star_model(spark, sf_dir)
+    span = forecast.sale_span(sales_lines(model).withColumnRenamed("name", "product_name"), key="product_name")
+    registry = (_t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+                .groupBy(F.col("p_name").alias("product_name")).agg(F.min("l_shipdate").alias("created_at")))
+    return forecast.sold_before_registration(span, registry, key="product_name").select("product_name", "first_sale", "registered_on")
+
+
+@register("ordered_list_check")
+def q_ordered_list_check(spark, sf_dir):
+    """H3: the loyal top list, row by row in order, from the DataFrame operators and from SQL."""
+    top = _loyal_top(spark, sf_dir)
+    position = F.row_number().over(Window.orderBy(F.col("avg_ticket").desc(), F.col("customer_id").asc()))   # at most 10 rows
+    api = top.select("customer_id", "frequency", "category_diversity", position.alias("position"))
+    model = star_model(spark, sf_dir)
+    by_sql = spark.sql(
+        "SELECT customer_id, frequency, category_diversity, CAST(row_number() OVER (ORDER BY avg_ticket DESC, customer_id) AS INT) AS position FROM ("
+        " SELECT m.customer_id, m.frequency, d.category_diversity, round(m.revenue / m.frequency, 2) AS avg_ticket"
+        " FROM (SELECT customer_id, sum(total) AS revenue, count(id) AS frequency FROM {orders} GROUP BY customer_id) m"
+        " JOIN (SELECT o.customer_id, count(DISTINCT p.category) AS category_diversity FROM {items} i"
+        "       JOIN {orders} o ON o.id = i.order_id JOIN {products} p ON p.product_id = i.variant_id GROUP BY o.customer_id) d"
+        " ON d.customer_id = m.customer_id WHERE d.category_diversity >= {least}"
+        " ORDER BY avg_ticket DESC, customer_id LIMIT {k})",
+        orders=model.orders, items=model.order_items, products=model.products, least=P.MIN_CATEGORIES, k=P.TOP_CUSTOMERS)
+    return quality.same_ordered_list(api, by_sql, "position", "loyal_customers_api_vs_sql")
+
+
 @register("product_sale_span")
 def q_product_sale_span(spark, sf_dir):
     lines = sales_lines(star_model(spark, sf_dir)).withColumnRenamed("name", "product_name")

@@ -6,21 +6,22 @@ name = file stem), header row, ``,`` delimiter, UTF-8, columns matched by
 ``""`` stays an empty string), a malformed row fails the load, and a load
 never writes into a non-empty target.
 
-Scale notes: ``multiLine`` CSV is not splittable (one task per file), so
-raw CSV is read once — to infer and to convert to Parquet — and every
-later job reads the Parquet copy.
+Scale notes: ``multiLine`` CSV is not splittable (one task per file), so the
+round trip parses raw CSV once, to a Parquet copy as text, and infers,
+casts and counts from that copy.
 """
 
 from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .infer import infer_catalogue_many
+from .infer import infer_catalogue_many, strip
 
 # Fixed reader options (COPY-like): a sentinel null token means only the
 # unquoted empty cell becomes NULL, while a quoted "" reads as ''.
@@ -74,30 +75,47 @@ def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None,
                    null_tokens=None) -> DataFrame:
     """Typed read with columns matched by name.
 
-    ``schema`` maps column -> Spark SQL type. A user schema is applied by
-    position, so it is first reordered to the file's header order; the
-    reader then checks the header against it (``enforceSchema=false``) and
-    a malformed row fails the job (``FAILFAST``). ``columns`` projects
-    (Catalyst prunes the parse).
+    ``schema`` maps column -> Spark SQL type. The file is read as text in its
+    header's order (a malformed row fails the job), then every column is
+    cast strictly by the rules of :func:`typed_value`, so whatever inference
+    typed also loads. ``columns`` projects (Catalyst prunes the parse).
 
     ``null_tokens`` (e.g. ``("NA", "N/A", "null")``) are read as NULL in
-    addition to the unquoted empty cell: the file is read as text, the
-    tokens are nulled, then each column is cast strictly (ANSI: a bad value
-    fails the job, as FAILFAST does).
+    addition to the unquoted empty cell.
     """
     header = header_columns(spark, path)
     unknown = [c for c in header if c not in schema]
     if unknown:
         raise ValueError(f"{path}: header columns without a type: {unknown}")
-    if null_tokens:
-        text = read_csv_text(spark, path).select(*[F.col(f"`{c}`") for c in header])
-        typed = text.select(*[F.when(F.col(f"`{c}`").isin(list(null_tokens)), F.lit(None))
-                              .otherwise(F.col(f"`{c}`")).cast(schema[c]).alias(c) for c in header])
-        return typed.select(*(columns or list(schema)))
-    ddl = ", ".join(f"`{c}` {schema[c]}" for c in header)
-    df = (_reader(spark).option("enforceSchema", "false").option("mode", "FAILFAST")
-          .schema(ddl).csv(path))
-    return df.select(*(columns or list(schema)))
+    ddl = ", ".join(f"`{c}` string" for c in header)
+    text = _reader(spark).option("enforceSchema", "false").option("mode", "FAILFAST").schema(ddl).csv(path)
+    return typed_columns(text, schema, columns, null_tokens)
+
+
+def typed_value(cell: Column, spark_type: str) -> Column:
+    """Text to a type by the rules that the inference ladder used, strictly: a bad value fails the job.
+
+    Blank cells of a typed column are null; text columns keep every character.
+    """
+    if spark_type == "string":
+        return cell
+    t = F.nullif(strip(cell), F.lit(""))
+    if spark_type == "double":
+        low = F.lower(t)
+        bare = F.ltrim(low, F.lit("+-"))
+        endless = F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+        number = F.replace(t, F.lit("_"), F.lit("")).cast("double")
+        return F.when(bare == "nan", F.lit(float("nan"))).when(bare.isin("inf", "infinity"), endless).otherwise(number)
+    return t.cast(spark_type)
+
+
+def typed_columns(text: DataFrame, schema: dict, columns=None, null_tokens=None) -> DataFrame:
+    """The typed form of a frame of text columns, matched by name."""
+    cells = {}
+    for c in text.columns:
+        cell = F.col(f"`{c}`")
+        cells[c] = F.when(cell.isin(list(null_tokens)), F.lit(None)).otherwise(cell) if null_tokens else cell
+    return text.select(*[typed_value(cells[c], schema[c]).alias(c) for c in (columns or schema)])
 
 
 def count_raw_records(spark: SparkSession, files: DataFrame, pattern: str) -> DataFrame:
@@ -189,20 +207,36 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
 def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
     """Export tables to CSV, infer types from the text, load typed Parquet, compare counts.
 
-    (table_name, raw_rows, loaded_rows, n_columns, ok). Exercises the whole
-    ingest path: discovery, record counts, inference, typed FAILFAST load.
+    (table_name, raw_rows, loaded_rows, n_columns, ok). The raw text is parsed
+    once, to a Parquet copy as text; inference, the strict typed load and the counts read that copy.
     """
     base = scratch_dir(spark, "csv-roundtrip")
     with ThreadPoolExecutor(max_workers=4) as pool:
         for future in [pool.submit(export_csv, df, f"{base}/raw/{name}.csv") for name, df in tables.items()]:
             future.result()
-    files = discover_csv(spark, f"{base}/raw/*")
-    files = files.withColumn("table_name", F.regexp_extract("path", r"/raw/([^/]+)\.csv/", 1))
-    text = {name: read_csv_text(spark, f"{base}/raw/{name}.csv") for name in tables}
+    def as_text(name: str) -> None:
+        read_csv_text(spark, f"{base}/raw/{name}.csv").write.mode("errorifexists").parquet(f"{base}/text/{name}")
+
+    # raw CSV is parsed once; types, typed tables and record counts come from its splittable text copy
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for future in [pool.submit(as_text, name) for name in tables]:
+            future.result()
+    text = {name: spark.read.parquet(f"{base}/text/{name}") for name in tables}
     schemas = schemas_from_catalogue(infer_catalogue_many(text))
-    loaded = load_tables(spark, {n: f"{base}/raw/{n}.csv" for n in tables}, f"{base}/parquet", schemas)
-    raw = (count_raw_records(spark, files, f"{base}/raw/*")
-           .groupBy("table_name").agg(F.sum("raw_rows").alias("raw_rows")))
+
+    def load(name: str) -> None:
+        typed_columns(text[name], schemas[name]).write.mode("errorifexists").parquet(f"{base}/parquet/{name}")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for future in [pool.submit(load, name) for name in tables]:
+            future.result()
+
+    def counts(frames: dict, column: str) -> DataFrame:
+        parts = [df.agg(F.count("*").alias(column)).select(F.lit(n).alias("table_name"), column) for n, df in frames.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    raw = counts(text, "raw_rows")
+    loaded = counts({n: spark.read.parquet(f"{base}/parquet/{n}") for n in tables}, "loaded_rows")
     widths = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("table_name"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
         for n, df in tables.items()])).alias("w")).select("w.*")

@@ -71,7 +71,7 @@ def _cell_flags(value: Column) -> list[Column]:
         is_int,
         is_int & (digits_total > 1) & (body_first == "0"),
         F.when(is_int, F.abs(t.try_cast("decimal(38,0)"))),
-        F.when(plain, digits_total > 0).otherwise(F.lower(t).rlike(FLOAT_PATTERN)),
+        F.when(plain, digits_total > 0).otherwise(t.rlike("(?i)" + FLOAT_PATTERN)),
         plain,
         F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign_len),
         F.when(plain, F.when(dot > 0, n - dot).otherwise(0)),

@@ -119,3 +119,54 @@ def test_require_columns(spark):
     csv_ingest.require_columns(df, {"a", "b"}, "t")
     with pytest.raises(ValueError, match="missing columns"):
         csv_ingest.require_columns(df, {"a", "c"}, "t")
+
+
+def test_a_path_with_a_space_and_an_accent_counts_its_rows(spark, scratch):
+    d = os.path.join(scratch, "dados é")
+    os.makedirs(d)
+    write(os.path.join(d, "a b.csv"), "x,y\n1,2\n3,4\n")
+    files = csv_ingest.discover_csv(spark, d)
+    assert [(r["table_name"], r["raw_rows"]) for r in csv_ingest.count_raw_records(spark, files, d).collect()] == [("a b", 2)]
+
+
+# columns, the type that holds every digit of them, and what they load as
+LOADED = [
+    (["0.12345678901234567891", "1.5"], "decimal(21,20)", ["0.12345678901234567891", "1.50000000000000000000"]),
+    (["12345678901234567890123456789", "0.123456789012345"], "string", ["12345678901234567890123456789", "0.123456789012345"]),
+    (["123456789012345678901234567890.5", "0.123456789012345678"], "string", ["123456789012345678901234567890.5", "0.123456789012345678"]),
+    ([" 42 ", "7"], "int", ["42", "7"]), ([" True ", "FALSE"], "boolean", ["true", "false"]), (["1_000", "2e1"], "double", ["1000.0", "20.0"]),
+    (["nan", "1"], "double", ["NaN", "1.0"]), (["-inf", "Infinity"], "double", ["-Infinity", "Infinity"]),
+    ([" 2024-1-5 1:2:3", "2024-01-05 10:00:00"], "string", [" 2024-1-5 1:2:3", "2024-01-05 10:00:00"]),
+    (["2024-1-5 1:2:3", "2024-01-05 10:00:00"], "timestamp_ntz", ["2024-01-05 01:02:03", "2024-01-05 10:00:00"]), (["2024-1-5", ""], "date", ["2024-01-05", None]),
+]
+
+
+def test_whatever_is_inferred_also_loads_with_every_digit(spark, scratch):
+    from quayside.sources import infer
+    names = [f"c{k}" for k in range(len(LOADED))]
+    quoted = lambda v: "" if v == "" else f'"{v}"'
+    path = write(os.path.join(scratch, "t.csv"), "\n".join([",".join(names), *(",".join(quoted(v[r]) for v, _, _ in LOADED) for r in range(2))]) + "\n")
+    text = csv_ingest.read_csv_text(spark, path)
+    schema = csv_ingest.schemas_from_catalogue(infer.infer_catalogue(text, "t"))["t"]
+    assert [schema[n] for n in names] == [t for _, t, _ in LOADED]
+    rows = csv_ingest.read_csv_typed(spark, path, schema)
+    from pyspark.sql import functions as F
+    got = rows.select(*[F.col(n).cast("string").alias(n) for n in names]).collect()
+    assert [[r[n] for r in got] for n in names] == [v for _, _, v in LOADED]
+
+
+def test_columns_are_matched_by_name(spark, scratch):
+    path = write(os.path.join(scratch, "t.csv"), "b,a\nx,1\n")
+    row = csv_ingest.read_csv_typed(spark, path, {"a": "int", "b": "string"}).first()
+    assert (row["a"], row["b"]) == (1, "x")
+    with pytest.raises(Exception):
+        csv_ingest.read_csv_typed(spark, path, {"a": "string", "b": "int"}).collect()
+
+
+def test_export_keeps_microseconds(spark, scratch):
+    from pyspark.sql import functions as F
+    from quayside.sources.tables import read_table
+    events = read_table(spark, "/root/testdata/sf0.001", "events")
+    csv_ingest.export_csv(events, os.path.join(scratch, "events.csv"))
+    back = csv_ingest.read_csv_text(spark, os.path.join(scratch, "events.csv"))
+    assert back.select(F.col("ts").cast(dict(events.dtypes)["ts"])).exceptAll(events.select("ts")).isEmpty()

@@ -243,7 +243,34 @@ def test_exact_quantiles_of_empty_or_null_column(spark):
     assert d["count"] == 0 and d["q50"] is None
 
 
-def test_similarity_reference_without_buyers_scores_null(spark):
+def test_similarity_reference_without_buyers_raises(spark):
     inter = spark.createDataFrame([(1, 100), (2, 200)], "customer_id long, product_id long")
-    out = similarity.similar_items(inter, F.lit(999), k=None).collect()
-    assert {r["product_id"] for r in out} == {100, 200} and all(r["similarity"] is None for r in out)
+    with pytest.raises(Exception, match="no buyers"):
+        similarity.similar_items(inter, F.lit(999), k=None).collect()
+
+
+def test_ordered_lists_differ_by_place_not_only_by_content(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "position int, name string")
+    swapped = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "position int, name string")
+    shorter = left.where("position < 3")
+    row = lambda other: tuple(quality.same_ordered_list(left, other, "position", "c").first())
+    assert row(left) == ("c", 3, 3, 0, True)
+    assert row(swapped) == ("c", 3, 3, 2, False)
+    assert row(shorter) == ("c", 3, 2, 1, False)
+
+
+def test_fractional_quantities_are_kept(spark):
+    import datetime as dt
+    lines = spark.createDataFrame([("p", dt.datetime(2024, 1, 5), 0.5), ("p", dt.datetime(2024, 1, 9), 0.25)], "name string, created_at timestamp_ntz, quantity double")
+    dense = forecast.dense_months(forecast.monthly_demand(lines), "2024-02-01").orderBy("month").collect()
+    assert [r["quantity"] for r in dense] == [0.75, 0.0]
+
+
+def test_one_pass_suppliers_equal_the_join(spark):
+    from quayside.operators import suppliers
+    from quayside.plans.model import star_model
+    model = star_model(spark, "/root/testdata/sf0.001")
+    columns = ["order_key", "supplier_id", "delay_days", "on_time"]
+    a = suppliers.completed_orders_of(model, "2000-12-31").select(*columns)
+    b = suppliers.completed_orders(model.purchase_orders, model.receipts, "2000-12-31", keys=model.po_keys).select(*columns)
+    assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

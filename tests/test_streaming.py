@@ -36,3 +36,11 @@ def test_windowed_variant_is_a_valid_streaming_plan(spark, scratch):
     schema = spark.read.parquet(src).schema
     agg = incremental.windowed_daily_sales(incremental.order_stream(spark, src, schema))
     assert agg.isStreaming and agg.columns == ["date", "channel", "revenue", "orders"]
+
+
+def test_a_table_that_is_a_folder_of_part_files_streams_like_a_file(spark, scratch):
+    from quayside.plans.queries import QUERIES
+    from quayside.sources.tables import read_table
+    read_table(spark, "/root/testdata/sf0.001", "orders").repartition(3).write.parquet(f"{scratch}/orders.parquet")
+    one, many = ({tuple(r) for r in QUERIES["streaming_monthly_channel_sales"](spark, d).collect()} for d in ("/root/testdata/sf0.001", scratch))
+    assert one == many and one
