@@ -7,7 +7,7 @@ compared there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def duplicate_keys(df: DataFrame, keys, table_name: str) -> DataFrame:
@@ -86,14 +86,30 @@ def same_ordered_list(left: DataFrame, right: DataFrame, position: str, check_na
                  F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"))
             .select(F.lit(check_name).alias("check_name"), "*", (F.col("n_different") == 0).alias("equal")))
 
+def row_text(df: DataFrame) -> Column:
+    """One text for a row: its columns in order, joined by '|'; numbers with a fraction have 6 decimals, null is \\N."""
+    parts = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            x = c.cast("double")
+            text = F.format_string("%.6f", F.when(F.abs(x) < 5e-7, F.lit(0.0)).otherwise(x))
+            text = F.when(x.isNotNull(), text)
+        else:
+            text = c.cast("string")
+        parts.append(F.coalesce(text, F.lit("\\N")))
+    return F.concat_ws("|", *parts)
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """Order-insensitive fingerprint: (rows, sum of xxhash64 over all columns).
+    """Order-insensitive fingerprint: (n_rows, hash_sum).
 
-    The sum is exact (decimal(38,0)), so it does not overflow under ANSI
-    and does not depend on partitioning or row order.
+    Every row's text is hashed with md5, whose first 15 hex digits are a
+    whole number; ``hash_sum`` is the exact sum as text. It does not depend on
+    partitioning, row order or engine.
     """
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(h).alias("hash_sum"))
+    h = F.conv(F.substring(F.md5(F.encode(row_text(df), "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
 
 def aggregate_only(df: DataFrame, forbidden=("customer_id", "email", "phone", "tax_id", "name")) -> list[str]:
     """Privacy gate for published marts: forbidden columns present (schema only)."""

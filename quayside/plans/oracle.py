@@ -703,3 +703,35 @@ ORACLE["events_after_cutoff"] = f"""
 SELECT count(*) AS total_rows,
        count(*) FILTER (WHERE ts > TIMESTAMP '{P.EVENTS_CUTOFF_DAY} 23:59:59.999999') AS future_rows
 FROM events"""
+
+
+# --- fingerprints of the marts ---------------------------------------------------------
+# mart -> (SQL, its columns in order; '#' marks those with a fraction)
+_MARTS = {
+    "loyal_customers": (LOYAL_TOP, "customer_id revenue# frequency avg_ticket# category_diversity"),
+    "loyal_top_category": (ORACLE["loyal_top_category"], "category total_items#"),
+    "weekday_calendar": (WEEKDAY_PROFILE, "weekday_number weekday_name avg_sale# days"),
+    "calendar_stats": (ORACLE["calendar_zero_days"], "calendar_days zero_sales_days first_day last_day"),
+    "channel_monthly": (ORACLE["channel_monthly"], "month channel revenue# orders"),
+    "channel_summary": (ORACLE["channel_summary"], "channel revenue# orders avg_ticket# share#"),
+    "channel_yearly": (ORACLE["channel_yearly_pivot"], "year " + " ".join(f"{_channel_col(ch)}#" for ch in P.CHANNELS)),
+    "returns_by_reason": (ORACLE["return_reasons"], "reason returns refund#"),
+    "supplier_scores": (SUPPLIER_SCORES, "supplier_id label orders on_time_rate# avg_late_days#"),
+    "supplier_overall": (ORACLE["supplier_overall"], "completed_orders late_orders on_time_rate# avg_late_days#"),
+    "forecast": (ORACLE["demand_forecast_product"], "product_name month actual# forecast# forecast_rounded abs_error#"),
+    "similar_items": (ORACLE["item_similarity_topk"], "product_id overlap buyers similarity#"),
+}
+
+
+def _fingerprint(mart: str, sql: str, columns: str) -> str:
+    texts = []
+    for c in columns.split():
+        name = c.rstrip("#")
+        text = f"printf('%.6f', CASE WHEN abs({name}) < 0.0000005 THEN 0.0 ELSE CAST({name} AS DOUBLE) END)" if c != name else f"CAST({name} AS VARCHAR)"
+        texts.append(f"coalesce(CASE WHEN {name} IS NOT NULL THEN {text} END, '\\N')")
+    row = " || '|' || ".join(texts)
+    return (f"SELECT '{mart}' AS mart, count(*) AS n_rows, "
+            f"CAST(coalesce(sum(CAST(('0x' || substr(md5({row}), 1, 15)) AS BIGINT)), 0) AS VARCHAR) AS hash_sum FROM ({sql}) x")
+
+
+ORACLE["mart_fingerprints"] = "\nUNION ALL\n".join(_fingerprint(m, sql, columns) for m, (sql, columns) in _MARTS.items())

@@ -49,7 +49,8 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_or_is_documented():
     missing = set(queries()) - set(oracle_sql())
-    assert missing == {"mart_fingerprints"}     # xxhash64 has no SQL twin
+    # fitted models, tokenizers and graphs, which SQL cannot express: tests/llm compares them with plain Python
+    assert all(m == "pipeline" or m.startswith("op") for m in missing), missing
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
