@@ -111,10 +111,9 @@ def content_hash(df: DataFrame) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.encode(row_text(df), "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
 
-def aggregate_only(df: DataFrame, forbidden=("customer_id", "email", "phone", "tax_id", "name")) -> list[str]:
-    """Privacy gate for published marts: forbidden columns present (schema only)."""
-    cols = {c.lower() for c in df.columns}
-    return sorted(c for c in forbidden if c.lower() in cols)
+def aggregate_only(df: DataFrame, allowed) -> list[str]:
+    """Privacy gate for published marts: columns that are not on the allow-list (schema only)."""
+    return sorted(set(df.columns) - set(allowed))
 
 def evaluate_expectations(actual: DataFrame, expected: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Join (check_name, value) facts to (check_name, expected, label); all failures at once.

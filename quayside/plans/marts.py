@@ -8,6 +8,8 @@ join of frames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +84,22 @@ def build_marts(model: RetailModel, cutoff_day: str = P.CUTOFF_DAY,
 
 def kpi_row(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
     """One row of headline figures for a cutoff (one scalar subquery per mart)."""
-    return kpi_from_marts(spark, build_marts(model, cutoff_day), model.orders, cutoff_day)
+    return kpi_from_marts(spark, build_marts(model, cutoff_day), model, cutoff_day)
 
 
-def kpi_from_marts(spark: SparkSession, m: dict, orders: DataFrame, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
-    """The KPI row from already built (or already published) marts."""
-    bound = F.lit(as_date(cutoff_day)).cast("date")
-    o = scalars(orders, raw_order_count=F.count("*"),
+def raw_counts(model: RetailModel) -> tuple[int, list[DataFrame]]:
+    """How many source frames the model has, and one row count each."""
+    names = ("orders", "order_items", "products", "variants", "returns", "purchase_orders", "receipts", "suppliers")
+    frames = [f for f in (getattr(model, n, None) for n in names) if f is not None]
+    sources = getattr(model, "sources", None) or frames
+    return len(sources), [f.agg(F.count("*").alias("n")) for f in sources]
+
+
+def kpi_from_marts(spark: SparkSession, m: dict, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
+    """The KPI row from already built (or already published) marts; sources are only counted."""
+    n_sources, counts = raw_counts(model)
+    raw = scalars(reduce(DataFrame.unionByName, counts), raw_rows=F.sum("n"))
+    o = scalars(model.orders, raw_order_count=F.count("*"),
                 future_orders=F.count_if(after(F.col("created_at"), cutoff_day)))
     cat = scalars(m["loyal_top_category"], top_category=F.first("category"),
                   top_category_items=F.first("total_items"))
@@ -106,12 +117,21 @@ def kpi_from_marts(spark: SparkSession, m: dict, orders: DataFrame, cutoff_day:
     sp = scalars(m["supplier_overall"], completed_purchase_orders=F.first("completed_orders"),
                  late_purchase_orders=F.first("late_orders"), on_time_rate=F.first("on_time_rate"),
                  avg_late_days=F.first("avg_late_days"))
+    best_return = F.struct((-F.col("returns")).alias("n"), F.col("reason").alias("r"))
+    rt |= scalars(m["returns_by_reason"], top_return_reason=F.min_by("reason", best_return))
+    best = F.struct((-F.col("avg_ticket")).alias("t"), F.col("customer_id").alias("c"))
+    lc = scalars(m["loyal_customers"], best_customer=F.min_by("customer_id", best),
+                 best_customer_ticket=F.max("avg_ticket").cast("double"))
     fc = scalars(m["forecast"], forecast_total=F.sum("forecast_rounded"),
-                 forecast_actual_total=F.sum("actual"), forecast_mae=F.round(F.avg("abs_error"), 6))
-    sim = scalars(m["similar_items"], top_similar_product=F.min_by("product_id", F.struct(
+                 forecast_actual_total=F.sum("actual"), forecast_mae=F.round(F.avg("abs_error"), 6),
+                 forecast_gap=F.sum("forecast_rounded") - F.sum("actual"))
+    # at most the top-n rows meet the products
+    named = model.products.select("product_id", "name").join(F.broadcast(m["similar_items"].select("product_id", "similarity")), "product_id")
+    sim = scalars(named, top_similar_name=F.min_by("name", F.struct((-F.col("similarity")).alias("s"), F.col("product_id").alias("p"))))
+    sim |= scalars(m["similar_items"], top_similar_product=F.min_by("product_id", F.struct(
         (-F.col("similarity")).alias("s"), F.col("product_id").alias("p"))))
-    cols = {**o, **cat, **wk, **cs, **ch, **rt, **sp, **fc, **sim}
-    return spark.range(1).select(*[c.alias(k) for k, c in cols.items()])
+    cols = {**raw, **o, **cat, **wk, **cs, **ch, **rt, **sp, **lc, **fc, **sim}
+    return spark.range(1).select(F.lit(n_sources).cast("bigint").alias("raw_tables"), *[c.alias(k) for k, c in cols.items()])
 
 
 def expectation_facts(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
@@ -163,19 +183,29 @@ def expectations_report(spark: SparkSession, model: RetailModel, cutoff_day: str
     return facts.select("check_name", "label", "expected", "value", ok.alias("ok"))
 
 
-def publish(marts: dict[str, DataFrame], out_dir: str,
-            forbidden=("email", "phone", "tax_id", "cpf", "legal_name")) -> dict[str, str]:
+# What a published table may hold: aggregates, labels of groups and the ids that the report itself prints.
+PUBLISHED_COLUMNS = frozenset("""
+    customer_id customers revenue frequency avg_ticket category_diversity orders categories category total_items weekday_number weekday_name
+    avg_sale days calendar_days zero_sales_days first_day last_day month year channel share revenue_compact reason returns refund supplier_id
+    label on_time_rate avg_late_days on_time completed_orders late_orders product_name actual forecast forecast_rounded abs_error product_id
+    overlap buyers similarity position name raw_tables raw_rows raw_order_count future_orders top_category top_category_items worst_weekday
+    worst_weekday_avg business_orders total_revenue ticket_gap completed_returns refund_total top_return_reason completed_purchase_orders
+    late_purchase_orders best_customer best_customer_ticket forecast_total forecast_actual_total forecast_mae forecast_gap top_similar_name
+    top_similar_product""".split())
+
+
+def publish(marts: dict[str, DataFrame], out_dir: str, allowed=PUBLISHED_COLUMNS | set(P.CHANNELS)) -> dict[str, str]:
     """Write aggregate-only marts as Parquet (overwrite), rows in a total order.
 
     A global sort range-partitions the rows, so the part files read in
     order are deterministic without funnelling a mart through one task.
-    Marts exposing a forbidden (personal) column are refused before any
-    write. Returns mart -> path.
+    A mart with any column outside ``allowed`` is refused before any
+    write, so a new column is published only once it is listed. Returns mart -> path.
     """
-    leaks = {name: quality.aggregate_only(df, forbidden) for name, df in marts.items()}
+    leaks = {name: quality.aggregate_only(df, allowed) for name, df in marts.items()}
     leaks = {k: v for k, v in leaks.items() if v}
     if leaks:
-        raise ValueError(f"marts expose row-level columns: {leaks}")
+        raise ValueError(f"marts have columns that are not listed for publishing: {leaks}")
     paths = {}
     for name, df in marts.items():
         path = f"{out_dir.rstrip('/')}/{name}"
@@ -212,7 +242,7 @@ def build_report(spark: SparkSession, model: RetailModel, out_dir: str,
     m = {name: spark.read.parquet(path) for name, path in paths.items()}
     worst = suppliers.worst_suppliers(m["supplier_scores"], P.WORST_SUPPLIERS)
     tables = {
-        "kpi": kpi_from_marts(spark, m, model.orders, cutoff_day),
+        "kpi": kpi_from_marts(spark, m, model, cutoff_day),
         "display_channels": display.channels_table(m["channel_summary"]),
         "display_channels_yearly": display.channels_yearly_table(m["channel_yearly"]),
         "display_customers": display.customers_table(m["loyal_customers"]),

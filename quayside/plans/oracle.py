@@ -544,6 +544,15 @@ RETURNS_DONE = f"""
 
 ORACLE["kpi_row"] = f"""
 SELECT
+  CAST(7 AS BIGINT) AS raw_tables,
+  (SELECT CAST((SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part)
+    + (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') + (SELECT count(*) FROM supplier)
+    + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS BIGINT)) AS raw_rows,
+  (SELECT reason FROM ({ORACLE['return_reasons']}) r ORDER BY returns DESC, reason LIMIT 1) AS top_return_reason,
+  (SELECT customer_id FROM ({LOYAL_TOP}) t ORDER BY avg_ticket DESC, customer_id LIMIT 1) AS best_customer,
+  (SELECT max(avg_ticket) FROM ({LOYAL_TOP}) t) AS best_customer_ticket,
+  (SELECT sum(forecast_rounded) - sum(actual) FROM ({ORACLE['demand_forecast_product']}) f)::DOUBLE AS forecast_gap,
+  (SELECT name FROM ({ORACLE['item_similarity_topk']}) s ORDER BY similarity DESC, product_id LIMIT 1) AS top_similar_name,
   (SELECT count(*) FROM orders) AS raw_order_count,
   (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '{P.CUTOFF_DAY}') AS future_orders,
   (SELECT category FROM ({ORACLE['loyal_top_category']}) t) AS top_category,
@@ -564,7 +573,7 @@ SELECT
   (SELECT on_time_rate FROM ({ORACLE['supplier_overall']}) s) AS on_time_rate,
   (SELECT avg_late_days FROM ({ORACLE['supplier_overall']}) s) AS avg_late_days,
   (SELECT CAST(sum(forecast_rounded) AS BIGINT) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_total,
-  (SELECT CAST(sum(actual) AS BIGINT) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_actual_total,
+  (SELECT sum(actual) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_actual_total,
   (SELECT round(avg(abs_error), 6) FROM ({ORACLE['demand_forecast_product']}) f) AS forecast_mae,
   (SELECT product_id FROM ({ORACLE['item_similarity_topk']}) s ORDER BY similarity DESC, product_id LIMIT 1)
     AS top_similar_product"""
