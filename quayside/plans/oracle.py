@@ -744,3 +744,7 @@ def _fingerprint(mart: str, sql: str, columns: str) -> str:
 
 
 ORACLE["mart_fingerprints"] = "\nUNION ALL\n".join(_fingerprint(m, sql, columns) for m, (sql, columns) in _MARTS.items())
+
+ORACLE["normalized_documents"] = """
+WITH n AS (SELECT doc_id, strip_accents(nfc_normalize(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS t FROM documents)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS md5, regexp_matches(t, '[\\p{L}\\p{N}]') AS has_alnum FROM n"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import add_months, month_floor, not_after
 from ..functions.money import to_money
+from ..functions.text import has_alnum, normalize_text
 from ..operators import calendar, channels, forecast, loyalty, profile, quality, returns, similarity, suppliers
 from ..sources import csv_ingest, infer
 from ..sources.tables import TABLES, read_table, table_path
@@ -517,6 +518,14 @@ def q_mart_fingerprints(spark, sf_dir):
     return as_output(marts.mart_fingerprints(marts.build_marts(star_model(spark, sf_dir))))
 
 
+@register("normalized_documents")
+def q_normalized_documents(spark, sf_dir):
+    """I1 on table text: length and md5 of every document's normal form."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", normalize_text("text").alias("t"))
+    return docs.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.encode("t", "UTF-8")).alias("md5"),
+                       has_alnum(F.col("t")).alias("has_alnum"))
+
+
 # --- streaming: incremental daily sales per channel ------------------------------------------
 
 def _streamed_partials(spark, sf_dir) -> str:
