@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrays import ragged, text_slices
 from .language_id import Pieces
+from .scratch import stored
 
 SPACE = "▁"
 FREQUENT = 50_000
@@ -233,14 +234,30 @@ class Codec:
         return ragged(self.bytes, begin, length), np.concatenate([[0], np.cumsum(length)])[bounds]
 
 
+def frequent_units(docs: DataFrame, most: int, text_col: str = "text") -> DataFrame:
+    """(unit): at most ``most`` of the most frequent units of up to 64 characters.
+
+    A histogram of the counts, of bounded size, tells from which count on the
+    units are few enough, so no task sorts or gathers the units of the corpus.
+    """
+    counts = (docs.select(F.explode(unit_array(F.col(text_col).cast("string"))).alias("unit")).where("length(unit) <= 64")
+              .groupBy("unit").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = stored(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "units")
+    total, least = 0, 1 << 30
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("units")).collect(), reverse=True):  # some hundred rows at most
+        total += r["units"]
+        if total > most:
+            break
+        least = r["step"]
+    return counts.where(F.col("step") >= least).select("unit")
+
+
 def codec_parts(docs: DataFrame, model_file: str, frequent: int = FREQUENT, text_col: str = "text"):
     """(piece rows, byte ids, frequent units with their ids): all of bounded size."""
     spark = docs.sparkSession
     rows, byte_ids = read_pieces(model_file)
     pieces = spark.createDataFrame(list(rows), PIECES)
-    common = (docs.select(F.explode(unit_array(F.col(text_col).cast("string"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "unit").limit(frequent).select("unit").where("length(unit) <= 64"))
-    encoded = encode_units(common, pieces, max(len(p) for p, _, _ in rows)).collect()
+    encoded = encode_units(frequent_units(docs, frequent, text_col), pieces, max(len(p) for p, _, _ in rows)).collect()
     return rows, byte_ids, [(r["unit"], list(r["ids"])) for r in encoded]
 
 
