@@ -44,6 +44,8 @@ SIGNATURE_BITS = 512
 #: A prefix shingle of more members is dealt out as pairs of blocks of about this many.
 BLOCK = 2048
 SMALL = 48
+#: Text whose shingles a task holds at once.
+SLICE_BYTES = 4 << 20
 PROFILE = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary, prefix array<bigint>"
 
 
@@ -88,7 +90,7 @@ def shingle_counters(docs: DataFrame, n_words: int = WORDS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for _, data, offsets in text_slices(batch):
+            for _, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 values, _ = shingle_sets(data, offsets, n_words)
                 total += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         blocks = total.reshape(-1, COUNTER_BLOCK)
@@ -118,7 +120,7 @@ def profiles(docs: DataFrame, counters, n_words: int, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counters.value
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 values, bounds = shingle_sets(data, offsets, n_words)
                 n = np.diff(bounds)
                 docs_ = len(n)
@@ -258,7 +260,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 values, bounds = shingle_sets(data, offsets, n_words)
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
