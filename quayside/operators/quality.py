@@ -86,12 +86,15 @@ def same_ordered_list(left: DataFrame, right: DataFrame, position: str, check_na
                  F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"))
             .select(F.lit(check_name).alias("check_name"), "*", (F.col("n_different") == 0).alias("equal")))
 
-def row_text(df: DataFrame) -> Column:
-    """One text for a row: its columns in order, joined by '|'; numbers with a fraction have 6 decimals, null is \\N."""
+def row_text(df: DataFrame, fractions=()) -> Column:
+    """One text for a row: its columns in order, joined by '|'; numbers with a fraction have 6 decimals, null is \\N.
+
+    Columns in ``fractions`` are printed so whatever their type.
+    """
     parts = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        if kind in ("double", "float") or kind.startswith("decimal"):
+        if name in fractions or kind in ("double", "float") or kind.startswith("decimal"):
             x = c.cast("double")
             text = F.format_string("%.6f", F.when(F.abs(x) < 5e-7, F.lit(0.0)).otherwise(x))
             text = F.when(x.isNotNull(), text)
@@ -101,14 +104,14 @@ def row_text(df: DataFrame) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def content_hash(df: DataFrame) -> DataFrame:
+def content_hash(df: DataFrame, fractions=()) -> DataFrame:
     """Order-insensitive fingerprint: (n_rows, hash_sum).
 
     Every row's text is hashed with md5, whose first 15 hex digits are a
     whole number; ``hash_sum`` is the exact sum as text. It does not depend on
     partitioning, row order or engine.
     """
-    h = F.conv(F.substring(F.md5(F.encode(row_text(df), "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
+    h = F.conv(F.substring(F.md5(F.encode(row_text(df, fractions), "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
 
 def aggregate_only(df: DataFrame, allowed) -> list[str]:

@@ -748,3 +748,23 @@ ORACLE["mart_fingerprints"] = "\nUNION ALL\n".join(_fingerprint(m, sql, columns)
 ORACLE["normalized_documents"] = """
 WITH n AS (SELECT doc_id, strip_accents(nfc_normalize(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS t FROM documents)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS md5, regexp_matches(t, '[\\p{L}\\p{N}]') AS has_alnum FROM n"""
+
+# --- every value of every table, from the tables themselves -----------------------------------
+# table -> its columns in order; '#' marks those with a fraction
+_CONTENT = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal# c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal#",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice#",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice# o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity# l_extendedprice# l_discount# l_tax# l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value# props",
+    "documents": "doc_id text lang source n_chars",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+ORACLE["csv_typed_content"] = "\nUNION ALL\n".join(
+    _fingerprint(t, f"SELECT * FROM {t}", columns).replace(" AS mart,", " AS table_name,") for t, columns in _CONTENT.items())

@@ -204,11 +204,10 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
-def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
-    """Export tables to CSV, infer types from the text, load typed Parquet, compare counts.
+def roundtrip(spark: SparkSession, tables: dict) -> tuple[dict, dict]:
+    """Export tables to CSV, infer types from the text and load typed Parquet: ({name: text frame}, {name: typed frame}).
 
-    (table_name, raw_rows, loaded_rows, n_columns, ok). The raw text is parsed
-    once, to a Parquet copy as text; inference, the strict typed load and the counts read that copy.
+    The raw text is parsed once, to a Parquet copy as text; inference and the strict typed load read that copy.
     """
     base = scratch_dir(spark, "csv-roundtrip")
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -231,12 +230,19 @@ def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
         for future in [pool.submit(load, name) for name in tables]:
             future.result()
 
+    return text, {n: spark.read.parquet(f"{base}/parquet/{n}") for n in tables}
+
+
+def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
+    """(table_name, raw_rows, loaded_rows, n_columns, ok) of a :func:`roundtrip`."""
+    text, typed = roundtrip(spark, tables)
+
     def counts(frames: dict, column: str) -> DataFrame:
         parts = [df.agg(F.count("*").alias(column)).select(F.lit(n).alias("table_name"), column) for n, df in frames.items()]
         return reduce(DataFrame.unionByName, parts)
 
     raw = counts(text, "raw_rows")
-    loaded = counts({n: spark.read.parquet(f"{base}/parquet/{n}") for n in tables}, "loaded_rows")
+    loaded = counts(typed, "loaded_rows")
     widths = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("table_name"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
         for n, df in tables.items()])).alias("w")).select("w.*")
