@@ -37,6 +37,9 @@ from .scratch import stored
 SPACE = "▁"
 FREQUENT = 50_000
 UNKNOWN_PENALTY = 10.0
+#: What a task holds at once: bytes of text, and units whose lattice is unfolded.
+SLICE_BYTES = 3 << 20
+LATTICE_UNITS = 8_000
 PIECES = "piece string, id int, score double"
 
 
@@ -209,8 +212,8 @@ class Codec:
         distinct = units.dictionary.to_pylist()
         known = [self.frequent.get(u) for u in distinct]
         rest = [k for k, path in enumerate(known) if path is None]
-        for at in range(0, len(rest), 50_000):  # bounds the lattice held at once
-            part = rest[at:at + 50_000]
+        for at in range(0, len(rest), LATTICE_UNITS):
+            part = rest[at:at + LATTICE_UNITS]
             sizes = np.cumsum([0] + [len(distinct[k]) for k in part]).astype(np.int64)
             ids, cuts = lattice_paths(np.frombuffer(b"".join(distinct[k] for k in part), np.uint8), sizes, self.pieces, self.ids, self.scores, self.byte_ids)
             for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -268,7 +271,7 @@ def encode(docs: DataFrame, model_file: str, frequent: int = FREQUENT, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 ids, bounds = codec.encode(data, offsets)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
@@ -284,8 +287,8 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 lists = part.column("ids")
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum([len(x) if x.is_valid else 0 for x in lists])]).astype(np.int64)
