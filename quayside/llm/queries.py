@@ -123,8 +123,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bm25 import search
 
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id")
-    return search(table(spark, sf_dir, "documents"), asked)
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id"))
 
 
 def _op5_oracle() -> str:

@@ -48,6 +48,29 @@ def test_search_equals_brute_force(shipped, near_copies, monkeypatch):
     assert bm25.search(df, shipped.createDataFrame([], "query_id long, text string")).count() == 0
 
 
+def test_search_query_asks_every_twentieth_document(shipped, near_copies, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quayside.llm import queries
+
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    docs = [(20 * k if k % 3 == 0 else 20 * k + 1, t) for k, (_, t) in enumerate(near_copies)]
+    df = shipped.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    df.limit(1).select(F.lit(20).alias("item_id"), "text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    asked = [(k, t) for k, t in docs if k % 20 == 0]
+    got = queries.LLM_QUERIES["op5_bm25_search"](shipped, str(tmp_path)).collect()
+    want = brute_bm25(docs, asked, 10)
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(w[:3] for w in want)
+    assert {r["query_id"] for r in got} == {k for k, t in asked if words(t)} and len(asked) > 2 * bm25.QUERY_BLOCK
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rows = con.execute(bm25.oracle_sql()).fetchall()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(r[:3] for r in rows)
+
+
 def brute_scan(text):
     low = (text or "").translate(ASCII)
     w = words(low)
