@@ -19,6 +19,9 @@ from quayside.llm import jaccard_join, packing, quality, toxicity
 from quayside.llm.queries import table, tokenizer_file
 from quayside.llm.scratch import ship_package, stored
 
+#: Near copies of the stage; op3's own query has four words and 85.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is not in ``rejected`` (a null id never is)."""
@@ -40,9 +43,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (one row, if that id repeats)."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8): the one with the smallest id (one row, if that id repeats)."""
     ship_package(spark)
-    found = stored(jaccard_join.jaccard_components(docs), "components")
+    found = stored(jaccard_join.jaccard_components(docs, n_words=SHINGLE_WORDS, percent=SHINGLE_PERCENT), "components")
     kept = _without(docs, found.where("doc_id <> component_id"))
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
     single = kept.join(repeated.select("doc_id"), "doc_id", "left_anti")

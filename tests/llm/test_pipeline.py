@@ -6,7 +6,7 @@ import corpus_pipeline
 from quayside.llm import jaccard_join, quality, toxicity
 
 from .conftest import DOCS, LABELS
-from .test_joins import brute_jaccard
+from .test_joins import brute_components, brute_jaccard, shingle_set
 from .test_models import corpus
 from .test_tokens import check_packing
 
@@ -67,6 +67,21 @@ def test_stages_keep_and_drop_what_their_operators_say(shipped, folder):
     check_packing(packed, 2048)
 
 
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(shipped, near_copies):
+    base = [f"w{k}" for k in range(100)]
+    # two words changed far apart: 86 of 106 five-word shingles are shared (0.811), 89 of 105 four-word ones (0.848)
+    near = [w if k not in (30, 70) else f"x{k}" for k, w in enumerate(base)]
+    rows = near_copies + [(9001, " ".join(base)), (9002, " ".join(near))]
+    rows = [(k, t) for k, t in rows if (t or "").split()]
+    sets = {k: shingle_set(t, 5) for k, t in rows}
+    ids = sorted(sets)
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    heads = {k for k, c in brute_components(ids, linked).items() if k == c}
+    assert heads != {k for k, (_, c) in brute_jaccard(rows).items() if k == c} and 9002 not in heads
+    docs = shipped.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(shipped, docs, "").collect()} == heads
+
+
 def test_run_gives_the_pieces_of_all_stages(shipped, folder):
     path, _, _ = folder
     rows = corpus_pipeline.run(shipped, path).collect()
