@@ -5,7 +5,7 @@ Only DataFrame operations. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x
 *Phrases* (base): places where a phrase's words stand consecutively.
 
 *Templates*: a text block is a line, or each window of 64 words (32 apart) of
-a longer line. It matches a template when it holds at least ``percent`` per cent of the
+a longer line or, across its lines, of the whole text. It matches a template when it holds at least ``percent`` per cent of the
 template's distinct words. The join that finds every such block orders the template
 words by their frequency in all documents, rarest first, and uses
 
@@ -90,7 +90,7 @@ def template_rows(templates: Sequence[tuple[str, str]]) -> list[tuple[int, str,
 def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, block, template, label, containment): every block that meets the threshold.
 
-    ``block`` counts lines and windows of a document from 0.
+    Lines and windows count from 0; where a document has several lines, its whole text comes after them as one more.
     """
     spark = docs.sparkSession
     rows = template_rows(templates)
@@ -113,7 +113,8 @@ def template_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEM
     ordered_words = F.array(*map(F.lit, order))
     norm = normal(F.col("low"))
     some = base.where(F.concat(F.lit(" "), norm, F.lit(" ")).rlike(" (?:" + "|".join(map(re.escape, rare)) + ") "))
-    lines = some.select("doc_id", F.xxhash64("low").alias("text_hash"), F.posexplode(F.split("low", "\n")).alias("line", "text"))
+    lines = some.select("doc_id", F.xxhash64("low").alias("text_hash"), F.posexplode(F.concat(
+        F.split("low", "\n"), F.when(F.col("low").contains("\n"), F.array("low")).otherwise(F.array().cast("array<string>")))).alias("line", "text"))
     lines = lines.select("doc_id", "text_hash", "line", words(normal(F.col("text"))).alias("w")).where(F.size("w") >= fewest)
     blocks = lines.select("doc_id", "text_hash", "line", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - WINDOW) / STEP).cast("int"))),
@@ -171,7 +172,7 @@ with templates(number, label, words, size) as (values {values}),
 docs as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
 tokens as (select r, doc_id, {split.format('low')} as w from docs),
 phrases as (select r, doc_id, len(w) as n_words, {tests} from tokens),
-lines as (select r, unnest(string_split(low, chr(10))) as line from docs where low like '%' || chr(10) || '%' or low <> ''),
+lines as (select r, unnest(string_split(low, chr(10)) || case when contains(low, chr(10)) then [low] else [] end) as line from docs where low like '%' || chr(10) || '%' or low <> ''),
 line_words as (select r, {split.format('line')} as w from lines),
 blocks as (select r, list_slice(w, k * {STEP} + 1, k * {STEP} + {WINDOW}) as w from
   (select r, w, unnest(range(0, greatest(0, cast(ceil((len(w) - {WINDOW}) / {STEP}.0) as bigint)) + 1)) as k from line_words)),

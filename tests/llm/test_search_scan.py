@@ -112,6 +112,56 @@ def test_scan_equals_brute_force(shipped, messy):
     assert license_scan.scan(messy.limit(0)).count() == 0
 
 
+def brute_matches(text, marks):
+    """(labels, best containment) over lines and windows of the whole text; a template's marks must all be there."""
+    low = (text or "").translate(ASCII)
+    labels, best = set(), 0.0
+    for part in [*low.split("\n"), low]:
+        v = words(part)
+        for k in range(0, max(0, math.ceil((len(v) - 64) / 32)) + 1):
+            block = set(v[32 * k:32 * k + 64])
+            for label, t in license_scan.TEMPLATES:
+                t = set(t.split())
+                if 100 * len(t & block) >= 80 * len(t) and set(marks.get(label, ())) & t <= block:
+                    labels.add(label)
+                    best = max(best, len(t & block) / len(t))
+    return labels, best
+
+
+def wrapped_texts():
+    rng = random.Random(12)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()}) + ["filler", "42"]
+    texts = ["licensed under the\napache license, version 2.0", "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software"]
+    for _, t in license_scan.TEMPLATES:
+        w = t.split()
+        for k in (2, len(w) // 2, len(w) - 2):
+            texts += [" ".join(w[:k]) + "\n" + " ".join(w[k:]), "filler " * 70 + "\n" + " ".join(w[:k]) + "\r\n\n  " + " ".join(w[k:]) + "\n" + "filler " * 50]
+    return texts + ["".join(rng.choice(vocabulary) + rng.choice(" \n") for _ in range(rng.choice([12, 40, 150]))) for _ in range(40)]
+
+
+def own_labels(r):
+    """Labels that only templates gave, and the score where no phrase decides it."""
+    return {x for x in r["labels"].split(",") if x}, None if r["n_base"] else r["score"]
+
+
+def check_labels(rows, texts, marks):
+    base = dict(license_scan.PHRASES)
+    for r in rows:
+        labels, best = brute_matches(texts[r["doc_id"]], marks)
+        labels |= {x for x in r["base_labels"].split(",") if x}
+        got, score = own_labels(r)
+        assert got == labels and set(r["base_labels"].split(",")) <= {"", *base.values()}, texts[r["doc_id"]]
+        assert score is None or abs(score - best) < 1e-12
+
+
+def test_wrapped_notices_are_found(shipped):
+    texts = wrapped_texts()
+    rows = license_scan.scan(shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by_id = {r["doc_id"]: r["labels"].split(",") for r in rows}
+    assert "apache" in by_id[0] and "mit" in by_id[1]
+    check_labels(rows, texts, {})
+
+
 def test_scan_runs_without_python(shipped, messy):
     plan = license_scan.scan(messy)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
