@@ -91,15 +91,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license_scan import scan
+    from .license_scan import MARKS, scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), marks=MARKS)
 
 
 def _op8_oracle() -> str:
-    from .license_scan import oracle_sql
+    from .license_scan import MARKS, oracle_sql
 
-    return oracle_sql()
+    return oracle_sql(marks=MARKS)
 
 
 LLM_ORACLE["op8_license_scan"] = _op8_oracle()

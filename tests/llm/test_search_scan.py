@@ -162,6 +162,26 @@ def test_wrapped_notices_are_found(shipped):
     check_labels(rows, texts, {})
 
 
+def test_query_tells_notices_apart_that_share_most_words(shipped, tmp_path):
+    from quayside.llm import queries
+
+    notices = [("Licensed under the GNU General Public License.", {"gpl"}), ("This work is licensed under the GNU General Public License version 3", {"gpl"}),
+               ("licensed under the gnu lesser general public license", {"gpl", "lgpl"}),  # the phrase of gpl stands in it
+               ("licensed under CC BY-NC 4.0", {"cc-by", "cc-by-nc"}), ("licensed under CC BY-SA 4.0", {"cc-by", "cc-by-sa"}),
+               ("licensed under CC BY 4.0", {"cc-by"}), ("released under the Apache license", set()), ("this work is licensed under the mozilla public license version 3", set())]
+    texts = [t for t, _ in notices] + wrapped_texts()
+    shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.LLM_QUERIES["op8_license_scan"](shipped, str(tmp_path)).collect()
+    by_id = {r["doc_id"]: own_labels(r)[0] for r in rows}
+    assert [by_id[k] for k in range(len(notices))] == [labels for _, labels in notices]
+    check_labels(rows, texts, license_scan.MARKS)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.LLM_ORACLE["op8_license_scan"]).fetchall()
+    assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, want))
+
+
 def test_scan_runs_without_python(shipped, messy):
     plan = license_scan.scan(messy)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
