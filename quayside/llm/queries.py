@@ -134,3 +134,33 @@ def _op5_oracle() -> str:
 
 
 LLM_ORACLE["op5_bm25_search"] = _op5_oracle()
+
+
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_source_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _op13_oracle() -> str:
+    from .source_mix import oracle_sql
+
+    return oracle_sql()
+
+
+LLM_ORACLE["op13_source_mix"] = _op13_oracle()

@@ -101,6 +101,6 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert jaccard_join.PERCENT == 85
     assert {"op5_bm25_search", "op8_license_scan"} <= set(__spark_entry__.oracle_sql())
