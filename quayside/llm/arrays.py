@@ -7,11 +7,12 @@ and :func:`text_slices` bounds those bytes, whatever the batch size is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 8 << 20
 
@@ -43,6 +44,21 @@ def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BY
         start = end
 
 
+Judge = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]
+
+
+def kept_rows(docs: DataFrame, judge: Callable[[], Judge], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """Whole rows of ``docs`` that a task's ``judge()`` keeps: it gets (rows, bytes, offsets) of a run of texts. One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, text, limit):
+                yield rows.filter(pa.array(keep(rows, data, offsets)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def byte_table(keep) -> np.ndarray:
     """256 booleans from a predicate on the byte value."""
     return np.fromiter((bool(keep(b)) for b in range(256)), bool, 256)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_SPACE, Words, sums_by, text_slices
+from .arrays import NOT_SPACE, Words, kept_rows, sums_by, text_slices
 from .samples import bounded_sample
 
 TRIGRAM_BITS = 11
@@ -105,8 +105,9 @@ def metadata_matrix(data: np.ndarray, offsets: np.ndarray, source: list, lang: l
     for k, column in enumerate(shapes):
         out[:, k] = column
     rows = np.arange(n)
-    out[rows, SHAPES + np.array([crc32(str(s).encode()) % SOURCES for s in source], np.int64)] = 0.3
-    out[rows, SHAPES + SOURCES + np.array([crc32(str(s).encode()) % LANGS for s in lang], np.int64)] = 0.3
+    for values, first, size_ in ((source, SHAPES, SOURCES), (lang, SHAPES + SOURCES, LANGS)):
+        column = {v: first + crc32(str(v).encode()) % size_ for v in set(values)}  # each distinct value is hashed once
+        out[rows, np.fromiter((column[v] for v in values), np.int64, n)] = 0.3
     return out
 
 
@@ -218,14 +219,25 @@ def score(docs: DataFrame, model: list[np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 2,000 numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, meta, rest = shared.value
         for batch in batches:
             for some, data, offsets in text_slices(batch):
-                a = rest[2] * (content_scores(data, offsets, content) + rest[0]) + rest[3]
-                b = rest[4] * (metadata_matrix(data, offsets, some.column("source").to_pylist(), some.column("lang").to_pylist()) @ meta + rest[1]) + rest[5]
-                total = sigmoid((a + b) / 2)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(total), pa.array(total >= KEEP)],
+                a, b, total = view_scores(some, data, offsets, shared.value)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(a), pa.array(b), pa.array(total), pa.array(total >= KEEP)],
                                                  names=["doc_id", "content_score", "meta_score", "score", "keep"])
 
     rows = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, content_score double, meta_score double, score double, keep boolean")
+
+
+def view_scores(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, model: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, metadata, combined) scores of a run of rows."""
+    content, meta, rest = model
+    columns = [rows.column(c).cast(pa.string()).to_pylist() for c in ("source", "lang")]
+    a = rest[2] * (content_scores(data, offsets, content) + rest[0]) + rest[3]
+    b = rest[4] * (metadata_matrix(data, offsets, *columns) @ meta + rest[1]) + rest[5]
+    return sigmoid(a), sigmoid(b), sigmoid((a + b) / 2)
+
+
+def good_rows(docs: DataFrame, model: list[np.ndarray], least: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``least`` or more, each by its own values; one pass, no shuffle."""
+    return kept_rows(docs, lambda: lambda rows, data, offsets: view_scores(rows, data, offsets, model)[2] >= least)

@@ -9,38 +9,41 @@ document's score is its largest marginal, calibrated on the training labels,
 and its offending offsets are the runs of tokens above one half.
 
 Labels are per document, so token labels for the fit come from them: in a
-toxic training document, the tokens with a feature that is far more frequent
-in toxic than in clean training documents. The fit uses a bounded sample
+toxic training document, the tokens with a feature that toxic documents hold
+significantly and far more often than clean ones. The fit uses a bounded sample
 (about ``per_class`` documents of each label) and runs in one task; everything
 else covers all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, LOWER, Words, max_by, ragged, sums_by, text_slices
+from .arrays import ALNUM, LOWER, Words, kept_rows, max_by, ragged, sums_by, text_slices
 from .samples import bounded_sample, held_out
 
 FEATURE_BITS = 22
 GRAMS = (3, 4, 5)
 PER_CLASS = 1200
 CHUNK = 256
+#: Text that a task scores at once.
+SLICE_BYTES = 2 << 20
 STEPS = 15
-#: How much more frequent, per document, a feature of a toxic token is in toxic documents.
-SEED_RATIO = 60.0
+#: Share of wrongly chosen features that the choice of seeds admits, and how much likelier they must be in toxic documents.
+FALSE_SHARE, SEED_RATIO = 0.01, 20.0
 THRESHOLD = 0.3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: bias, kernel (row by row), slope and intercept of the calibration: every token is outside
 NO_MODEL = np.array([-30.0, 1.0, 1e-9, 1.0, 1e-9, 1.0, 0.0])
 #: strength of the pull of the calibration to slope 1 and intercept 0
 PRIOR = np.array([1.0, 0.02])
-MODEL = "weights binary, extra binary"
+MODEL = "places binary, weights binary, extra binary"
 
 
 def word_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -146,27 +149,56 @@ def marginals(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
     return on / np.maximum(on + off, 1e-300)
 
 
+def seed_features(in_toxic: np.ndarray, in_clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Features that only toxic words can explain, from the documents of each label that hold them.
+
+    A feature of c documents that has nothing to do with the label falls into
+    toxic ones with probability n1 / (n1 + n0) each, so its count there has a
+    binomial tail. The tails of all features go through the Benjamini-Hochberg
+    bound: the same test whatever the sample's size. The odds must be large too, as
+    common words of one topic can be significant in a large sample.
+    """
+    total, share = in_toxic + in_clean, n1 / (n1 + n0)
+    kinds, which = np.unique(np.stack([in_toxic, total]).astype(np.int64), axis=1, return_inverse=True)
+    tail = np.ones(kinds.shape[1])
+    for k, (hits, n) in enumerate(kinds.T.tolist()):
+        if hits > n * share:
+            tail[k] = _binomial_tail(hits, n, share)
+    p = tail[which.ravel()]
+    rank = np.searchsorted(np.sort(p), p, side="right")
+    passing = p[p <= FALSE_SHARE * rank / max(1, len(p))]
+    return (p <= (passing.max() if len(passing) else -1.0)) & (in_toxic / n1 >= SEED_RATIO * in_clean / n0)
+
+
+def _binomial_tail(hits: int, n: int, share: float) -> float:
+    """Probability of at least ``hits`` of ``n`` with probability ``share`` each."""
+    k = np.arange(hits, n + 1)
+    log = np.array([lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) for i in k.tolist()]) + k * np.log(share) + (n - k) * np.log1p(-share)
+    return float(min(1.0, np.exp(log).sum()))
+
+
 def fit(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, [bias, kernel...]) from whole texts and their labels (1: toxic)."""
-    weights, extra = np.zeros(1 << FEATURE_BITS), NO_MODEL.copy()
+    weights, extra = np.zeros(1 << FEATURE_BITS, np.float32), NO_MODEL.copy()
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
     words = Words(LOWER[np.frombuffer(b"".join(raw), np.uint8)], offsets, ALNUM)
     if not len(words) or not (toxic == 1).any() or not (toxic == 0).any():
         return weights, extra  # nothing to tell apart: every marginal is 0
-    features, bounds = word_features(words)
+    hashed, bounds = word_features(words)
     doc = np.repeat(np.arange(len(raw)), np.diff(words.first))
-    # copies of one text count once: documents with the same smallest word hash stand for each other
-    low = np.full(len(raw), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, doc, words.hashes()[words.codes] * MIX)
-    _, keep = np.unique(np.stack([low, toxic.astype(np.uint64)]), axis=1, return_index=True)
+    present, features = np.unique(hashed, return_inverse=True)  # only features that occur are fitted
+    pairs = np.unique(np.stack([doc, words.codes]), axis=1)  # the distinct words of each document
+    # copies of one text count once: documents with the same words stand for each other
+    held = np.zeros(len(raw), np.uint64)
+    np.add.at(held, pairs[0], (words.hashes()[pairs[1]] + np.uint64(1)) * MIX)
+    _, keep = np.unique(np.stack([held, toxic.astype(np.uint64)]), axis=1, return_index=True)
     counts = {}
     for label in (0, 1):
-        seen = np.unique(np.stack([doc, words.codes])[:, np.isin(doc, keep[toxic[keep] == label])], axis=1)[1]
-        per_word = np.bincount(seen, minlength=len(words.distinct))
-        counts[label] = np.bincount(features, weights=np.repeat(per_word, np.diff(bounds)), minlength=len(weights))
+        per_word = np.bincount(pairs[1][np.isin(pairs[0], keep[toxic[keep] == label])], minlength=len(words.distinct))
+        counts[label] = np.bincount(features, weights=np.repeat(per_word, np.diff(bounds)), minlength=len(present))
     n1, n0 = max(1, int((toxic[keep] == 1).sum())), max(1, int((toxic[keep] == 0).sum()))
-    seeds = (counts[1] >= min(3, n1)) & (counts[1] / n1 >= SEED_RATIO * (counts[0] + 0.5) / (n0 + 1.0))
+    seeds = seed_features(counts[1], counts[0], n1, n0)
     offending = max_by(seeds[features].astype(float), bounds) > 0
     y = (offending[words.codes] & (toxic[doc] == 1)).astype(float)
     if not y.any():
@@ -177,35 +209,36 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
     previous = np.where(begin, 0.0, np.concatenate([[0.0], y[:-1]]))
     observed = np.array([[((1 - previous) * (1 - y)).sum(), ((1 - previous) * y).sum()],
                          [(previous * (1 - y)).sum(), (previous * y).sum()]])
-    bias, trans = np.log(y.mean() / (1 - y.mean())), np.zeros((2, 2))
-    state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros(5), np.zeros(5)]
+    bias, trans, fitted = np.log(y.mean() / (1 - y.mean())), np.zeros((2, 2)), np.zeros(len(present))
+    state = [np.zeros_like(fitted), np.zeros_like(fitted), np.zeros(5), np.zeros(5)]
     rate = 0.3
     for step in range(1, STEPS + 1):
-        scores = bias + sums_by(weights[features], bounds)[words.codes]
+        scores = bias + sums_by(fitted[features], bounds)[words.codes]
         kernel = np.exp(trans)
         forward, backward = forward_backward(scores, words.first, kernel)
         p = marginals(forward, backward)
         by_word = np.bincount(words.codes, weights=y - p, minlength=len(words.distinct))
-        g = np.bincount(features, weights=np.repeat(by_word, np.diff(bounds)), minlength=len(weights))
+        g = np.bincount(features, weights=np.repeat(by_word, np.diff(bounds)), minlength=len(present))
         w = np.exp(np.clip(scores, -30, 30))
         before = np.where(begin, 0.0, np.concatenate([[0.0], forward[:-1]]))
         pair = np.array([[(1 - before) * kernel[0, 0] * (1 - backward), (1 - before) * kernel[0, 1] * w * backward],
                          [before * kernel[1, 0] * (1 - backward), before * kernel[1, 1] * w * backward]])
         expected = (pair / np.maximum(pair.sum((0, 1)), 1e-300)).sum(2)
         small = np.concatenate([[(y - p).sum()], (observed - expected).ravel()])
-        for gradient, first, second, apply in ((g - 0.01 * weights, 0, 1, "w"), (small / 50, 2, 3, "s")):
+        for gradient, first, second, apply in ((g - 0.01 * fitted, 0, 1, "w"), (small / 50, 2, 3, "s")):
             state[first] = 0.8 * state[first] + 0.2 * gradient
             state[second] = 0.95 * state[second] + 0.05 * gradient ** 2
             move = rate * (state[first] / (1 - 0.8 ** step)) / (np.sqrt(state[second] / (1 - 0.95 ** step)) + 1.0)
             if apply == "w":
-                weights += move
+                fitted += move
             else:
                 bias += move[0]
                 trans += move[1:].reshape(2, 2)
                 trans -= trans[0, 0]
-    scores = bias + sums_by(weights[features], bounds)[words.codes]
+    scores = bias + sums_by(fitted[features], bounds)[words.codes]
     largest = max_by(marginals(*forward_backward(scores, words.first, np.exp(trans))), words.first)
-    return weights.astype(np.float32).astype(float), np.concatenate([[bias], np.exp(trans).ravel(), calibrate(largest, toxic)])
+    weights[present] = fitted
+    return weights, np.concatenate([[bias], np.exp(trans).ravel(), calibrate(largest, toxic)])
 
 
 def log_odds(p: np.ndarray) -> np.ndarray:
@@ -228,9 +261,22 @@ def document_scores(largest: np.ndarray, extra: np.ndarray, has_tokens: np.ndarr
     return np.where(has_tokens, 1 / (1 + np.exp(-np.clip(extra[5] * log_odds(largest) + extra[6], -700, 700))), 0.0)
 
 
+class Model:
+    """Weights of the features that occur in the fit, and [bias, kernel, calibration]; small enough for the driver, whatever the corpus."""
+
+    def __init__(self, places: np.ndarray, values: np.ndarray, extra: np.ndarray):
+        self.places, self.values, self.extra = places, values, extra
+
+    def weights(self) -> np.ndarray:
+        """One weight for every hashed feature (16 MB); made in the tasks that score."""
+        out = np.zeros(1 << FEATURE_BITS, np.float32)
+        out[self.places] = self.values
+        return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Fit on a bounded sample of labelled rows, in one executor task; the model has a fixed size.
+          text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on a bounded sample of labelled rows, in one executor task.
 
     Rows without a label or an id are not used; a document with several
     labels takes the largest.
@@ -246,33 +292,36 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             texts += batch.column("text").to_pylist()
             y += batch.column("label").to_pylist()
         weights, extra = fit(texts, np.array(y, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()),
-                                          pa.array([extra.astype("<f8").tobytes()], pa.binary())], names=["weights", "extra"])
+        places = np.flatnonzero(weights)
+        parts = places.astype("<i4"), weights[places].astype("<f4"), extra.astype("<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["places", "weights", "extra"])
 
     row = rows.select("id", "text", "label").repartition(1).sortWithinPartitions("id").select("text", "label").mapInArrow(one, MODEL).collect()
     if not row:
-        return np.zeros(1 << FEATURE_BITS), NO_MODEL.copy()
-    return np.frombuffer(row[0]["weights"], "<f4").astype(float), np.frombuffer(row[0]["extra"], "<f8")
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), NO_MODEL)
+    return Model(*(np.frombuffer(row[0][k], t) for k, t in (("places", "<i4"), ("weights", "<f4"), ("extra", "<f8"))))
+
 
+def token_marginals(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, extra: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, probability of state 1 at each, score of each document) for a run of texts."""
+    words = Words(LOWER[data], offsets, ALNUM)
+    features, bounds = word_features(words)
+    by_word = extra[0] + sums_by(weights[features], bounds)
+    p = marginals(*forward_backward(by_word[words.codes] if len(words) else np.zeros(0), words.first, extra[1:5].reshape(2, 2)))
+    return words, p, document_scores(max_by(p, words.first), extra, np.diff(words.first) > 0)
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``score``, ``n_toxic_tokens`` and ``spans`` (character offsets, end exclusive).
 
     Every row gives one row. A null or empty text, or one without tokens,
     scores 0 and has no spans. Other columns are not carried.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 16 MB, whatever the corpus
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, extra = shared.value
-        kernel = extra[1:5].reshape(2, 2)
+        weights, extra = model.weights(), model.extra
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
-                words = Words(LOWER[data], offsets, ALNUM)
-                features, bounds = word_features(words)
-                by_word = extra[0] + sums_by(weights[features], bounds)
-                p = marginals(*forward_backward(by_word[words.codes] if len(words) else np.zeros(0), words.first, kernel))
+            for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
+                words, p, scores = token_marginals(data, offsets, weights, extra)
                 on = np.flatnonzero(p > 0.5)
                 doc_of = np.searchsorted(words.first, on, side="right") - 1
                 new = np.ones(len(on), bool)
@@ -286,8 +335,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                                                     pa.array((chars[words.ends[on[end]]] - base).astype(np.int64))], names=["start", "end"])
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(span_doc, minlength=len(offsets) - 1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    rows.column("id"), pa.array(document_scores(max_by(p, words.first), extra, np.diff(words.first) > 0)),
-                    pa.array(np.bincount(doc_of, minlength=len(offsets) - 1).astype(np.int32)),
+                    rows.column("id"), pa.array(scores), pa.array(np.bincount(doc_of, minlength=len(offsets) - 1).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["id", "score", "n_toxic_tokens", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -296,6 +344,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     return scored.withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text scores below ``threshold``.
+
+    Rows are scored and filtered in one pass, without a shuffle. A null or
+    empty text scores 0 and stays; repeated and null ids are judged row by row.
+    """
+    def judge() -> Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]:
+        weights = model.weights()
+        return lambda _, data, offsets: token_marginals(data, offsets, weights, model.extra)[2] < threshold
+
+    return kept_rows(docs, judge, text_col, SLICE_BYTES)
+
+
 def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """Fit on labels outside the held-out fold and score every document."""
     model = train(docs, labels.where(~held_out("doc_id", folds, fold)))
