@@ -46,7 +46,9 @@ BLOCK = 2048
 SMALL = 48
 #: Text whose shingles a task holds at once.
 SLICE_BYTES = 4 << 20
-PROFILE = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sig binary, prefix array<bigint>"
+#: Pairs of members that are tested at once.
+TILE = 1 << 18
+PROFILE = "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, sig binary, prefix array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,10 +117,10 @@ def shingle_counters(docs: DataFrame, n_words: int = WORDS) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, counters, n_words: int, percent: int) -> DataFrame:
-    """doc_id, n, hash of the set, signature and prefix of every document; ``counters`` is a broadcast."""
+    """doc_id, text_hash, n, hash of the set, signature and prefix of every row; ``counters`` is a broadcast of the compressed table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counters.value
+        table = np.frombuffer(zlib.decompress(counters.value), np.uint32)
         for batch in batches:
             for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 values, bounds = shingle_sets(data, offsets, n_words)
@@ -138,12 +140,12 @@ def profiles(docs: DataFrame, counters, n_words: int, percent: int) -> DataFrame
                 first = np.arange(len(values)) - bounds[doc] < length[doc]
                 cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    rows.column("doc_id"), rows.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                     pa.array([sig[k * 64:k * 64 + 64] for k in range(docs_)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(values[order][first].view(np.int64)))],
-                    names=["doc_id", "n", "h1", "h2", "sig", "prefix"])
+                    names=["doc_id", "text_hash", "n", "h1", "h2", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PROFILE)
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, PROFILE)
 
 
 def _bucket_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,25 +193,31 @@ class PairFinder:
         self.group = group = np.flatnonzero(lead)  # groups of the bucket: rows of one gid and side stand together
         self.stop = stop = np.append(group[1:], len(t))
         bucket = np.flatnonzero(new[group])
-        n, pos, side, mixed = c["n"][group], c["pos"][group], c["side"][group], (c["x"] != c["y"])[group]
+        n, pos, side, gid, mixed = c["n"][group], c["pos"][group], c["side"][group], c["gid"][group], (c["x"] != c["y"])[group]
         own = np.flatnonzero((stop - group > 1) & (pos == 0) & ~mixed)  # pairs inside a group: once, by its first shingle
         self.members(own, own)
         for i, j in _bucket_pairs(bucket, np.append(bucket[1:], len(group))):
             ok = ((100 * np.minimum(n[i], n[j]) >= self.percent * np.maximum(n[i], n[j]))
-                  & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= self.need(n[i] + n[j])) & (~mixed[i] | (side[i] != side[j])))
+                  & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= self.need(n[i] + n[j])) & (~mixed[i] | (side[i] != side[j])) & ((gid[i] != gid[j]) | (pos[i] == 0)))
             if ok.any():
                 self.members(i[ok], j[ok])
 
     def members(self, i: np.ndarray, j: np.ndarray) -> None:
         """Expand pairs of groups to pairs of members, in bounded portions, and filter these by signature."""
         c, size_i, size_j = self.c, self.stop[i] - self.group[i], self.stop[j] - self.group[j]
-        portion = np.cumsum(size_i * size_j) >> 18
-        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(portion)) + 1):
-            k = (size_i * size_j)[part]
-            of = np.repeat(part, k)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
-            a, b = self.group[i[of]] + at // size_j[of], self.group[j[of]] + at % size_j[of]
-            ok = (c["rep"][a] != c["rep"][b]) & (c["label"][a] != c["label"][b]) & ((i[of] != j[of]) | (a < b))
+        # tiles of at most TILE pairs: some members of i, all of j (a block's share of a shingle)
+        step = np.maximum(1, TILE // size_j)
+        tiles = -(-size_i // step)
+        of = np.repeat(np.arange(len(i)), tiles)
+        skip = (np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles)) * step[of]
+        rows, width = np.minimum(step[of], size_i[of] - skip), size_j[of]
+        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(rows * width) // TILE)) + 1):
+            k = (rows * width)[part]
+            tile = np.repeat(part, k)
+            at = np.arange(len(tile)) - np.repeat(np.cumsum(k) - k, k)
+            pair = of[tile]
+            a, b = self.group[i[pair]] + skip[tile] + at // width[tile], self.group[j[pair]] + at % width[tile]
+            ok = (c["rep"][a] != c["rep"][b]) & (c["label"][a] != c["label"][b]) & ((i[pair] != j[pair]) | (a < b))
             a, b = a[ok], b[ok]
             total = c["n"][a] + c["n"][b]
             differ = np.bitwise_count(self.sig[a] ^ self.sig[b]).sum(1).astype(np.int64)
@@ -247,24 +255,24 @@ def _dealt(tokens: DataFrame, shared: DataFrame, members: DataFrame) -> DataFram
     """Members at their shared prefix shingles; a shingle of many members is dealt out as pairs of blocks."""
     at = tokens.join(shared, "token").join(members, "gid")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("gid"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")  # by member: a group of any size is split too
     at = at.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return (at.select("token", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "pos", "n", "gid", "rep", "label", "sig")
             .repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "gid", "side"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """(a, b, linked) by the exact test on the sets, which are made again for the documents that occur in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """(a, b, linked) by the exact test on the sets, which are made again from a text of every set that occurs in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "head.doc_id", "head.text_hash"), "rep")
+    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 values, bounds = shingle_sets(data, offsets, n_words)
                 raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
-                                                 names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
+                                                 names=["rep", "hashes"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,28 +283,45 @@ def _verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) ->
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    table = stored(texts.mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets")
-    both = (pairs.join(table.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a")
-            .join(table.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b"))
+    table = stored(texts.mapInArrow(sets, "rep bigint, hashes binary").dropDuplicates(["rep"]), "sets")
+    both = (pairs.join(table.select(F.col("rep").alias("a"), F.col("hashes").alias("of_a")), "a")
+            .join(table.select(F.col("rep").alias("b"), F.col("hashes").alias("of_b")), "b"))
     return both.select("a", "b", "of_a", "of_b").mapInArrow(test, "a bigint, b bigint, linked boolean")
 
 
-def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, ``n_shingles`` and ``component_id`` (smallest linked doc_id, itself included) for every row.
-
-    A null or empty text, or one without words, has an empty set and is its
-    own component. Rows with one id are one document to the links (its first
-    text in hash order counts) but each keeps its row. A row with a null id
-    has a null component and links with nothing. Other columns are ignored.
+def merged(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links, from the components before: only what the new links touch is searched again."""
+    of = parts.select(F.col("node").alias("x"), F.col("component").alias("label"))
+    ends = (more.join(of.withColumnsRenamed({"x": "a", "label": "la"}), "a", "left").join(of.withColumnsRenamed({"x": "b", "label": "lb"}), "b", "left")
+            .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    ends = stored(ends, "ends")
+    again = stored(components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("top")), "merged")
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("component")),
+                                        F.struct(F.col("b").alias("node"), F.col("lb").alias("component")))).alias("n")).select("n.*")
+    every = parts.unionByName(new).distinct()
+    return every.join(again, F.col("component") == F.col("label"), "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+def jaccard_classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, ``n_shingles``, ``component_id``, ``text_hash`` (xxhash64 of the text) and ``kept`` for every row.
+
+    Links are between sets, so rows that share an id but not their words are
+    linked each by its own words. ``component_id`` is the smallest doc_id
+    among the rows of all sets that are reached by links, the row's own included; the row
+    with the smallest id, and of these the smallest text hash, has ``kept``
+    (with every exact repetition of it). A null or empty text, or one without
+    words, has an empty set, is its own component and kept. A row with a
+    null id has a null component, links with nothing and is kept. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(shingle_counters(docs, n_words))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    table = spark.sparkContext.broadcast(zlib.compress(shingle_counters(docs, n_words).tobytes(), 1))  # at most 16 MB, whatever the corpus
     prof = stored(profiles(docs, table, n_words, percent), "profiles")
     same_set = ["n", "h1", "h2"]
     reps = prof.where("n > 0 and doc_id is not null").groupBy(*same_set).agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    reps = stored(reps.withColumn("px", F.xxhash64("prefix")), "representatives")
+        F.min(F.struct("doc_id", "text_hash")).alias("head"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    reps = stored(reps.withColumn("px", F.xxhash64("prefix")).withColumn("rep", F.monotonically_increasing_id()), "representatives")
     groups = reps.groupBy("px", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
     member = reps.join(groups, ["px", "n"])
     tokens = member.where("rep = gid").select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
@@ -305,7 +330,7 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     members = member.select("gid", "rep", "sig", F.col("rep").alias("label"))
     at = _dealt(tokens.drop("members"), shared, members)
     pairs = stored(at.mapInArrow(lambda b: PairFinder(percent, True).run(b), EDGES).distinct(), "pairs")
-    checked = stored(_verified(pairs, docs, n_words, percent), "checked")
+    checked = stored(_verified(pairs, docs, reps, n_words, percent), "checked")
     links = checked.where("linked")
     parts = components(links)
     if not checked.where("not linked").isEmpty():
@@ -314,11 +339,20 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
             "gid", "rep", "sig", F.coalesce("component", "rep").alias("label"))
         rest = (_dealt(tokens.drop("members"), shared, label).mapInArrow(lambda b: PairFinder(percent, False).run(b), EDGES)
                 .distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        more = stored(_verified(stored(rest, "more_pairs"), docs, n_words, percent).where("linked"), "more_links")
+        more = stored(_verified(stored(rest, "more_pairs"), docs, reps, n_words, percent).where("linked"), "more_links")
         if not more.isEmpty():
-            parts = components(links.unionByName(more))
-    named = reps.select(*same_set, "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
-        *same_set, F.coalesce("component", "rep").alias("component_id"))
-    linked = prof.select("doc_id", *same_set).join(named, same_set, "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"),
-                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+            parts = merged(parts, more)
+    # the first row of every component of more than one set
+    tops = reps.join(parts, F.col("rep") == F.col("node")).groupBy("component").agg(F.min("head").alias("top"))
+    linked = parts.join(tops, "component").select("node", "top")
+    named = reps.select(*same_set, "rep", "head").join(linked, F.col("rep") == F.col("node"), "left").select(*same_set, F.coalesce("top", "head").alias("top"))
+    rows = prof.select("doc_id", "text_hash", *same_set).join(named, same_set, "left")
+    first = (F.col("top.doc_id") == F.col("doc_id")) & (F.col("top.text_hash") == F.col("text_hash"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"),
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("top.doc_id", "doc_id")).alias("component_id"), "text_hash",
+                       F.when(F.col("top").isNull() | F.col("doc_id").isNull(), True).otherwise(first).alias("kept"))
+
+
+def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, ``n_shingles`` and ``component_id`` of :func:`jaccard_classes`."""
+    return jaccard_classes(docs, n_words, percent).select("doc_id", "n_shingles", "component_id")
