@@ -8,7 +8,8 @@ cosine in double precision, so a pair that is reported is a link. Equal
 vectors are one entry with a weight, and never cost more than one.
 
 A list is processed in tasks of bounded size: one with many entries is dealt out as
-pairs of blocks. A pair counts in the list of the smallest pivot that it
+pairs of blocks. Vectors of different lengths never meet: the length is a further
+key of pivots and lists. A pair counts in the list of the smallest pivot that it
 shares. Tasks return the number of links per vector and a spanning forest
 of the links, not the links.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ SHARED = 2
 #: Pivots: this many times the root of the number of distinct vectors, within bounds that keep them a few MB.
 PIVOT_FACTOR, FEWEST_PIVOTS, MOST_PIVOTS = 4, 16, 8192
 BLOCK = 1024
+#: A length of at most this many distinct vectors needs no pivots: all its pairs are compared.
+DIRECT = 256
 FOUND = "a bigint, b bigint, links bigint"
 
 
@@ -82,54 +86,40 @@ def linked_pairs(x: np.ndarray, perm: np.ndarray, side: np.ndarray, pivot: int,
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, ``n_links``, ``component_id`` (smallest linked id, itself included) and ``kept`` for every row.
 
-    A vector that is null, empty, zero, or holds null or non-finite components, or whose
-    length is not the table's most common one, links with nothing. So does a
-    row with a null id, whose component is null. Repeated rows are vectors of
+    A vector that is null, empty, zero, or holds null or non-finite components links with nothing. So does a
+    row with a null id, whose component is null. Vectors link with those of
+    their own length only; every length has pivots and lists of its own. Repeated rows are vectors of
     their own and link with each other. Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
-    size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not size:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    distinct = stored(good.where(F.size("v") == size[0]["d"]).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "distinct_vectors")
-    n = distinct.count()
-    wanted = min(MOST_PIVOTS, max(FEWEST_PIVOTS, PIVOT_FACTOR * math.isqrt(n)))
-    # a sample of bounded size, by hash: the fit; every vector is indexed
-    chosen = distinct.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
-    pivots = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float64)))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pivots.value
-        k = min(NEAREST, len(p))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                near = _unit(_matrix(part.column("v"))) @ p.T
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                cuts = pa.array(np.arange(len(top) + 1, dtype=np.int32) * k)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, pa.array(top.ravel()))], names=["v", "rep", "weight", "perm"])
-
-    kind = dict(distinct.dtypes)["v"]
-    index = stored(distinct.select("v", "rep", "weight").mapInArrow(describe, f"v {kind}, rep bigint, weight bigint, perm array<int>"), "pivot_index")
-    lists = index.select("rep", "weight", "v", "perm", F.explode("perm").alias("pivot"))
-    sizes = F.broadcast(index.select(F.explode("perm").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("c")).where("c > 1"))  # a row a pivot
+    usable = F.col("id").isNotNull() & F.coalesce(finite, F.lit(False))
+    distinct = stored(rows.where(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("d", F.size("v")), "distinct_vectors")
+    counts = distinct.groupBy("d").agg(F.count("*").alias("n"))
+    # a length of few vectors is one list; each of the others, at most one for every DIRECT vectors, gets an index
+    few = distinct.join(counts.where((F.col("n") > 1) & (F.col("n") <= DIRECT)).select("d"), "d", "left_semi")
+    one_list = F.array(*[F.lit(k) for k in range(SHARED)])
+    indexed = [few.select("v", "rep", "weight", "d", one_list.alias("perm"))]
+    for size in counts.where(F.col("n") > DIRECT).orderBy("d").collect():
+        indexed.append(pivot_index(distinct.where(F.col("d") == size["d"]), size["n"]).withColumn("d", F.lit(size["d"])).select("v", "rep", "weight", "d", "perm"))
+    index = stored(reduce(DataFrame.unionByName, indexed), "pivot_index")
+    # the pseudo-pivots of a length of few vectors are the same for all: the first one's list holds every pair
+    listed = F.when(F.size("perm") == SHARED, F.slice("perm", 1, 1)).otherwise(F.col("perm"))
+    lists = index.select("rep", "weight", "v", "d", "perm", F.explode(listed).alias("pivot"))
+    sizes = lists.groupBy("d", "pivot").agg(F.count("*").alias("c")).where("c > 1")  # a row a pivot
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = (lists.join(sizes, "pivot").withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = (lists.join(F.broadcast(sizes), ["d", "pivot"]).withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("pivot", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "rep", "weight", "v", "perm")
-             .repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y"))
+             .select("d", "pivot", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "rep", "weight", "v", "perm")
+             .repartition("d", "pivot", "x", "y").sortWithinPartitions("d", "pivot", "x", "y"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, links = Forest(), Counter()
         edges: list[tuple[int, int]] = []
-        for t in whole_buckets(batches, ("pivot", "x", "y")):
-            c = {k: t.column(k).to_numpy() for k in ("pivot", "x", "y", "side", "rep", "weight")}
+        for t in whole_buckets(batches, ("d", "pivot", "x", "y")):
+            c = {k: t.column(k).to_numpy() for k in ("d", "pivot", "x", "y", "side", "rep", "weight")}
             new = np.ones(len(t), bool)
-            new[1:] = (np.diff(c["pivot"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)
+            new[1:] = (np.diff(c["d"]) != 0) | (np.diff(c["pivot"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)
             cuts = np.append(np.flatnonzero(new), len(t))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a < 2:
@@ -153,8 +143,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     parts = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     named = (distinct.join(degree, "rep", "left").join(parts, "rep", "left")
              .select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
-    own = rows.withColumn("key", F.when(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)), F.col("v")))
-    out = own.join(named.withColumnRenamed("v", "key"), "key", "left")
+    named = named.withColumnRenamed("v", "key")
+    # vectors that cannot link have no key: they stay out of the join, in which they would all be one key
+    out = (rows.where(usable).join(named, F.col("v") == F.col("key"), "left").select("id", "links", "component")
+           .unionByName(rows.where(~usable).select("id"), allowMissingColumns=True))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def pivot_index(distinct: DataFrame, n: int) -> DataFrame:
+    """v, rep, weight and ``perm``, the nearest pivots in order, of ``n`` distinct vectors of one length.
+
+    The pivots are a sample of bounded size, by hash: the fit; every vector is indexed.
+    """
+    wanted = min(MOST_PIVOTS, max(FEWEST_PIVOTS, PIVOT_FACTOR * math.isqrt(n)))
+    chosen = distinct.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
+    pivots = distinct.sparkSession.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen], np.float64)))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pivots.value
+        k = min(NEAREST, len(p))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                near = _unit(_matrix(part.column("v"))) @ p.T
+                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                cuts = pa.array(np.arange(len(top) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(cuts, pa.array(top.ravel()))], names=["v", "rep", "weight", "perm"])
+
+    kind = dict(distinct.dtypes)["v"]
+    return distinct.select("v", "rep", "weight").mapInArrow(describe, f"v {kind}, rep bigint, weight bigint, perm array<int>")
