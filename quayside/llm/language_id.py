@@ -31,7 +31,10 @@ from .samples import bounded_sample, held_out
 PER_LANGUAGE = 400
 ROUNDS = 4
 SMOOTHING = 0.05
+#: The fit takes words in blocks of this many bytes; scores are over whole words.
 BLOCK = 32
+RESCALE = 16
+LATTICE_BYTES = 400_000
 UNKNOWN = "und"
 BASE = np.uint64(0x100000001B3)
 
@@ -153,16 +156,50 @@ def backward(steps, offsets: np.ndarray, p: np.ndarray) -> np.ndarray:
     return sums
 
 
+def log_totals(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of every word, whatever its length (words x languages).
+
+    All words advance together, a byte at a step. Every :data:`RESCALE` steps
+    the sums that a longer word may still use are divided by its latest one,
+    whose logarithm is added up, so no product of many pieces underflows.
+    """
+    sizes = np.diff(offsets)
+    cuts, begin, end, ids, _ = _steps(pieces.lattice(data, offsets), offsets, int(sizes.max()) if len(sizes) else 0)
+    base = offsets[:-1] + np.arange(len(sizes))
+    sums, logs = np.zeros((int(offsets[-1]) + len(sizes), p.shape[1])), np.zeros((len(sizes), p.shape[1]))
+    sums[base] = 1.0
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    for step, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), 1):
+        if a < b:
+            value = sums[begin[a:b]] * p[ids[a:b]]
+            by = np.argsort(end[a:b], kind="stable")
+            target = end[a:b][by]
+            first = np.flatnonzero(np.append(True, np.diff(target) > 0))
+            sums[target[first]] = np.add.reduceat(value[by], first, axis=0)
+        if step % RESCALE == 0:
+            longer = order[np.searchsorted(ordered, step, side="right"):]
+            latest = sums[base[longer] + step]
+            logs[longer] += np.log(latest)
+            used = (base[longer] + step)[:, None] - np.arange(min(pieces.longest, step + 1))
+            with np.errstate(over="ignore"):  # far behind a piece may reach back over anything; what is beyond a double's range stays finite
+                sums[used] = np.minimum(sums[used] / latest[:, None, :], 1e300)
+    return logs + np.log(sums[base + sizes])
+
+
 def word_log_likelihood(words: Words, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """log P(word | language) of the distinct words (words x languages)."""
-    data, offsets, word = marked(words)
-    out = np.zeros((len(words.distinct), p.shape[1]))
-    for k in range(0, len(word), 60_000):  # bounds the lattice held at once
-        some = offsets[k:k + 60_001]
-        part = data[some[0]:some[-1]]
-        some = some - some[0]
-        sums = forward(_steps(pieces.lattice(part, some), some, BLOCK), some, p)
-        np.add.at(out, word[k:k + 60_000], np.log(sums[some[1:] + np.arange(len(some) - 1)]))
+    """log P(word | language) of the distinct words (words x languages), over all segmentations of the whole word."""
+    flat, offsets = words.buffers()
+    flat = flat[:offsets[-1]] if len(offsets) > 1 else flat[:0]
+    data = np.insert(flat, offsets[:-1], 0x20)
+    offsets = offsets + np.arange(len(offsets))
+    out = np.zeros((len(offsets) - 1, p.shape[1]))
+    start = 0
+    while start < len(out):  # bounds the lattice held at once, by bytes; one word at least
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + LATTICE_BYTES, side="right")) - 1)
+        some = offsets[start:stop + 1]
+        out[start:stop] = log_totals(pieces, data[some[0]:some[-1]], some - some[0], p)
+        start = stop
     return out
 
 
