@@ -60,7 +60,7 @@ def test_jaccard_with_split_buckets_and_weak_signatures(shipped, near_copies, mo
 
 def test_jaccard_on_messy_documents(messy):
     got = sorted(run_jaccard(messy), key=str)
-    # an id that repeats is one node; each row keeps its own set size; a null id has no component
+    # each row has its own set, linked by its own words; a null id has no component
     assert (None, 2, None) in got and len(got) == 13
     assert sorted(c for k, _, c in got if k is not None) == sorted(k for k, _, _ in got if k is not None)
     assert {k: n for k, n, _ in got if k in (1, 2, 3)} == {1: 0, 2: 0, 3: 0}
@@ -68,6 +68,50 @@ def test_jaccard_on_messy_documents(messy):
     assert run_jaccard(messy.limit(0)) == []
 
 
+def test_texts_that_share_an_id_are_linked_each_by_its_own_words(shipped):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (9, b.replace("b59", "x")), (2, "c " + a), (5, b), (7, None), (7, "")]
+    got = jaccard_join.jaccard_classes(shipped.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(2, 2), (5, 2), (5, 5), (5, 5), (7, 7), (7, 7), (9, 5)]
+    kept = sorted((r["doc_id"], r["component_id"]) for r in got.where("kept").collect())
+    assert kept == [(2, 2), (5, 5), (5, 5), (7, 7), (7, 7)]
+
+
+def test_a_group_of_many_members_is_paired_in_tiles():
+    """Members of one group meet in bounded portions, also where the group is dealt to two sides."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    m, rng = 3000, np.random.default_rng(1)
+    sig = rng.integers(0, 256, (m, 64), dtype=np.uint8)
+    for side in (np.zeros(m, np.int32), np.sort(np.arange(m) % 2).astype(np.int32)):
+        same = lambda v, t=pa.int64(): pa.array(np.full(m, v), t)
+        table = pa.table({"token": same(1), "x": same(0, pa.int32()), "y": same(int(side.max()), pa.int32()), "side": pa.array(side), "pos": same(0),
+                          "n": same(100), "gid": same(0), "rep": pa.array(np.arange(m)), "label": pa.array(np.arange(m)),
+                          "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
+        finder = jaccard_join.PairFinder(85, False)
+        tracemalloc.start()
+        finder.rows(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 << 20
+
+
+def test_groups_dealt_to_sides_keep_every_link(shipped, monkeypatch):
+    """One prefix, one size, many different sets: a group that is split over many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(40):  # all share their rarest shingles, each changes one word near the end
+        w = list(base)
+        w[60 + k] = f"y{k % 7}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(base[:100] + [f"z{k}{i}" for i in range(60)])) for k in range(10)]
+    got = {k: (n, c) for k, n, c in run_jaccard(shipped.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == brute_jaccard(rows)
+
+
 def test_pair_filter_keeps_every_link_of_random_sets():
     """The finder's survivors, forest or not, connect what brute force links."""
     import pyarrow as pa
@@ -130,6 +174,7 @@ def vectors():
 
 def test_vector_links_recall_and_precision(shipped, vectors, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)  # lists are dealt out as pairs of blocks
+    monkeypatch.setattr(near_vectors, "DIRECT", 1)  # pivots even for few vectors
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(shipped.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()}
     want = brute_vectors(vectors)
     assert all(got[k][0] <= want[k][0] for k in want)
@@ -147,8 +192,39 @@ def test_vectors_that_link_with_nothing(shipped, vectors):
     for r in rows:
         if r["vec_id"] is None:
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, None, False)
+        elif r["vec_id"] in (1006, 1007):  # a length of their own
+            assert (r["n_links"], r["component_id"], r["kept"]) == (1, 1006, r["vec_id"] == 1006)
         elif 1000 <= r["vec_id"] < 2000:
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True)
         elif r["vec_id"] >= 2000:
             assert r["n_links"] >= 3 and r["component_id"] == 0 and not r["kept"]
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("direct", [256, 1])
+def test_vectors_of_two_lengths_link_each_among_their_own(shipped, vectors, monkeypatch, direct):
+    monkeypatch.setattr(near_vectors, "DIRECT", direct)
+    rng = np.random.default_rng(9)
+    short = [(5000 + k, v.tolist()) for k, v in enumerate(np.repeat(rng.normal(size=(30, 6)), 3, axis=0) + rng.normal(size=(90, 6)) * 0.1)]
+    single = [(9000, [1.0, 2.0, 3.0])]
+    df = shipped.createDataFrame(vectors + short + single, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(df).collect()}
+    assert got[9000] == (0, 9000)
+    for part in (vectors, short):
+        want = brute_vectors(part)
+        found, every = sum(got[k][0] for k in want), sum(n for n, _ in want.values())
+        assert all(got[k][0] <= want[k][0] for k in want) and found >= 0.9 * every > 0
+        if direct > len(part):  # all pairs were compared
+            assert {k: got[k] for k in want} == want
+
+
+def test_recall_of_the_index_on_a_larger_table(shipped):
+    """Enough vectors for the pivots that production takes: recall of links against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(500, 32))
+    rows = [(k, (centres[k % 500] + rng.normal(size=32) * 0.15).tolist()) for k in range(2500)]
+    got = near_vectors.near_duplicates(shipped.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = int(((unit @ unit.T) >= 0.95).sum()) - len(rows)
+    assert want > 1000 and 0.9 * want <= sum(r["n_links"] for r in got) <= want

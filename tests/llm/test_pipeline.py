@@ -82,6 +82,28 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(shipped, near_cop
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(shipped, docs, "").collect()} == heads
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_own_text(shipped, folder, messy):
+    from pyspark.sql import functions as F
+
+    path, rows, _ = folder
+    toxic, clean = rows[0], next(r for r in rows if r[0] is not None and r[0] % 5 and r[0] % 4 != 1)
+    other = " ".join(f"plain{k}" for k in range(80))
+    some = [clean, (clean[0], toxic[1], "en", "s", 1), (clean[0], other, "en", "s", 2), (clean[0], other, "de", "t", 3), (10**6, other + " more", "en", "s", 4),
+            (None, toxic[1], "en", "s", 5), (None, clean[1], "en", "s", 6), (7, None, None, None, None), (7, "", None, None, None)]
+    docs = shipped.createDataFrame(some, DOCS).withColumns({c: F.lit(1) for c in ("score", "text_hash", "n", "rep", "id")})
+    after = corpus_pipeline.toxicity_stage(shipped, docs.unionByName(shipped.createDataFrame(rows, DOCS), allowMissingColumns=True), path)
+    assert after.columns == docs.columns
+    kept = sorted((key(r) for r in after.where("rep = 1").collect()))
+    assert kept == sorted(key((*r, 1, 1, 1, 1, 1)) for r in some if r[1] != toxic[1])
+    last = corpus_pipeline.near_duplicate_stage(shipped, docs, path).collect()
+    assert [r["doc_id"] for r in last].count(clean[0]) == 3  # three texts, one of them twice
+    assert 10**6 not in {r["doc_id"] for r in last} and [r["doc_id"] for r in last].count(None) == 2 and [r["doc_id"] for r in last].count(7) == 2
+    # very long texts, nulls and clashing columns go through every stage that returns documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(shipped, messy, path)
+        assert out.columns == messy.columns and out.count() <= messy.count()
+
+
 def test_run_gives_the_pieces_of_all_stages(shipped, folder):
     path, _, _ = folder
     rows = corpus_pipeline.run(shipped, path).collect()
