@@ -5,9 +5,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; the caller
 reread table to the next stage. All but the last return the columns of
 ``docs`` as they came. Labels are read from ``sf_dir``.
 
-Decisions are kept per ``doc_id``. A row with a null id cannot be named in a
-decision, so the filters keep it; rows that share an id share the decision
-that is harder on them. An empty table gives an empty table.
+A document is a row: each is judged by its own values, whatever other rows
+have its id, and a row without an id like any other. Rows without words are no
+near-duplicates of anything. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,34 +23,36 @@ from quayside.llm.scratch import ship_package, stored
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``rejected`` (a null id never is)."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose CRF score stays below the threshold."""
+    """Documents whose CRF score stays below the threshold; scored and filtered in one pass over whole rows."""
     ship_package(spark)
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD))
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained views keep."""
+    """Documents that the co-trained views keep; scored and filtered in one pass over whole rows."""
     ship_package(spark)
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.where("not keep"))
+    return quality.good_rows(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8): the one with the smallest id (one row, if that id repeats)."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8).
+
+    It is the one with the smallest id, then the smallest text hash. Rows that
+    share an id but not their words stay or go by their own words. Of rows
+    with the same id and text one stays. Rows without an id stay.
+    """
     ship_package(spark)
-    found = stored(jaccard_join.jaccard_components(docs, n_words=SHINGLE_WORDS, percent=SHINGLE_PERCENT), "components")
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    single = kept.join(repeated.select("doc_id"), "doc_id", "left_anti")
-    once = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(once).select(docs.columns)
+    found = stored(jaccard_join.jaccard_classes(docs, n_words=SHINGLE_WORDS, percent=SHINGLE_PERCENT), "components")
+    key = ["doc_id", "__text_hash"]  # a name that documents don't have
+    found = found.withColumnRenamed("text_hash", "__text_hash")
+    kept = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = kept.join(found.where("not kept").select(*key).distinct(), key, "left_anti")
+    repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key)
+    once = kept.join(repeated, key, "left_semi")
+    row = F.struct(*docs.columns)
+    first = once.groupBy(*key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.join(repeated, key, "left_anti").select(docs.columns).unionByName(first)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
