@@ -6,22 +6,25 @@ name = file stem), header row, ``,`` delimiter, UTF-8, columns matched by
 ``""`` stays an empty string), a malformed row fails the load, and a load
 never writes into a non-empty target.
 
-Scale notes: ``multiLine`` CSV is not splittable (one task per file), so the
-round trip parses raw CSV once, to a Parquet copy as text, and infers,
-casts and counts from that copy.
+Scale notes: ``multiLine`` CSV is not splittable (one task per file), so raw
+CSV is parsed once, strictly, to a Parquet copy as text; types are inferred and
+values cast from that copy. Raw records are counted from the files themselves,
+by :mod:`.record_count`, which does split them.
 """
 
 from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .infer import infer_catalogue_many, strip
+from .record_count import record_counts, table_records
 
 # Fixed reader options (COPY-like): a sentinel null token means only the
 # unquoted empty cell becomes NULL, while a quoted "" reads as ''.
@@ -71,6 +74,13 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return read_csv_text(spark, path).columns
 
 
+def read_csv_strict(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+    """Every column as string, in the header's order; a row with too few or too many cells fails the job."""
+    header = header or header_columns(spark, path)
+    ddl = ", ".join(f"`{c}` string" for c in header)
+    return _reader(spark).option("enforceSchema", "false").option("mode", "FAILFAST").schema(ddl).csv(path)
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None,
                    null_tokens=None) -> DataFrame:
     """Typed read with columns matched by name.
@@ -87,9 +97,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: dict, columns=None,
     unknown = [c for c in header if c not in schema]
     if unknown:
         raise ValueError(f"{path}: header columns without a type: {unknown}")
-    ddl = ", ".join(f"`{c}` string" for c in header)
-    text = _reader(spark).option("enforceSchema", "false").option("mode", "FAILFAST").schema(ddl).csv(path)
-    return typed_columns(text, schema, columns, null_tokens)
+    return typed_columns(read_csv_strict(spark, path, header), schema, columns, null_tokens)
 
 
 def typed_value(cell: Column, spark_type: str) -> Column:
@@ -118,28 +126,31 @@ def typed_columns(text: DataFrame, schema: dict, columns=None, null_tokens=None)
     return text.select(*[typed_value(cells[c], schema[c]).alias(c) for c in (columns or schema)])
 
 
-def count_raw_records(spark: SparkSession, files: DataFrame, pattern: str) -> DataFrame:
-    """(table_name, raw_rows): CSV records per file, quoted newlines not counted.
+def count_raw_records(spark: SparkSession, files: DataFrame, directory: str) -> DataFrame:
+    """(table_name, raw_rows): records of ``files`` (of :func:`discover_csv` on ``directory``) without their headers.
 
-    ``pattern`` globs the same files as ``files`` (of :func:`discover_csv`). One multiLine parse per
-    file, grouped by the source file; header-only files count 0 through the
-    left join from the file list.
+    Quoted newlines end no record, empty lines do; a header-only or empty file counts 0.
     """
-    rows = (_reader(spark).option("inferSchema", "false").option("pathGlobFilter", "*.csv").csv(pattern)
-            .select(F.col("_metadata.file_path").alias("file_path"))
-            .groupBy("file_path").agg(F.count("*").alias("n")))
-    return (files.join(rows, "file_path", "left")
-            .select("table_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("raw_rows")))
+    counts = record_counts(spark, directory).withColumnRenamed("path", "file_path")
+    rows = F.greatest(F.coalesce("records", F.lit(0)) - 1, F.lit(0))
+    return files.join(counts, "file_path", "left").select("table_name", rows.cast("bigint").alias("raw_rows"))
 
 
 def nonempty_targets(spark: SparkSession, targets: dict) -> list[str]:
-    """Names whose Parquet target already holds rows (one-row probe each)."""
+    """Names whose Parquet target already holds rows (one-row probe each).
+
+    A missing folder, or one without data files, is an empty target. Any other
+    trouble with reading it (rights, a broken file) is raised: such a target
+    is not known to be empty.
+    """
     busy = []
     for name, path in targets.items():
         try:
             df = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - a missing target is an empty target
-            continue
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                continue
+            raise
         if not df.isEmpty():
             busy.append(name)
     return busy
@@ -190,10 +201,20 @@ def export_csv(df: DataFrame, path: str) -> None:
     """Write a table as one CSV folder with the loader's conventions.
 
     Timestamps are written as Spark casts them to text: seconds, and the
-    fraction only where there is one, so no microsecond is lost.
+    fraction only where there is one, so no microsecond is lost; arrays and
+    structs as JSON. A CSV file with quoted newlines is one task for every
+    reader, so a table that would be written as fewer files than there are
+    cores is dealt out first.
     """
-    df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t.startswith("timestamp") else F.col(f"`{c}`") for c, t in df.dtypes])
-    w = df.write.mode("errorifexists")
+    def cell(c: str, t: str) -> Column:
+        if t.startswith(("array", "map", "struct")):
+            return F.to_json(F.col(f"`{c}`")).alias(c)
+        return F.col(f"`{c}`").cast("string").alias(c) if t.startswith("timestamp") else F.col(f"`{c}`")
+
+    files = len(df.inputFiles())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = df.select(*[cell(c, t) for c, t in df.dtypes])
+    w = (df.repartition(cores) if 0 < files < cores else df).write.mode("errorifexists")
     for k, v in CSV_WRITE_OPTIONS.items():
         w = w.option(k, v)
     w.csv(path)
@@ -204,48 +225,52 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
-def roundtrip(spark: SparkSession, tables: dict) -> tuple[dict, dict]:
-    """Export tables to CSV, infer types from the text and load typed Parquet: ({name: text frame}, {name: typed frame}).
-
-    The raw text is parsed once, to a Parquet copy as text; inference and the strict typed load read that copy.
-    """
-    base = scratch_dir(spark, "csv-roundtrip")
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        for future in [pool.submit(export_csv, df, f"{base}/raw/{name}.csv") for name, df in tables.items()]:
+def _in_parallel(jobs, workers: int = 4) -> None:
+    """Submit independent Spark jobs together; the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        for future in [pool.submit(job) for job in jobs]:
             future.result()
-    def as_text(name: str) -> None:
-        read_csv_text(spark, f"{base}/raw/{name}.csv").write.mode("errorifexists").parquet(f"{base}/text/{name}")
 
-    # raw CSV is parsed once; types, typed tables and record counts come from its splittable text copy
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        for future in [pool.submit(as_text, name) for name in tables]:
-            future.result()
-    text = {name: spark.read.parquet(f"{base}/text/{name}") for name in tables}
+
+def export_tables(spark: SparkSession, tables: dict) -> str:
+    """Write every table as ``<name>.csv`` below a new folder of the shared checkpoint folder; returns that folder."""
+    base = scratch_dir(spark, "csv-raw")
+    _in_parallel([partial(export_csv, df, f"{base}/{name}.csv") for name, df in tables.items()])
+    return base
+
+
+def load_exported(spark: SparkSession, raw: str, names) -> dict:
+    """Infer and load exported tables typed: {name: typed frame}, written below a new shared folder.
+
+    Raw CSV is parsed once, strictly, to a Parquet copy as text; inference and the strict casts read that copy.
+    """
+    base = scratch_dir(spark, "csv-load")
+    _in_parallel([partial(lambda n: read_csv_strict(spark, f"{raw}/{n}.csv").write.parquet(f"{base}/text/{n}"), n) for n in names])
+    text = {n: spark.read.parquet(f"{base}/text/{n}") for n in names}
     schemas = schemas_from_catalogue(infer_catalogue_many(text))
+    _in_parallel([partial(lambda n: typed_columns(text[n], schemas[n]).write.parquet(f"{base}/parquet/{n}"), n) for n in names])
+    return {n: spark.read.parquet(f"{base}/parquet/{n}") for n in names}
 
-    def load(name: str) -> None:
-        typed_columns(text[name], schemas[name]).write.mode("errorifexists").parquet(f"{base}/parquet/{name}")
 
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        for future in [pool.submit(load, name) for name in tables]:
-            future.result()
+def roundtrip(spark: SparkSession, tables: dict) -> tuple[str, dict]:
+    """Export tables to CSV, infer types from the text and load typed Parquet: (raw folder, {name: typed frame})."""
+    raw = export_tables(spark, tables)
+    return raw, load_exported(spark, raw, list(tables))
+
 
-    return text, {n: spark.read.parquet(f"{base}/parquet/{n}") for n in tables}
+def raw_record_counts(spark: SparkSession, tables: dict) -> DataFrame:
+    """(table_name, raw_rows) of the tables written as CSV, counted in the files, and their total as ``*``."""
+    found = table_records(spark, export_tables(spark, tables)).select("table_name", F.col("records").alias("raw_rows"))
+    total = found.agg(F.lit("*").alias("table_name"), F.sum("raw_rows").alias("raw_rows"))
+    return found.unionByName(total)
 
 
 def roundtrip_validation(spark: SparkSession, tables: dict) -> DataFrame:
-    """(table_name, raw_rows, loaded_rows, n_columns, ok) of a :func:`roundtrip`."""
-    text, typed = roundtrip(spark, tables)
-
-    def counts(frames: dict, column: str) -> DataFrame:
-        parts = [df.agg(F.count("*").alias(column)).select(F.lit(n).alias("table_name"), column) for n, df in frames.items()]
-        return reduce(DataFrame.unionByName, parts)
-
-    raw = counts(text, "raw_rows")
-    loaded = counts(typed, "loaded_rows")
-    widths = spark.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("table_name"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
-        for n, df in tables.items()])).alias("w")).select("w.*")
-    return (raw.join(loaded, "table_name", "full_outer").join(widths, "table_name", "left")
-            .select("table_name", F.col("raw_rows").cast("bigint").alias("raw_rows"), "loaded_rows", "n_columns",
-                    (F.col("raw_rows") == F.col("loaded_rows")).alias("ok")))
+    """(table_name, raw_rows, loaded_rows, n_columns, ok): records counted in the raw files against rows of the typed load."""
+    raw, typed = roundtrip(spark, tables)
+    loaded = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("loaded_rows")).select(
+        F.lit(n).alias("table_name"), "loaded_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns")) for n, df in typed.items()])
+    counted = table_records(spark, raw).select("table_name", F.col("records").alias("raw_rows"))
+    # a table that is missing on either side is not ok
+    return counted.join(loaded, "table_name", "full_outer").select(
+        "table_name", "raw_rows", "loaded_rows", "n_columns", F.coalesce(F.col("raw_rows") == F.col("loaded_rows"), F.lit(False)).alias("ok"))
