@@ -5,12 +5,12 @@ integer / bigint -> numeric -> text. Empty or whitespace-only cells are
 ignored; a column with no value at all is text. Integers with a leading
 zero are identifiers (text); integers beyond the bigint range are text.
 
-Plan: a single aggregate job per chunk of columns computes, for every
-column at once, ``bool_and`` of each rung's predicate over the non-empty
-cells plus the integer extremes; the ladder is then a ``when`` chain over
-that one-row result. Partial aggregation happens per task, so the whole
-table is never brought to one place. Columns are processed in chunks to
-keep generated code under the JVM method-size limit.
+Plan: every cell's tests become one bit mask, and a column is the ``bit_and``
+and ``bit_or`` of its cells' masks with the most digits seen before and after
+the point. Each column is a branch that reads nothing but its column as text;
+the tests stand behind the union of all branches, so their code is generated
+and compiled once, and one aggregate leaves one row per task and column before
+its shuffle. Row formats are parsed once per column; write them as Parquet first.
 """
 
 from __future__ import annotations
@@ -43,94 +43,55 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def _cell_flags(value: Column) -> list[Column]:
-    """Per-cell rung tests with as few regex evaluations as possible.
+#: Bits of a cell's mask. Those of the first line must hold for all cells of a column, those of the second for any.
+IS_BOOL, IS_TS, IS_DATE, IS_INT, IS_FLOAT = 1, 2, 4, 8, 16
+LEAD_ZERO, OVER_INTEGER, OVER_BIGINT, NOT_PLAIN = 32, 64, 128, 256
 
-    One regex decides "plain number" (sign, digits, at most one point);
-    integer-ness, leading zeros and digit counts then come from string
-    arithmetic. The timestamp / date patterns only run on cells of a
-    possible length (``And`` short-circuits), and the full float grammar
-    only on cells that are not plain numbers.
-    """
+
+def _bits(cond: Column, bits: int) -> Column:
+    return F.when(cond, bits).otherwise(0)
+
+
+def _cell_parts(cells: DataFrame) -> DataFrame:
+    """``v`` (text), ``t`` (stripped, null if nothing is left) and, of plain numbers, ``n`` characters, ``sign`` and ``dot``."""
+    texts = cells.withColumn("t", F.nullif(strip(F.col("v")), F.lit("")))
     t = F.col("t")
-    n = F.length(t)
-    plain = t.rlike(PLAIN_PATTERN)
-    signed = t.startswith("+") | t.startswith("-")
-    sign_len = F.when(signed, 1).otherwise(0)
-    dot = F.instr(t, ".")
-    digits_total = n - sign_len - F.when(dot > 0, 1).otherwise(0)
-    is_int = plain & (dot == 0) & (digits_total > 0)
-    body_first = F.substring(t, 1, 1)
-    body_first = F.when(signed, F.substring(t, 2, 1)).otherwise(body_first)
-    flags = [
-        ((n == 4) | (n == 5)) & F.upper(t).isin("TRUE", "FALSE"),
-        ((F.length(value) >= 13) & (F.length(value) <= 19) & value.rlike(TS_PATTERN)
-         & value.try_cast("timestamp_ntz").isNotNull()),
-        ((F.length(value) >= 8) & (F.length(value) <= 10) & value.rlike(DATE_PATTERN)
-         & value.try_cast("date").isNotNull()),
-        is_int,
-        is_int & (digits_total > 1) & (body_first == "0"),
-        F.when(is_int, F.abs(t.try_cast("decimal(38,0)"))),
-        F.when(plain, digits_total > 0).otherwise(t.rlike("(?i)" + FLOAT_PATTERN)),
-        plain,
-        F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign_len),
-        F.when(plain, F.when(dot > 0, n - dot).otherwise(0)),
-    ]
-    names = ("is_bool", "is_ts", "is_date", "is_int", "lead0", "abs_int", "is_float", "plain",
-             "int_digits", "frac_digits")
-    return [f.alias(a) for f, a in zip(flags, names)]
-
-
-def _column_stats() -> list[Column]:
-    c = F.col
-    return [
-        F.count("*").alias("n"),
-        F.bool_and("is_bool").alias("all_bool"),
-        F.bool_and("is_ts").alias("all_ts"),
-        F.bool_and("is_date").alias("all_date"),
-        F.bool_and("is_int").alias("all_int"),
-        F.bool_or("lead0").alias("any_lead0"),
-        F.bool_or(c("is_int") & c("abs_int").isNull()).alias("any_huge"),
-        F.max("abs_int").alias("max_abs"),
-        F.bool_and("is_float").alias("all_float"),
-        F.max("int_digits").alias("int_digits"),
-        F.max("frac_digits").alias("frac_digits"),
-        F.bool_or(~c("plain")).alias("needs_double"),
-    ]
-
-
-def _ladder(s: str) -> Column:
-    st = lambda f: F.col(f"{s}.{f}")
-    too_big = st("any_huge") | (st("max_abs") > F.lit(BIGINT_MAX).cast("decimal(38,0)"))
-    return (F.when(F.coalesce(st("n"), F.lit(0)) == 0, "text")
-            .when(st("all_bool"), "boolean")
-            .when(st("all_ts"), "timestamp")
-            .when(st("all_date"), "date")
-            .when(st("all_int") & st("any_lead0"), "text")
-            .when(st("all_int") & too_big, "text")
-            .when(st("all_int") & (st("max_abs") <= INTEGER_MAX), "integer")
-            .when(st("all_int"), "bigint")
-            .when(st("all_float"), "numeric")
-            .otherwise("text"))
+    # a number begins with a sign, a point or a digit: most texts need no pattern to be told apart
+    plain = F.substring(t, 1, 1).between("+", "9") & t.rlike(PLAIN_PATTERN)
+    parts = texts.select("*", plain.alias("plain"), F.length(t).alias("n"), (t.startswith("+") | t.startswith("-")).cast("int").alias("sign"))
+    return parts.withColumn("dot", F.when(F.col("plain"), F.instr("t", ".")))
 
 
-def _spark_type(s: str, inferred: Column) -> Column:
-    st = lambda f: F.col(f"{s}.{f}")
-    scale = st("frac_digits")
-    precision = F.greatest(st("int_digits") + scale, scale + 1, F.lit(1))
-    # no decimal holds more than 38 digits: such a column stays text, so that no digit is lost
-    numeric = (F.when(st("needs_double"), "double").when(precision > 38, "string")
-               .otherwise(F.format_string("decimal(%d,%d)", precision, scale)))
-    return (F.when(inferred == "boolean", "boolean").when(inferred == "timestamp", "timestamp_ntz")
-            .when(inferred == "date", "date").when(inferred == "integer", "int")
-            .when(inferred == "bigint", "bigint").when(inferred == "numeric", numeric).otherwise("string"))
+def _mask() -> Column:
+    """The tests of a cell. Plain numbers are told by arithmetic on their length, other cells by patterns for texts that can match.
+
+    The timestamp and date patterns see only cells of a possible length, the
+    grammar of floats only cells with a possible first and last character.
+    """
+    v, t, n, sign, dot = (F.col(name) for name in ("v", "t", "n", "sign", "dot"))
+    digits = n - sign - F.when(dot > 0, 1).otherwise(0)
+    whole = (dot == 0) & (digits > 0)
+    value = F.abs(t.try_cast("decimal(38,0)"))
+
+    def over(limit: int, few: int) -> Column:
+        return whole & (digits > few) & F.coalesce(value > F.lit(limit).cast("decimal(38,0)"), F.lit(True))
 
+    plain = (_bits(whole, IS_INT) + _bits(digits > 0, IS_FLOAT) + _bits(whole & (digits > 1) & (F.substring(t, sign + 1, F.lit(1)) == "0"), LEAD_ZERO)
+             + _bits(over(INTEGER_MAX, 9), OVER_INTEGER) + _bits(over(BIGINT_MAX, 18), OVER_BIGINT))
+    length = F.length(v)
+    is_ts = (length >= 13) & (length <= 19) & v.rlike(TS_PATTERN) & v.try_cast("timestamp_ntz").isNotNull()
+    is_date = (length >= 8) & (length <= 10) & v.rlike(DATE_PATTERN) & v.try_cast("date").isNotNull()
+    may_be = F.substring(t, 1, 1).rlike("[-+.0-9iInN]") & F.right(t, F.lit(1)).rlike("[.0-9fFyYnN]")
+    other = (F.when(((n == 4) | (n == 5)) & F.upper(t).isin("TRUE", "FALSE"), IS_BOOL).when(is_ts, IS_TS).when(is_date, IS_DATE)
+             .when(may_be & t.rlike("(?i)" + FLOAT_PATTERN), IS_FLOAT).otherwise(0)) + NOT_PLAIN
+    return F.when(t.isNull(), None).when(F.col("plain"), plain).otherwise(other)
 
-def _cells(raw: DataFrame, table_name: str) -> DataFrame:
-    cols = raw.columns
-    cells = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
-                                for i, c in enumerate(cols)])).alias("cell")
-    return raw.select(F.lit(table_name).alias("table_name"), cells).select("table_name", "cell.position", "cell.value")
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """One union of many frames of one schema, paired up so that no plan is analysed over and over."""
+    while len(frames) > 1:
+        frames = [frames[k].union(frames[k + 1]) if k + 1 < len(frames) else frames[k] for k in range(0, len(frames), 2)]
+    return frames[0]
 
 
 def _column_names(spark, tables: dict) -> DataFrame:
@@ -140,32 +101,51 @@ def _column_names(spark, tables: dict) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
+def _ladder() -> Column:
+    every, some = F.col("every"), F.col("some")
+    has = lambda mask, bit: mask.bitwiseAND(F.lit(bit)) != 0
+    return (F.when(every.isNull(), "text")
+            .when(has(every, IS_BOOL), "boolean")
+            .when(has(every, IS_TS), "timestamp")
+            .when(has(every, IS_DATE), "date")
+            .when(has(every, IS_INT) & (has(some, LEAD_ZERO) | has(some, OVER_BIGINT)), "text")
+            .when(has(every, IS_INT) & ~has(some, OVER_INTEGER), "integer")
+            .when(has(every, IS_INT), "bigint")
+            .when(has(every, IS_FLOAT), "numeric")
+            .otherwise("text"))
+
+
+def _spark_type(inferred: Column) -> Column:
+    scale = F.col("frac_digits")
+    precision = F.greatest(F.col("int_digits") + scale, scale + 1, F.lit(1))
+    # no decimal holds more than 38 digits: such a column stays text, so that no digit is lost
+    numeric = (F.when(F.col("some").bitwiseAND(F.lit(NOT_PLAIN)) != 0, "double").when(precision > 38, "string")
+               .otherwise(F.format_string("decimal(%d,%d)", precision, scale)))
+    return (F.when(inferred == "boolean", "boolean").when(inferred == "timestamp", "timestamp_ntz")
+            .when(inferred == "date", "date").when(inferred == "integer", "int")
+            .when(inferred == "bigint", "bigint").when(inferred == "numeric", numeric).otherwise("string"))
+
+
 def infer_catalogue_many(tables: dict) -> DataFrame:
     """Schema catalogue of several tables (all columns read as text) in one job.
 
     (table_name, position, column_name, inferred_type, is_key, spark_type);
     ``spark_type`` sizes numeric columns as decimal(p,s) from the digits seen
     (double when exponents / nan / inf occur).
-
-    Plan: unpivot every row into (table, position, value) cells, test each
-    cell once, aggregate by (table, position). The generated code has a
-    fixed size whatever the width, and partial aggregation leaves one row
-    per column per task before the (tiny) shuffle.
     """
-    frames = list(tables.items())
-    long = _cells(frames[0][1], frames[0][0])
-    for name, df in frames[1:]:
-        long = long.unionByName(_cells(df, name))
-    long = long.withColumn("t", strip(F.col("value")))
-    nonempty = long.where(F.col("value").isNotNull() & (F.col("t") != ""))
-    flags = nonempty.select("table_name", "position", *_cell_flags(F.col("value")))
-    stats = flags.groupBy("table_name", "position").agg(F.struct(*_column_stats()).alias("st"))
-    spark = frames[0][1].sparkSession
-    out = _column_names(spark, tables).join(stats, ["table_name", "position"], "left")
-    inferred = _ladder("st")
-    return out.select("table_name", "position", "column_name",
-                      inferred.alias("inferred_type"), (F.col("column_name") == KEY_COLUMN).alias("is_key"),
-                      _spark_type("st", inferred).alias("spark_type"))
+    branches = [df.select(F.lit(name).alias("table_name"), F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("v"))
+                for name, df in tables.items() for i, c in enumerate(df.columns)]
+    plain, n, sign, dot = (F.col(name) for name in ("plain", "n", "sign", "dot"))
+    tests = _cell_parts(_union(branches)).select(
+        "table_name", "position", _mask().alias("mask"), F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign).alias("int_digits"),
+        F.when(plain, F.when(dot > 0, n - dot).otherwise(0)).alias("frac_digits"))
+    stats = tests.groupBy("table_name", "position").agg(F.bit_and("mask").alias("every"), F.bit_or("mask").alias("some"),
+                                                        F.max("int_digits").alias("int_digits"), F.max("frac_digits").alias("frac_digits"))
+    # a column of a table without rows has no row of statistics
+    stats = _column_names(branches[0].sparkSession, tables).join(stats, ["table_name", "position"], "left")
+    inferred = _ladder()
+    return stats.select("table_name", "position", "column_name", inferred.alias("inferred_type"), (F.col("column_name") == KEY_COLUMN).alias("is_key"),
+                        _spark_type(inferred).alias("spark_type"))
 
 
 def infer_catalogue(raw: DataFrame, table_name: str) -> DataFrame:
