@@ -8,13 +8,14 @@ pass and turned long with ``unpivot`` — never one job per column.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import after
 from ..functions.money import mean_half_up, to_money
-from ..session import ensure_checkpoint_dir
 
 
 def summary_row(df: DataFrame, ts: str, amount: str) -> DataFrame:
@@ -57,62 +58,122 @@ def null_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
                                F.count_if(F.col(col).isNull()).alias("is_null"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, partitions: int | None = None) -> DataFrame:
-    """One row ``q0..qk``: exact quantiles with linear interpolation, fully distributed.
-
-    Same rule as ``percentile`` (position h = (n-1)p between the sorted
-    values at floor(h) and ceil(h)), but no task ever holds the whole
-    column:
-
-    1. distinct values with their counts (map-side partial aggregation);
-    2. range-partition them and checkpoint (partition ids become stable);
-    3. per-partition totals -> offsets (one row per partition);
-    4. running count inside each partition -> each value's rank interval;
-    5. one global aggregate picks the values holding ranks floor(h), ceil(h).
+#: Size of the sketches; their ranks are off by about 1.5 / SKETCH of the rows, rarely more.
+SKETCH = 4096
+#: Sketches are merged in two steps, so that no task merges those of all other tasks.
+MERGERS = 64
+#: Values that are sorted in one place to pick a rank.
+MOST = 20_000
+
+
+class _Bracket:
+    """Open interval of values in which the value of a rank (from 1) must lie; None is no bound."""
+
+    def __init__(self, rank: int, inside: int):
+        self.rank, self.low, self.high, self.below, self.inside = rank, None, None, 0, inside
+        self.margin, self.value = 3.0 / SKETCH, None
+
+    def holds(self, x: Column) -> Column:
+        conds = [x > self.low] if self.low is not None else []
+        conds += [x < self.high] if self.high is not None else []
+        return reduce(lambda a, b: a & b, conds, x.isNotNull())
+
+    def counted(self, low: float, high: float, below: int, at_low: int, between: int, at_high: int) -> None:
+        """Take [low, high] if the counts prove that it holds the rank, else try a wider one the next time."""
+        if below < self.rank <= below + at_low:
+            self.value = low
+        elif below + at_low < self.rank <= below + at_low + between:
+            self.low, self.high, self.below, self.inside, self.margin = low, high, below + at_low, between, 3.0 / SKETCH
+        elif below + at_low + between < self.rank <= below + at_low + between + at_high:
+            self.value = high
+        else:
+            self.margin *= 8
+
+
+def _narrow(values: DataFrame, brackets: list[_Bracket], mergers: int) -> None:
+    """One round: a sketch of what each bracket holds proposes narrower ends, and counts prove or refuse them."""
+    x = F.col("x")
+    parts = values.groupBy((F.spark_partition_id() % mergers).alias("m")).agg(
+        *[F.kll_sketch_agg_double(F.when(b.holds(x), x), F.lit(SKETCH)).alias(f"s{i}") for i, b in enumerate(brackets)])
+    merged = parts.agg(*[F.kll_merge_agg_double(f"s{i}", F.lit(SKETCH)).alias(f"s{i}") for i in range(len(brackets))])
+    ends = []
+    for i, b in enumerate(brackets):
+        share = (b.rank - b.below - 0.5) / b.inside
+        ends += [F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.lit(min(1.0, max(0.0, at)))).alias(f"{name}{i}")
+                 for name, at in (("lo", share - b.margin), ("hi", share + b.margin))]
+    ends = merged.select(*ends).collect()[0]
+    aggs = []
+    for i in range(len(brackets)):
+        low, high = ends[f"lo{i}"], ends[f"hi{i}"]
+        aggs += [F.count_if(x < low).alias(f"b{i}"), F.count_if(x == low).alias(f"l{i}"), F.count_if((x > low) & (x < high)).alias(f"c{i}"),
+                 F.count_if((x == high) & (x > low)).alias(f"h{i}")]
+    counts = values.agg(*aggs).collect()[0]
+    for i, b in enumerate(brackets):
+        b.counted(ends[f"lo{i}"], ends[f"hi{i}"], *(counts[f"{k}{i}"] for k in "blch"))
+
+
+def ranked_values(df: DataFrame, col: str, ranks, mergers: int = MERGERS) -> tuple[int, dict[int, float]]:
+    """(n, values) of the given ranks of ``n`` (from 1), exactly; ``ranks`` may be a function of n.
+
+    Each rank is bracketed by a sketch's quantiles; a pass counts what lies
+    below, at the ends of and inside the bracket, which proves it (or asks for
+    a wider one); a bracket that holds too much is narrowed in the same way,
+    and one of at most :data:`MOST` values is sorted and gives up its
+    rank. Only counts, ends and the picked values reach the driver, and only
+    sketches and the insides of the last brackets are shuffled. NaN sorts last.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    values = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-              .groupBy("x").agg(F.count("*").alias("c")))
-    dealt = values.repartitionByRange(partitions, "x") if partitions else values.repartitionByRange("x")
-    ranged = dealt.withColumn("part", F.spark_partition_id()).checkpoint()
-    totals = ranged.groupBy("part").agg(F.sum("c").alias("pc"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    offsets = totals.select("part", F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"))
-    n = totals.select(F.sum("pc")).scalar()
-    run = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (ranged.join(F.broadcast(offsets), "part")          # offsets: one row per partition
-              .withColumn("end", F.col("off") + F.sum("c").over(run))
-              .withColumn("start", F.col("end") - F.col("c")))
-    picks, out = [], []
-    for i, p in enumerate(probs):
-        h = (n - 1).cast("double") * float(p)
-        lo, hi = F.floor(h), F.ceil(h)
-        at = lambda r: (F.col("start") <= r) & (r < F.col("end"))
-        picks += [F.max(F.when(at(lo), F.col("x"))).alias(f"lo{i}"), F.max(F.when(at(hi), F.col("x"))).alias(f"hi{i}")]
-        lo_v, hi_v = F.col(f"lo{i}"), F.col(f"hi{i}")
-        out.append(F.when(hi == lo, lo_v).otherwise((hi - h) * lo_v + (h - lo) * hi_v).alias(f"q{i}"))
-    return ranked.agg(*picks).select(*out)
-
-
-def _quantile_scalars(df: DataFrame, col: str, probs, approx: bool) -> list[Column]:
+    x = F.col("x")
+    values = df.select(F.col(col).cast("double").alias("x")).where(x.isNotNull())
+    row = values.agg(F.count("*").alias("n"), F.count_if(F.isnan(x)).alias("nan"), F.count_if(x == float("inf")).alias("inf"),
+                     F.count_if(x == float("-inf")).alias("least")).collect()[0]
+    n, least = row["n"], row["least"]
+    finite = n - row["nan"] - row["inf"] - least
+    wanted = {r for r in (ranks(n) if callable(ranks) else ranks) if 1 <= r <= n}
+    found = {r: float("-inf") if r <= least else float("nan") if r > n - row["nan"] else float("inf") for r in wanted if not least < r <= least + finite}
+    brackets = [_Bracket(r - least, finite) for r in sorted(wanted - set(found))]
+    values = values.where((x > float("-inf")) & (x < float("inf")))
+    while waiting := [b for b in brackets if b.value is None and b.inside > MOST]:
+        _narrow(values, waiting, mergers)
+    pick = [b for b in brackets if b.value is None]
+    if pick:
+        lists = [F.element_at(F.array_sort(F.collect_list(F.when(b.holds(x), x))), b.rank - b.below).alias(f"v{i}") for i, b in enumerate(pick)]
+        row = values.agg(*lists).collect()[0]
+        for i, b in enumerate(pick):
+            b.value = row[f"v{i}"]
+    return n, found | {b.rank + least: b.value for b in brackets}
+
+
+def quantiles(df: DataFrame, col: str, probs, mergers: int = MERGERS) -> list[float | None]:
+    """Exact quantiles with linear interpolation between the sorted values around (n - 1) p; None without values."""
+    places = lambda n: [(n - 1) * float(p) for p in probs]
+    n, value = ranked_values(df, col, lambda n: {r for h in places(n) for r in (floor(h) + 1, ceil(h) + 1)}, mergers)
+    out = []
+    for h in places(n) if n else []:
+        a, b = value[floor(h) + 1], value[ceil(h) + 1]
+        out.append(a if ceil(h) == floor(h) else (ceil(h) - h) * a + (h - floor(h)) * b)
+    return out or [None] * len(probs)
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, partitions: int = MERGERS) -> DataFrame:
+    """One row ``q0..qk`` of :func:`quantiles`; ``partitions`` is the number of tasks that merge sketches."""
+    return df.sparkSession.range(1).select(*[F.lit(q).cast("double").alias(f"q{i}") for i, q in enumerate(quantiles(df, col, probs, partitions))])
+
+
+def _quantile_columns(df: DataFrame, col: str, probs, approx: bool) -> list[Column]:
     if approx:
         q = df.select(F.percentile_approx(F.col(col).cast("double"), list(probs), 10000).alias("q")).scalar()
         return [q[i] for i in range(len(probs))]
-    row = exact_quantiles(df, col, probs)
-    q = row.select(F.struct(*row.columns)).scalar()          # one subquery for all quantiles
-    return [q.getField(f"q{i}") for i in range(len(probs))]
+    return [F.lit(q).cast("double") for q in quantiles(df, col, probs)]
 
 
 def describe(df: DataFrame, col: str, digits: int = 4, approx: bool = False) -> DataFrame:
     """count, mean, std (sample), min, 25%, 50%, 75%, max.
 
-    Quantiles are exact and distributed (``exact_quantiles``); ``approx``
-    switches to the mergeable sketch (``percentile_approx``).
+    Quantiles are exact (:func:`quantiles`); ``approx`` takes Spark's sketch as it is.
     """
     x = F.col(col).cast("double")
     money = to_money(col)
-    q25, q50, q75 = _quantile_scalars(df, col, (0.25, 0.5, 0.75), approx)
+    q25, q50, q75 = _quantile_columns(df, col, (0.25, 0.5, 0.75), approx)
     agg = df.agg(F.count(x).alias("count"), F.sum(money).alias("_sum"),
                  F.stddev_samp(x).alias("_std"), F.min(x).alias("min"), F.max(x).alias("max"))
     return agg.select("count", mean_half_up(F.col("_sum"), F.col("count"), digits).cast("double").alias("mean"),
@@ -121,19 +182,14 @@ def describe(df: DataFrame, col: str, digits: int = 4, approx: bool = False) ->
                       F.round(q75, digits).alias("q75"), "max")
 
 
-def quantiles_approx(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), accuracy: int = 10000) -> DataFrame:
-    """Scalable approximate quantiles (Greenwald-Khanna sketch, mergeable across tasks)."""
-    return df.agg(F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("quantiles"))
-
-
 def iqr_outliers(df: DataFrame, col: str, factors=(1.5,), digits: int = 4, approx: bool = False) -> DataFrame:
     """factor, q1, q3, iqr, upper_fence, n_above — one row per factor.
 
-    Quartiles come from one scalar subquery (exact, distributed); the
-    count above each fence is one more pass over the column.
+    Quartiles are exact (:func:`quantiles`); the count above each fence is one
+    more pass over the column.
     """
     x = F.col(col).cast("double")
-    q1, q3 = _quantile_scalars(df, col, (0.25, 0.75), approx)
+    q1, q3 = _quantile_columns(df, col, (0.25, 0.75), approx)
     counts = df.agg(*[F.count_if(x > q3 + F.lit(k) * (q3 - q1)).alias(f"n{i}") for i, k in enumerate(factors)])
     rows = [F.struct(F.lit(float(k)).alias("factor"), F.col(f"n{i}").alias("n_above")) for i, k in enumerate(factors)]
     long = counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
