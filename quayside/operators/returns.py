@@ -21,7 +21,9 @@ def returns_by_reason(returns: DataFrame, cutoff_day: str | dt.date, status_valu
     ``quayside.functions.text.unknown_reasons`` to audit first.
     """
     done = returns.where((F.col(status) == status_value) & not_after(F.col(ts), cutoff_day))
-    cleaned = clean_reason(done, reason, "reason_clean", strict=strict)
+    # each distinct text is cleaned once
+    spelled = done.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("returns"), F.sum(to_money(refund)).alias("refund"))
+    cleaned = clean_reason(spelled, "reason", "reason_clean", strict=strict)
     return (cleaned.groupBy(F.col("reason_clean").alias("reason"))
-            .agg(F.count("*").alias("returns"), F.sum(to_money(refund)).alias("refund"))
+            .agg(F.sum("returns").alias("returns"), F.sum("refund").alias("refund"))
             .orderBy(F.col("refund").desc(), F.col("reason").asc()))
