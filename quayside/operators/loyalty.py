@@ -9,7 +9,7 @@ the two aggregates is on the same key, and the top-k is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import mean_half_up, to_money
@@ -32,6 +32,43 @@ def category_diversity(lines: DataFrame, customer: str = "customer_id",
     return lines.groupBy(customer).agg(F.count_distinct(category).alias("category_diversity"))
 
 
+#: Categories of one word of a customer's set.
+WORD_BITS = 64
+
+
+def numbered_categories(products: DataFrame, category: str = "category") -> DataFrame:
+    """(category, word, bit): a place in a set of 64-bit words for every category, in order of its name.
+
+    The window ranks one row for each distinct category, not the products.
+    """
+    distinct = products.select(F.col(category).alias("category")).where(F.col(category).isNotNull()).distinct()
+    number = F.row_number().over(Window.orderBy("category")) - 1
+    return distinct.select("category", F.floor(number / WORD_BITS).cast("int").alias("word"), (number % WORD_BITS).cast("int").alias("bit"))
+
+
+def category_sets(lines: DataFrame, numbers: DataFrame, period, customer: str = "customer_id", category: str = "category") -> DataFrame:
+    """(customer, period, word, categories): the categories bought in each period, as 64-bit words.
+
+    The sets merge with ``bit_or``, which Spark combines map-side: a period's
+    rows can be added to, rolled up to any longer period and summed up by a
+    stream, and the count of distinct categories stays exact. A word takes 8
+    bytes and exists only where the customer bought one of its 64 categories.
+    """
+    placed = lines.select(F.col(customer).alias(customer), period.alias("period"), F.col(category).alias("category")).join(numbers, "category")
+    return placed.groupBy(customer, "period", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("categories"))
+
+
+def rolled_up(sets: DataFrame, period, customer: str = "customer_id") -> DataFrame:
+    """Sets of longer periods from those of shorter ones; ``period`` is a column over ``sets``."""
+    return (sets.select(customer, period.alias("period"), "word", "categories").groupBy(customer, "period", "word")
+            .agg(F.bit_or("categories").alias("categories")))
+
+
+def set_sizes(sets: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """customer, period, category_diversity: distinct categories of each set."""
+    return sets.groupBy(customer, "period").agg(F.sum(F.bit_count("categories")).cast("bigint").alias("category_diversity"))
+
+
 def loyal_customers(metrics: DataFrame, diversity: DataFrame, min_categories: int = 13,
                     k: int = 10, customer: str = "customer_id") -> DataFrame:
     """Top-k customers by average ticket among those with enough categories.

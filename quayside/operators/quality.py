@@ -7,9 +7,12 @@ compared there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def duplicate_keys(df: DataFrame, keys, table_name: str) -> DataFrame:
     """(table_name, key_columns, n_rows, n_distinct_keys, n_duplicates).
 
@@ -39,6 +42,37 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
             .select(F.lit(child_name).alias("child_table"), F.lit(child_key).alias("child_column"),
                     F.lit(parent_name).alias("parent_table"), "n_orphans"))
 
+
+def all_orphans(tables: dict, relations) -> DataFrame:
+    """:func:`orphans` of many relations at once: each table is read once, whatever number of keys it has.
+
+    ``relations`` holds (child, child_key, parent, parent_key) names. A child's
+    row becomes one (relation, key) for each of its keys, counted map-side, so
+    a hot key is one row of the shuffle; one anti-join finds the keys without
+    a parent. Null keys are no orphans; a relation without orphans counts 0.
+    """
+    relations = list(relations)
+    kinds = {dict(tables[t].dtypes)[k] for c, ck, p, pk in relations for t, k in ((c, ck), (p, pk))}
+    kind = "bigint" if kinds <= {"tinyint", "smallint", "int", "bigint"} else "string"
+
+    def keys(side: int) -> DataFrame:
+        """(relation, key) of the children (0) or the parents (2)."""
+        frames = []
+        for name in dict.fromkeys(r[side] for r in relations):
+            cells = [F.struct(F.lit(i).alias("relation"), F.col(f"`{r[side + 1]}`").cast(kind).alias("key"))
+                     for i, r in enumerate(relations) if r[side] == name]
+            frames.append(tables[name].select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("key is not null"))
+        return reduce(DataFrame.unionByName, frames)
+
+    children = keys(0).groupBy("relation", "key").agg(F.count("*").alias("n"))
+    missing = children.join(keys(2), ["relation", "key"], "left_anti").groupBy("relation").agg(F.sum("n").alias("n"))
+    names = [F.struct(F.lit(i).alias("relation"), F.lit(c).alias("child_table"), F.lit(ck).alias("child_column"), F.lit(p).alias("parent_table"))
+             for i, (c, ck, p, _) in enumerate(relations)]
+    spark = next(iter(tables.values())).sparkSession
+    return (spark.range(1).select(F.explode(F.array(*names)).alias("r")).select("r.*").join(missing, "relation", "left")
+            .select("child_table", "child_column", "parent_table", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_orphans")))
+
+
 def identity_mismatches(df: DataFrame, lhs, rhs: str, tolerance: str = "0.01",
                         label: str = "identity") -> DataFrame:
     """Rows where |sum(lhs terms) - rhs| > tolerance, on exact decimals.
@@ -72,6 +106,54 @@ def reconcile(left: DataFrame, right: DataFrame, key, value: str, check_name: st
                  F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0)).alias("max_abs_diff")
                  ).select(F.lit(check_name).alias("check_name"), "*")
 
+
+def bucket_digests(df: DataFrame, key, buckets: int) -> DataFrame:
+    """(bucket, n, total, mixed) over the rows of each hash bucket of the key; independent of order and partitioning."""
+    h = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns])
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    return df.select(bucket.alias("bucket"), h.alias("h")).groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("mixed"))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, key, buckets: int) -> DataFrame:
+    """The buckets whose digests differ, or that only one side has: at most ``buckets`` rows."""
+    columns = ["n", "total", "mixed"]
+    a = bucket_digests(left, key, buckets).select("bucket", F.struct(*columns).alias("a"))
+    b = bucket_digests(right, key, buckets).select("bucket", F.struct(*columns).alias("b"))
+    return a.join(b, "bucket", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
+
+
+def located_differences(left: DataFrame, right: DataFrame, key, buckets: int = 4096) -> DataFrame:
+    """Where two versions of a table differ: key, ``kind`` and ``columns``, one row for every differing key.
+
+    ``kind`` is 'added' (only right), 'removed' (only left) or 'changed', with
+    the names of the columns that differ, in order and joined by commas. Both
+    sides are reduced to a digest for each hash bucket of the key first; only
+    the rows of buckets that differ are joined, so two large tables with few
+    differences shuffle little more than their digests. Columns are compared
+    by name, nulls equal nulls; the sides must have the same columns and the key must be unique.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    if sorted(left.columns) != sorted(right.columns):
+        raise ValueError(f"columns differ: {sorted(set(left.columns) ^ set(right.columns))}")
+    right = right.select(left.columns)
+    values = [c for c in left.columns if c not in key]
+    touched = F.broadcast(differing_buckets(left, right, key, buckets))       # at most `buckets` numbers
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(bucket, *key, F.struct(F.lit(True).alias("here"), *[F.col(f"`{c}`") for c in values]).alias(name))
+        return rows.join(touched, "bucket", "left_semi").drop("bucket")
+
+    a, b = side(left, "a").alias("l"), side(right, "b").alias("r")
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
+    both = a.join(b, same, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    changed = F.concat_ws(",", *[F.when(~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")), F.lit(c)) for c in values])
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
+    return both.select(*[F.when(F.col("a").isNull(), F.col(f"r.{k}")).otherwise(F.col(f"l.{k}")).alias(k) for k in key], kind.alias("kind"),
+                       F.when(kind == "changed", changed).otherwise(F.lit(None).cast("string")).alias("columns"))
+
+
 def same_ordered_list(left: DataFrame, right: DataFrame, position: str, check_name: str) -> DataFrame:
     """(check_name, n_left, n_right, n_different, equal): do both hold the same rows at the same positions?
 

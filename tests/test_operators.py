@@ -211,6 +211,36 @@ def test_exact_quantiles_match_percentile(spark):
     assert [round(got[f"q{i}"], 9) for i in range(len(probs))] == [round(w, 9) for w in want]
 
 
+@pytest.mark.parametrize("most", [20_000, 40, 1])
+def test_quantiles_by_bracket_and_select(spark, monkeypatch, most):
+    """Small limits force rounds of sketches; heavy ties, both infinities and NaN stand at their ranks."""
+    import math
+    import random
+    monkeypatch.setattr(profile, "MOST", most)
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) for _ in range(3000)] + [0.5] * 4000 + [-3.0] + [9.0] * 500 + [float("inf")] * 40 + [float("-inf")] * 40
+    df = spark.createDataFrame([(v,) for v in rnd.sample(vals, len(vals))], "x double").repartition(6)
+    ordered, probs = sorted(vals), (0.0, 0.001, 0.1, 0.2, 0.25, 0.5, 0.77, 0.9, 0.95, 1.0)
+    got = profile.quantiles(df, "x", probs, mergers=3)
+    for p, q in zip(probs, got):
+        h = (len(vals) - 1) * p
+        a, b = ordered[math.floor(h)], ordered[math.ceil(h)]
+        assert q == (a if math.floor(h) == math.ceil(h) else (math.ceil(h) - h) * a + (h - math.floor(h)) * b)
+    n, at = profile.ranked_values(df.union(spark.createDataFrame([(float("nan"),)], "x double")), "x", [1, len(vals), len(vals) + 1])
+    assert n == len(vals) + 1 and at[1] == float("-inf") and at[len(vals)] == float("inf") and math.isnan(at[n])
+
+
+def test_a_bracket_that_misses_its_rank_is_widened():
+    b = profile._Bracket(50, 1000)
+    margin = b.margin
+    b.counted(2.0, 3.0, 60, 5, 100, 5)      # 60 values lie below: too high
+    assert b.value is None and b.low is None and b.margin == 8 * margin
+    b.counted(1.0, 3.0, 10, 5, 100, 5)
+    assert (b.low, b.high, b.below, b.inside, b.margin) == (1.0, 3.0, 15, 100, margin)
+    b.counted(1.5, 2.0, 20, 30, 10, 1)
+    assert b.value == 1.5
+
+
 def test_sold_before_registration(spark):
     lines = spark.createDataFrame([("a", T(2024, 1, 5)), ("a", T(2024, 3, 1)), ("b", T(2024, 6, 1))],
                                   "name string, created_at timestamp_ntz")
@@ -274,3 +304,45 @@ def test_one_pass_suppliers_equal_the_join(spark):
     a = suppliers.completed_orders_of(model, "2000-12-31").select(*columns)
     b = suppliers.completed_orders(model.purchase_orders, model.receipts, "2000-12-31", keys=model.po_keys).select(*columns)
     assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_orphans_of_all_relations_read_each_table_once(spark):
+    tables = {"child": spark.createDataFrame([(1, 10), (2, 20), (2, 99), (None, 10), (7, None), (7, 99)], "a int, b long"),
+              "other": spark.createDataFrame([(10,), (11,)], "k int"),
+              "p": spark.createDataFrame([(1,), (2,)], "id int"), "q": spark.createDataFrame([(10,), (20,), (20,)], "id long")}
+    relations = (("child", "a", "p", "id"), ("child", "b", "q", "id"), ("other", "k", "q", "id"), ("p", "id", "p", "id"))
+    out = quality.all_orphans(tables, relations)
+    assert sorted(tuple(r) for r in out.collect()) == [("child", "a", "p", 2), ("child", "b", "q", 2), ("other", "k", "q", 1), ("p", "id", "p", 0)]
+    for c, ck, p, pk in relations:
+        assert quality.orphans(tables[c], ck, tables[p], pk, c, p).first()["n_orphans"] == out.where((F.col("child_table") == c) & (F.col("child_column") == ck)).first()["n_orphans"]
+    text = {"c": spark.createDataFrame([("x",), ("y",)], "k string"), "p": spark.createDataFrame([("x",)], "k string")}
+    assert quality.all_orphans(text, [("c", "k", "p", "k")]).first()["n_orphans"] == 1
+
+
+def test_differences_are_located_by_the_buckets_that_differ(spark):
+    left = spark.range(5000).selectExpr("id AS k", "id * 2 AS a", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('v', id) END AS b")
+    right = (left.where("k <> 17").withColumn("a", F.expr("CASE WHEN k = 100 THEN NULL ELSE a END"))
+             .withColumn("b", F.expr("CASE WHEN k IN (100, 7) THEN 'new' ELSE b END")).select("b", "k", "a")
+             .unionByName(spark.sql("SELECT 'z' AS b, -1L AS k, 0L AS a")))
+    got = sorted(tuple(r) for r in quality.located_differences(left, right, "k", buckets=512).collect())
+    assert got == [(-1, "added", None), (7, "changed", "b"), (17, "removed", None), (100, "changed", "a,b")]
+    assert quality.differing_buckets(left, right.select(left.columns), ["k"], 512).count() <= 4
+    assert quality.located_differences(left, left.repartition(7), "k").isEmpty()
+    with pytest.raises(ValueError):
+        quality.located_differences(left, right.drop("a"), "k")
+
+
+def test_category_sets_merge_over_periods(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(6), f"2024-{rnd.randrange(1, 13):02d}-01", rnd.choice([f"c{k}" for k in range(150)] + [None])) for _ in range(900)]
+    lines = spark.createDataFrame(rows, "customer_id int, day string, category string")
+    numbers = loyalty.numbered_categories(lines)
+    assert {r["word"] for r in numbers.collect()} == {0, 1, 2}          # more than one word of 64
+    monthly = loyalty.category_sets(lines, numbers, F.substring("day", 1, 7))
+    for sets, period in ((monthly, lambda d: d[:7]), (loyalty.rolled_up(monthly, F.lit("all")), lambda d: "all")):
+        want = {}
+        for c, d, x in rows:
+            if x is not None:
+                want.setdefault((c, period(d)), set()).add(x)
+        assert {(r["customer_id"], r["period"]): r["category_diversity"] for r in loyalty.set_sizes(sets).collect()} == {k: len(v) for k, v in want.items()}
