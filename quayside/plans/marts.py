@@ -88,11 +88,13 @@ def kpi_row(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_
 
 
 def raw_counts(model: RetailModel) -> tuple[int, list[DataFrame]]:
-    """How many source frames the model has, and one row count each."""
-    names = ("orders", "order_items", "products", "variants", "returns", "purchase_orders", "receipts", "suppliers")
-    frames = [f for f in (getattr(model, n, None) for n in names) if f is not None]
-    sources = getattr(model, "sources", None) or frames
-    return len(sources), [f.agg(F.count("*").alias("n")) for f in sources]
+    """How many source tables the model reads, and one row count each.
+
+    ``model.sources`` names the physical tables (or raw files' frames): logical
+    frames may share a table, filter it or join it, so they are no raw rows.
+    """
+    sources = model.sources
+    return len(sources), [f.agg(F.count("*").alias("n")) for f in sources.values()]
 
 
 def kpi_from_marts(spark: SparkSession, m: dict, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
@@ -224,22 +226,56 @@ def mart_fingerprints(marts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def snapshot_expectations(spark: SparkSession, model: RetailModel, cutoff_day: str = P.CUTOFF_DAY) -> DataFrame:
+    """(check_name, label, expected): the headline figures counted directly on the model, one pass per fact table.
+
+    They are kept apart from the marts: a report's own figures, observed while
+    it is written, are joined to this table by name.
+    """
+    seen = before_end(F.col("created_at"), cutoff_day)
+    bound = F.lit(as_date(cutoff_day)).cast("date")
+    business = seen & F.col("status").isin(list(P.BUSINESS_STATUSES))
+    span = (F.date_diff(bound, F.min(F.to_date("created_at"))) + 1).cast("double")
+    checks = [("business_orders", "orders in the business statuses up to the cutoff", F.count_if(business)),
+              ("total_revenue", "their revenue", F.sum(F.when(business, F.col("total")))),
+              ("calendar_days", "days from the first order to the cutoff", span), ("weekday_days", "the same days by weekday", span)]
+    done = (F.col("status") == model.return_completed) & seen
+    returned = [("completed_returns", "completed returns up to the cutoff", F.count_if(done)),
+                ("refund_total", "their refunds", F.sum(F.when(done, F.col("refund"))))]
+    late = suppliers.completed_orders_of(model, cutoff_day)
+    supplied = [("completed_purchase_orders", "purchase orders received in full", F.count("*")),
+                ("supplier_orders", "the same by supplier", F.count("*")),
+                ("late_purchase_orders", "received after the promised day", F.count_if(F.col("delay_days") > 0))]
+
+    def rows(frame: DataFrame, wanted) -> DataFrame:
+        one = frame.agg(*[e.cast("double").alias(name) for name, _, e in wanted])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(label).alias("label"), F.col(n).alias("expected"))
+                                              for n, label, _ in wanted])).alias("c")).select("c.*")
+
+    return reduce(DataFrame.unionByName, [rows(model.orders, checks), rows(model.returns, returned), rows(late, supplied)])
+
+
 def build_report(spark: SparkSession, model: RetailModel, out_dir: str,
                  cutoff_day: str = P.CUTOFF_DAY) -> dict[str, str]:
-    """Build every mart for one cutoff, check the expectations, publish.
+    """Build every mart for one cutoff, check the expectations, publish as one version.
 
-    Expectations are evaluated first and every failure is reported at once;
-    nothing is written when one fails. Then marts, the KPI row and the
-    pt-BR display tables are written (aggregate-only, overwrite).
+    Invariants between marts are evaluated first; then the marts are written
+    to a new version's folder, and the figures that the writes observed must
+    meet the snapshot's. Every failure is reported at once, and nothing is
+    published when one fails. The KPI row and the pt-BR display tables are
+    made from the written marts, and the manifest comes last. Returns mart -> path.
     """
     from . import display
+    from .publish import Version
 
     failed = [r["check_name"] for r in expectations_report(spark, model, cutoff_day).where(~F.col("ok")).collect()]
     if failed:   # at most one row per expectation
         raise AssertionError(f"report expectations failed: {failed}")
-    paths = publish(build_marts(model, cutoff_day), out_dir)
-    # everything below reads the small published marts, not the facts again
-    m = {name: spark.read.parquet(path) for name, path in paths.items()}
+    version = Version(spark, out_dir)
+    paths = version.write(build_marts(model, cutoff_day))
+    version.require(snapshot_expectations(spark, model, cutoff_day))
+    # everything below reads the small written marts, not the facts again
+    m = version.read()
     worst = suppliers.worst_suppliers(m["supplier_scores"], P.WORST_SUPPLIERS)
     tables = {
         "kpi": kpi_from_marts(spark, m, model, cutoff_day),
@@ -253,4 +289,6 @@ def build_report(spark: SparkSession, model: RetailModel, out_dir: str,
         "display_forecast": display.forecast_table(m["forecast"]),
         "display_returns": display.returns_table(m["returns_by_reason"]),
     }
-    return {**paths, **publish(tables, out_dir)}
+    paths |= version.write(tables)
+    version.commit()
+    return paths

@@ -77,6 +77,9 @@ class RetailModel:
     purchase_orders po keys..., supplier_id, status, placed_at, expected_delivery_at
     receipts        po keys..., received_at
     suppliers       supplier_id, legal_name, trade_name
+    sources         {name: frame} of the physical tables behind these frames
+
+    A model whose frames are the tables themselves needs no ``sources``.
     """
 
     po_keys: tuple[str, ...] = ("po_id",)
@@ -87,6 +90,11 @@ class RetailModel:
         for key, value in frames.items():
             setattr(self, key, value)
 
+    @cached_property
+    def sources(self) -> dict[str, DataFrame]:
+        """Each frame that was given is a table of its own."""
+        return {name: f for name, f in vars(self).items() if isinstance(f, DataFrame)}
+
 
 class StarModel(RetailModel):
     """The test star schema seen as the retail model; frames are built on first use."""
@@ -101,6 +109,10 @@ class StarModel(RetailModel):
     def _t(self, name: str) -> DataFrame:
         return read_table(self._spark, self._dir, name)
 
+    @cached_property
+    def sources(self) -> dict[str, DataFrame]:
+        return {name: self._t(name) for name in ("orders", "lineitem", "part", "supplier")}
+
     @cached_property
     def orders(self) -> DataFrame:
         return self._t("orders").select(
