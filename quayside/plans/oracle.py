@@ -58,6 +58,12 @@ FROM ({CUSTOMER_METRICS}) m"""
 
 ORACLE["category_diversity"] = CATEGORY_DIVERSITY
 
+_BREADTH = """
+SELECT o.o_custkey AS customer_id, {period} AS period, count(DISTINCT p.p_brand) AS category_diversity
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1, 2"""
+ORACLE["category_diversity_by_period"] = "\nUNION ALL\n".join(
+    _BREADTH.format(period=p) for p in ("strftime(o.o_orderdate, '%Y-%m')", "strftime(o.o_orderdate, '%Y')", "'all'"))
+
 ORACLE["loyal_customers_top10"] = LOYAL_TOP
 
 ORACLE["loyal_top_category"] = f"""
@@ -407,6 +413,24 @@ SELECT '{c}' AS child_table, '{ck}' AS child_column, '{p}' AS parent_table, coun
 FROM {c} x WHERE x.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{ck})"""
     for c, ck, p, pk in _FKS)
 
+ORACLE["orders_version_differences"] = """
+WITH later AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7001 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderkey % 4999 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
+         CASE WHEN o_orderkey % 4999 = 3 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE o_orderkey % 9973 <> 11
+  UNION ALL
+  SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 9973 = 17)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+       CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS kind,
+       CASE WHEN a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL THEN concat_ws(',',
+         CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'o_orderstatus' END,
+         CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'o_totalprice' END,
+         CASE WHEN a.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'o_orderpriority' END) END AS columns
+FROM orders a FULL OUTER JOIN later b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+   OR a.o_totalprice IS DISTINCT FROM b.o_totalprice OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority"""
+
 ORACLE["identity_check"] = f"""
 WITH lo AS (
   SELECT l_orderkey,
@@ -523,6 +547,11 @@ FROM pos LEFT JOIN s USING (table_name, column_name)"""
 
 ORACLE["infer_schema"] = _infer_sql()
 
+_RAW = "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS raw_rows FROM {t}" for t in ALL_TABLES)
+ORACLE["raw_record_counts"] = f"""
+WITH c AS ({_RAW})
+SELECT table_name, raw_rows FROM c UNION ALL SELECT '*', CAST(sum(raw_rows) AS BIGINT) FROM c"""
+
 _LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ORACLE["csv_roundtrip_load"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS raw_rows, (SELECT count(*) FROM {t}) AS loaded_rows, "
@@ -544,10 +573,9 @@ RETURNS_DONE = f"""
 
 ORACLE["kpi_row"] = f"""
 SELECT
-  CAST(7 AS BIGINT) AS raw_tables,
-  (SELECT CAST((SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part)
-    + (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') + (SELECT count(*) FROM supplier)
-    + (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)) AS BIGINT)) AS raw_rows,
+  (SELECT count(*) FROM duckdb_views() WHERE view_name IN ('orders', 'lineitem', 'part', 'supplier')) AS raw_tables,
+  (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM orders UNION ALL SELECT count(*) FROM lineitem
+    UNION ALL SELECT count(*) FROM part UNION ALL SELECT count(*) FROM supplier) c) AS raw_rows,
   (SELECT reason FROM ({ORACLE['return_reasons']}) r ORDER BY returns DESC, reason LIMIT 1) AS top_return_reason,
   (SELECT customer_id FROM ({LOYAL_TOP}) t ORDER BY avg_ticket DESC, customer_id LIMIT 1) AS best_customer,
   (SELECT max(avg_ticket) FROM ({LOYAL_TOP}) t) AS best_customer_ticket,
@@ -607,6 +635,25 @@ ORACLE["expectations_report"] = "\nUNION ALL\n".join(
     f"coalesce(abs({v} - {e}) <= 0, false) AS ok" for c, lbl, e, v in _EXPECT)
 
 
+_SNAPSHOT = [
+    ("business_orders", "orders in the business statuses up to the cutoff", f"SELECT count(*) FROM ({BUSINESS}) b"),
+    ("total_revenue", "their revenue", f"SELECT CAST(sum(total) AS DOUBLE) FROM ({BUSINESS}) b"),
+    ("calendar_days", "days from the first order to the cutoff", f"SELECT calendar_days FROM ({ORACLE['calendar_zero_days']}) c"),
+    ("weekday_days", "the same days by weekday", f"SELECT sum(days) FROM ({WEEKDAY_PROFILE}) w"),
+    ("completed_returns", "completed returns up to the cutoff", f"SELECT count(*) FROM ({RETURNS_DONE}) r"),
+    ("refund_total", "their refunds", f"SELECT CAST(sum(refund) AS DOUBLE) FROM ({RETURNS_DONE}) r"),
+    ("completed_purchase_orders", "purchase orders received in full", f"SELECT completed_orders FROM ({ORACLE['supplier_overall']}) s"),
+    ("supplier_orders", "the same by supplier", f"SELECT sum(orders) FROM ({SUPPLIER_SCORES}) s"),
+    ("late_purchase_orders", "received after the promised day", f"SELECT late_orders FROM ({ORACLE['supplier_overall']}) s"),
+]
+ORACLE["expectations_snapshot"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS check_name, '{label}' AS label, CAST(v AS DOUBLE) AS expected, CAST(v AS DOUBLE) AS value, true AS ok FROM ({sql}) q(v)"
+    for c, label, sql in _SNAPSHOT) + f"""
+UNION ALL SELECT 'listed_customers', 'one customer too many', CAST({P.TOP_CUSTOMERS} + 1 AS DOUBLE), CAST(n AS DOUBLE), n = {P.TOP_CUSTOMERS} + 1
+FROM (SELECT count(*) AS n FROM ({LOYAL_TOP}) t) q
+UNION ALL SELECT 'unknown_figure', 'a figure that no mart has', 0.0, NULL, false"""
+
+
 def _num(x: str, d: int) -> str:
     return f"translate(format('{{:,.{d}f}}', CAST({x} AS DOUBLE)), ',.', '.,')"
 
@@ -768,3 +815,6 @@ _CONTENT = {
 }
 ORACLE["csv_typed_content"] = "\nUNION ALL\n".join(
     _fingerprint(t, f"SELECT * FROM {t}", columns).replace(" AS mart,", " AS table_name,") for t, columns in _CONTENT.items())
+
+ORACLE["published_report"] = "\nUNION ALL\n".join(
+    f"SELECT CAST(1 AS BIGINT) AS version, x.* FROM ({_fingerprint(m, sql, columns)}) x" for m, (sql, columns) in _MARTS.items())

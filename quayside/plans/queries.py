@@ -21,7 +21,7 @@ from ..operators import calendar, channels, forecast, loyalty, profile, quality,
 from ..sources import csv_ingest, infer
 from ..sources.tables import TABLES, read_table, table_path
 from ..streaming import incremental
-from . import display, marts
+from . import display, marts, publish
 from . import params as P
 from .model import order_lines, sales_lines, star_model
 from .output import as_output
@@ -56,6 +56,17 @@ def q_category_diversity(spark, sf_dir):
     return loyalty.category_diversity(sales_lines(star_model(spark, sf_dir)))
 
 
+@register("category_diversity_by_period")
+def q_category_diversity_by_period(spark, sf_dir):
+    """E3: distinct categories of every customer by month, by year and over all, from one set of mergeable words."""
+    model = star_model(spark, sf_dir)
+    numbers = loyalty.numbered_categories(model.products)
+    monthly = marts.materialize(loyalty.category_sets(sales_lines(model), numbers, F.date_format("created_at", "yyyy-MM")), "category-sets")
+    yearly = loyalty.rolled_up(monthly, F.substring("period", 1, 4))
+    frames = [loyalty.set_sizes(s) for s in (monthly, yearly, loyalty.rolled_up(yearly, F.lit("all")))]
+    return reduce(DataFrame.unionByName, frames)
+
+
 @register("loyal_customers_top10")
 def q_loyal_customers_top10(spark, sf_dir):
     return as_output(_loyal_top(spark, sf_dir).select(
@@ -369,8 +380,21 @@ def q_duplicate_keys(spark, sf_dir):
 
 @register("orphans")
 def q_orphans(spark, sf_dir):
-    return _union_all([quality.orphans(_t(spark, sf_dir, c), ck, _t(spark, sf_dir, p), pk, c, p)
-                       for c, ck, p, pk in FOREIGN_KEYS])
+    names = {t for c, _, p, _ in FOREIGN_KEYS for t in (c, p)}
+    return quality.all_orphans({n: _t(spark, sf_dir, n) for n in names}, FOREIGN_KEYS)
+
+
+@register("orders_version_differences")
+def q_orders_version_differences(spark, sf_dir):
+    """Two versions of orders, the second with removed, added and changed rows: every difference, located by bucket digests."""
+    orders = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    later = orders.where(k % 9973 != 11).withColumns({
+        "o_totalprice": F.when(k % 4999 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        "o_orderstatus": F.when(k % 7001 == 5, F.lit("X")).otherwise(F.col("o_orderstatus")),
+        "o_orderpriority": F.when(k % 4999 == 3, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority"))})
+    added = orders.where(k % 9973 == 17).withColumn("o_orderkey", -k)
+    return quality.located_differences(orders, later.unionByName(added), "o_orderkey")
 
 
 @register("identity_check")
@@ -449,6 +473,12 @@ def q_infer_schema(spark, sf_dir):
 
 # --- A: CSV ingest round trip (export -> discover -> count -> infer -> typed load) ----------
 
+@register("raw_record_counts")
+def q_raw_record_counts(spark, sf_dir):
+    """A4/A8: all tables written as raw CSV files; their records counted in the files, quoted newlines and all."""
+    return csv_ingest.raw_record_counts(spark, {n: _t(spark, sf_dir, n) for n in TABLES})
+
+
 LOAD_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -484,6 +514,26 @@ def q_expectations_report(spark, sf_dir):
     return marts.expectations_report(spark, star_model(spark, sf_dir))
 
 
+@register("expectations_snapshot")
+def q_expectations_snapshot(spark, sf_dir):
+    """L6: the figures that the report's writes observe, against a table of expectations; two of them are meant to fail."""
+    model = star_model(spark, sf_dir)
+    version = publish.Version(spark, csv_ingest.scratch_dir(spark, "report"))
+    version.write(marts.build_marts(model))
+    wrong = spark.createDataFrame([("listed_customers", "one customer too many", float(P.TOP_CUSTOMERS + 1)), ("unknown_figure", "a figure that no mart has", 0.0)],
+                                  "check_name string, label string, expected double")
+    return version.checked(marts.snapshot_expectations(spark, model).unionByName(wrong))
+
+
+@register("published_report")
+def q_published_report(spark, sf_dir):
+    """A12/L9: all marts through the gate, written as one version, and read back by its manifest: their content hashes."""
+    out_dir = csv_ingest.scratch_dir(spark, "report")
+    version = publish.publish_report(spark, marts.build_marts(star_model(spark, sf_dir)), out_dir)
+    prints = marts.mart_fingerprints(publish.read_report(spark, out_dir))
+    return prints.select(F.lit(version).cast("bigint").alias("version"), "*")
+
+
 @register("display_channels_ptbr")
 def q_display_channels_ptbr(spark, sf_dir):
     return display.channels_table(channels.channel_summary(_business(spark, sf_dir)))
