@@ -16,11 +16,11 @@ the physical scans.
   category = p_brand
 * returns: line items with l_returnflag = 'R'; status = l_linestatus and
   'F' means completed (``return_completed``); refund = l_extendedprice; created_at = l_shipdate; the free-text
-  reason is drawn from ``RAW_REASON_SAMPLES`` by line position
+  reason is a spelling of the reason map in messy case, spacing and accents, by the line's keys
 * purchase orders: one per (l_orderkey, l_suppkey), placed at the order
   date, promised ``PROMISE_DAYS`` later, received when all its lines have
   l_linestatus = 'F'; each line is a goods receipt at l_shipdate
-* suppliers: s_suppkey, s_name (no trade name)
+* suppliers: s_suppkey, s_name; a quarter have a trade name, another quarter a blank one
 """
 
 from __future__ import annotations
@@ -32,37 +32,17 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import not_after
 from ..functions.money import to_money
+from ..functions.text import REASON_LABELS
 from ..sources.tables import read_table
 
 # ---------------------------------------------------------------------------
 # Fixed parameters of the test mapping (shared with the SQL oracles).
 PROMISE_DAYS = 30
-# Raw return-reason texts attached to returned lines: the canonical
-# spellings in messy case, spacing and accents, plus blank / symbol-only
-# / null entries. Index = (l_orderkey + l_linenumber) mod length.
-RAW_REASON_SAMPLES = (
-    "Cliente desistiu da compra",
-    "  cliente DESISTUI da compra ",
-    "Compra duplicada",
-    "Produto avariado no transporte",
-    "produt oavariado  no transporte",
-    "Produto variado no transporte",
-    "Tamanho/cor incorretos",
-    "TAMANHO/COR INCORRETOOS",
-    "tamanho/cor iincorretos",
-    "Tamanho/coor incorretos",
-    "Produto com defeito de fábrica",
-    "produto ccom defeito de fabrica",
-    "Produto com defeitoo de Fábrica",
-    "Item não corresponde à descrição",
-    "item nao corresponde a descricaoo",
-    "Item não corressponde à descrição",
-    "Outros",
-    "\tOUTROS\t",
-    "",
-    "---",
-    None,
-)
+# A returned line's reason is the spelling number (l_partkey + l_linenumber) mod 20
+# of the reason map, with three that say nothing behind it, written in one of four
+# ways by l_orderkey mod 4.
+REASON_VARIANTS = 4
+NO_REASON = ("", "---", None)
 # ---------------------------------------------------------------------------
 
 
@@ -143,11 +123,14 @@ class StarModel(RetailModel):
 
     @cached_property
     def returns(self) -> DataFrame:
-        samples = F.array(*[F.lit(s).cast("string") for s in RAW_REASON_SAMPLES])
-        idx = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(len(RAW_REASON_SAMPLES)))
+        spellings = F.array(*[F.lit(s).cast("string") for s in (*REASON_LABELS, *NO_REASON)])
+        text = F.element_at(spellings, (F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(len(REASON_LABELS) + len(NO_REASON))) + 1).cast("int"))
+        way = F.pmod("l_orderkey", F.lit(REASON_VARIANTS))
+        messy = (F.when(way == 1, F.upper(text)).when(way == 2, F.concat(F.lit("\t "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" ")))
+                 .when(way == 3, F.translate(text, "aeoc", "ãéõç")).otherwise(text))
         return self._t("lineitem").where(F.col("l_returnflag") == "R").select(
             F.col("l_linestatus").alias("status"),
-            F.element_at(samples, (idx + 1).cast("int")).alias("reason"),
+            messy.alias("reason"),
             to_money("l_extendedprice").alias("refund"),
             F.col("l_shipdate").alias("created_at"),
         )
@@ -184,10 +167,11 @@ class StarModel(RetailModel):
 
     @cached_property
     def suppliers(self) -> DataFrame:
+        kind = F.col("s_suppkey") % 4
         return self._t("supplier").select(
             F.col("s_suppkey").alias("supplier_id"),
             F.col("s_name").alias("legal_name"),
-            F.lit(None).cast("string").alias("trade_name"),
+            F.when(kind == 0, F.concat(F.lit("  "), F.col("s_name"), F.lit(" & Co "))).when(kind == 1, "   ").alias("trade_name"),
         )
 
 

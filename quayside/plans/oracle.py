@@ -149,30 +149,16 @@ FROM ({CHANNEL_MONTHLY}) m GROUP BY 1"""
 
 # --- returns ------------------------------------------------------------------
 
-def _raw_reasons_sql() -> str:
-    from .model import RAW_REASON_SAMPLES
-    items = ", ".join("NULL" if s is None else "'" + s.replace("'", "''") + "'" for s in RAW_REASON_SAMPLES)
-    return f"[{items}][((l_orderkey + l_linenumber) % {len(RAW_REASON_SAMPLES)}) + 1]"
-
-
-def _reason_map_sql() -> str:
-    from ..functions.text import REASON_LABELS
-    return ", ".join(f"('{k}', '{v}')" for k, v in REASON_LABELS.items())
-
+# which spelling of the map a line's keys give, by place in the map, and what it must be cleaned to
+_REASON = """CASE WHEN k < 2 THEN 'Cliente desistiu da compra' WHEN k < 3 THEN 'Compra duplicada'
+            WHEN k < 6 THEN 'Produto avariado no transporte' WHEN k < 10 THEN 'Tamanho/cor incorretos'
+            WHEN k < 13 THEN 'Produto com defeito de fábrica' WHEN k < 16 THEN 'Item não corresponde à descrição'
+            WHEN k < 17 THEN 'Outros' ELSE 'Não informado' END"""
 
 ORACLE["return_reasons"] = f"""
-WITH r AS (
-  SELECT {_raw_reasons_sql()} AS reason, CAST(l_extendedprice AS {MONEY}) AS refund
-  FROM lineitem
-  WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_shipdate < {NEXT_DAY}),
-k AS (
-  SELECT reason, refund,
-         strip_accents(trim(regexp_replace(lower(reason), '\\s+', ' ', 'g'))) AS reason_key FROM r),
-m(reason_key, label) AS (VALUES {_reason_map_sql()})
-SELECT CASE WHEN k.reason IS NULL OR NOT regexp_matches(k.reason_key, '[\\p{{L}}\\p{{N}}]') THEN 'Não informado'
-            ELSE m.label END AS reason,
-       count(*) AS returns, CAST(sum(refund) AS DOUBLE) AS refund
-FROM k LEFT JOIN m USING (reason_key)
+SELECT {_REASON} AS reason, count(*) AS returns, CAST(sum(refund) AS DOUBLE) AS refund
+FROM (SELECT (l_partkey + l_linenumber) % 20 AS k, CAST(l_extendedprice AS {MONEY}) AS refund FROM lineitem
+      WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_shipdate < {NEXT_DAY}) r
 GROUP BY 1"""
 
 # --- suppliers ------------------------------------------------------------------
@@ -195,7 +181,7 @@ COMPLETED_POS = f"""
   WHERE e.expected IS NOT NULL"""
 
 SUPPLIER_SCORES = f"""
-  SELECT c.supplier_id, printf('F%02d · %s', c.supplier_id, coalesce(trim(s.s_name), '')) AS label,
+  SELECT c.supplier_id, printf('F%02d · %s', c.supplier_id, CASE WHEN c.supplier_id % 4 = 0 THEN s.s_name || ' & Co' ELSE coalesce(trim(s.s_name), '') END) AS label,
          count(*) AS orders,
          avg(CASE WHEN delay_days <= 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS on_time_rate,
          coalesce(avg(delay_days) FILTER (WHERE delay_days > 0), 0.0)::DOUBLE AS avg_late_days
