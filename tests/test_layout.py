@@ -28,3 +28,18 @@ def test_bucketed_facts_join_without_exchange(spark, scratch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quayside.session import ensure_checkpoint_dir, is_local
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert is_local(session("local[4]")) and is_local(session("local")) and not is_local(session("local-cluster[2,1,1024]"))
+    with pytest.raises(RuntimeError, match="share"):
+        ensure_checkpoint_dir(session("spark://host:7077"))
