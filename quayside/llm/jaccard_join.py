@@ -264,6 +264,7 @@ def _dealt(tokens: DataFrame, shared: DataFrame, members: DataFrame) -> DataFram
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(a, b, linked) by the exact test on the sets, which are made again from a text of every set that occurs in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "head.doc_id", "head.text_hash"), "rep")
+    wanted = stored(wanted, "wanted")  # of known size: while it is small, texts are not shuffled to find it
     texts = docs.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

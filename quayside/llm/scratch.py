@@ -7,17 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (a local
-    session, as in tests) a private folder is made and recorded in the setting.
+    Where neither that setting nor a checkpoint folder exists, a local session
+    (as in tests) gets a private folder; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="llm-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
 
 
@@ -39,6 +40,9 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     context = spark.sparkContext
+    # rows are whole documents: batches for Python are bounded by bytes, unless the user has set a bound
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     if getattr(context, "_quayside_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
