@@ -47,8 +47,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = ["doc_id", "__text_hash"]  # a name that documents don't have
     found = found.withColumnRenamed("text_hash", "__text_hash")
     kept = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = kept.join(found.where("not kept").select(*key).distinct(), key, "left_anti")
-    repeated = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key)
+    # written first, so that their sizes are known: while they are small, the joins below do not shuffle texts
+    copies = stored(found.where("not kept").select(*key).distinct(), "copies")
+    repeated = stored(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key), "repeated")
+    kept = kept.join(copies, key, "left_anti")
     once = kept.join(repeated, key, "left_semi")
     row = F.struct(*docs.columns)
     first = once.groupBy(*key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
