@@ -7,6 +7,7 @@ and :func:`text_slices` bounds those bytes, whatever the batch size is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system, where its C library can: later stages reuse the worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES
                 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text (one row at least)."""
@@ -42,6 +51,7 @@ def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BY
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start), data[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start]
         start = end
+    release()
 
 
 Judge = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]
