@@ -168,6 +168,14 @@ def same_ordered_list(left: DataFrame, right: DataFrame, position: str, check_na
                  F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"))
             .select(F.lit(check_name).alias("check_name"), "*", (F.col("n_different") == 0).alias("equal")))
 
+def _decimal_digits(kind: str) -> tuple[int, int]:
+    """Digits before and after the point that a type can hold; (0, 0) for other types than decimals and short integers."""
+    if kind.startswith("decimal"):
+        precision, scale = (int(x) for x in kind[len("decimal("):-1].split(","))
+        return precision - scale, scale
+    return {"tinyint": 3, "smallint": 5, "int": 10}.get(kind, 0), 0
+
+
 def row_text(df: DataFrame, fractions=()) -> Column:
     """One text for a row: its columns in order, joined by '|'; numbers with a fraction have 6 decimals, null is \\N.
 
@@ -176,7 +184,11 @@ def row_text(df: DataFrame, fractions=()) -> Column:
     parts = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        if name in fractions or kind in ("double", "float") or kind.startswith("decimal"):
+        whole, scale = _decimal_digits(kind)
+        if (name in fractions or kind.startswith("decimal")) and scale <= 6 and 0 < whole + scale <= 15:
+            # a double holds these digits and prints them, so that they are printed without a double and its format
+            text = c.cast(f"decimal({whole + 6},6)").cast("string")
+        elif name in fractions or kind in ("double", "float") or kind.startswith("decimal"):
             x = c.cast("double")
             text = F.format_string("%.6f", F.when(F.abs(x) < 5e-7, F.lit(0.0)).otherwise(x))
             text = F.when(x.isNotNull(), text)

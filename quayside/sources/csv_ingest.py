@@ -213,8 +213,12 @@ def export_csv(df: DataFrame, path: str) -> None:
 
     files = len(df.inputFiles())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    df = df.select(*[cell(c, t) for c, t in df.dtypes])
-    w = (df.repartition(cores) if 0 < files < cores else df).write.mode("errorifexists")
+    out = df.select(*[cell(c, t) for c, t in df.dtypes])
+    if 0 < files < cores:
+        # dealt by a number of the row's own, which a repeated task gives again: no sort of the rows, as for a deal in turn
+        number = "".join(df.columns) + "_row"
+        out = out.withColumn(number, F.monotonically_increasing_id()).repartition(cores, number).drop(number)
+    w = out.write.mode("errorifexists")
     for k, v in CSV_WRITE_OPTIONS.items():
         w = w.option(k, v)
     w.csv(path)

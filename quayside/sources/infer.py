@@ -39,8 +39,13 @@ FLOAT_PATTERN = (r"^[+-]?((([0-9](_?[0-9])*)?\.[0-9](_?[0-9])*|[0-9](_?[0-9])*\.
 
 
 def strip(col: Column) -> Column:
-    """Remove leading/trailing whitespace of any kind (not only spaces)."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Remove leading/trailing whitespace of any kind (not only spaces).
+
+    A text that begins and ends with a visible ASCII character has none, and
+    most cells do: they are not searched for each of the list's characters.
+    """
+    visible = F.substring(col, 1, 1).between("!", "~") & F.substring(col, -1, 1).between("!", "~")
+    return F.when(visible, col).otherwise(F.btrim(col, F.lit(WHITESPACE)))
 
 
 #: Bits of a cell's mask. Those of the first line must hold for all cells of a column, those of the second for any.
@@ -81,7 +86,7 @@ def _mask() -> Column:
     length = F.length(v)
     is_ts = (length >= 13) & (length <= 19) & v.rlike(TS_PATTERN) & v.try_cast("timestamp_ntz").isNotNull()
     is_date = (length >= 8) & (length <= 10) & v.rlike(DATE_PATTERN) & v.try_cast("date").isNotNull()
-    may_be = F.substring(t, 1, 1).rlike("[-+.0-9iInN]") & F.right(t, F.lit(1)).rlike("[.0-9fFyYnN]")
+    may_be = F.substring(t, 1, 1).isin(*"-+.0123456789iInN") & F.substring(t, -1, 1).isin(*".0123456789fFyYnN")
     other = (F.when(((n == 4) | (n == 5)) & F.upper(t).isin("TRUE", "FALSE"), IS_BOOL).when(is_ts, IS_TS).when(is_date, IS_DATE)
              .when(may_be & t.rlike("(?i)" + FLOAT_PATTERN), IS_FLOAT).otherwise(0)) + NOT_PLAIN
     return F.when(t.isNull(), None).when(F.col("plain"), plain).otherwise(other)
@@ -95,10 +100,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _column_names(spark, tables: dict) -> DataFrame:
-    """(table_name, position, column_name): one row per input column (width-bounded)."""
+    """(branch, table_name, position, column_name): one row per input column (width-bounded), numbered from 0."""
     rows = [F.struct(F.lit(name).alias("table_name"), F.lit(i + 1).alias("position"), F.lit(c).alias("column_name"))
             for name, df in tables.items() for i, c in enumerate(df.columns)]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    return spark.range(1).select(F.posexplode(F.array(*rows)).alias("branch", "c")).select("branch", "c.*")
 
 
 def _ladder() -> Column:
@@ -133,16 +138,17 @@ def infer_catalogue_many(tables: dict) -> DataFrame:
     ``spark_type`` sizes numeric columns as decimal(p,s) from the digits seen
     (double when exponents / nan / inf occur).
     """
-    branches = [df.select(F.lit(name).alias("table_name"), F.lit(i + 1).alias("position"), F.col(f"`{c}`").cast("string").alias("v"))
-                for name, df in tables.items() for i, c in enumerate(df.columns)]
+    columns = [df.select(F.col(f"`{c}`").cast("string").alias("v")) for df in tables.values() for c in df.columns]
+    # every cell is grouped by its branch, which is a number
+    branches = [df.withColumn("branch", F.lit(k)) for k, df in enumerate(columns)]
     plain, n, sign, dot = (F.col(name) for name in ("plain", "n", "sign", "dot"))
     tests = _cell_parts(_union(branches)).select(
-        "table_name", "position", _mask().alias("mask"), F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign).alias("int_digits"),
+        "branch", _mask().alias("mask"), F.when(plain, F.when(dot > 0, dot - 1).otherwise(n) - sign).alias("int_digits"),
         F.when(plain, F.when(dot > 0, n - dot).otherwise(0)).alias("frac_digits"))
-    stats = tests.groupBy("table_name", "position").agg(F.bit_and("mask").alias("every"), F.bit_or("mask").alias("some"),
-                                                        F.max("int_digits").alias("int_digits"), F.max("frac_digits").alias("frac_digits"))
+    stats = tests.groupBy("branch").agg(F.bit_and("mask").alias("every"), F.bit_or("mask").alias("some"),
+                                        F.max("int_digits").alias("int_digits"), F.max("frac_digits").alias("frac_digits"))
     # a column of a table without rows has no row of statistics
-    stats = _column_names(branches[0].sparkSession, tables).join(stats, ["table_name", "position"], "left")
+    stats = _column_names(branches[0].sparkSession, tables).join(stats, "branch", "left")
     inferred = _ladder()
     return stats.select("table_name", "position", "column_name", inferred.alias("inferred_type"), (F.col("column_name") == KEY_COLUMN).alias("is_key"),
                         _spark_type(inferred).alias("spark_type"))

@@ -170,3 +170,22 @@ def test_export_keeps_microseconds(spark, scratch):
     csv_ingest.export_csv(events, os.path.join(scratch, "events.csv"))
     back = csv_ingest.read_csv_text(spark, os.path.join(scratch, "events.csv"))
     assert back.select(F.col("ts").cast(dict(events.dtypes)["ts"])).exceptAll(events.select("ts")).isEmpty()
+
+
+def test_cells_are_stripped_as_python_does(spark):
+    cells = ["a", "é", "", " ", " a", "a ", " a", "a ", "\x1ca\x1f", "a b", "~", "!", "\u0085é　", "\x7f", "\x00a", None]
+    df = spark.createDataFrame([(c,) for c in cells], "v string")
+    assert [r["t"] for r in df.select(infer.strip(F.col("v")).alias("t")).collect()] == [None if c is None else c.strip() for c in cells]
+    # a cell that begins and ends visibly is not searched
+    plan = df.select(infer.strip(F.col("v")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
+
+
+def test_a_table_of_few_files_is_dealt_out_evenly(spark, scratch):
+    source, target = os.path.join(scratch, "one"), os.path.join(scratch, "dealt.csv")
+    spark.range(20_000).selectExpr("id", "cast(id as string) as name").coalesce(1).write.parquet(source)
+    csv_ingest.export_csv(spark.read.parquet(source), target)
+    sizes = [r["count"] for r in csv_ingest.read_csv_text(spark, target).groupBy(F.input_file_name()).count().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores and sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / cores
+    assert csv_ingest.read_csv_text(spark, target).columns == ["id", "name"]

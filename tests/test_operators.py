@@ -346,3 +346,18 @@ def test_category_sets_merge_over_periods(spark):
             if x is not None:
                 want.setdefault((c, period(d)), set()).add(x)
         assert {(r["customer_id"], r["period"]): r["category_diversity"] for r in loyalty.set_sizes(sets).collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_decimals_are_hashed_without_the_format_of_doubles(spark):
+    from decimal import Decimal
+
+    from quayside.operators import quality
+
+    values = [Decimal("0"), Decimal("-0.01"), Decimal("0.000001"), Decimal("-0.000001"), Decimal("123456789.123456"), Decimal("-999999999.999999"), None]
+    for kind, cells in (("decimal(15,6)", values), ("decimal(3,0)", [Decimal(-999), Decimal(0)]), ("int", [-2147483648, 0, 7]),
+                        ("decimal(20,2)", [Decimal("123456789012345678.25")]), ("decimal(10,8)", [Decimal("0.00000049"), Decimal("1.23456789")])):
+        df = spark.createDataFrame([(c,) for c in cells], f"x {kind}")
+        got = [r[0] for r in df.select(quality.row_text(df, fractions=["x"])).collect()]
+        assert got == ["\\N" if c is None else "%.6f" % (0.0 if abs(float(c)) < 5e-7 else float(c)) for c in cells]
+        plan = quality.content_hash(df, fractions=["x"])._jdf.queryExecution().optimizedPlan().toString()
+        assert ("format_string" in plan) == (kind in ("decimal(20,2)", "decimal(10,8)"))
