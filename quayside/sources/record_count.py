@@ -76,8 +76,13 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if part is not None:
                     yield row()
                 part, states, totals = now, (0, 1), [0, 0, 0]
-            after = compose(batch.column("to0").to_numpy()[a:b].astype(np.int64), batch.column("to1").to_numpy()[a:b].astype(np.int64))
             totals[0] += b - a
+            to0, to1 = batch.column("to0").to_numpy()[a:b], batch.column("to1").to_numpy()[a:b]
+            if not to0.any() and to1.all():  # lines without a quote keep the state: each ends a record, or is inside a cell
+                for begin in (0, 1):
+                    totals[1 + begin] += b - a if states[begin] == 0 else 0
+                continue
+            after = compose(to0.astype(np.int64), to1.astype(np.int64))
             for begin in (0, 1):
                 totals[1 + begin] += int((after[states[begin]] == 0).sum())
             states = tuple(int(after[s][-1]) for s in states)
