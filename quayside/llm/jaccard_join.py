@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, Words, text_slices, whole_buckets
 from .graph import EDGES, Forest, components, edge_batch
+from .lookup import marked
 from .scratch import stored
 
 WORDS = 4
@@ -251,9 +252,9 @@ class PairFinder:
             yield from self.take()
 
 
-def _dealt(tokens: DataFrame, shared: DataFrame, members: DataFrame) -> DataFrame:
+def _dealt(shared: DataFrame, members: DataFrame) -> DataFrame:
     """Members at their shared prefix shingles; a shingle of many members is dealt out as pairs of blocks."""
-    at = tokens.join(shared, "token").join(members, "gid")
+    at = shared.join(members, "gid")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")  # by member: a group of any size is split too
     at = at.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -264,8 +265,10 @@ def _dealt(tokens: DataFrame, shared: DataFrame, members: DataFrame) -> DataFram
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n_words: int, percent: int) -> DataFrame:
     """(a, b, linked) by the exact test on the sets, which are made again from a text of every set that occurs in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "head.doc_id", "head.text_hash"), "rep")
-    wanted = stored(wanted, "wanted")  # of known size: while it is small, texts are not shuffled to find it
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).select("rep", "text")
+    wanted = stored(wanted, "wanted")
+    key = ["doc_id", "text_hash"]
+    # other texts than those wanted are not shuffled to find these, however many are wanted
+    texts = marked(docs, wanted, key, "near").where("near").join(wanted, key).select("rep", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,9 +330,11 @@ def jaccard_classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     member = reps.join(groups, ["px", "n"])
     tokens = member.where("rep = gid").select("gid", "n", "members", F.posexplode("prefix").alias("pos", "token"))
     tokens = tokens.withColumn("pos", F.col("pos").cast("bigint"))
-    shared = tokens.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1")
+    common = tokens.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1")
+    # most prefix shingles are nobody else's: the others are found once, for both searches
+    shared = stored(tokens.drop("members").join(common, "token"), "shared")
     members = member.select("gid", "rep", "sig", F.col("rep").alias("label"))
-    at = _dealt(tokens.drop("members"), shared, members)
+    at = _dealt(shared, members)
     pairs = stored(at.mapInArrow(lambda b: PairFinder(percent, True).run(b), EDGES).distinct(), "pairs")
     checked = stored(_verified(pairs, docs, reps, n_words, percent), "checked")
     links = checked.where("linked")
@@ -338,7 +343,7 @@ def jaccard_classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
         # pairs that were to connect something did not: try every other pair between components
         label = members.drop("label").join(parts, F.col("rep") == F.col("node"), "left").select(
             "gid", "rep", "sig", F.coalesce("component", "rep").alias("label"))
-        rest = (_dealt(tokens.drop("members"), shared, label).mapInArrow(lambda b: PairFinder(percent, False).run(b), EDGES)
+        rest = (_dealt(shared, label).mapInArrow(lambda b: PairFinder(percent, False).run(b), EDGES)
                 .distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         more = stored(_verified(stored(rest, "more_pairs"), docs, reps, n_words, percent).where("linked"), "more_links")
         if not more.isEmpty():

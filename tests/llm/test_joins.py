@@ -228,3 +228,34 @@ def test_recall_of_the_index_on_a_larger_table(shipped):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     want = int(((unit @ unit.T) >= 0.95).sum()) - len(rows)
     assert want > 1000 and 0.9 * want <= sum(r["n_links"] for r in got) <= want
+
+
+def test_marked_rows_hold_every_key_and_few_others(shipped):
+    from quayside.llm.lookup import marked
+
+    rows = shipped.range(20_000).selectExpr("if(id % 100 = 0, null, id) as a", "cast(id % 7 as string) as b", "id")
+    keys = rows.where("id % 50 = 3").select("a", "b")
+    got = marked(rows, keys, ["a", "b"], "near")
+    assert got.columns == ["a", "b", "id", "near"] and got.count() == 20_000
+    near = {r["id"] for r in got.where("near").collect()}
+    assert {k for k in range(20_000) if k % 50 == 3} <= near and len(near) < 420
+    assert got.where("near is null").isEmpty()
+    assert marked(rows, keys.limit(0), ["a", "b"], "near").where("near").isEmpty()
+
+
+def test_texts_are_not_shuffled_to_find_the_ones_to_verify(shipped, near_copies, monkeypatch):
+    """Also where no join is small enough to be broadcast, only wanted texts meet the wanted keys; shared shingles are found once."""
+    names, plans = [], []
+    real_stored, real_join = jaccard_join.stored, jaccard_join.marked
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: names.append(name) or real_stored(df, name))
+    monkeypatch.setattr(jaccard_join, "marked", lambda rows, keys, on, name: plans.append(rows.columns) or real_join(rows, keys, on, name))
+    before = shipped.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    shipped.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shipped.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {k: (n, c) for k, n, c in run_jaccard(shipped.createDataFrame(near_copies, "doc_id long, text string"))}
+    finally:
+        shipped.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        shipped.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
+    assert got == brute_jaccard(near_copies)
+    assert names.count("shared") == 1 and plans and all("text" in columns for columns in plans)
