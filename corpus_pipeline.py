@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm import jaccard_join, packing, quality, toxicity
+from quayside.llm.lookup import marked
 from quayside.llm.queries import table, tokenizer_file
 from quayside.llm.scratch import ship_package, stored
 
@@ -47,14 +48,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = ["doc_id", "__text_hash"]  # a name that documents don't have
     found = found.withColumnRenamed("text_hash", "__text_hash")
     kept = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    # written first, so that their sizes are known: while they are small, the joins below do not shuffle texts
     copies = stored(found.where("not kept").select(*key).distinct(), "copies")
     repeated = stored(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key), "repeated")
-    kept = kept.join(copies, key, "left_anti")
+    # only rows that may be among these are joined, and shuffled, by the key
+    kept = marked(kept, copies.unionByName(repeated), key, "__near")
+    others = kept.where("not __near").select(docs.columns)
+    kept = kept.where("__near").join(copies, key, "left_anti")
     once = kept.join(repeated, key, "left_semi")
     row = F.struct(*docs.columns)
     first = once.groupBy(*key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return kept.join(repeated, key, "left_anti").select(docs.columns).unionByName(first)
+    return others.unionByName(kept.join(repeated, key, "left_anti").select(docs.columns)).unionByName(first)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

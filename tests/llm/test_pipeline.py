@@ -126,3 +126,16 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert jaccard_join.PERCENT == 85
     assert {"op5_bm25_search", "op8_license_scan"} <= set(__spark_entry__.oracle_sql())
+
+
+def test_rows_without_copies_do_not_meet_the_join(shipped, monkeypatch):
+    """The near-duplicate stage joins, and so shuffles, only rows that may be copies or repetitions."""
+    seen, real = [], corpus_pipeline.marked
+    monkeypatch.setattr(corpus_pipeline, "marked", lambda *a: seen.append(real(*a)) or seen[-1])
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(10)] + [rows[20], rows[20], (None, rows[3][1]), (None, None), (400, "")]
+    docs = shipped.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_duplicate_stage(shipped, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted([str(k) for k in range(300)] + ["400", "None", "None"])
+    assert 13 <= seen[0].where("__near").count() <= 20
