@@ -32,6 +32,8 @@ from .scratch import stored
 from .tokens import END_ID, encoder, with_end
 
 CAPACITY = 2048
+#: Bytes of text that a task encodes at once.
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, task_rank bigint"
 PLAN = "length bigint, lo bigint, hi bigint, first_sequence bigint, per_sequence bigint, first_offset bigint"
 
@@ -128,7 +130,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, i
         seen = np.zeros(capacity + 1, np.int64)
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, limit=SLICE_BYTES):
                 ids, bounds = with_end(*encode(data, offsets), END_ID)
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)

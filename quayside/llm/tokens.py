@@ -21,8 +21,8 @@ import pyarrow as pa
 from .arrays import byte_table, ragged
 
 END_ID = 0
-#: Distinct segments that a Python worker remembers between batches: bounds memory, never changes ids.
-MEMO_SEGMENTS = 1_000_000
+#: Distinct segments that a Python worker remembers between runs of documents: bounds memory, never changes ids.
+MEMO_SEGMENTS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -62,17 +62,27 @@ def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class SegmentEncoder:
-    """Encodes runs of documents; distinct segments go through the library once per worker."""
+    """Encodes runs of documents; a distinct segment of a run goes through the library once, one that is remembered not at all.
+
+    After a run at most ``MEMO_SEGMENTS`` are remembered; where there are more, the half of that which most runs used stays.
+    """
 
     def __init__(self, path: str):
         self.path = path
-        self.forget()
-
-    def forget(self):
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self, left: int):
+        """Keep the ``left`` segments that most runs used."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:left])
+        segments = list(self.place)  # in the order of their numbers
+        self.place = {segments[k]: i for i, k in enumerate(kept.tolist())}
+        self.ids, self.length = ragged(self.ids, self.at[kept], self.length[kept]), self.length[kept]
+        self.at = np.cumsum(self.length) - self.length
+        self.uses = self.uses[kept] // 2
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): ids of document i are ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -81,8 +91,6 @@ class SegmentEncoder:
         segments = pa.Array.from_buffers(pa.large_binary(), len(cuts), [
             None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = segments.dictionary.to_pylist()
-        if len(self.place) > MEMO_SEGMENTS:
-            self.forget()
         new = [s for s in distinct if s not in self.place]
         if new:
             tokenizer = _tokenizer(self.path)
@@ -100,12 +108,17 @@ class SegmentEncoder:
             length = [self.length, sizes]
             self.place.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.ids, self.at, self.length = np.concatenate(ids), np.concatenate(at), np.concatenate(length)
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
         where = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[where] += 1
         where = where[segments.indices.to_numpy(zero_copy_only=False)] if len(cuts) else where[:0]
         sizes = self.length[where]
         total = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
-        return ragged(self.ids, self.at[where], sizes), total[np.searchsorted(cuts, offsets)]
+        out = ragged(self.ids, self.at[where], sizes), total[np.searchsorted(cuts, offsets)]
+        if len(self.place) > MEMO_SEGMENTS:
+            self.forget(MEMO_SEGMENTS // 2)
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -56,6 +56,16 @@ def test_memory_limit_never_changes_ids(whole, segments, monkeypatch):
         assert encode_all(segments, texts[at:at + 7]) == [whole(t) for t in texts[at:at + 7]]
 
 
+def test_memory_is_bounded_and_keeps_what_recurs(whole, monkeypatch):
+    monkeypatch.setattr("quayside.llm.tokens.MEMO_SEGMENTS", 100)
+    encoder = SegmentEncoder(PATH)
+    for run in range(6):
+        texts = [f"often {run * 1000 + k} often" for k in range(300)]
+        assert encode_all(encoder, texts) == [whole(t) for t in texts]
+        assert len(encoder.place) <= 100 and len(encoder.ids) == encoder.length.sum()
+        assert b" often" in encoder.place
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1), st.integers(0, 2**64 - 1)), max_size=1500))
 def test_simple8b_round_trip(values):
