@@ -45,19 +45,27 @@ class Pieces:
     def __init__(self, keep: list[bytes]):
         self.count = len(keep)
         self.longest = max(map(len, keep))
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        nodes: dict[bytes, int] = {}  # the pieces' beginnings; -1 where one is no piece itself
         for i, p in enumerate(keep):
-            h = 0
-            for b in p:
-                h = (h * int(BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
-            by_length.setdefault(len(p), []).append((h, i))
+            for n in range(1, len(p)):
+                nodes.setdefault(p[:n], -1)
+            if nodes.get(p, -1) < 0:
+                nodes[p] = i
+        value = {b"": 0}
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for p in sorted(nodes, key=len):
+            value[p] = (value[p[:-1]] * int(BASE) + p[-1] + 1) & 0xFFFFFFFFFFFFFFFF
+            by_length.setdefault(len(p), []).append((value[p], nodes[p]))
         self.tables = {}
         for n, rows in by_length.items():
             rows.sort()
             self.tables[n] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
 
     def lattice(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places, piece ids) of all matches, by length; matches stay inside words."""
+        """(length, places, piece ids) of all matches, by length; matches stay inside words.
+
+        A place is left as soon as no piece begins with what stands there.
+        """
         room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
         h = np.zeros(len(data), np.uint64)
         at = np.arange(len(data))
@@ -68,11 +76,12 @@ class Pieces:
             if not len(at):
                 break
             h = h * BASE + data[at + n - 1].astype(np.uint64) + np.uint64(1)
-            if n in self.tables:
-                keys, ids = self.tables[n]
-                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[k] == h
-                out.append((n, at[hit], ids[k[hit]]))
+            keys, ids = self.tables[n]
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            begun = keys[k] == h
+            at, h, piece = at[begun], h[begun], ids[k[begun]]
+            hit = piece >= 0
+            out.append((n, at[hit], piece[hit]))
         return out
 
 

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,21 +114,23 @@ def lattice_paths(data: np.ndarray, offsets: np.ndarray, pieces: Pieces, ids: np
     unit = np.repeat(np.arange(n), np.diff(offsets))[start]
     node = start + unit  # units have one more place than bytes
     goal = node + size
-    order = np.lexsort((start, goal - offsets[unit] - unit))  # by end in the unit, then by start
-    node, goal, weight, piece, size, start = (x[order] for x in (node, goal, weight, piece, size, start))
-    local = goal - (offsets[unit] + unit)[order]
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(local))]) if len(local) else np.zeros(1, np.int64)
+    # by end in the unit, then by start; edges with equal end and size end in different units
+    local = goal - offsets[unit] - unit
+    longest = int(size.max()) if len(size) else 0
+    step = local * (longest + 1) + longest - size
+    narrow = len(step) and int(step.max()) < 1 << 16  # NumPy sorts these by radix
+    order = np.argsort(step.astype(np.uint16) if narrow else step, kind="stable")
+    node, goal, weight, piece, size, start, step = (x[order] for x in (node, goal, weight, piece, size, start, step))
+    cuts = np.append(np.flatnonzero(np.append(True, np.diff(step) > 0)), len(step)) if len(step) else np.zeros(1, np.int64)
     best = np.full(len(data) + n, -np.inf)
     best[offsets[:-1] + np.arange(n)] = 0.0
     back = np.full(len(data) + n, -1)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if a == b:
-            continue
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         total, target = best[node[a:b]] + weight[a:b], goal[a:b]
-        rank = np.lexsort((np.arange(b - a), -total, target))  # the best per place; of equals the one that begins first
-        lead = rank[np.flatnonzero(np.append(True, np.diff(target[rank]) > 0))]
-        best[target[lead]] = total[lead]
-        back[target[lead]] = a + lead
+        better = np.flatnonzero(total > best[target])  # of equals the one that begins first stays
+        target = target[better]
+        best[target] = total[better]
+        back[target] = a + better
     # walk back from every unit's end in lockstep
     at, owner, steps = offsets[1:] + np.arange(n), np.arange(n), []
     live = np.diff(offsets) > 0
@@ -185,16 +188,14 @@ class Codec:
 
     def __init__(self, rows, byte_ids, frequent: list[tuple[str, list[int]]]):
         raw = [p.replace(SPACE, "\0").encode().replace(b"\0", b"\xff") for p, _, _ in rows]
-        self.pieces = Pieces(raw)
+        self.raw = raw
         self.ids = np.array([i for _, i, _ in rows], np.int32)
         self.scores = np.array([s for _, _, s in rows])
         self.byte_ids = np.array(byte_ids, np.int32)
-        self.frequent = {}
-        for unit, path in frequent:
-            out: list[int] = []
-            for x in path:
-                out += [x] if x >= 0 else [byte_ids[b] for b in chr(-1 - x).encode()]
-            self.frequent[unit.replace(SPACE, "\0").encode().replace(b"\0", b"\xff")] = np.array(out, np.int32)
+        self.frequent = pa.array([unit.replace(SPACE, "\0").encode().replace(b"\0", b"\xff") for unit, _ in frequent], pa.large_binary())
+        paths = [[i for x in path for i in ([x] if x >= 0 else [byte_ids[b] for b in chr(-1 - x).encode()])] for _, path in frequent]
+        self.frequent_length = np.array([len(path) for path in paths], np.int64)
+        self.frequent_ids = np.array([i for path in paths for i in path], np.int32)
         size = max([*self.ids.tolist(), *byte_ids]) + 1
         text = [b""] * size
         for r, i in zip(raw, self.ids.tolist()):
@@ -205,26 +206,37 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(text), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    @cached_property
+    def pieces(self) -> Pieces:
+        """Only encoding looks pieces up."""
+        return Pieces(self.raw)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, bounds, first = unit_bounds(data, offsets)
         units = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
             None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
-        distinct = units.dictionary.to_pylist()
-        known = [self.frequent.get(u) for u in distinct]
-        rest = [k for k, path in enumerate(known) if path is None]
-        for at in range(0, len(rest), LATTICE_UNITS):
-            part = rest[at:at + LATTICE_UNITS]
-            sizes = np.cumsum([0] + [len(distinct[k]) for k in part]).astype(np.int64)
-            ids, cuts = lattice_paths(np.frombuffer(b"".join(distinct[k] for k in part), np.uint8), sizes, self.pieces, self.ids, self.scores, self.byte_ids)
-            for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                known[k] = ids[a:b]
-        if not distinct:
+        distinct = units.dictionary
+        if not len(distinct):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        length = np.fromiter(map(len, known), np.int64, len(known))
-        start = np.cumsum(length) - length
+        at = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset:distinct.offset + len(distinct) + 1]
+        raw = np.frombuffer(distinct.buffers()[2], np.uint8)
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.frequent), -1).to_numpy()
+        known, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        length, parts = np.zeros(len(distinct), np.int64), [self.frequent_ids]
+        length[known] = self.frequent_length[place[known]]
+        start = np.zeros(len(distinct), np.int64)
+        start[known] = (np.cumsum(self.frequent_length) - self.frequent_length)[place[known]]
+        held = len(self.frequent_ids)
+        for k in range(0, len(rest), LATTICE_UNITS):
+            part = rest[k:k + LATTICE_UNITS]
+            sizes = at[part + 1] - at[part]
+            ids, cuts = lattice_paths(ragged(raw, at[part], sizes), np.concatenate([[0], np.cumsum(sizes)]), self.pieces, self.ids, self.scores, self.byte_ids)
+            parts.append(ids)
+            length[part], start[part] = np.diff(cuts), held + cuts[:-1]
+            held += len(ids)
         codes = units.indices.to_numpy(zero_copy_only=False)
-        total = np.concatenate([[0], np.cumsum(length[codes])])
-        return ragged(np.concatenate(known), start[codes], length[codes]), total[first]
+        length, start = length[codes], start[codes]
+        return ragged(np.concatenate(parts), start, length), np.concatenate([[0], np.cumsum(length)])[first]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the texts, without the space that encoding puts first."""

@@ -9,6 +9,7 @@ import pytest
 
 from quayside.llm import bm25, license_scan
 from quayside.llm import sentencepiece_lattice as lattice
+from quayside.llm.language_id import Pieces
 
 MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -249,3 +250,34 @@ def test_lattice_on_messy_documents(messy):
     want = sorted((str(r["doc_id"]), r["text"] or "") for r in messy.collect())
     assert sorted((str(r["doc_id"]), r["text"]) for r in out) == want
     assert lattice.encode(messy.limit(0), MODEL).count() == 0
+
+
+def test_pieces_are_looked_up_only_where_one_begins(monkeypatch):
+    keep = [b"abcdefghij"[:n] for n in range(2, 11, 2)] + [b"bc", b"z"]
+    data = np.frombuffer(b"xabcdefghi" * 50 + b"zbcab", np.uint8)
+    offsets = np.array([0, 101, 101, len(data)])
+    asked, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda keys, h, *a, **k: asked.append(np.size(h)) or real(keys, h, *a, **k))
+    pieces = Pieces(keep)
+    got = sorted((n, p, i) for n, at, found in pieces.lattice(data, offsets) for p, i in zip(at.tolist(), found.tolist()))
+    raw, ends = data.tobytes(), [101, len(data)]
+    assert got == sorted((len(w), p, i) for i, w in enumerate(keep) for p in range(len(raw))
+                         if raw[p:p + len(w)] == w and p + len(w) <= next(e for e in ends if p < e))
+    assert sum(asked) < 2.5 * len(data)
+
+
+def test_frequent_units_change_no_path_and_decoding_builds_no_pieces(vocabulary):
+    rows, byte_ids = vocabulary
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(["the", "in", "ing", "a", "b", "é", "漢", "🙂", " ", "x" * 9]) for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    flat, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data])
+    ids, bounds = lattice.Codec(rows, byte_ids, []).encode(flat, offsets)
+    of_piece = {p: i for p, i, _ in rows}
+    codec = lattice.Codec(rows, byte_ids, [("▁a", [of_piece["▁a"]]), ("▁漢", [of_piece["▁"], -1 - ord("漢")])])
+    same = codec.encode(flat, offsets)
+    assert (same[0] == ids).all() and (same[1] == bounds).all()
+    fresh = lattice.Codec(rows, byte_ids, [])
+    out, cuts = fresh.decode(ids, bounds)
+    assert [out[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:])] == texts
+    assert "pieces" not in vars(fresh)
