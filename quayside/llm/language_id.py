@@ -56,10 +56,14 @@ class Pieces:
         for p in sorted(nodes, key=len):
             value[p] = (value[p[:-1]] * int(BASE) + p[-1] + 1) & 0xFFFFFFFFFFFFFFFF
             by_length.setdefault(len(p), []).append((value[p], nodes[p]))
-        self.tables = {}
+        #: By length, the hashes and numbers of all beginnings, and of the pieces alone.
+        self.beginnings, self.tables = {}, {}
         for n, rows in by_length.items():
             rows.sort()
-            self.tables[n] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
+            keys, ids = np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)
+            self.beginnings[n] = keys, ids
+            if (ids >= 0).any():
+                self.tables[n] = keys[ids >= 0], ids[ids >= 0]
 
     def lattice(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, places, piece ids) of all matches, by length; matches stay inside words.
@@ -76,7 +80,7 @@ class Pieces:
             if not len(at):
                 break
             h = h * BASE + data[at + n - 1].astype(np.uint64) + np.uint64(1)
-            keys, ids = self.tables[n]
+            keys, ids = self.beginnings[n]
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             begun = keys[k] == h
             at, h, piece = at[begun], h[begun], ids[k[begun]]
