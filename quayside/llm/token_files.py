@@ -35,6 +35,7 @@ SLOTS = ((0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (
          (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([n for n, _ in SLOTS])
 BLOCK_IDS = 512
+SHORT_BITS = np.searchsorted(2 ** np.arange(17), np.arange(1 << 16), side="right").astype(np.uint8)
 
 FILE_SCHEMA = ("shard int, record int, ids_before bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
                "block_words array<int>, payload binary")
@@ -50,34 +51,34 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    blocks = -(-n // BLOCK_IDS)
-    stop = np.minimum(np.arange(1, blocks + 1) * BLOCK_IDS, n)
-    padded = np.concatenate([ids, np.zeros(64, np.uint64)])
-    place = np.arange(n, dtype=np.int32)
-    block_end = np.minimum((place // BLOCK_IDS + 1) * BLOCK_IDS, n)
-    need = np.searchsorted(2.0 ** np.arange(61), ids, side="right").astype(np.uint8)  # bits of each id; 61: too many
-    choice = np.zeros(n, np.uint8)  # the selector with most ids that fits at each place
+    blocks, width = -(-n // BLOCK_IDS), BLOCK_IDS + int(COUNTS.max())
+    # a row a block, with zeros behind its ids, so that no word reaches the next block
+    padded = np.zeros((blocks, width), np.uint64)
+    full = n // BLOCK_IDS
+    padded[:full, :BLOCK_IDS] = ids[:full * BLOCK_IDS].reshape(full, BLOCK_IDS)
+    padded[full:, :n - full * BLOCK_IDS] = ids[full * BLOCK_IDS:]
+    padded = padded.ravel()
+    need = _bits(padded)
+    choice = np.zeros(len(need), np.uint8)  # the selector with most ids that fits at each place
+    span, most = 1, need  # the bits that the next `span` ids, a power of 2, need
     for selector in range(len(SLOTS) - 1, 0, -1):  # later ones, with more ids, replace earlier ones
         count, bits = SLOTS[selector]
-        reach = np.where(need > bits, place, n)  # first id, from here on, that needs more bits
-        if (reach < n).any():
-            reach = np.minimum.accumulate(reach[::-1])[::-1]
-        fits = np.minimum(reach, block_end) >= np.minimum(place + count, block_end)
-        if not fits.any():
-            break  # what does not fit anywhere does not fit with fewer bits either
-        choice[fits] = selector
-    at = np.arange(blocks) * BLOCK_IDS
-    alive = np.arange(blocks)
-    places, owners = [], []
-    while len(alive):
-        here = at[alive]
-        places.append(here)
-        owners.append(alive)
-        at[alive] = here + np.maximum(COUNTS[choice[here]], 1)
-        alive = alive[at[alive] < stop[alive]]
-    place, owner = np.concatenate(places), np.concatenate(owners)
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
+        while 2 * span <= count:
+            most = np.append(np.maximum(most[:-span], most[span:]), most[-span:])
+            span *= 2
+        rest = count - span
+        here = len(most) - rest  # the places behind are no ids
+        choice[:here][np.maximum(most[:here], most[rest:]) <= bits] = selector
+    at = np.arange(blocks) * width
+    stop = at + np.minimum(BLOCK_IDS, n - np.arange(blocks) * BLOCK_IDS)
+    step = np.maximum(COUNTS, 1)[choice]
+    first = np.zeros(len(padded), bool)  # where words begin
+    while len(at):
+        first[at] = True
+        at = at + step[at]
+        alive = at < stop
+        at, stop = at[alive], stop[alive]
+    place = np.flatnonzero(first)
     selectors = choice[place]
     size = np.where(selectors == 0, 2, 1)
     where = np.cumsum(size) - size
@@ -86,16 +87,22 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = np.flatnonzero(selectors == selector)
         if not len(mine):
             continue
+        begin = place[mine]
         if not selector:
-            words[where[mine] + 1] = ids[place[mine]]
+            words[where[mine] + 1] = padded[begin]
             continue
         word = np.full(len(mine), selector, np.uint64) << np.uint64(60)
         for k in range(count):
-            index = place[mine] + k
-            value = np.where(index < stop[owner[mine]], padded[index], np.uint64(0))
-            word |= value << np.uint64(k * bits)
+            word |= padded[begin + k] << np.uint64(k * bits)
         words[where[mine]] = word
-    return words, np.bincount(owner, weights=size, minlength=blocks).astype(np.int32)
+    return words, np.bincount(place // width, weights=size, minlength=blocks).astype(np.int32)
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits of each unsigned id (uint8); 61: too many."""
+    if ids.max() < len(SHORT_BITS):
+        return SHORT_BITS[ids]
+    return np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right").astype(np.uint8)
 
 
 def decode_blocks(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:

@@ -2,18 +2,21 @@
 
 A byte-level BPE never merges across a space that follows a byte which is not
 white space, nor between an ASCII letter and an ASCII mark other than the
-apostrophe: its pre-tokenizer always cuts there, and nothing it does to the
+apostrophe, nor before or after a line feed between visible ASCII characters:
+its pre-tokenizer always cuts there, and nothing it does to the
 right of the cut depends on what stands to the left. Texts are therefore cut
 at such places, each distinct segment is encoded once by the library,
 and a document's ids are its segments' ids in order. The result equals the
-library's ids of the whole text (tests compare them). A space and ASCII letters
-are one pre-token, which goes straight to the library's model.
+library's ids of the whole text (tests compare them). Latin letters, with or
+without a space before them, are one pre-token, which goes straight to the
+library's model.
 """
 
 from __future__ import annotations
 
+import re
+from codecs import charmap_decode
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,23 @@ def _tokenizer(path: str):
 
 ASCII_LETTER = byte_table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 MARK = byte_table(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum() and b != 0x27)
-#: How the byte-level alphabet writes a space.
-MARKED_SPACE = "\u0120"
+VISIBLE = byte_table(lambda b: 0x21 <= b <= 0x7E)
+#: An optional space and ASCII letters or letters of U+00C0 to U+023F: one pre-token.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+")
+
+
+def _byte_level() -> str:
+    """How the byte-level alphabet writes every byte."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return "".join(chr(others.get(b, b)) for b in range(256))
+
+
+BYTE_LEVEL = _byte_level()
 
 
 def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte places where segments begin: each document's start, every safe space, and between letters and marks."""
+    """Byte places where segments begin: each document's start, every safe space and line feed, and between letters and marks."""
     space = np.flatnonzero(data[1:] == 0x20) + 1 if len(data) else np.zeros(0, np.int64)
     previous = data[space - 1]
     safe = previous > 0x20
@@ -57,6 +71,14 @@ def segment_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[space[safe & ~wide]] = True
     letter, mark = ASCII_LETTER[data], MARK[data]
     cut[1:-1] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    after = np.flatnonzero(mark[2:] & (data[1:-1] >= 0x80)) + 2  # marks after a letter of two bytes
+    lead, last = data[after - 2], data[after - 1]
+    cut[after[(lead >= 0xC4) & (lead <= 0xC8) | (lead == 0xC3) & (last != 0x97) & (last != 0xB7)]] = True
+    line = np.flatnonzero(data[1:] == 0x0A) + 1 if len(data) else space
+    line = line[VISIBLE[data[line - 1]]]
+    cut[line] = True
+    line = line[line + 1 < len(data)] + 1
+    cut[line[VISIBLE[data[line]]]] = True
     cut[offsets] = True  # also where empty documents lie
     return np.flatnonzero(cut[:-1])
 
@@ -94,20 +116,23 @@ class SegmentEncoder:
         new = [s for s in distinct if s not in self.place]
         if new:
             tokenizer = _tokenizer(self.path)
-            model = tokenizer.model
-            words = [s for s in new if s[:1] == b" " and s[1:].isalpha()]  # bytes: ASCII letters only
-            plain = set(words)
-            rest = [s for s in new if s not in plain]
-            new = words + rest
-            part = [[t.id for t in model.tokenize(MARKED_SPACE + s[1:].decode())] for s in words]
+            tokenize = tokenizer.model.tokenize
+            words, rest = [], []
+            for s in new:
+                (words if WORD.fullmatch(s) else rest).append(s)
+            ids, length = [self.ids], [self.length]
+            for k in range(0, len(words), 4096):
+                marked = charmap_decode(b"\n".join(words[k:k + 4096]), "strict", BYTE_LEVEL)[0].split(BYTE_LEVEL[0x0A])
+                part = list(map(tokenize, marked))
+                length.append(np.fromiter(map(len, part), np.int64, len(part)))
+                ids.append(np.array([t.id for tokens in part for t in tokens], np.uint32))
             for k in range(0, len(rest), 4096):
-                part += [e.ids for e in tokenizer.encode_batch([s.decode("utf-8") for s in rest[k:k + 4096]], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            ids = [self.ids, np.fromiter(chain.from_iterable(part), np.uint32, int(sizes.sum()))]
-            at = [self.at, len(self.ids) + np.cumsum(sizes) - sizes]
-            length = [self.length, sizes]
-            self.place.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.ids, self.at, self.length = np.concatenate(ids), np.concatenate(at), np.concatenate(length)
+                part = [e.ids for e in tokenizer.encode_batch([s.decode("utf-8") for s in rest[k:k + 4096]], add_special_tokens=False)]
+                length.append(np.fromiter(map(len, part), np.int64, len(part)))
+                ids.append(np.array([i for some in part for i in some], np.uint32))
+            self.place.update(zip(words + rest, range(len(self.at), len(self.at) + len(new))))
+            self.ids, self.length = np.concatenate(ids), np.concatenate(length)
+            self.at = np.cumsum(self.length) - self.length
             self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
         where = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         self.uses[where] += 1

@@ -66,6 +66,55 @@ def test_memory_is_bounded_and_keeps_what_recurs(whole, monkeypatch):
         assert b" often" in encoder.place
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["\n", "\n\n", "\r\n", " \n", "\n ", " ", "él", "Ñu", "ȿx", "×", "÷", "ɀ", "word", "'s", "'", ",", "(", ".", "42", "\x7f", "漢", "é́"]), max_size=10), max_size=4))
+def test_cuts_at_lines_and_after_latin_letters_keep_the_ids(whole, segments, parts):
+    texts = ["".join(p) for p in parts]
+    assert encode_all(segments, texts) == [whole(t) for t in texts]
+
+
+def test_latin_words_go_straight_to_the_model(whole, monkeypatch):
+    from quayside.llm import tokens
+
+    library, sent = tokens._tokenizer(PATH), []
+
+    class Counting:
+        model = library.model
+
+        def encode_batch(self, texts, **more):
+            sent.extend(texts)
+            return library.encode_batch(texts, **more)
+
+    monkeypatch.setattr(tokens, "_tokenizer", lambda path: Counting())
+    texts = [f"Première été{a}, niño{a}.\nStraße{a}\nend" for a in "abcdefgh"]
+    assert encode_all(SegmentEncoder(PATH), texts) == [whole(t) for t in texts]
+    assert set(sent) == {",", ".", "\n"}
+
+
+def greedy_words(ids):
+    words, sizes = [], []
+    for a in range(0, len(ids), 512):
+        block, k, before = ids[a:a + 512], 0, len(words)
+        while k < len(block):
+            fits = [s for s in range(1, 15) if all(i < 1 << token_files.SLOTS[s][1] for i in block[k:k + token_files.SLOTS[s][0]])]
+            if not fits:
+                words += [0, block[k]]
+                k += 1
+                continue
+            count, bits = token_files.SLOTS[fits[0]]
+            words.append(fits[0] << 60 | sum(i << j * bits for j, i in enumerate(block[k:k + count])))
+            k += count
+        sizes.append(len(words) - before)
+    return words, sizes
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 1), st.integers(0, 60_000), st.sampled_from([2**60 - 1, 2**60, 2**64 - 1])), max_size=1300))
+def test_blocks_hold_the_greedy_words(values):
+    words, block_words = token_files.encode_blocks(np.array(values, np.uint64))
+    assert (words.tolist(), block_words.tolist()) == greedy_words(values)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1), st.integers(0, 2**64 - 1)), max_size=1500))
 def test_simple8b_round_trip(values):
