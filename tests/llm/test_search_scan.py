@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quayside.llm import bm25, license_scan
@@ -72,6 +73,44 @@ def test_search_query_asks_every_twentieth_document(shipped, near_copies, tmp_pa
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(r[:3] for r in rows)
 
 
+def test_search_reads_the_texts_once_for_all_blocks(shipped, near_copies, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    shipped.createDataFrame(near_copies, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = shipped.read.parquet(str(tmp_path / "documents.parquet"))
+    files = bm25.search(df, df.withColumnRenamed("doc_id", "query_id")).inputFiles()
+    assert files and not [f for f in files if "documents.parquet" in f]
+
+
+@pytest.mark.parametrize("dense", [0, 0.05, 2])
+def test_runs_of_a_shard_give_the_best_documents(near_copies, monkeypatch, dense):
+    for name, value in (("BLOCK", 5), ("DENSE", dense), ("WIDTH", 2), ("CELLS", 20), ("ENTRIES", 30), ("SHARD_DOCS", 16)):
+        monkeypatch.setattr(bm25, name, value)
+    docs = [(None if k % 7 == 3 else k, t) for k, t in near_copies]
+    asked = near_copies[::3] + [(500, ""), (501, "nosuchword")]
+    rows = pa.record_batch({"doc_id": pa.array([k for k, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs])})
+    bags = [Counter(words(t)) for _, t in asked]
+    known = sorted({w for b in bags for w in b})
+    held = Counter(w for _, t in docs for w in set(words(t)))
+    n, mean = len(docs), sum(len(words(t)) for _, t in docs) / len(docs)
+    q = bm25.Queries(pa.array([w.encode() for w in known], pa.binary()), np.arange(len(asked)), np.cumsum([0, *map(len, bags)]),
+                     np.array([known.index(w) for b in bags for w in b]), np.array([b[w] for b in bags for w in b]),
+                     np.array([math.log(1 + (n - held[w] + .5) / (held[w] + .5)) for w in known]))
+    floor, kept, shards, seen = np.zeros(len(asked)), [np.zeros(0, int), np.zeros(0, int), np.zeros(0)], 0, 0
+    for part in bm25._slices(iter([rows])):
+        data, offsets = bm25.string_buffer(part.column("text"))
+        distinct = bm25.Words(bm25.LOWER[data], offsets, bm25.ALNUM)
+        shard, _ = bm25.index(part.column("doc_id").combine_chunks(), distinct)
+        assert max(np.diff(shard.runs)) <= 5 and sorted(shard.ids) == [k for k in part.column("doc_id").to_pylist() if k is not None]
+        number = np.array([known.index(w.decode()) if w.decode() in known else -1 for w in distinct.distinct.to_pylist()])
+        for query, doc, score in bm25.search_shard(shard, number, q, mean, 6, floor):
+            kept = [np.append(x, y) for x, y in zip(kept, (query, shard.ids[doc], score))]
+        shards, seen = shards + 1, seen + part.num_rows
+    query, ids, score, rank = bm25._best(*kept, 6)
+    want = brute_bm25(docs, list(enumerate(t for _, t in asked)), 6)
+    assert shards > 2 and seen == len(docs)
+    assert [(k, r + 1, d) for k, r, d in zip(query, rank, ids)] == [w[:3] for w in want] and np.allclose(score, [w[3] for w in want])
+
+
 def brute_scan(text):
     low = (text or "").translate(ASCII)
     w = words(low)
