@@ -111,6 +111,49 @@ def test_runs_of_a_shard_give_the_best_documents(near_copies, monkeypatch, dense
     assert [(k, r + 1, d) for k, r, d in zip(query, rank, ids)] == [w[:3] for w in want] and np.allclose(score, [w[3] for w in want])
 
 
+def test_search_holds_one_shard_and_one_block_at_a_time(shipped, near_copies, monkeypatch):
+    import os
+
+    import pyarrow.parquet as pq
+
+    written, sent = {}, []
+    stored, broadcast = bm25.stored, type(shipped.sparkContext).broadcast
+    monkeypatch.setattr(bm25, "stored", lambda df, name, *more: written.setdefault(name, []).append(stored(df, name, *more)) or written[name][-1])
+    monkeypatch.setattr(type(shipped.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    monkeypatch.setattr(bm25, "QUERY_BYTES", 2_000, raising=False)
+    docs = near_copies + [(10_000 + k, "two") for k in range(9_000)]
+    queries = near_copies[::8]
+    df = shipped.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = bm25.search(df, shipped.createDataFrame(queries, "query_id long, text string"), top=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == sorted(w[:3] for w in brute_bm25(docs, queries, 3))
+    # a reader takes the rows of a row group into memory together
+    kept = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written["shards"][0].inputFiles()]
+    assert sum(m.num_rows for m in kept) > 1 and [m.row_group(g).num_rows for m in kept for g in range(m.num_row_groups)] == [1] * sum(m.num_rows for m in kept)
+    # blocks are bounded by their texts, and no block is left with the executors
+    assert written["query_blocks"][0].count() > 2
+    assert sent and not [b for b in sent if os.path.exists(b._path)]
+
+
+def test_a_task_holds_little_beside_the_queries():
+    import tracemalloc
+
+    rng, known, asked = np.random.default_rng(3), 4_000, 800
+    texts = [" ".join(f"w{w}" for w in rng.choice(known, 300, replace=False)) for _ in range(40)]
+    data, offsets = bm25.string_buffer(pa.array(texts))
+    distinct = bm25.Words(data, offsets, bm25.ALNUM)
+    shard, _ = bm25.index(pa.array(range(40), pa.int64()), distinct)
+    number = np.array([int(w[1:]) for w in distinct.distinct.to_pylist()])
+    cuts = np.arange(asked + 1) * 2_000
+    q = bm25.Queries(None, np.arange(asked), cuts, np.concatenate([np.sort(rng.choice(known, 2_000, replace=False)) for _ in range(asked)]).astype("<i4"),
+                     np.ones(cuts[-1], "<i4"), np.ones(known))
+    tracemalloc.start()
+    hits = sum(len(query) for query, _, _ in bm25.search_shard(shard, number, q, 300.0, 5, np.zeros(asked)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the queries' own words and counts are 8 bytes an entry
+    assert hits >= 5 * asked and peak < 20 * len(q.terms)
+
+
 def brute_scan(text):
     low = (text or "").translate(ASCII)
     w = words(low)
