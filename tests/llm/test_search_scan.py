@@ -137,14 +137,14 @@ def test_search_holds_one_shard_and_one_block_at_a_time(shipped, near_copies, mo
 def test_a_task_holds_little_beside_the_queries():
     import tracemalloc
 
-    rng, known, asked = np.random.default_rng(3), 4_000, 800
+    rng, known, asked = np.random.default_rng(3), 4_000, 2_000
     texts = [" ".join(f"w{w}" for w in rng.choice(known, 300, replace=False)) for _ in range(40)]
     data, offsets = bm25.string_buffer(pa.array(texts))
     distinct = bm25.Words(data, offsets, bm25.ALNUM)
     shard, _ = bm25.index(pa.array(range(40), pa.int64()), distinct)
     number = np.array([int(w[1:]) for w in distinct.distinct.to_pylist()])
     cuts = np.arange(asked + 1) * 2_000
-    q = bm25.Queries(None, np.arange(asked), cuts, np.concatenate([np.sort(rng.choice(known, 2_000, replace=False)) for _ in range(asked)]).astype("<i4"),
+    q = bm25.Queries(None, np.arange(asked), cuts, np.concatenate([np.sort(rng.choice(known, 2_000, replace=False)) for _ in range(20)] * 100).astype("<i4"),
                      np.ones(cuts[-1], "<i4"), np.ones(known))
     tracemalloc.start()
     hits = sum(len(query) for query, _, _ in bm25.search_shard(shard, number, q, 300.0, 5, np.zeros(asked)))
